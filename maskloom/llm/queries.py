@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .decontaminate import contamination
 from .exact import exact_groups
 from .mixing import mix
+from .pii import PLAIN, SCORES, find_pii, pii_digest
 from .sharding import assign_shards
 
 
@@ -58,5 +60,59 @@ SELECT doc_id, size, source_size, target, CAST(copies * size AS BIGINT) AS taken
 FROM c
 """
 
-QUERIES = {"op4_exact_dedup": op4_exact_dedup, "op9_sharding": op9_sharding, "op10_mixing": op10_mixing}
-SQL = {"op4_exact_dedup": OP4_SQL, "op10_mixing": OP10_SQL}
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+OP5_SQL = r"""
+WITH lowered AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+d AS (SELECT doc_id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM lowered),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+iw AS (SELECT item_id, k, array_to_string(w[s:s + k - 1], ' ') AS win FROM
+  (SELECT item_id, w, least(10, len(w)) AS k, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS s FROM b WHERE len(w) > 0)),
+ks AS (SELECT DISTINCT k FROM iw),
+dw AS (SELECT doc_id, k, s, array_to_string(w[s:s + k - 1], ' ') AS win FROM
+  (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS s FROM d, ks WHERE len(w) >= k)),
+m AS (SELECT doc_id, item_id, s, dw.k FROM dw JOIN (SELECT DISTINCT * FROM iw) iw USING (k, win)),
+h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + k)) AS p FROM m) GROUP BY doc_id),
+i AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM m GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)
+"""
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_digest(find_pii(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def _pii_kind_sql(kind: str, rank: int, pattern: str, valid: str, score: int, more: int, context: str) -> str:
+    return rf"""
+  SELECT doc_id, {rank} AS k, '{kind}' AS kind, b AS s, b + length(f) AS e,
+    {score} + CASE WHEN regexp_matches(lower(right(gap, 40)), '{context}') THEN {more} ELSE 0 END AS score
+  FROM (SELECT doc_id, ps[i] AS gap, ms[i] AS f, regexp_replace(ms[i], '[^0-9]', '', 'g') AS digits, replace(ms[i], ' ', '') AS code,
+      list_sum(list_transform(ps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS b
+    FROM (SELECT doc_id, ps, ms, unnest(range(1, len(ms) + 1)) AS i FROM
+      (SELECT doc_id, regexp_extract_all(t, '{pattern}') AS ms, string_split_regex(t, '{pattern}') AS ps FROM t WHERE regexp_matches(t, '{pattern}'))))
+  WHERE {valid}"""
+
+
+_LUHN_SQL = "list_sum(list_transform(range(0, length(digits)), lambda i: CASE WHEN i % 2 = 0 THEN CAST(substr(digits, length(digits) - i, 1) AS INT) ELSE CAST(substr(digits, length(digits) - i, 1) AS INT) * 2 - CASE WHEN CAST(substr(digits, length(digits) - i, 1) AS INT) > 4 THEN 9 ELSE 0 END END)) % 10 = 0"
+_OCTET_SQL = "list_bool_and(list_transform(string_split(f, '.'), lambda x: TRY_CAST(x AS HUGEINT) <= 255))"
+_MOD97_SQL = "list_reduce(list_prepend(0, list_transform(string_split(substr(code, 5) || substr(code, 1, 4), ''), lambda c: CASE WHEN c >= 'A' THEN ascii(c) - 55 ELSE ascii(c) - 48 END)), lambda a, x: CASE WHEN x >= 10 THEN (a * 100 + x) % 97 ELSE (a * 10 + x) % 97 END) = 1"
+_VALID_SQL = {"email": "true", "ip": _OCTET_SQL, "card": f"length(digits) BETWEEN 12 AND 19 AND {_LUHN_SQL}", "phone": "length(digits) BETWEEN 9 AND 15", "iban": _MOD97_SQL}
+_PII_SQL = " UNION ALL ".join(_pii_kind_sql(kind, n, rf"\b{PLAIN[kind]}\b" if kind == "iban" else PLAIN[kind], _VALID_SQL[kind], *SCORES[kind]) for n, kind in enumerate(PLAIN))
+
+OP7_SQL = rf"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+spans AS ({_PII_SQL}),
+g AS (SELECT doc_id, count(*) FILTER (k = 0) AS n_email, count(*) FILTER (k = 1) AS n_ip, count(*) FILTER (k = 2) AS n_card, count(*) FILTER (k = 3) AS n_phone, count(*) FILTER (k = 4) AS n_iban,
+  string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) FILTER (k < 4) AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) AS spans, string_agg(CAST(score AS VARCHAR), ',' ORDER BY s, k) AS scores FROM spans GROUP BY doc_id)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, coalesce(n_iban, 0) AS n_iban,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(g.spans, '') AS spans, coalesce(scores, '') AS scores
+FROM t LEFT JOIN g USING (doc_id)
+"""
+
+QUERIES = {"op4_exact_dedup": op4_exact_dedup, "op5_decontamination": op5_decontamination, "op7_pii": op7_pii, "op9_sharding": op9_sharding, "op10_mixing": op10_mixing}
+SQL = {"op4_exact_dedup": OP4_SQL, "op5_decontamination": OP5_SQL, "op7_pii": OP7_SQL, "op10_mixing": OP10_SQL}
