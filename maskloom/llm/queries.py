@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .decontaminate import contamination
 from .exact import exact_groups
+from .minhash import near_duplicates
 from .mixing import mix
 from .pii import PLAIN, SCORES, find_pii, pii_digest
 from .sharding import assign_shards
@@ -114,5 +115,21 @@ SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coale
 FROM t LEFT JOIN g USING (doc_id)
 """
 
-QUERIES = {"op4_exact_dedup": op4_exact_dedup, "op5_decontamination": op5_decontamination, "op7_pii": op7_pii, "op9_sharding": op9_sharding, "op10_mixing": op10_mixing}
-SQL = {"op4_exact_dedup": OP4_SQL, "op5_decontamination": OP5_SQL, "op7_pii": OP7_SQL, "op10_mixing": OP10_SQL}
+
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+OP3_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 80 * (na.n + nb.n - c)),
+r AS (SELECT doc_id, doc_id AS c FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.c = e.a),
+m AS (SELECT doc_id, min(c) AS component_id FROM r GROUP BY doc_id)
+SELECT doc_id, coalesce(n.n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM m LEFT JOIN n USING (doc_id)
+"""
+
+QUERIES = {"op3_minhash": op3_minhash, "op4_exact_dedup": op4_exact_dedup, "op5_decontamination": op5_decontamination, "op7_pii": op7_pii, "op9_sharding": op9_sharding, "op10_mixing": op10_mixing}
+SQL = {"op3_minhash": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op5_decontamination": OP5_SQL, "op7_pii": OP7_SQL, "op10_mixing": OP10_SQL}
