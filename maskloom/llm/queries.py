@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from .common import table
 from .decontaminate import contamination
 from .exact import exact_groups
+from .language import identify
 from .minhash import near_duplicates
 from .mixing import mix
 from .pii import PLAIN, SCORES, find_pii, pii_digest
+from .quality import importance_sample
 from .sharding import assign_shards
 
 
@@ -131,5 +133,14 @@ m AS (SELECT doc_id, min(c) AS component_id FROM r GROUP BY doc_id)
 SELECT doc_id, coalesce(n.n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM m LEFT JOIN n USING (doc_id)
 """
 
-QUERIES = {"op3_minhash": op3_minhash, "op4_exact_dedup": op4_exact_dedup, "op5_decontamination": op5_decontamination, "op7_pii": op7_pii, "op9_sharding": op9_sharding, "op10_mixing": op10_mixing}
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = importance_sample(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", F.round("log_weight", 6).alias("log_weight"), F.round("gumbel_key", 6).alias("gumbel_key"), "selected")
+
+QUERIES = {"op3_minhash": op3_minhash, "op4_exact_dedup": op4_exact_dedup, "op5_decontamination": op5_decontamination, "op6_language_id": op6_language_id, "op7_pii": op7_pii, "op8_quality": op8_quality, "op9_sharding": op9_sharding, "op10_mixing": op10_mixing}
 SQL = {"op3_minhash": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op5_decontamination": OP5_SQL, "op7_pii": OP7_SQL, "op10_mixing": OP10_SQL}
