@@ -14,6 +14,7 @@ from .mixing import mix
 from .pii import PLAIN, SCORES, find_pii, pii_digest
 from .quality import importance_sample
 from .sharding import assign_shards
+from .suffixes import remove_repeats
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,5 +143,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = importance_sample(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
     return out.select("doc_id", F.round("log_weight", 6).alias("log_weight"), F.round("gumbel_key", 6).alias("gumbel_key"), "selected")
 
-QUERIES = {"op3_minhash": op3_minhash, "op4_exact_dedup": op4_exact_dedup, "op5_decontamination": op5_decontamination, "op6_language_id": op6_language_id, "op7_pii": op7_pii, "op8_quality": op8_quality, "op9_sharding": op9_sharding, "op10_mixing": op10_mixing}
+
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("kept")
+
+
+QUERIES = {"op1_suffix_dedup": op1_suffix_dedup, "op3_minhash": op3_minhash, "op4_exact_dedup": op4_exact_dedup, "op5_decontamination": op5_decontamination, "op6_language_id": op6_language_id, "op7_pii": op7_pii, "op8_quality": op8_quality, "op9_sharding": op9_sharding, "op10_mixing": op10_mixing}
 SQL = {"op3_minhash": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op5_decontamination": OP5_SQL, "op7_pii": OP7_SQL, "op10_mixing": OP10_SQL}
