@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .debruijn import remove_repeats as remove_repeated_words
 from .decontaminate import contamination
 from .exact import exact_groups
 from .language import identify
@@ -148,5 +149,21 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("kept")
 
 
-QUERIES = {"op1_suffix_dedup": op1_suffix_dedup, "op3_minhash": op3_minhash, "op4_exact_dedup": op4_exact_dedup, "op5_decontamination": op5_decontamination, "op6_language_id": op6_language_id, "op7_pii": op7_pii, "op8_quality": op8_quality, "op9_sharding": op9_sharding, "op10_mixing": op10_mixing}
-SQL = {"op3_minhash": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op5_decontamination": OP5_SQL, "op7_pii": OP7_SQL, "op10_mixing": OP10_SQL}
+
+def op2_debruijn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeated_words(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+OP2_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+k AS (SELECT doc_id, s, array_to_string(w[s:s + 19], ' ') AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS s FROM d WHERE len(w) >= 20)),
+r AS (SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY win ORDER BY doc_id, s) AS n FROM k) WHERE n > 1),
+g AS (SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS p FROM r),
+e AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM d),
+x AS (SELECT e.doc_id, count(*) AS n_words, count(g.p) AS n_removed, coalesce(string_agg(e.w[e.p], ' ' ORDER BY e.p) FILTER (g.p IS NULL), '') AS kept
+  FROM e LEFT JOIN g ON e.doc_id = g.doc_id AND e.p = g.p GROUP BY e.doc_id)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN x USING (doc_id)
+"""
+
+QUERIES = {"op2_debruijn_dedup": op2_debruijn_dedup, "op1_suffix_dedup": op1_suffix_dedup, "op3_minhash": op3_minhash, "op4_exact_dedup": op4_exact_dedup, "op5_decontamination": op5_decontamination, "op6_language_id": op6_language_id, "op7_pii": op7_pii, "op8_quality": op8_quality, "op9_sharding": op9_sharding, "op10_mixing": op10_mixing}
+SQL = {"op2_debruijn_dedup": OP2_SQL, "op3_minhash": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op5_decontamination": OP5_SQL, "op7_pii": OP7_SQL, "op10_mixing": OP10_SQL}
