@@ -6,9 +6,9 @@
    similarity 0.8 shares none with probability (1 - 0.8**4)**24, about 3 in a million.
 3. Every member of a bucket is paired with the bucket's least member only. Pairs whose signatures agree
    too rarely are dropped, the rest are confirmed on their full shingle sets, and components follow.
-4. Buckets that still hold several components are searched completely: all pairs across components are
-   compared by signature inside blocks of bounded size, and only those that pass leave the task, for
-   confirmation on full sets. So no link is lost to the leaders, and no group is expanded.
+4. Buckets that still hold several components are searched completely: inside blocks of bounded size
+   their members are compared across components by signature and then by set, and at most one link per
+   member and component leaves the task. So no link is lost to the leaders, and no pairs are emitted.
 
 Links: 100 * intersection >= 80 * union, with integers, on full sets.
 
@@ -78,12 +78,9 @@ def _bands(batches):
     for batch in batches:
         if not batch.num_rows:
             continue
-        sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(batch.num_rows, BANDS, ROWS).astype(U64)
-        key = np.zeros((batch.num_rows, BANDS), U64) + np.arange(BANDS, dtype=U64)
-        for r in range(ROWS):
-            key = mix(key * U64(0x9FB21C651E98DF25) + sig[:, :, r])
+        key = band_keys(np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(batch.num_rows, -1))
         node = np.repeat(batch.column("node").to_numpy(zero_copy_only=False), BANDS)
-        yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(node)], ["bucket", "node"])
+        yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(node)], ["bucket", "node"])
 
 
 def least_agreement(percent: int) -> int:
@@ -125,40 +122,73 @@ def _confirm(percent: int):
     return run
 
 
+def band_keys(sig: np.ndarray) -> np.ndarray:
+    """Bucket of each band of each signature (rows of uint32 minima)."""
+    sig = sig.reshape(len(sig), BANDS, ROWS).astype(U64)
+    key = np.zeros((len(sig), BANDS), U64) + np.arange(BANDS, dtype=U64)
+    for r in range(ROWS):
+        key = mix(key * U64(0x9FB21C651E98DF25) + sig[:, :, r])
+    return key.view(np.int64)
+
+
 def _across(percent: int):
-    """Pairs across components in one cell of a bucket whose short signatures agree often enough."""
+    """Links across components in one cell of a bucket: at most one per member and component, none between rows joined already.
+
+    A pair is judged in the first band that it shares only: by signature, then by the sets' 32-bit
+    hashes, give or take a collision. What passes is confirmed on full sets afterwards, and joins
+    components here only if a collision more or less would not matter.
+    """
     least = least_agreement(percent)
 
     def run(cell: pa.Table) -> pa.Table:
-        sig = np.frombuffer(b"".join(cell.column("short").to_pylist()), np.uint8).reshape(cell.num_rows, -1)
-        node, comp, block = (cell.column(c).to_numpy() for c in ("node", "comp", "block"))
-        i, j = cell.column("i")[0].as_py(), cell.column("j")[0].as_py()
-        rows, cols = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        column = lambda c: cell.column(c).combine_chunks()
+        sig = np.frombuffer(b"".join(column("sig").to_pylist()), np.uint32).reshape(cell.num_rows, -1)
+        sets = [np.frombuffer(x, np.uint32) for x in column("short").to_pylist()]
+        sizes = np.array([len(x) for x in sets])
+        node, comp, block = (column(c).to_numpy().copy() for c in ("node", "comp", "block"))
+        i, j, bucket = (cell.column(c)[0].as_py() for c in ("i", "j", "bucket"))
+        rows, cols, keys = np.flatnonzero(block == i), np.flatnonzero(block == j), band_keys(sig)
         out_a, out_b = [], []
         for r in rows:
             c = cols[(comp[cols] != comp[r]) & ((node[cols] > node[r]) | (i != j))]
             c = c[(sig[c] == sig[r]).sum(axis=1) >= least]
-            out_a += [np.maximum(node[c], node[r])]
-            out_b += [np.minimum(node[c], node[r])]
-        empty = np.zeros(0, np.int64)
-        return pa.table({"a": pa.array(np.concatenate([empty, *out_a])), "b": pa.array(np.concatenate([empty, *out_b]))})
+            if not len(c):
+                continue
+            c = c[keys[r][(keys[c] == keys[r]).argmax(axis=1)] == bucket]
+            if not len(c):
+                continue
+            x, ends = sets[r], np.cumsum(sizes[c])
+            y = np.concatenate([sets[k] for k in c])
+            at = np.minimum(np.searchsorted(x, y), len(x) - 1)
+            both = np.diff(np.concatenate([[0], np.cumsum(x[at] == y)[ends - 1]]))
+            near = lambda slack: 100 * (both + slack) >= percent * (len(x) + sizes[c] - both - slack)  # noqa: E731, B023
+            for k, sure in zip(c[near(1)].tolist(), near(-1)[near(1)].tolist(), strict=True):
+                if comp[k] != comp[r]:
+                    out_a.append(max(node[k], node[r]))
+                    out_b.append(min(node[k], node[r]))
+                    if sure:
+                        comp[comp == comp[k]] = comp[r]
+        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
 
     return run
 
 
 def _short(batches):
     for batch in batches:
-        short = [np.frombuffer(s, np.uint32).astype(np.uint8).tobytes() for s in batch.column("sig").to_pylist()]
+        short = [np.unique((s >> U64(32)).astype(np.uint32)).tobytes() for s in shingle_sets(batch.column("text"))]
         yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(short, pa.binary())], ["node", "short"])
 
 
+def texts_of(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """node and text of the documents that are nodes; all documents where the nodes are too many to be sent round."""
+    nodes = staged(nodes.distinct(), "nodes")
+    texts = docs.select(F.col("doc_id").alias("node"), text_or_empty().alias("text"))
+    return texts.join(F.broadcast(nodes), "node", "left_semi") if nodes.count() <= BROADCAST_ROWS else texts
+
+
 def confirmed_links(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are similar enough, as links (u, v)."""
-    involved = staged(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "involved")
-    n = involved.count()
-    texts = docs.select(F.col("doc_id").alias("node"), text_or_empty().alias("text"))
-    if n <= BROADCAST_ROWS:
-        texts = texts.join(F.broadcast(involved), "node", "left_semi")
+    texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("node")), docs)
     with_a = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a")
     both = with_a.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(percent), "u long, v long").distinct()
@@ -184,8 +214,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     mixed = named.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo < hi").select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     open_rows = named.join(mixed.hint("merge"), "bucket").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     cells = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("i"), F.greatest(o, F.col("block")).alias("j"))))
-    short = classes.select("node", "sig").mapInArrow(_short, "node long, short binary")
-    open_rows = open_rows.join(short.hint("merge"), "node").select("bucket", "node", "comp", "block", "short", cells.alias("cell")).select("*", "cell.i", "cell.j").drop("cell")
+    open_nodes = staged(open_rows, "open")
+    short = texts_of(open_nodes.select("node"), rows).groupBy("node").agg(F.min("text").alias("text")).mapInArrow(_short, "node long, short binary")
+    held = classes.select("node", "sig").join(short.hint("merge"), "node")
+    open_rows = open_nodes.join(held.hint("merge"), "node").select("bucket", "node", "comp", "block", "sig", "short", cells.alias("cell")).select("*", "cell.i", "cell.j").drop("cell")
     more = open_rows.groupBy("bucket", "i", "j").applyInArrow(_across(percent), "a long, b long").distinct()
     more = staged(confirmed_links(staged(more, "pairs-across"), rows, percent), "links-across")
     if not more.isEmpty():
