@@ -1,13 +1,14 @@
 """Benchmark decontamination with a positional inverted index (DataFrame functions only).
 
 1. Count over all documents how often each benchmark term occurs.
-2. The rarest term of each benchmark window (ties: the earlier one) is its anchor. Store the postings
-   (document, position) of the anchor terms only: every occurrence of a window holds its anchor.
-3. Shift each posting by the anchor's place in its item. That leaves (document, item, offset) lists,
-   small because anchors are rare; they are written to the shared folder.
-4. Intersect: at such an offset the item's remaining terms are looked up in the document, in place.
-   A window is an exact phrase match if all its terms stand at their places, and a proximity match if
-   each stands within `slop` words of its place.
+2. The two rarest terms of each benchmark window (ties: the earlier one) are its anchors. Store the
+   postings (document, position) of anchor terms only: every occurrence of a window holds its anchors.
+3. Shift each posting by the anchor's place in its item and intersect: a (document, item, offset) stays
+   a candidate if both anchors of some window of the item are posted there. What is left is written to
+   the shared folder.
+4. At such an offset the item's remaining terms are looked up in the document, in place. A window is
+   an exact phrase match if all its terms stand at their places, and a proximity match if each stands
+   within `slop` words of its place.
 
 Documents without a candidate offset never move. Joins broadcast a side only if its counted rows are few.
 
@@ -49,21 +50,26 @@ def item_windows(items: DataFrame, window: int) -> DataFrame:
 
 
 def candidates(rows: DataFrame, items: DataFrame, window: int) -> DataFrame:
-    """Distinct (key, item_id, shift): document positions minus item positions at which an anchor agrees."""
+    """Distinct (key, item_id, shift): document positions minus item positions at which the anchors of a window agree."""
     tokens = rows.select("key", F.posexplode(words()).alias("pos", "term"))
     vocabulary = items.select(F.explode("terms").alias("term")).distinct()
     n_terms = vocabulary.count()
     counts = staged(sized_join(tokens.select("term"), vocabulary, ["term"], "inner", n_terms).groupBy("term").count(), "term-counts")
     each = item_windows(items, window).select("item_id", "start", F.posexplode("terms").alias("at", "term"))
     each = sized_join(each, counts, ["term"], "left", n_terms)
-    rarest = each.groupBy("item_id", "start").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("count"), "at", "term")).alias("r"))
-    anchors = staged(rarest.filter("r.count > 0").select("item_id", F.col("r.term").alias("term"), (F.col("start") + F.col("r.at")).alias("place")).distinct(), "anchors")
+    by_rarity = F.array_sort(F.collect_list(F.struct(F.coalesce("count", F.lit(0)).alias("count"), (F.col("start") + F.col("at")).alias("place"), "term")))
+    rarest = each.groupBy("item_id", "start").agg(F.slice(by_rarity, 1, 2).alias("rarest")).filter("rarest[0].count > 0")
+    rarest = staged(rarest, "rarest")
+    anchors = staged(rarest.select("item_id", F.explode("rarest").alias("r")).select("item_id", "r.term", "r.place").distinct(), "anchors")
+    needs = rarest.groupBy("item_id").agg(F.collect_set(F.transform("rarest", lambda r: r["place"])).alias("needs"))
     postings = sized_join(tokens, anchors, ["term"], "inner", anchors.count())
-    return postings.select("key", "item_id", (F.col("pos") - F.col("place")).alias("shift")).distinct()
+    lists = postings.groupBy("key", "item_id", (F.col("pos") - F.col("place")).alias("shift")).agg(F.collect_set("place").alias("places"))
+    lists = sized_join(lists, needs, ["item_id"], "inner", n_terms)
+    return lists.filter(F.exists("needs", lambda w: F.size(F.array_intersect(w, F.col("places"))) == F.size(w))).select("key", "item_id", "shift")
 
 
-def windows_at(doc: Column, terms: Column, shift: Column, window: int, slop: int) -> Column:
-    """Starts in the item of the windows whose terms all stand within slop of their shifted places."""
+def standing(doc: Column, terms: Column, shift: Column, slop: int) -> Column:
+    """For each term of an item, whether it stands within slop of its shifted place."""
 
     def there(i):
         here = shift + i
@@ -72,11 +78,13 @@ def windows_at(doc: Column, terms: Column, shift: Column, window: int, slop: int
         lo = F.greatest(here - slop, F.lit(0))
         return (here + slop >= 0) & F.array_contains(F.slice(doc, lo + 1, F.greatest(here + slop - lo + 1, F.lit(0))), F.get(terms, i))
 
-    n = F.size(terms)
-    size = F.least(n, F.lit(window))
-    flags = F.transform(F.sequence(F.lit(0), n - 1), there)
-    # A running count of hits in a row: a window ends where the count has reached its size.
-    return F.filter(F.sequence(F.lit(0), n - size), lambda s: F.forall(F.slice(flags, s + 1, size), lambda f: f))
+    return F.transform(F.sequence(F.lit(0), F.size(terms) - 1), there)
+
+
+def matches(flags: str) -> Column:
+    """Items and starts of the windows whose terms all stand, of what is found in a document."""
+    starts = lambda m: F.filter(F.sequence(F.lit(0), F.size(m[flags]) - m["n"]), lambda s: F.forall(F.slice(m[flags], s + 1, m["n"]), lambda f: f))
+    return F.filter(F.transform("standing", lambda m: F.struct(m["item_id"].alias("item_id"), m["shift"].alias("shift"), m["n"].alias("n"), starts(m).alias("starts"))), lambda m: F.size(m["starts"]) > 0)
 
 
 def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, slop: int = 2) -> DataFrame:
@@ -94,12 +102,9 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, slop:
 
     held = sized_join(rows, keys, ["key"], "left_semi", n_keys) if n_keys <= BROADCAST_ROWS else rows
     held = held.join(found.hint("shuffle_hash"), "key").withColumn("words", words())
-
-    def matched(slop: int) -> Column:
-        return F.transform("found", lambda c: F.struct(c["item_id"].alias("item_id"), c["shift"].alias("shift"), F.least(F.size(c["terms"]), F.lit(window)).alias("n"), windows_at(F.col("words"), c["terms"], c["shift"], window, slop).alias("starts")))
-
-    some = lambda c: F.filter(c, lambda m: F.size(m["starts"]) > 0)
-    held = held.withColumns({"exact": some(matched(0)), "near": some(matched(slop))})
+    doc = F.col("words")
+    stand = F.transform("found", lambda c: F.struct(c["item_id"].alias("item_id"), c["shift"].alias("shift"), F.least(F.size(c["terms"]), F.lit(window)).alias("n"), standing(doc, c["terms"], c["shift"], 0).alias("exact"), standing(doc, c["terms"], c["shift"], slop).alias("near")))
+    held = held.withColumn("standing", stand).withColumns({"exact": matches("exact"), "near": matches("near")})
     hits = F.flatten(F.transform("exact", lambda m: F.flatten(F.transform(m["starts"], lambda s: F.sequence(m["shift"] + s, m["shift"] + s + m["n"] - 1)))))
     ids = lambda c: F.array_distinct(F.transform(c, lambda m: m["item_id"]))
     dirty = held.select("doc_id", "key", F.size("words").cast("long").alias("n_words"), F.array_distinct(hits).alias("hits"), ids("exact").alias("items"), ids("near").alias("near_items"))
@@ -115,5 +120,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """The documents without any benchmark window, with all their columns."""
-    dirty = staged(find_matches(docs, benchmark, window).filter(F.size("hits") > 0).select(F.col("key").alias("__key")).distinct(), "contaminated")
+    judged = staged(find_matches(docs, benchmark, window).select(F.col("key").alias("__key"), (F.size("hits") > 0).alias("dirty")), "judged")
+    dirty = staged(judged.filter("dirty").select("__key").distinct(), "contaminated")
     return sized_join(docs.withColumn("__key", F.xxhash64("doc_id", "text")), dirty, ["__key"], "left_anti", dirty.count()).drop("__key")
