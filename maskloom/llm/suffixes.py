@@ -26,6 +26,9 @@ lose anything; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +40,9 @@ from .common import BROADCAST_ROWS, sized_join, staged, text_or_empty
 
 WINDOW, Q = 50, 16
 
+#: Parts per shuffle partition, worked on one after the other, and bytes of text that are.
+PARTS, PIECE = 8, 8 << 20
+
 #: A stretch of windows in a document: first start and number of starts.
 SPAN = np.dtype([("s", "<u4"), ("n", "<u4")])
 
@@ -104,9 +110,19 @@ def entries_of(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
     return row, s - offs[row], e - s, mix(least[s]), content
 
 
+def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of about PIECE bytes of text, so that arrays stay small whatever the batches are."""
+    _, offs = flat(batch.column("text"))
+    row = 0
+    while row < batch.num_rows:
+        end = max(row + 1, int(np.searchsorted(offs, offs[row] + PIECE, "right")) - 1)
+        yield batch.slice(row, end - row)
+        row = end
+
+
 def _entries(parts: int):
     def run(batches):
-        for batch in batches:
+        for batch in (x for b in batches for x in pieces(b)):
             key, ids = (batch.column(c).to_numpy() for c in ("key", "doc_id"))
             found = [(first + r, s, n, b, c) for first, _, buf, offs in chunks(batch.column("text")) for r, s, n, b, c in [entries_of(buf, offs)]]
             if not found:
@@ -144,25 +160,35 @@ def _spans(key: np.ndarray, s: np.ndarray, n: np.ndarray) -> np.ndarray:
     return out
 
 
+def groups(batches) -> Iterator[list[dict]]:
+    """Rows of one part after the other; the batches are sorted by part."""
+    for _, rows in groupby((r for batch in batches for r in batch.to_pylist()), itemgetter("part")):
+        yield list(rows)
+
+
 def _settle(batches):
     """Entries of whole buckets: spans that a smaller doc_id covers, and spans that need refinement."""
+    for rows in groups(batches):
+        yield from _settle_part(rows)
+
+
+def _settle_part(rows: list[dict]) -> Iterator[pa.RecordBatch]:
     part, bucket, content, key, doc, s, n = ([] for _ in range(7))
-    for batch in batches:
-        for r in batch.to_pylist():
-            counts = np.frombuffer(r["counts"], np.int32)
-            keys, begin, length = np.repeat(np.frombuffer(r["keys"], np.int64), counts), unplanes(r["s"], 4, np.uint32), unplanes(r["n"], 4, np.uint32)
-            if r["kind"]:
-                order = np.argsort(keys, kind="stable")
-                k, spans = packed(keys[order], _spans(keys, begin, length)[order])
-                yield pa.RecordBatch.from_arrays([pa.array(k), spans, pa.nulls(len(k), pa.binary())], ["key", "covered", "unsettled"])
-                continue
-            part.append(np.full(len(keys), r["part"], U64))
-            bucket.append(unplanes(r["bucket"], 5, U64))
-            content.append(unplanes(r["content"], 7, U64))
-            key.append(keys)
-            doc.append(np.repeat(np.frombuffer(r["ids"], np.int64), counts))
-            s.append(begin)
-            n.append(length)
+    for r in rows:
+        counts = np.frombuffer(r["counts"], np.int32)
+        keys, begin, length = np.repeat(np.frombuffer(r["keys"], np.int64), counts), unplanes(r["s"], 4, np.uint32), unplanes(r["n"], 4, np.uint32)
+        if r["kind"]:
+            order = np.argsort(keys, kind="stable")
+            k, spans = packed(keys[order], _spans(keys, begin, length)[order])
+            yield pa.RecordBatch.from_arrays([pa.array(k), spans, pa.nulls(len(k), pa.binary())], ["key", "covered", "unsettled"])
+            continue
+        part.append(np.full(len(keys), r["part"], U64))
+        bucket.append(unplanes(r["bucket"], 5, U64))
+        content.append(unplanes(r["content"], 7, U64))
+        key.append(keys)
+        doc.append(np.repeat(np.frombuffer(r["ids"], np.int64), counts))
+        s.append(begin)
+        n.append(length)
     if not key:
         return
     part, bucket, content, key, doc, s, n = (np.concatenate(x) for x in (part, bucket, content, key, doc, s, n))
@@ -201,7 +227,7 @@ def _contents(parts: int):
     """The bytes of unsettled spans, dealt to the partitions of their buckets."""
 
     def run(batches):
-        for batch in batches:
+        for batch in (x for b in batches for x in pieces(b)):
             buf, offs = flat(batch.column("text"))
             out: dict[int, list] = {}
             for k, (key, doc) in enumerate(zip(batch.column("key").to_pylist(), batch.column("doc_id").to_pylist(), strict=True)):
@@ -235,9 +261,11 @@ def bucket_pointers(data: np.ndarray) -> np.ndarray:
 
 
 def _refine(batches):
-    rows = [r for batch in batches for r in batch.to_pylist()]
-    if not rows:
-        return
+    for rows in groups(batches):
+        yield from _refine_part(rows)
+
+
+def _refine_part(rows: list[dict]) -> Iterator[pa.RecordBatch]:
     data = np.frombuffer(b"".join(r["data"] for r in rows), np.uint8)
     key, doc, s, n = (np.concatenate([np.frombuffer(r[c], t) for r in rows]) for c, t in (("keys", np.int64), ("ids", np.int64), ("s", np.uint32), ("n", np.uint32)))
     n = n.astype(np.int64)
@@ -261,7 +289,7 @@ def _refine(batches):
 
 
 def _cut(batches):
-    for batch in batches:
+    for batch in (x for b in batches for x in pieces(b)):
         buf, offs = flat(batch.column("text"))
         out = []
         for k in range(batch.num_rows):
@@ -283,15 +311,16 @@ def keyed(docs: DataFrame) -> DataFrame:
 def covered_spans(rows: DataFrame) -> DataFrame:
     """key, covered (array of packed spans) for each document that loses something. rows: doc_id, text, key."""
     spark = rows.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = tasks * PARTS
     long_enough = rows.filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= WINDOW))
     entries = long_enough.mapInArrow(_entries(parts), ENTRIES)
-    settled = staged(entries.repartition(parts, "part").mapInArrow(_settle, "key long, covered binary, unsettled binary"), "settled")
+    settled = staged(entries.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(_settle, "key long, covered binary, unsettled binary"), "settled")
     todo = staged(settled.filter("unsettled IS NOT NULL").groupBy("key").agg(F.collect_list("unsettled").alias("unsettled")), "unsettled")
     n = todo.count()
     held = sized_join(rows, todo.select("key"), ["key"], "left_semi", n) if n <= BROADCAST_ROWS else rows
     contents = held.join(todo.hint("shuffle_hash"), "key").mapInArrow(_contents(parts), "part int, keys binary, ids binary, s binary, n binary, data binary")
-    refined = contents.repartition(parts, "part").mapInArrow(_refine, "key long, covered binary")
+    refined = contents.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(_refine, "key long, covered binary")
     both = settled.filter("covered IS NOT NULL").select("key", "covered").unionByName(refined)
     return staged(both.groupBy("key").agg(F.collect_list("covered").alias("covered")), "covered")
 
