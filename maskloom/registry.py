@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from .plans import artifacts, masks, objects, reports, requests, scoring  # noqa: F401
+from .plans.base import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
