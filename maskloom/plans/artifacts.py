@@ -1 +1,114 @@
-"""To come."""
+"""Queries over artifact offers."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import artifacts as ops
+from .base import query
+from .fixtures import OFFERS_SQL, duck, offers
+
+BUDGET = ops.Budget()
+
+FIRST_SQL = "firsts AS (SELECT * FROM offers QUALIFY row_number() OVER (PARTITION BY request_id, name ORDER BY offer_seq) = 1)"
+ADMIT_SQL = """
+seqs AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY offer_seq) AS rn FROM firsts),
+fold AS (
+  SELECT request_id, CAST(0 AS BIGINT) AS rn, CAST(NULL AS INT) AS offer_seq, CAST(NULL AS VARCHAR) AS status, CAST(NULL AS INT) AS page, 0 AS sel, 0 AS dbg, CAST(0 AS BIGINT) AS tot, 0 AS cnt FROM (SELECT DISTINCT request_id FROM seqs)
+  UNION ALL
+  SELECT request_id, rn, offer_seq, status, page, sel + 1, dbg + CASE WHEN status = 'delivered' AND stage <> 'picture' THEN 1 ELSE 0 END, tot + CASE WHEN status = 'delivered' THEN raw_bytes ELSE 0 END, cnt + CASE WHEN status = 'delivered' THEN 1 ELSE 0 END
+  FROM (SELECT s.request_id, s.rn, s.offer_seq, s.stage, s.raw_bytes, f.sel, f.dbg, f.tot, f.cnt, CAST(f.sel // 16 + 1 AS INT) AS page,
+      CASE WHEN f.sel // 16 + 1 <> 1 THEN 'page_excluded' WHEN s.stage <> 'picture' AND f.dbg >= 12 THEN 'omitted_debug_limit' WHEN s.raw_bytes > 200000 THEN 'omitted_single_size'
+        WHEN f.tot + s.raw_bytes > 900000 THEN 'omitted_total_size' WHEN f.cnt >= 20 THEN 'omitted_count' ELSE 'delivered' END AS status
+    FROM fold f JOIN seqs s ON s.request_id = f.request_id AND s.rn = f.rn + 1)),
+ledger AS (SELECT firsts.*, fold.status, fold.page FROM firsts JOIN fold USING (request_id, offer_seq))
+"""
+
+
+def _duck(*parts: str) -> str:
+    return duck(*parts).replace("WITH", "WITH RECURSIVE", 1)
+
+
+def ledger_of(spark, sf_dir):
+    return ops.admit(ops.first_offers(offers(spark, sf_dir)), BUDGET)
+
+
+@query("udf03_admission", _duck(OFFERS_SQL, FIRST_SQL, ADMIT_SQL) + " SELECT request_id, offer_seq, name, status, page FROM ledger")
+def udf03(spark, sf_dir):
+    return ledger_of(spark, sf_dir).select("request_id", "offer_seq", "name", "status", "page")
+
+
+@query("agg16_ledger_summary", _duck(OFFERS_SQL, FIRST_SQL, ADMIT_SQL) + """
+SELECT request_id, count(*) AS eligible, count(*) FILTER (status <> 'page_excluded') AS selected, count(*) FILTER (status = 'delivered') AS delivered, count(*) FILTER (starts_with(status, 'omitted')) AS omitted,
+  CAST(coalesce(sum(raw_bytes) FILTER (status = 'delivered'), 0) AS BIGINT) AS raw_total, CAST(coalesce(sum(4 * ((raw_bytes + 2) // 3)) FILTER (status = 'delivered'), 0) AS BIGINT) AS base64_total,
+  CAST(coalesce(sum(raw_bytes + 128 + length(name)) FILTER (status = 'delivered'), 0) AS BIGINT) AS zip_total FROM ledger GROUP BY request_id""")
+def agg16(spark, sf_dir):
+    return ops.ledger_summary(ledger_of(spark, sf_dir))
+
+
+@query("win10_trim_to_fit", _duck(OFFERS_SQL, FIRST_SQL, ADMIT_SQL) + """,
+sz AS (SELECT *, CASE WHEN status = 'delivered' THEN 4 * ((raw_bytes + 2) // 3) ELSE 0 END AS b FROM ledger),
+cu AS (SELECT *, sum(CASE WHEN stage = 'picture' THEN b ELSE 0 END) OVER (PARTITION BY request_id) AS ess, sum(CASE WHEN stage = 'picture' THEN 0 ELSE b END) OVER (PARTITION BY request_id ORDER BY offer_seq) AS opt FROM sz)
+SELECT request_id, offer_seq, CASE WHEN status = 'delivered' AND stage <> 'picture' AND ess + opt + 2000 > 60000 THEN 'omitted_response_limit' ELSE status END AS final_status, ess + 2000 > 60000 AS request_failed FROM cu""")
+def win10(spark, sf_dir):
+    return ops.trim_to_fit(ledger_of(spark, sf_dir), 2000, 60_000).select("request_id", "offer_seq", "final_status", "request_failed")
+
+
+@query("win08_pages", duck(OFFERS_SQL) + " SELECT request_id, offer_seq, CAST((row_number() OVER (PARTITION BY request_id ORDER BY offer_seq) - 1) // 16 + 1 AS INT) AS page FROM offers WHERE stage IN ('label', 'verify')")
+def win08(spark, sf_dir):
+    return ops.page_of(offers(spark, sf_dir), 16, ("label", "verify")).select("request_id", "offer_seq", "page")
+
+
+@query("scl10_artifact_identity", duck(OFFERS_SQL) + """
+SELECT request_id, offer_seq, CAST(nullif(regexp_extract(name, 'CANDIDATE-([0-9]+)', 1), '') AS INT) AS candidate, CAST(nullif(regexp_extract(name, 'QUESTION-([0-9]+)', 1), '') AS INT) AS question, stage FROM offers""")
+def scl10(spark, sf_dir):
+    return offers(spark, sf_dir).select("request_id", "offer_seq", *[c.alias(n) for n, c in ops.artifact_identity().items()], ops.artifact_stage().alias("stage"))
+
+
+@query("scl09_logical_names", duck(OFFERS_SQL) + """,
+v AS (SELECT request_id, offer_seq, CASE offer_seq % 5 WHEN 0 THEN '../' || name WHEN 1 THEN '/' || name WHEN 2 THEN replace(name, '-', chr(92)) ELSE name END AS name FROM offers)
+SELECT request_id, offer_seq, length(name) > 0 AND NOT contains(name, chr(92)) AND NOT list_has_any(string_split(name, '/'), ['', '.', '..']) AS ok FROM v""")
+def scl09(spark, sf_dir):
+    o = offers(spark, sf_dir)
+    k = F.col("offer_seq") % 5
+    o = o.withColumn("name", F.when(k == 0, F.concat(F.lit("../"), "name")).when(k == 1, F.concat(F.lit("/"), "name")).when(k == 2, F.translate("name", "-", "\\")).otherwise(F.col("name")))
+    return o.select("request_id", "offer_seq", ops.logical_name_ok().alias("ok"))
+
+
+_HASHED_SQL = "hashed AS (SELECT *, sha256(name || ':' || raw_bytes) AS sha256 FROM firsts)"
+
+
+def hashed_of(spark, sf_dir):
+    return ops.first_offers(offers(spark, sf_dir)).withColumn("sha256", F.sha2(F.concat_ws(":", "name", F.col("raw_bytes").cast("string")), 256))
+
+
+@query("snk06_manifest", duck(OFFERS_SQL, FIRST_SQL, _HASHED_SQL) + " SELECT request_id, CAST(count(*) AS INT) AS members, sha256(string_agg(name || '|' || raw_bytes || '|' || sha256, chr(10) ORDER BY name || '|' || raw_bytes || '|' || sha256)) AS digest FROM hashed GROUP BY request_id")
+def snk06(spark, sf_dir):
+    return ops.artifact_manifest(hashed_of(spark, sf_dir))
+
+
+_OTHER_SQL = "other AS (SELECT * REPLACE (CASE WHEN offer_seq % 9 = 0 THEN raw_bytes + 1 ELSE raw_bytes END AS raw_bytes) FROM hashed WHERE offer_seq % 11 <> 0)"
+
+
+def other_of(spark, sf_dir):
+    """A second manifest: some members missing, some of another size."""
+    return hashed_of(spark, sf_dir).filter("offer_seq % 11 <> 0").withColumn("raw_bytes", F.col("raw_bytes") + F.when(F.col("offer_seq") % 9 == 0, 1).otherwise(0))
+
+
+@query("jon10_manifest_compare", duck(OFFERS_SQL, FIRST_SQL, _HASHED_SQL, _OTHER_SQL) + """
+SELECT request_id, name, raw_bytes, sha256, count(*) FILTER (s = 1) AS in_left, count(*) FILTER (s = 2) AS in_right FROM (SELECT request_id, name, raw_bytes, sha256, 1 AS s FROM hashed UNION ALL SELECT request_id, name, raw_bytes, sha256, 2 FROM other)
+GROUP BY ALL HAVING count(*) FILTER (s = 1) <> count(*) FILTER (s = 2)""")
+def jon10(spark, sf_dir):
+    return ops.manifest_compare(hashed_of(spark, sf_dir), other_of(spark, sf_dir))
+
+
+@query("set02_manifests_equal", duck(OFFERS_SQL, FIRST_SQL, _HASHED_SQL, _OTHER_SQL) + """
+SELECT (SELECT count(*) FROM (SELECT request_id, name, raw_bytes, sha256 FROM hashed EXCEPT ALL SELECT request_id, name, raw_bytes, sha256 FROM other)) AS only_left,
+  (SELECT count(*) FROM (SELECT request_id, name, raw_bytes, sha256 FROM other EXCEPT ALL SELECT request_id, name, raw_bytes, sha256 FROM hashed)) AS only_right""")
+def set02(spark, sf_dir):
+    return ops.manifests_equal(hashed_of(spark, sf_dir), other_of(spark, sf_dir))
+
+
+@query("str03_conflicting_offers", duck(OFFERS_SQL) + " SELECT request_id, name, count(*) AS offers, count(DISTINCT (raw_bytes, stage)) AS facts FROM offers GROUP BY ALL HAVING count(DISTINCT (raw_bytes, stage)) > 1")
+def str03(spark, sf_dir):
+    return ops.conflicting_offers(offers(spark, sf_dir))

@@ -22,8 +22,8 @@ def agg01(spark, sf_dir):
 
 #: Depth per interval: pixels are too many to list, so the sweep is over events here too.
 DEPTH_SQL = """
-ev AS (SELECT image_id, col, at, sum(d) AS d FROM (SELECT image_id, col, r0 AS at, 1 AS d FROM runs UNION ALL SELECT image_id, col, r1, -1 FROM runs) GROUP BY ALL HAVING sum(d) <> 0),
-sw AS (SELECT image_id, col, at AS r0, lead(at) OVER w AS r1, CAST(sum(d) OVER w AS BIGINT) AS depth FROM ev WINDOW w AS (PARTITION BY image_id, col ORDER BY at)),
+ev AS (SELECT image_id, col, pos, sum(d) AS d FROM (SELECT image_id, col, r0 AS pos, 1 AS d FROM runs UNION ALL SELECT image_id, col, r1, -1 FROM runs) GROUP BY ALL HAVING sum(d) <> 0),
+sw AS (SELECT image_id, col, pos AS r0, lead(pos) OVER w AS r1, CAST(sum(d) OVER w AS BIGINT) AS depth FROM ev WINDOW w AS (PARTITION BY image_id, col ORDER BY pos)),
 depths AS (SELECT image_id, col, r0, r1, depth FROM sw WHERE depth > 0)
 """
 
