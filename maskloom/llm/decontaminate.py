@@ -26,6 +26,9 @@ from .common import BROADCAST_ROWS, ascii_lower, sized_join, staged, text_or_emp
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
+#: The same words before A-Z are lowered.
+ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
 
 def lowered(name: str = "text") -> Column:
     """A-Z in lower case. Texts of ASCII alone take the fast built-in."""
@@ -37,6 +40,16 @@ def words(name: str = "text") -> Column:
     return F.regexp_extract_all(lowered(name), F.lit(WORD), F.lit(0))
 
 
+def n_words(name: str = "text") -> Column:
+    """Number of words; needs no lower case."""
+    return F.regexp_count(text_or_empty(name), F.lit(ANY_CASE)).cast("long")
+
+
+def folded(terms: Column) -> Column:
+    """Terms with all letters in lower case: equal terms stay equal, so candidates found by them miss nothing."""
+    return F.transform(terms, lambda t: F.lower(t))
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """doc_id, text and a key per document; equal keys of unequal documents would only add candidates."""
     return docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
@@ -50,8 +63,12 @@ def item_windows(items: DataFrame, window: int) -> DataFrame:
 
 
 def candidates(rows: DataFrame, items: DataFrame, window: int) -> DataFrame:
-    """Distinct (key, item_id, shift): document positions minus item positions at which the anchors of a window agree."""
-    tokens = rows.select("key", F.posexplode(words()).alias("pos", "term"))
+    """Distinct (key, item_id, shift): document positions minus item positions at which the anchors of a window agree.
+
+    Terms are compared in lower case of any alphabet here, which is quicker and only adds candidates.
+    """
+    items = items.withColumn("terms", folded(F.col("terms")))
+    tokens = rows.select("key", F.posexplode(F.regexp_extract_all(F.lower(text_or_empty()), F.lit(ANY_CASE), F.lit(0))).alias("pos", "term"))
     vocabulary = items.select(F.explode("terms").alias("term")).distinct()
     n_terms = vocabulary.count()
     counts = staged(sized_join(tokens.select("term"), vocabulary, ["term"], "inner", n_terms).groupBy("term").count(), "term-counts")
@@ -98,7 +115,7 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, slop:
     n_keys = keys.count()
     none = [F.array().cast("array<int>").alias("hits"), F.array().cast("array<bigint>").alias("items"), F.array().cast("array<bigint>").alias("near_items")]
     clean = sized_join(rows, keys, ["key"], "left_anti", n_keys)
-    clean = clean.select("doc_id", "key", F.regexp_count(lowered(), F.lit(WORD)).cast("long").alias("n_words"), *none)
+    clean = clean.select("doc_id", "key", n_words().alias("n_words"), *none)
 
     held = sized_join(rows, keys, ["key"], "left_semi", n_keys) if n_keys <= BROADCAST_ROWS else rows
     held = held.join(found.hint("shuffle_hash"), "key").withColumn("words", words())
