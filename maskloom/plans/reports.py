@@ -1 +1,178 @@
-"""To come."""
+"""Queries over frames, logs and final objects."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import masks, objects
+from ..operators import reports as ops
+from .base import query
+from .fixtures import BASE, F1_SQL, FRAMES_SQL, candidates, duck, frames, mask_runs, table
+from .masks import DEPTH_SQL, ORDERED_SQL, judged_of
+from .objects import OBJECTS, typed_of
+
+
+@query("src04_frame_ids", duck(FRAMES_SQL) + " SELECT stream_id, frame_idx, printf('stream%d-%07d', stream_id, frame_idx) AS frame_id FROM frames")
+def src04(spark, sf_dir):
+    return ops.frame_ids(frames(spark, sf_dir)).select("stream_id", F.col("frame_idx").cast("long").alias("frame_idx"), "frame_id")
+
+
+@query("snk05_sequence_names", duck(FRAMES_SQL) + """
+SELECT stream_id, CAST(frame_idx AS INT) AS frame_idx, printf('%07d.jpg', n) AS name, printf('stream-%04d', n) AS stream_name FROM (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY frame_idx) AS n FROM frames WHERE outcome <> 'timeout')""")
+def snk05(spark, sf_dir):
+    return ops.sequence_names(frames(spark, sf_dir), F.col("outcome") != "timeout").select("stream_id", "frame_idx", "name", "stream_name")
+
+
+@query("agg09_latency_summary", duck(FRAMES_SQL) + """,
+r AS (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY ms) AS k, count(*) OVER (PARTITION BY stream_id) AS n FROM frames)
+SELECT stream_id, arg_min(ms, frame_idx) AS first, min(ms) AS least, max(ms) AS greatest, max(ms) FILTER (k = n // 2 + 1) AS upper_median, round_even(median(ms), 6) AS median FROM r GROUP BY stream_id""")
+def agg09(spark, sf_dir):
+    return ops.latency_summary(frames(spark, sf_dir), "stream_id", ["frame_idx"], "ms").withColumn("median", F.bround("median", 6))
+
+
+@query("agg10_nearest_rank", duck(FRAMES_SQL) + """,
+r AS (SELECT stream_id, ms, row_number() OVER (PARTITION BY stream_id ORDER BY ms) AS k, count(*) OVER (PARTITION BY stream_id) AS n FROM frames)
+SELECT stream_id, ms AS value FROM r WHERE k = greatest(1, CAST(floor(n * 0.95e0 + 0.999999e0) AS INT))""")
+def agg10(spark, sf_dir):
+    return ops.nearest_rank(frames(spark, sf_dir), "stream_id", "ms")
+
+
+@query("agg11_outcome_counters", duck(FRAMES_SQL) + """
+SELECT stream_id, count(*) AS requests, count(*) FILTER (outcome = 'success') AS success, count(*) FILTER (outcome = 'service_busy') AS busy, count(*) FILTER (outcome = 'not_ready') AS not_ready, count(*) FILTER (outcome = 'timeout') AS timeout, count(*) FILTER (outcome = 'response_too_large') AS limit FROM frames GROUP BY stream_id""".replace("AS limit", 'AS "limit"'))
+def agg11(spark, sf_dir):
+    return ops.outcome_counters(frames(spark, sf_dir), ["stream_id"])
+
+
+@query("agg12_cumulative_histogram", duck(FRAMES_SQL) + """
+SELECT outcome, count(*) FILTER (ms <= 1) AS le_1, count(*) FILTER (ms <= 2.5e0) AS le_2_5, count(*) FILTER (ms <= 10) AS le_10, count(*) FILTER (ms <= 50) AS le_50, count(ms) AS le_inf, CAST(sum(CAST(ms AS DECIMAL(20, 4))) AS DOUBLE) AS total FROM frames GROUP BY outcome""")
+def agg12(spark, sf_dir):
+    return ops.cumulative_histogram(frames(spark, sf_dir), ["outcome"], "ms", [1, 2.5, 10, 50])
+
+
+@query("agg13_gauges", duck(FRAMES_SQL) + " SELECT stream_id, outcome, arg_max(ms, frame_idx) AS latest, max(ms) AS peak FROM frames GROUP BY ALL")
+def agg13(spark, sf_dir):
+    return ops.gauges(frames(spark, sf_dir), ["stream_id", "outcome"], ["frame_idx"], "ms")
+
+
+@query("agg14_repeatability", duck(FRAMES_SQL) + " SELECT stream_id, props, count(*) AS runs, count(DISTINCT outcome) AS signatures, count(DISTINCT outcome) = 1 AS repeatable FROM frames GROUP BY ALL")
+def agg14(spark, sf_dir):
+    return ops.repeatability(frames(spark, sf_dir), ["stream_id", "props"], ["outcome"])
+
+
+@query("win09_monotonic_growth", duck(FRAMES_SQL) + """,
+l AS (SELECT *, frame_idx * 10 + CASE WHEN stream_id % 3 = 0 THEN floor(ms) ELSE 0 END AS v FROM frames), b AS (SELECT *, lag(v) OVER (PARTITION BY stream_id ORDER BY frame_idx) AS p FROM l)
+SELECT stream_id, bool_and(coalesce(v >= p, true)) AS never_falls, arg_max(v, frame_idx) > arg_min(v, frame_idx) AS grows FROM b GROUP BY stream_id""")
+def win09(spark, sf_dir):
+    f = frames(spark, sf_dir).withColumn("v", F.col("frame_idx") * 10 + F.when(F.col("stream_id") % 3 == 0, F.floor("ms")).otherwise(0))
+    return ops.monotonic_growth(f, "stream_id", ["frame_idx"], "v")
+
+
+@query("agg19_frame_size_conflicts", duck(FRAMES_SQL) + " SELECT stream_id, count(DISTINCT 48 + CASE WHEN stream_id % 4 = 0 THEN event_id % 3 ELSE 0 END) AS sizes FROM frames GROUP BY stream_id HAVING sizes > 1")
+def agg19(spark, sf_dir):
+    f = frames(spark, sf_dir).withColumns({"img_w": 48 + F.when(F.col("stream_id") % 4 == 0, F.col("event_id") % 3).otherwise(0), "img_h": F.lit(32)})
+    return ops.frame_size_conflicts(f)
+
+
+_STATUS_SQL = """
+st AS (SELECT stream_id AS request_id, outcome AS stage, CASE WHEN min(ms) < 0.2e0 THEN 'skipped' ELSE 'executed' END AS status FROM frames GROUP BY ALL),
+ex AS (SELECT request_id, unnest(['timeout', 'service_busy', 'not_ready', 'response_too_large', 'success', 'final']) AS stage FROM (SELECT DISTINCT stream_id AS request_id FROM frames))
+"""
+
+
+@query("jon12_unexpected_status", duck(FRAMES_SQL, _STATUS_SQL) + """
+SELECT coalesce(st.request_id, ex.request_id) AS request_id, coalesce(st.stage, ex.stage) AS stage, status, CASE WHEN ex.stage IS NOT NULL THEN 'executed' END AS expected
+FROM st FULL JOIN ex ON st.request_id = ex.request_id AND st.stage = ex.stage WHERE status IS DISTINCT FROM CASE WHEN ex.stage IS NOT NULL THEN 'executed' END""")
+def jon12(spark, sf_dir):
+    f = frames(spark, sf_dir)
+    statuses = f.groupBy(F.col("stream_id").alias("request_id"), F.col("outcome").alias("stage")).agg(F.when(F.min("ms") < 0.2, "skipped").otherwise("executed").alias("status"))
+    stages = F.array(*[F.lit(s) for s in ("timeout", "service_busy", "not_ready", "response_too_large", "success", "final")])
+    expected = f.select(F.col("stream_id").alias("request_id")).distinct().select("request_id", F.explode(stages).alias("stage"), F.lit("executed").alias("status"))
+    return ops.unexpected_stage_status(statuses, expected)
+
+
+@query("agg18_accounting", duck(*BASE, ORDERED_SQL, DEPTH_SQL) + """,
+d AS (SELECT image_id, sum((r1 - r0) * depth) AS px FROM depths GROUP BY image_id), a AS (SELECT image_id, sum(area) AS area, count(*) AS n, count(reason) AS rej FROM judged JOIN (SELECT image_id, source_index, reason FROM reasoned) USING (image_id, source_index) GROUP BY image_id)
+SELECT unnest(['evaluated', 'pixels']) AS "check", (SELECT count(*) FROM a) AS checked, unnest([0, (SELECT count(*) FROM a LEFT JOIN d USING (image_id) WHERE area <> coalesce(px, 0))]) AS broken""")
+def agg18(spark, sf_dir):
+    judged = judged_of(spark, sf_dir)
+    diag = objects.filter_diagnostics(judged).join(judged.groupBy("image_id").agg(F.sum("area").alias("area")), "image_id")
+    deep = masks.depth_segments(mask_runs(candidates(spark, sf_dir))).groupBy("image_id").agg(F.sum((F.col("r1") - F.col("r0")) * F.col("depth")).alias("px"))
+    checks = diag.join(deep, "image_id", "left").na.fill(0, ["px"])
+    return ops.accounting_summary(checks, ["image_id"], {"evaluated": (F.col("evaluated"), F.col("retained") + F.col("rejected")), "pixels": (F.col("area"), F.col("px"))})
+
+
+@query("agg15_content_digest", duck(*OBJECTS) + """,
+l AS (SELECT image_id, concat_ws('|', CAST(instance_id AS VARCHAR), CAST(source_index AS VARCHAR), coalesce(label, ''), CAST(area AS VARCHAR)) AS line FROM typed)
+SELECT image_id, sha256(string_agg(line, chr(10) ORDER BY line)) AS digest FROM l GROUP BY image_id""")
+def agg15(spark, sf_dir):
+    return ops.content_digest(typed_of(spark, sf_dir), ["image_id"], ["instance_id", "source_index", "label", "area"])
+
+
+_RECORD_SQL = """
+rec AS (SELECT image_id, '[' || string_agg('{{"instance_id":' || instance_id || ',"source_index":' || source_index || ',"label":"' || label || '","class_id":' || class_id || ',"area":' || area || ',"x0":' || x0_incl || ',"y0":' || y0_incl || ',"x1":' || x1_incl || ',"y1":' || y1_incl || '}}', ',' ORDER BY instance_id) || ']' AS records,
+  count(*) AS n, string_agg(label, ',' ORDER BY instance_id) AS labels FROM typed GROUP BY image_id)
+"""
+
+
+def images_of(spark, sf_dir):
+    return candidates(spark, sf_dir).select("image_id").distinct()
+
+
+@query("snk01_records", duck(*OBJECTS, _RECORD_SQL) + " SELECT i.image_id, coalesce(records, '[]') AS records FROM (SELECT DISTINCT image_id FROM f1) i LEFT JOIN rec USING (image_id)")
+def snk01(spark, sf_dir):
+    return ops.records(typed_of(spark, sf_dir), images_of(spark, sf_dir))
+
+
+@query("snk07_documents_level0", duck(*OBJECTS, _RECORD_SQL) + " SELECT i.image_id, coalesce(n, 0) AS objects, coalesce(labels, '') AS labels FROM (SELECT DISTINCT image_id FROM f1) i LEFT JOIN rec USING (image_id)")
+def snk07_0(spark, sf_dir):
+    return ops.result_documents(typed_of(spark, sf_dir), images_of(spark, sf_dir), 0)
+
+
+@query("snk07_documents_level2", duck(*OBJECTS, _RECORD_SQL) + " SELECT i.image_id, coalesce(n, 0) AS objects, coalesce(labels, '') AS labels, coalesce(records, '[]') AS records FROM (SELECT DISTINCT image_id FROM f1) i LEFT JOIN rec USING (image_id)")
+def snk07_2(spark, sf_dir):
+    return ops.result_documents(typed_of(spark, sf_dir), images_of(spark, sf_dir), 2)
+
+
+@query("snk08_public_projection", duck(*OBJECTS) + " SELECT image_id, count(*) AS n_objects, coalesce(array_to_string((list(warning ORDER BY instance_id) FILTER (warning IS NOT NULL))[1:2], ';'), '') AS warnings FROM typed GROUP BY image_id")
+def snk08(spark, sf_dir):
+    return ops.public_projection(typed_of(spark, sf_dir), 2)
+
+
+@query("snk03_label_manifest", duck(*OBJECTS) + " SELECT class_id, label, count(*) AS objects, count(DISTINCT image_id) AS images FROM typed GROUP BY ALL")
+def snk03(spark, sf_dir):
+    return ops.label_manifest(typed_of(spark, sf_dir))
+
+
+@query("snk04_split", duck(F1_SQL) + " SELECT image_id, CASE WHEN (image_id * 7919 + 17) % 10000 < 8000 THEN 'train' ELSE 'val' END AS split FROM (SELECT DISTINCT image_id FROM f1)")
+def snk04(spark, sf_dir):
+    return ops.split_train_val(images_of(spark, sf_dir), 80, 17)
+
+
+@query("top03_stable_order", "SELECT page_id, url FROM pages")
+def top03(spark, sf_dir):
+    return ops.stable_order(table(spark, sf_dir, "pages").select("page_id", "url"), ["url", "page_id"])
+
+
+@query("top04_shuffled", "SELECT o_orderkey, md5(o_orderkey || '/7') AS shuffle_key FROM orders")
+def top04(spark, sf_dir):
+    return ops.shuffled(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", 7)
+
+
+@query("set01_findings_diff", """
+WITH c AS (SELECT DISTINCT user_id, event_type, md5(props) AS hash FROM events WHERE value < 20), b AS (SELECT DISTINCT user_id, event_type, md5(props) AS hash FROM events WHERE value > 5)
+SELECT *, 'added' AS change, true AS fails FROM (SELECT * FROM c EXCEPT SELECT * FROM b) UNION ALL SELECT *, 'removed', false FROM (SELECT * FROM b EXCEPT SELECT * FROM c)""")
+def set01(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("hash", F.md5("props"))
+    pick = lambda p: e.filter(p).select("user_id", "event_type", "hash").distinct()
+    return ops.findings_diff(pick("value < 20"), pick("value > 5"), strict=False)
+
+
+@query("flt05_feasible_views", duck(*BASE) + """,
+v AS (SELECT meas.*, img_w, img_h, greatest(x0_incl - 2, 0) AS sx0, greatest(y0_incl - 2, 0) AS sy0, least(x1_incl + 3, img_w) AS sx1, least(y1_incl + 3, img_h) AS sy1 FROM meas JOIN f1 USING (image_id, source_index))
+SELECT image_id, source_index, sx1 - sx0 <= 20 AND sy1 - sy0 <= 18 AS feasible FROM v""")
+def flt05(spark, sf_dir):
+    """Whether a mask with two pixels round it fits a view of 20 by 18."""
+    cand = candidates(spark, sf_dir)
+    m = cand.join(masks.measure_masks(mask_runs(cand)), ["image_id", "source_index"])
+    crop = objects.clip_crop_boxes(m, 0.0, 2, 2)
+    return crop.select("image_id", "source_index", ((F.col("cx1") - F.col("cx0") <= 20) & (F.col("cy1") - F.col("cy0") <= 18)).alias("feasible"))

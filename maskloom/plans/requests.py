@@ -1 +1,219 @@
-"""To come."""
+"""Queries over run requests and texts."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import text as fn
+from ..operators import settings as ops
+from .base import query
+from .fixtures import REQUESTS_SQL, duck, requests, table
+
+RESOLVED_SQL = """
+eff AS (SELECT request_id, CAST(coalesce(points_per_side, CASE profile WHEN 'fast' THEN 8 WHEN 'balanced' THEN 16 WHEN 'quality' THEN 32 END, 8) AS INT) AS points_per_side,
+  CAST(coalesce(crop_n_layers, CASE profile WHEN 'fast' THEN 0 WHEN 'balanced' THEN 0 WHEN 'quality' THEN 1 END, 0) AS INT) AS crop_n_layers,
+  CAST(coalesce(crop_n_points_downscale_factor, CASE profile WHEN 'quality' THEN 2 END, 1) AS INT) AS crop_n_points_downscale_factor,
+  CAST(coalesce(CAST(multimask_output AS INT), CASE profile WHEN 'quality' THEN 1 END, 1) AS INT) AS multimask_output FROM requests)
+"""
+
+
+def _work_sql(source: str, out: str) -> str:
+    return f"""
+{out}_e AS (SELECT *, CAST(list_sum(list_transform(range(0, crop_n_layers + 1), lambda l: CAST(pow(4, l) * pow(floor(points_per_side / pow(crop_n_points_downscale_factor, l)), 2) AS BIGINT))) AS BIGINT) AS prompts,
+  floor(points_per_side / pow(crop_n_points_downscale_factor, crop_n_layers)) >= 1 AS deepest_ok FROM {source}),
+{out} AS (SELECT *, prompts * CASE WHEN multimask_output = 1 THEN 3 ELSE 1 END AS predictions FROM {out}_e),
+{out}_a AS (SELECT *, CASE WHEN NOT deepest_ok THEN 'no_points_left' WHEN points_per_side > 64 THEN 'points_per_side' WHEN crop_n_layers > 2 THEN 'crop_n_layers' WHEN prompts > 8192 THEN 'prompts' WHEN predictions > 24576 THEN 'predictions' END AS reason,
+  array_to_string(list_filter([CASE WHEN prompts * 100 >= 8192 * 80 AND prompts <= 8192 THEN 'prompts' END, CASE WHEN predictions * 100 >= 24576 * 80 AND predictions <= 24576 THEN 'predictions' END], lambda x: x IS NOT NULL), ',') AS warnings FROM {out})
+"""
+
+
+@query("prj04_resolved_settings", duck(REQUESTS_SQL, RESOLVED_SQL) + """
+SELECT request_id, unnest(['points_per_side', 'crop_n_layers', 'crop_n_points_downscale_factor', 'multimask_output']) AS field, unnest([e.points_per_side, e.crop_n_layers, e.crop_n_points_downscale_factor, e.multimask_output]) AS value,
+  unnest([CASE WHEN r.points_per_side IS NOT NULL THEN 'explicit' WHEN profile IS NOT NULL THEN 'profile' ELSE 'default' END, CASE WHEN r.crop_n_layers IS NOT NULL THEN 'explicit' WHEN profile IS NOT NULL THEN 'profile' ELSE 'default' END,
+    CASE WHEN r.crop_n_points_downscale_factor IS NOT NULL THEN 'explicit' WHEN profile = 'quality' THEN 'profile' ELSE 'default' END, CASE WHEN r.multimask_output IS NOT NULL THEN 'explicit' WHEN profile = 'quality' THEN 'profile' ELSE 'default' END]) AS source
+FROM eff e JOIN requests r USING (request_id)""")
+def prj04(spark, sf_dir):
+    return ops.resolve_settings(requests(spark, sf_dir))
+
+
+def work_of(spark, sf_dir):
+    return ops.estimate_work(ops.effective(requests(spark, sf_dir)))
+
+
+@query("prj05_estimated_work", duck(REQUESTS_SQL, RESOLVED_SQL, _work_sql("eff", "w")) + " SELECT request_id, prompts, predictions, deepest_ok FROM w")
+def prj05(spark, sf_dir):
+    return work_of(spark, sf_dir).select("request_id", "prompts", "predictions", "deepest_ok")
+
+
+@query("prj06_admitted_work", duck(REQUESTS_SQL, RESOLVED_SQL, _work_sql("eff", "w")) + " SELECT request_id, reason, warnings FROM w_a")
+def prj06(spark, sf_dir):
+    return ops.admit_work(work_of(spark, sf_dir)).select("request_id", "reason", "warnings")
+
+
+@query("prj07_alternatives", duck(REQUESTS_SQL, RESOLVED_SQL) + """,
+alt AS (SELECT request_id, 0 AS pos, 8 AS points_per_side, 0 AS crop_n_layers, 1 AS crop_n_points_downscale_factor, multimask_output FROM eff
+  UNION ALL SELECT request_id, 1, least(points_per_side, 64), least(crop_n_layers, 2), crop_n_points_downscale_factor, 0 FROM eff UNION ALL SELECT request_id, 2, 1, 0, 1, 0 FROM eff),""" + _work_sql("alt", "w") + """,
+d AS (SELECT * FROM w_a WHERE reason IS NULL QUALIFY row_number() OVER (PARTITION BY request_id, points_per_side, crop_n_layers, crop_n_points_downscale_factor, multimask_output ORDER BY pos) = 1)
+SELECT request_id, CAST(row_number() OVER (PARTITION BY request_id ORDER BY pos) AS INT) AS place, points_per_side, crop_n_layers, crop_n_points_downscale_factor, multimask_output, prompts, predictions FROM d""")
+def prj07(spark, sf_dir):
+    return ops.admissible_alternatives(work_of(spark, sf_dir))
+
+
+@query("flt08_range_violations", duck(REQUESTS_SQL) + """,
+v AS (SELECT request_id, 0 AS o, 'points_per_side' AS field, points_per_side AS value, 4 AS low, 70 AS high FROM requests UNION ALL SELECT request_id, 1, 'crop_n_layers', crop_n_layers, 0, 2 FROM requests)
+SELECT request_id, field, value, low, high FROM v WHERE value < low OR value > high QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY o) = 1""")
+def flt08(spark, sf_dir):
+    return ops.range_violations(requests(spark, sf_dir), {"points_per_side": (4, 70), "crop_n_layers": (0, 2)})
+
+
+_KEYS = "'alpha', 'images', 'video', 'mask_generator', 'palette', 'visualization'"
+_SETTINGS_SQL = f"sets AS (SELECT p_partkey AS request_id, list_filter([{_KEYS}], lambda x, i: (p_partkey // i) % 2 = 0) AS keys FROM {{part}})"
+
+
+def settings_of(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    names = F.expr(f"filter(array({_KEYS}), (x, i) -> (p_partkey div (i + 1)) % 2 = 0)")
+    return p.select(F.col("p_partkey").alias("request_id"), F.map_from_arrays(names, F.transform(names, lambda x: F.length(x).cast("double"))).alias("settings"))
+
+
+@query("prj08_key_classes", duck(_SETTINGS_SQL) + """
+SELECT request_id, array_to_string(list_sort(list_filter(keys, lambda x: x IN ('alpha', 'mask_generator', 'visualization'))), ',') AS algorithm, array_to_string(list_sort(list_filter(keys, lambda x: x IN ('images', 'video'))), ',') AS batch_only,
+  array_to_string(list_filter(keys, lambda x: x = 'palette'), ',') AS unrecognized FROM sets""")
+def prj08(spark, sf_dir):
+    return ops.classify_keys(settings_of(spark, sf_dir))
+
+
+@query("set03_unknown_keys", duck(_SETTINGS_SQL) + " SELECT request_id, array_to_string(list_sort(list_filter(keys, lambda x: x NOT IN ('alpha', 'images', 'video'))), ',') AS unknown FROM sets")
+def set03(spark, sf_dir):
+    return ops.unknown_keys(settings_of(spark, sf_dir), ("alpha", "images", "video")).withColumn("unknown", F.array_join("unknown", ","))
+
+
+_RULES_SQL = """
+tg AS (SELECT DISTINCT l_orderkey AS request_id, 'c' || CAST(l_partkey % 5 AS VARCHAR(8)) AS name FROM {lineitem}),
+rl AS (SELECT DISTINCT l_orderkey AS request_id, 'c' || CAST(l_suppkey % 5 AS VARCHAR(8)) AS name FROM {lineitem})
+"""
+
+
+def _names(spark, sf_dir, col):
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("request_id"), F.concat(F.lit("c"), (F.col(col) % 5).cast("string")).alias("name")).distinct()
+
+
+@query("jon08_missing_and_orphan_rules", duck(_RULES_SQL) + " SELECT request_id, name, 'missing_rule' AS problem FROM (SELECT * FROM tg EXCEPT SELECT * FROM rl) UNION ALL SELECT request_id, name, 'orphan_rule' FROM (SELECT * FROM rl EXCEPT SELECT * FROM tg)")
+def jon08(spark, sf_dir):
+    return ops.missing_and_orphan_rules(_names(spark, sf_dir, "l_partkey"), _names(spark, sf_dir, "l_suppkey"))
+
+
+@query("set04_label_conflicts", duck(_RULES_SQL) + " SELECT * FROM tg INTERSECT SELECT * FROM rl")
+def set04(spark, sf_dir):
+    return ops.label_conflicts(_names(spark, sf_dir, "l_partkey"), _names(spark, sf_dir, "l_suppkey"))
+
+
+@query("prj09_label_lists", "SELECT page_id, array_to_string(list_filter(list_transform(string_split(url, ','), lambda x: trim(x)), lambda x: x <> ''), '|') AS labels FROM (SELECT page_id, replace(url, '/', ' , ') AS url FROM pages)")
+def prj09(spark, sf_dir):
+    p = table(spark, sf_dir, "pages").select("page_id", F.replace("url", F.lit("/"), F.lit(" , ")).alias("url"))
+    return p.select("page_id", F.array_join(fn.normalize_label_list("url"), "|").alias("labels"))
+
+
+@query("scl12_split_prompts", "SELECT conv_id, turn, array_to_string(list_filter(list_transform(string_split(replace(text, chr(10), ','), ','), lambda x: trim(x)), lambda x: x <> ''), '|') AS prompts FROM conversations")
+def scl12(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(fn.split_prompts("text"), "|").alias("prompts"))
+
+
+@query("scl05_safe_labels", r"""
+WITH a AS (SELECT page_id, regexp_replace(left(url, 1024), '[\x00-\x1F\x7F/\\]', '_', 'g') AS t FROM pages),
+b AS (SELECT page_id, left(regexp_replace(regexp_replace(trim(regexp_replace(t, ' +', ' ', 'g')), '[^A-Za-z0-9._-]', '_', 'g'), '_+', '_', 'g'), 48) AS t FROM a)
+SELECT page_id, CASE WHEN t = '' THEN 'unknown' ELSE t END AS label FROM b""")
+def scl05(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", fn.sanitize_label("url").alias("label"))
+
+
+@query("scl06_bounded_warnings", r"SELECT doc_id, left(regexp_replace(text, '[\x00-\x1F\x7F]', ' ', 'g'), 256) AS warning FROM documents")
+def scl06(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", fn.bound_warning("text").alias("warning"))
+
+
+@query("scl07_text_hazards", r"""
+SELECT page_id, CASE WHEN regexp_matches(t, '[\x00-\x1F\x7F]') THEN 'control_character' WHEN contains(t, '://') THEN 'url' WHEN contains(t, '/') THEN 'slash' WHEN contains(t, chr(92)) THEN 'backslash' WHEN starts_with(t, '~') THEN 'home' WHEN regexp_matches(t, '^[A-Za-z]:') THEN 'drive' END AS hazard
+FROM (SELECT page_id, CASE page_id % 4 WHEN 0 THEN url WHEN 1 THEN replace(url, '://', ':') WHEN 2 THEN replace(replace(url, '://', ':'), '/', '~') ELSE html END AS t FROM pages)""")
+def scl07(spark, sf_dir):
+    k = F.col("page_id") % 4
+    short = F.replace("url", F.lit("://"), F.lit(":"))
+    t = F.when(k == 0, F.col("url")).when(k == 1, short).when(k == 2, F.replace(short, F.lit("/"), F.lit("~"))).otherwise(F.col("html"))
+    return table(spark, sf_dir, "pages").withColumn("t", t).select("page_id", fn.text_hazards("t").alias("hazard"))
+
+
+@query("scl08_forbidden_keys", r"""
+SELECT event_id, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(lower(j), '"([^"\\]+)"\s*:', 1), lambda x: x IN ('k', 'device')))), ',') AS found
+FROM (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '{"Device": {"x": ' || props || '}}' ELSE replace(props, 'k', 'm') END AS j FROM events)""")
+def scl08(spark, sf_dir):
+    j = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('{"Device": {"x": '), "props", F.lit("}}"))).otherwise(F.replace("props", F.lit("k"), F.lit("m")))
+    return table(spark, sf_dir, "events").withColumn("j", j).select("event_id", F.array_join(fn.forbidden_keys("j", ["K", "device"]), ",").alias("found"))
+
+
+@query("scl17_metric_lines", """
+SELECT event_id, 'requests_total' AS name, 'outcome="' || event_type || '"' AS labels, value FROM events WHERE event_id % 5 <> 0 AND event_id % 7 <> 0""")
+def scl17(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    good = F.concat(F.lit('requests_total{outcome="'), "event_type", F.lit('"} '), F.col("value").cast("string"))
+    line = F.when(F.col("event_id") % 5 == 0, F.concat(F.lit("# "), good)).when(F.col("event_id") % 7 == 0, F.lit("requests_total{")).otherwise(good)
+    return fn.parse_metric_lines(e.select("event_id", line.alias("line")))
+
+
+_VIDEO_SQL = """
+vid AS (SELECT o_orderkey AS stream_id, CASE o_orderkey % 5 WHEN 0 THEN '0/0' WHEN 1 THEN 'N/A' WHEN 2 THEN '30000/1001' WHEN 3 THEN CAST(o_custkey % 60 AS VARCHAR(9)) || '/1' ELSE '24' END AS avg_frame_rate,
+  CASE o_orderkey % 3 WHEN 0 THEN '25/0' WHEN 1 THEN '50/2' END AS r_frame_rate, CASE WHEN o_orderkey % 4 = 0 THEN 'N/A' ELSE CAST(o_custkey AS VARCHAR(9)) END AS nb_frames, CASE WHEN o_orderkey % 7 = 0 THEN '0' ELSE CAST(o_custkey % 90 + 1 AS VARCHAR(9)) END AS duration FROM {orders})
+"""
+
+
+@query("src05_video_meta", duck(_VIDEO_SQL) + """,
+r AS (SELECT *, CASE WHEN contains(avg_frame_rate, '/') THEN CASE WHEN TRY_CAST(string_split(avg_frame_rate, '/')[2] AS DOUBLE) <> 0 THEN TRY_CAST(string_split(avg_frame_rate, '/')[1] AS DOUBLE) / TRY_CAST(string_split(avg_frame_rate, '/')[2] AS DOUBLE) END ELSE TRY_CAST(avg_frame_rate AS DOUBLE) END AS a,
+  CASE WHEN contains(r_frame_rate, '/') THEN CASE WHEN TRY_CAST(string_split(r_frame_rate, '/')[2] AS DOUBLE) <> 0 THEN TRY_CAST(string_split(r_frame_rate, '/')[1] AS DOUBLE) / TRY_CAST(string_split(r_frame_rate, '/')[2] AS DOUBLE) END END AS b, CASE WHEN regexp_full_match(nb_frames, '[0-9]+') THEN CAST(nb_frames AS BIGINT) END AS frames FROM vid)
+SELECT stream_id, coalesce(CASE WHEN a > 0 THEN a END, CASE WHEN b > 0 THEN b END, CASE WHEN CAST(duration AS DOUBLE) > 0 AND frames > 0 THEN frames / CAST(duration AS DOUBLE) END, 25.0e0) AS fps, frames FROM r""")
+def src05(spark, sf_dir):
+    v = spark.sql("WITH " + _VIDEO_SQL + " SELECT * FROM vid", orders=table(spark, sf_dir, "orders"))
+    return fn.normalize_video_meta(v).select("stream_id", "fps", "frames")
+
+
+@query("jon09_missing_links", r"""
+WITH l AS (SELECT page_id, regexp_replace(unnest(regexp_extract_all(html, '(?:href|src)="([^"]*)"', 1)), '[?#].*$', '') AS target FROM pages),
+k AS (SELECT DISTINCT '/' || string_split(regexp_replace(url, '[?#].*$', ''), '/')[-1] AS target FROM pages)
+SELECT page_id, target, count(*) AS n FROM l WHERE target <> '' AND NOT regexp_matches(target, '^(?:[A-Za-z][A-Za-z0-9+.-]*:|//|#|data:)') AND target NOT IN (SELECT target FROM k) GROUP BY ALL""")
+def jon09(spark, sf_dir):
+    p = table(spark, sf_dir, "pages")
+    known = p.select(F.concat(F.lit("/"), F.element_at(F.split(F.regexp_replace("url", r"[?#].*$", ""), "/"), -1)).alias("target"))
+    return fn.missing_links(p.select("page_id", F.regexp_replace("html", r"\]\(", "] (").alias("html")), known, "page_id", "html")
+
+
+@query("agg21_document_checks", r"""
+SELECT page_id, CAST(len(regexp_extract_all(html, '<h1>')) AS INT) AS headings, array_to_string(list_filter([CASE WHEN contains(html, '<script') THEN 'script' END, CASE WHEN contains(html, 'example.org') THEN 'host' END], lambda x: x IS NOT NULL), ',') AS found FROM pages""")
+def agg21(spark, sf_dir):
+    return fn.document_checks(table(spark, sf_dir, "pages"), "page_id", "html", "<h1>", {"script": "<script", "host": r"example\.org"})
+
+
+_PROMPT_ROWS_SQL = """
+pr AS (SELECT conv_id AS request_id, CASE role WHEN 'user' THEN 0 ELSE 1 END AS class_order, text AS prompt, turn FROM conversations),
+pn AS (SELECT request_id, class_order, CAST(row_number() OVER (PARTITION BY request_id, class_order ORDER BY turn, prompt) - 1 AS INT) AS prompt_index, trim(left(prompt, CASE WHEN request_id % 3 = 0 THEN 3 ELSE 700 END)) AS prompt FROM pr)
+"""
+
+
+def prompt_rows(spark, sf_dir):
+    from pyspark.sql import Window
+
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("request_id"), F.when(F.col("role") == "user", 0).otherwise(1).alias("class_order"), F.col("text").alias("prompt"), "turn")
+    n = F.row_number().over(Window.partitionBy("request_id", "class_order").orderBy("turn", "prompt")) - 1
+    return c.withColumn("prompt_index", n).withColumn("prompt", F.trim(F.when(F.col("request_id") % 3 == 0, F.substring("prompt", 1, 3)).otherwise(F.substring("prompt", 1, 700))))
+
+
+@query("win13_duplicate_prompts", "WITH " + _PROMPT_ROWS_SQL + ", f AS (SELECT *, min(prompt_index) OVER (PARTITION BY request_id, class_order, prompt) AS first_index FROM pn) SELECT request_id, class_order, prompt_index, first_index FROM f WHERE first_index < prompt_index")
+def win13(spark, sf_dir):
+    return fn.duplicate_prompts(prompt_rows(spark, sf_dir)).select("request_id", "class_order", "prompt_index", "first_index")
+
+
+@query("agg20_prompt_violations", "WITH " + _PROMPT_ROWS_SQL + """,
+f AS (SELECT *, min(prompt_index) OVER (PARTITION BY request_id, class_order, prompt) AS first_index, count(*) OVER (PARTITION BY request_id, class_order) AS n_class, count(*) OVER (PARTITION BY request_id) AS n FROM pn),
+v AS (SELECT request_id, class_order, CASE WHEN n_class > 5 THEN 'too_many_prompts' WHEN prompt = '' THEN 'empty_prompt' WHEN length(prompt) > 300 THEN 'prompt_too_long' WHEN first_index < prompt_index THEN 'duplicate_prompt' WHEN n > 8 THEN 'too_many_total' END AS violation,
+  CASE WHEN n_class > 5 THEN 0 ELSE prompt_index + 1 END AS b FROM f)
+SELECT request_id, violation, CAST(CASE WHEN violation = 'too_many_total' THEN 0 ELSE class_order END AS INT) AS class_order FROM v WHERE violation IS NOT NULL
+QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY violation = 'too_many_total', class_order, b) = 1""")
+def agg20(spark, sf_dir):
+    return fn.prompt_violations(prompt_rows(spark, sf_dir), 32, 5, 8, 300)
