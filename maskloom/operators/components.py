@@ -2,41 +2,95 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import staged
-from .masks import MASK
+from .masks import MASK, measure_masks, merge_runs
 
 
-def run_edges(runs: DataFrame) -> DataFrame:
-    """Pairs of runs that touch, corners included. A node is col * 2**20 + r0; keys stay the mask's."""
-    node = F.col("col").cast("long") * (1 << 20) + F.col("r0")
-    a = runs.select(*MASK, node.alias("u"), (F.col("col") + 1).alias("next"), F.col("r0").alias("a0"), F.col("r1").alias("a1"))
-    b = runs.select(*MASK, node.alias("v"), F.col("col").alias("next"), F.col("r0").alias("b0"), F.col("r1").alias("b1"))
-    return a.join(b, [*MASK, "next"]).filter("b0 <= a1 AND a0 <= b1").select(*MASK, "u", "v")
+#: Rows and columns may be negative by a little, in padded boxes; a node's number stays positive.
+SHIFT, PAD = 1 << 20, 4
 
 
-def mask_components(runs: DataFrame, most_rounds: int = 40) -> DataFrame:
+def node_of() -> Column:
+    return (F.col("col").cast("long") + PAD) * SHIFT + F.col("r0") + PAD
+
+
+def run_edges(runs: DataFrame, keys: list[str], corners: bool) -> DataFrame:
+    """Pairs of runs in neighbouring columns that touch, by corners too or by sides only."""
+    node = node_of()
+    a = runs.select(*keys, node.alias("u"), (F.col("col") + 1).alias("next"), F.col("r0").alias("a0"), F.col("r1").alias("a1"))
+    b = runs.select(*keys, node.alias("v"), F.col("col").alias("next"), F.col("r0").alias("b0"), F.col("r1").alias("b1"))
+    return a.join(b, [*keys, "next"]).filter("b0 <= a1 AND a0 <= b1" if corners else "b0 < a1 AND a0 < b1").select(*keys, "u", "v")
+
+
+def mask_components(runs: DataFrame, keys: list[str] = MASK, corners: bool = True, most_rounds: int = 40) -> DataFrame:
     """Each run with its component, named by its least node.
 
     Alternating steps link larger neighbours to the least node of a neighbourhood; rounds grow with the
     logarithm of a mask's width. Every round is written to the shared folder.
     """
-    edges = staged(run_edges(runs).select(*MASK, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "run-edges")
+    edges = staged(run_edges(runs, keys, corners).select(*keys, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "run-edges")
     for _ in range(most_rounds):
-        inner = edges.select(*MASK, F.col("v").alias("u")).distinct()
-        if edges.join(inner, [*MASK, "u"], "left_semi").isEmpty() and edges.groupBy(*MASK, "u").count().filter("count > 1").isEmpty():
+        inner = edges.select(*keys, F.col("v").alias("u")).distinct()
+        if edges.join(inner, [*keys, "u"], "left_semi").isEmpty() and edges.groupBy(*keys, "u").count().filter("count > 1").isEmpty():
             break
-        both = edges.unionByName(edges.select(*MASK, F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy(*MASK, "u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.filter("v > u").join(least, [*MASK, "u"]).select(*MASK, F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        down = large.select(*MASK, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v")
-        low = down.groupBy(*MASK, "u").agg(F.min("v").alias("m"))
-        moved = down.join(low, [*MASK, "u"]).select(*MASK, F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-        edges = staged(moved.unionByName(low.select(*MASK, "u", F.col("m").alias("v"))).distinct(), "run-edges")
+        both = edges.unionByName(edges.select(*keys, F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy(*keys, "u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+        large = both.filter("v > u").join(least, [*keys, "u"]).select(*keys, F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        down = large.select(*keys, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v")
+        low = down.groupBy(*keys, "u").agg(F.min("v").alias("m"))
+        moved = down.join(low, [*keys, "u"]).select(*keys, F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+        edges = staged(moved.unionByName(low.select(*keys, "u", F.col("m").alias("v"))).distinct(), "run-edges")
     else:
         raise RuntimeError(f"no components after {most_rounds} rounds")
-    node = F.col("col").cast("long") * (1 << 20) + F.col("r0")
-    named = runs.withColumn("u", node).join(edges, [*MASK, "u"], "left")
-    return named.select(*MASK, "col", "r0", "r1", F.coalesce("v", "u").alias("component"))
+    named = runs.withColumn("u", node_of()).join(edges, [*keys, "u"], "left")
+    return named.select(*keys, "col", "r0", "r1", F.coalesce("v", "u").alias("component"))
+
+
+def external_boundary(parts: DataFrame) -> DataFrame:
+    """Runs of each component's pixels that are 8-adjacent to background which reaches the border of its padded box by sides.
+
+    parts: the mask keys, component, col, r0, r1 (what mask_components returns).
+    """
+    keys = [*MASK, "component"]
+    box = parts.groupBy(*keys).agg(F.min("col").alias("c0"), F.max("col").alias("c1"), F.min("r0").alias("b0"), F.max("r1").alias("b1"))
+    columns = box.select(*keys, F.explode(F.sequence(F.col("c0") - 1, F.col("c1") + 1)).alias("col"), (F.col("b0") - 1).alias("lo"), (F.col("b1") + 1).alias("hi"))
+    # Background of a column: the gaps between its runs, from one above to one below the box.
+    ends = parts.groupBy(*keys, "col").agg(F.array_sort(F.collect_list(F.struct("r0", "r1"))).alias("runs"))
+    held = columns.join(ends, [*keys, "col"], "left").withColumn("runs", F.coalesce("runs", F.array().cast("array<struct<r0:int,r1:int>>")))
+    starts = F.concat(F.array("lo"), F.transform("runs", lambda x: x["r1"]))
+    stops = F.concat(F.transform("runs", lambda x: x["r0"]), F.array("hi"))
+    gaps = held.select(*keys, "col", F.inline(F.filter(F.zip_with(starts, stops, lambda a, b: F.struct(a.alias("r0"), b.alias("r1"))), lambda g: g["r0"] < g["r1"])))
+    named = mask_components(staged(gaps, "background").withColumnRenamed("component", "part"), [*MASK, "part"], corners=False).withColumnRenamed("component", "region")
+    # The padded ring is one region, and its first column begins with the least node of the box.
+    outside = named.groupBy(*MASK, "part").agg(F.min("region").alias("region"))
+    outer = named.join(outside, [*MASK, "part", "region"]).select(*MASK, F.col("part").alias("component"), F.explode(F.array(F.col("col") - 1, F.col("col"), F.col("col") + 1)).alias("col"), (F.col("r0") - 1).alias("o0"), (F.col("r1") + 1).alias("o1"))
+    touching = outer.join(parts, [*keys, "col"]).filter("o0 < r1 AND r0 < o1")
+    return merge_runs(touching.select(*keys, "col", F.greatest("r0", "o0").alias("r0"), F.least("r1", "o1").alias("r1")), keys)
+
+
+def chord_stats(boundary: DataFrame, runs: DataFrame, fraction: float = 0.2, low: int = 1, high: int = 16) -> DataFrame:
+    """Least, greatest and mean distance of each mask, over its distinct boundary pixels.
+
+    From a boundary pixel a ray goes through the centroid to the edge of the mask's box (if the centroid is
+    the pixel, nowhere). The mask's pixels on its raster line, times fraction, rounded up and clamped, are the distance.
+    """
+    m = measure_masks(runs)
+    p = boundary.select(*MASK, F.col("col").alias("px"), F.explode(F.sequence(F.col("r0"), F.col("r1") - 1)).alias("py")).distinct().join(m, MASK)
+    vx, vy = F.col("centroid_col") - F.col("px"), F.col("centroid_row") - F.col("py")
+    reach = lambda v, at, lo, hi: F.when(v > 0, (F.col(hi) - F.col(at)) / v).when(v < 0, (F.col(lo) - F.col(at)) / v)
+    far = F.array_min(F.filter(F.array(reach(vx, "px", "x0_incl", "x1_incl"), reach(vy, "py", "y0_incl", "y1_incl")), lambda t: t >= 1.0))
+    t = F.coalesce(far, F.lit(1.0))
+    end = lambda at, v, lo, hi: F.floor(F.least(F.greatest(F.col(at) + t * v, F.col(lo).cast("double")), F.col(hi).cast("double")) + 0.5).cast("int")
+    still = (vx == 0) & (vy == 0)
+    p = p.withColumns({"ex": F.when(still, F.col("px")).otherwise(end("px", vx, "x0_incl", "x1_incl")), "ey": F.when(still, F.col("py")).otherwise(end("py", vy, "y0_incl", "y1_incl"))})
+    p = p.select(*MASK, "px", "py", (F.col("ex") - F.col("px")).alias("dx"), (F.col("ey") - F.col("py")).alias("dy")).withColumn("n", F.greatest(F.abs("dx"), F.abs("dy")))
+    line = p.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n"))))
+    step = lambda d: F.signum(d).cast("int") * F.expr(f"(2 * abs({d}) * k + greatest(n, 1)) div (2 * greatest(n, 1))").cast("int")
+    line = line.select(*MASK, "px", "py", (F.col("px") + step("dx")).alias("col"), (F.col("py") + step("dy")).alias("row"))
+    on = line.join(runs, [*MASK, "col"]).filter("row >= r0 AND row < r1")
+    per = on.groupBy(*MASK, "px", "py").agg(F.count(F.lit(1)).alias("pixels"))
+    per = per.withColumn("distance", F.least(F.greatest(F.ceil(F.col("pixels") * fraction).cast("int"), F.lit(low)), F.lit(high)))
+    return per.groupBy(*MASK).agg(F.count(F.lit(1)).alias("rays"), F.min("distance").alias("least"), F.max("distance").alias("greatest"), (F.sum("distance").cast("double") / F.count(F.lit(1))).alias("mean"))

@@ -1,4 +1,4 @@
-"""Streaming queries, driven over all files that are there; their results equal the batch forms."""
+"""Streaming and iterative queries. Streams are driven over all files that are there; their results equal the batch forms."""
 
 from __future__ import annotations
 
@@ -50,3 +50,20 @@ def str03(spark, sf_dir):
 def geo07(spark, sf_dir):
     c = components.mask_components(staged(mask_runs(candidates(spark, sf_dir)), "runs"))
     return c.groupBy("image_id", "source_index").agg(F.countDistinct("component").alias("components"))
+
+
+@query("geo08_boundary_pixels", duck(F1_SQL, RUNS_SQL) + """,
+p AS (SELECT DISTINCT image_id, source_index, x1 - x0 + 1 AS w, y0, y1, m, has_gap AND y1 - y0 >= 2 AS g FROM cols),
+h AS (SELECT image_id, source_index, w, unnest(CASE WHEN g THEN [m - y0, y1 - m] ELSE [y1 - y0 + 1] END) AS h FROM p)
+SELECT image_id, source_index, CAST(sum(CASE WHEN w <= 2 OR h <= 2 THEN w * h ELSE 2 * w + 2 * h - 4 END) AS BIGINT) AS boundary FROM h GROUP BY ALL""")
+def geo08(spark, sf_dir):
+    parts = staged(components.mask_components(staged(mask_runs(candidates(spark, sf_dir)), "runs")), "parts")
+    b = components.external_boundary(parts)
+    return b.groupBy("image_id", "source_index").agg(F.sum((F.col("r1") - F.col("r0")).cast("long")).alias("boundary"))
+
+
+@query("geo09_chord_stats")
+def geo09(spark, sf_dir):
+    runs = staged(mask_runs(candidates(spark, sf_dir)), "runs")
+    parts = staged(components.mask_components(runs), "parts")
+    return components.chord_stats(staged(components.external_boundary(parts), "boundary"), runs)

@@ -139,3 +139,51 @@ def test_reason_precedence(spark):
     df = spark.createDataFrame(rows, "image_id long, source_index int, img_w int, img_h int, area long, x0_incl int, y0_incl int, x1_incl int, y1_incl int")
     got = [r.reason for r in objects.filter_area_bbox(df, 100, 5, 5).orderBy("source_index").collect()]
     assert got == [None, "maxsize", "empty_mask", "max_w", "max_h", "max_w"]
+
+
+def outer_boundary(part, shape):
+    """Pixels of a part beside background that a flood from outside reaches."""
+    a = np.zeros((shape[0] + 2, shape[1] + 2), bool)
+    for y, x in part:
+        a[y + 1, x + 1] = True
+    out, todo = np.zeros_like(a), [(0, 0)]
+    while todo:
+        y, x = todo.pop()
+        if 0 <= y < a.shape[0] and 0 <= x < a.shape[1] and not a[y, x] and not out[y, x]:
+            out[y, x] = True
+            todo += [(y + 1, x), (y - 1, x), (y, x + 1), (y, x - 1)]
+    return {(y, x) for y, x in part if out[y : y + 3, x : x + 3].any()}
+
+
+def test_external_boundary_and_chords(runs, arrays):
+    import math
+
+    parts = {}
+    named = components.mask_components(runs).cache()
+    for r in named.collect():
+        parts.setdefault((r.image_id, r.source_index, r.component), set()).update((y, r.col) for y in range(r.r0, r.r1))
+    boundary = components.external_boundary(named).cache()
+    got = {}
+    for r in boundary.collect():
+        got.setdefault((r.image_id, r.source_index, r.component), set()).update((y, r.col) for y in range(r.r0, r.r1))
+    want = {k: outer_boundary(p, (H, W)) for k, p in parts.items()}
+    assert got == want
+    stats = {(r.image_id, r.source_index): r for r in components.chord_stats(boundary, runs).collect()}
+    for k, a in arrays.items():
+        ys, xs = np.nonzero(a)
+        if not len(ys):
+            continue
+        cy, cx, x0, x1, y0, y1 = ys.sum() / len(ys), xs.sum() / len(xs), xs.min(), xs.max(), ys.min(), ys.max()
+        found = []
+        for py, px in set().union(*(w for q, w in want.items() if q[:2] == k)):
+            vx, vy = cx - px, cy - py
+            reach = [((hi if v > 0 else lo) - at) / v for v, at, lo, hi in ((vx, px, x0, x1), (vy, py, y0, y1)) if v]
+            t = min([r for r in reach if r >= 1], default=1.0)
+            ex, ey = (math.floor(min(max(at + t * v, lo), hi) + 0.5) for v, at, lo, hi in ((vx, px, x0, x1), (vy, py, y0, y1)))
+            dx, dy = (ex - px, ey - py) if vx or vy else (0, 0)
+            n = max(abs(dx), abs(dy))
+            mark = lambda d, j: int(np.sign(d)) * ((2 * abs(d) * j + max(n, 1)) // (2 * max(n, 1)))  # noqa: B023, E731
+            hits = sum(a[py + mark(dy, j), px + mark(dx, j)] for j in range(n + 1))
+            found.append(min(max(math.ceil(hits * 0.2), 1), 16))
+        r = stats[k]
+        assert (r.rays, r.least, r.greatest) == (len(found), min(found), max(found)) and r.mean == pytest.approx(sum(found) / len(found))
