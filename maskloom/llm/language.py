@@ -33,6 +33,9 @@ PAD = "\n" * ORDER
 
 SLOTS_BITS = 21
 
+#: Slices of a language in which its sample is sought first.
+SLICES = 64
+
 
 def held_out() -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 3 == 1
@@ -64,8 +67,12 @@ def _count(batches):
 def training_counts(docs: DataFrame, per_language: int, sample_bytes: int) -> DataFrame:
     """lang, key (three bytes of context and their successor), n over the sample."""
     known = docs.filter(~held_out() & F.col("text").isNotNull() & F.col("lang").isNotNull())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = known.select("doc_id", "lang", F.octet_length("text").alias("bytes"), F.row_number().over(order).alias("rank")).filter(F.col("rank") <= per_language)
+    keys = known.select("doc_id", "lang", F.octet_length("text").alias("bytes"), F.xxhash64("doc_id").alias("place"))
+    # First within slices of a language, so that no task ranks a whole language.
+    part = Window.partitionBy("lang", F.pmod("place", F.lit(SLICES))).orderBy("place", "doc_id")
+    keys = keys.withColumn("rank", F.row_number().over(part)).filter(F.col("rank") <= per_language)
+    order = Window.partitionBy("lang").orderBy("place", "doc_id")
+    ids = keys.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= per_language)
     ids = ids.withColumn("sum", F.sum("bytes").over(order.rowsBetween(Window.unboundedPreceding, 0))).filter(F.col("sum") <= sample_bytes)
     ids = staged(ids.select("doc_id", "lang").distinct(), "sample")
     # One language in a batch: counted text by text within a sorted partition.
