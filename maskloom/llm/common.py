@@ -1,13 +1,14 @@
-"""What the training-data operators share: reading tables, the shared scratch folder, word patterns."""
+"""What the training-data operators share: reading tables, joins by size, word patterns."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import staged
+
+__all__ = ["BROADCAST_ROWS", "RAW_WORD", "ascii_lower", "n_raw_words", "sized_join", "staged", "table", "text_or_empty"]
+
 #: A word of the raw contracts: anything between ASCII white space.
 RAW_WORD = r"[^\x20\x09-\x0D]+"
 
@@ -19,23 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: lineage is cut and a lost executor costs nothing."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/staged/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def sized_join(left: DataFrame, right: DataFrame, on: list[str], how: str, right_rows: int) -> DataFrame:
     """Join that broadcasts the right side only if its counted rows are few, and merges otherwise."""
     hint = "broadcast" if right_rows <= BROADCAST_ROWS else "merge"
