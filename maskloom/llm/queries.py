@@ -142,7 +142,8 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = importance_sample(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
-    return out.select("doc_id", F.round("log_weight", 6).alias("log_weight"), F.round("gumbel_key", 6).alias("gumbel_key"), "selected")
+    return out.select("doc_id", F.round("log_weight", 6).alias("log_weight"), F.round("gumbel_key", 6).alias("gumbel_key"), F.col("selected").alias("kept"))
+
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

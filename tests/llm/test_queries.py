@@ -42,7 +42,7 @@ def test_op6_held_out_accuracy(spark, sf):
 
 def test_op8_keeps_labelled_good(spark, sf):
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
-    got = {r.doc_id: r.selected for r in queries.QUERIES["op8_quality"](spark, sf).collect()}
+    got = {r.doc_id: r.kept for r in queries.QUERIES["op8_quality"](spark, sf).collect()}
     good = [d for d, q in labels.items() if q == 1]
     assert sum(got[d] for d in good) >= 0.97 * len(good)
 
