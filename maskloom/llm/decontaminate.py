@@ -12,8 +12,11 @@
 
 Documents without a candidate offset never move. Joins broadcast a side only if its counted rows are few.
 
+Items are distinct pairs of item_id and words, each with a number of its own (`item`) that windows, postings and
+candidates carry, so benchmark rows that repeat count once and texts that share an item_id stay apart.
+
 Defined cases: null or wordless texts have no words and match nothing; items without words are ignored;
-rows that repeat are each judged; ties between rare terms go to the earlier position; empty tables give
+a passage of an item with a null item_id is a hit, but names no item; documents that repeat are each judged; ties between rare terms go to the earlier position; empty tables give
 empty results or clean documents; other columns are ignored.
 """
 
@@ -56,14 +59,14 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def item_windows(items: DataFrame, window: int) -> DataFrame:
-    """item_id, n (words in a window), start, terms (array) for every window of every item."""
+    """item, n (words in a window), start, terms (array) for every window of every item."""
     size = F.least(F.size("terms"), F.lit(window))
     starts = F.explode(F.sequence(F.lit(0), F.size("terms") - size))
-    return items.select("item_id", "terms", size.alias("n"), starts.alias("start")).withColumn("terms", F.slice("terms", F.col("start") + 1, F.col("n")))
+    return items.select("item", "terms", size.alias("n"), starts.alias("start")).withColumn("terms", F.slice("terms", F.col("start") + 1, F.col("n")))
 
 
 def candidates(rows: DataFrame, items: DataFrame, window: int) -> DataFrame:
-    """Distinct (key, item_id, shift): document positions minus item positions at which the anchors of a window agree.
+    """Distinct (key, item, shift): document positions minus item positions at which the anchors of a window agree.
 
     Terms are compared in lower case of any alphabet here, which is quicker and only adds candidates.
     """
@@ -72,17 +75,17 @@ def candidates(rows: DataFrame, items: DataFrame, window: int) -> DataFrame:
     vocabulary = items.select(F.explode("terms").alias("term")).distinct()
     n_terms = vocabulary.count()
     counts = staged(sized_join(tokens.select("term"), vocabulary, ["term"], "inner", n_terms).groupBy("term").count(), "term-counts")
-    each = item_windows(items, window).select("item_id", "start", F.posexplode("terms").alias("at", "term"))
+    each = item_windows(items, window).select("item", "start", F.posexplode("terms").alias("at", "term"))
     each = sized_join(each, counts, ["term"], "left", n_terms)
     by_rarity = F.array_sort(F.collect_list(F.struct(F.coalesce("count", F.lit(0)).alias("count"), (F.col("start") + F.col("at")).alias("place"), "term")))
-    rarest = each.groupBy("item_id", "start").agg(F.slice(by_rarity, 1, 2).alias("rarest")).filter("rarest[0].count > 0")
+    rarest = each.groupBy("item", "start").agg(F.slice(by_rarity, 1, 2).alias("rarest")).filter("rarest[0].count > 0")
     rarest = staged(rarest, "rarest")
-    anchors = staged(rarest.select("item_id", F.explode("rarest").alias("r")).select("item_id", "r.term", "r.place").distinct(), "anchors")
-    needs = rarest.groupBy("item_id").agg(F.collect_set(F.transform("rarest", lambda r: r["place"])).alias("needs"))
+    anchors = staged(rarest.select("item", F.explode("rarest").alias("r")).select("item", "r.term", "r.place").distinct(), "anchors")
+    needs = rarest.groupBy("item").agg(F.collect_set(F.transform("rarest", lambda r: r["place"])).alias("needs"))
     postings = sized_join(tokens, anchors, ["term"], "inner", anchors.count())
-    lists = postings.groupBy("key", "item_id", (F.col("pos") - F.col("place")).alias("shift")).agg(F.collect_set("place").alias("places"))
-    lists = sized_join(lists, needs, ["item_id"], "inner", n_terms)
-    return lists.filter(F.exists("needs", lambda w: F.size(F.array_intersect(w, F.col("places"))) == F.size(w))).select("key", "item_id", "shift")
+    lists = postings.groupBy("key", "item", (F.col("pos") - F.col("place")).alias("shift")).agg(F.collect_set("place").alias("places"))
+    lists = sized_join(lists, needs, ["item"], "inner", n_terms)
+    return lists.filter(F.exists("needs", lambda w: F.size(F.array_intersect(w, F.col("places"))) == F.size(F.array_distinct(w)))).select("key", "item", "shift")
 
 
 def standing(doc: Column, terms: Column, shift: Column, slop: int) -> Column:
@@ -107,9 +110,10 @@ def matches(flags: str) -> Column:
 def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, slop: int = 2) -> DataFrame:
     """One row per document: doc_id, key, n_words, hits (word positions inside exact matches), items (matched exactly), near_items (matched by proximity)."""
     rows = keyed(docs)
-    items = staged(benchmark.select("item_id", words().alias("terms")).filter(F.size("terms") > 0), "items")
+    items = benchmark.select("item_id", words().alias("terms")).filter(F.size("terms") > 0).distinct()
+    items = staged(items.withColumn("item", F.monotonically_increasing_id()), "items")
     found = candidates(rows, items, window)
-    found = sized_join(found, items, ["item_id"], "inner", items.count())
+    found = sized_join(found, items, ["item"], "inner", items.count())
     found = staged(found.groupBy("key").agg(F.collect_list(F.struct("item_id", "shift", "terms")).alias("found")), "candidates")
     keys = found.select("key")
     n_keys = keys.count()
@@ -131,8 +135,9 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, slop:
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
     m = find_matches(docs, benchmark, window)
-    names = F.array_sort(F.transform("items", lambda x: x.cast("string")))
-    return m.select("doc_id", "n_words", F.size("hits").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(names, ","), 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"))
+    named = F.array_compact("items")
+    names = F.array_sort(F.transform(named, lambda x: x.cast("string")))
+    return m.select("doc_id", "n_words", F.size("hits").cast("long").alias("n_hit"), F.size(named).cast("long").alias("n_items"), F.sha2(F.array_join(names, ","), 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
