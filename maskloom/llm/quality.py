@@ -7,7 +7,8 @@ into `BINS` bins of its own. A document's log importance weight is the sum over
 log p_target - log p_raw. Adding Gumbel noise (from a hash of the doc_id, so reruns agree) and keeping
 the k largest sums draws k documents without replacement in proportion to their weights.
 
-k is by default the share of labelled documents with quality 1, plus `margin` standard errors, of all documents.
+k is by default the share of labelled documents with quality 1 of all documents, whatever the number of labels;
+`margin` adds standard errors of that share.
 The k-th largest key is found exactly: two approximate quantiles bracket it, the rows above are counted,
 and only those between are ranked.
 
@@ -123,7 +124,7 @@ def top_k(df: DataFrame, column: str, k: int, ties: str = "doc_id", error: float
     )
 
 
-def importance_sample(docs: DataFrame, labels: DataFrame, k: int | None = None, margin: float = 3.0, temperature: float = 1.0) -> DataFrame:
+def importance_sample(docs: DataFrame, labels: DataFrame, k: int | None = None, margin: float = 0.0, temperature: float = 1.0) -> DataFrame:
     """One row per document: doc_id, key (of the row), log_weight, gumbel_key, selected."""
     verdicts = staged(labels.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic")), "verdicts")
     good = verdicts.filter("quality = 1 AND coalesce(toxic, 0) = 0").select("doc_id", F.lit(True).alias("good"))
