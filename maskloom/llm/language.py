@@ -127,6 +127,8 @@ class CodeLengths:
     def sums(self, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
         """Bits of each text of a chunk (rows) in each language (columns)."""
         keys, inner = byte_keys(buf), _inner(offs, len(buf))
+        if not len(keys):  # one empty text alone
+            return np.zeros((len(offs) - 1, len(self.trees)))
         at = self.slots[self.slot(keys)]
         missed = np.flatnonzero((self.keys[at] != keys) & inner)
         at[~inner] = len(self.keys)
