@@ -4,8 +4,8 @@
 2. The two rarest terms of each benchmark window (ties: the earlier one) are its anchors. Store the
    postings (document, position) of anchor terms only: every occurrence of a window holds its anchors.
 3. Shift each posting by the anchor's place in its item and intersect: a (document, item, offset) stays
-   a candidate if both anchors of some window of the item are posted there. What is left is written to
-   the shared folder.
+   a candidate if both anchors of some window of the item are posted there. For proximity it is one if
+   each of the two is posted within `slop` of it. What is left is written to the shared folder.
 4. At such an offset the item's remaining terms are looked up in the document, in place. A window is
    an exact phrase match if all its terms stand at their places, and a proximity match if each stands
    within `slop` words of its place.
@@ -65,8 +65,8 @@ def item_windows(items: DataFrame, window: int) -> DataFrame:
     return items.select("item", "terms", size.alias("n"), starts.alias("start")).withColumn("terms", F.slice("terms", F.col("start") + 1, F.col("n")))
 
 
-def candidates(rows: DataFrame, items: DataFrame, window: int) -> DataFrame:
-    """Distinct (key, item, shift): document positions minus item positions at which the anchors of a window agree.
+def candidates(rows: DataFrame, items: DataFrame, window: int, slop: int) -> DataFrame:
+    """Distinct (key, item, shift): document positions minus item positions at which the anchors of a window agree, each give or take slop.
 
     Terms are compared in lower case of any alphabet here, which is quicker and only adds candidates.
     """
@@ -83,11 +83,29 @@ def candidates(rows: DataFrame, items: DataFrame, window: int) -> DataFrame:
     anchors = staged(rarest.select("item", F.explode("rarest").alias("r")).select("item", "r.term", "r.place").distinct(), "anchors")
     needs = rarest.groupBy("item").agg(F.collect_set(F.transform("rarest", lambda r: r["place"])).alias("needs"))
     postings = sized_join(tokens, anchors, ["term"], "inner", anchors.count())
-    lists = postings.groupBy("key", "item", (F.col("pos") - F.col("place")).alias("shift")).agg(F.collect_set("place").alias("places"))
+    shift = F.col("pos") - F.col("place")
+    if slop:
+        return near_candidates(postings.select("key", "item", "place", shift.alias("shift")), needs, n_terms, slop)
+    lists = postings.groupBy("key", "item", shift.alias("shift")).agg(F.collect_set("place").alias("places"))
     lists = sized_join(lists, needs, ["item"], "inner", n_terms)
     return lists.filter(F.exists("needs", lambda w: F.size(F.array_intersect(w, F.col("places"))) == F.size(F.array_distinct(w)))).select("key", "item", "shift")
 
 
+def near_candidates(postings: DataFrame, needs: DataFrame, n_terms: int, slop: int) -> DataFrame:
+    """Distinct (key, item, shift) within slop of both anchors of a window. postings: key, item, place, shift.
+
+    Postings of a document and item meet in buckets of 2 * slop + 1 shifts, each told to the bucket after its own too.
+    """
+    own = F.floor(F.col("shift") / (2 * slop + 1))
+    dealt = postings.select("key", "item", "place", "shift", F.explode(F.array(own, own + 1)).alias("bucket"))
+    lists = dealt.groupBy("key", "item", "bucket").agg(F.collect_set(F.struct("place", "shift")).alias("posted"))
+    lists = sized_join(lists, needs, ["item"], "inner", n_terms)
+    reach = lambda p: F.array_distinct(F.flatten(F.transform(F.filter("posted", lambda x: x["place"] == p), lambda x: F.sequence(x["shift"] - slop, x["shift"] + slop))))
+    held = F.filter("needs", lambda w: F.forall(w, lambda p: F.exists("posted", lambda x: x["place"] == p)))
+    both = F.flatten(F.transform(held, lambda w: F.array_intersect(reach(w[0]), reach(F.element_at(w, -1)))))
+    return lists.select("key", "item", F.explode(F.array_distinct(both)).alias("shift")).distinct()
+
+
 def standing(doc: Column, terms: Column, shift: Column, slop: int) -> Column:
     """For each term of an item, whether it stands within slop of its shifted place."""
 
@@ -108,11 +126,14 @@ def matches(flags: str) -> Column:
 
 
 def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, slop: int = 2) -> DataFrame:
-    """One row per document: doc_id, key, n_words, hits (word positions inside exact matches), items (matched exactly), near_items (matched by proximity)."""
+    """One row per document: doc_id, key, n_words, hits (word positions inside exact matches), items (matched exactly), near_items (matched by proximity).
+
+    Without slop only exact matches are sought, and near_items are the same items.
+    """
     rows = keyed(docs)
     items = benchmark.select("item_id", words().alias("terms")).filter(F.size("terms") > 0).distinct()
     items = staged(items.withColumn("item", F.monotonically_increasing_id()), "items")
-    found = candidates(rows, items, window)
+    found = candidates(rows, items, window, slop)
     found = sized_join(found, items, ["item"], "inner", items.count())
     found = staged(found.groupBy("key").agg(F.collect_list(F.struct("item_id", "shift", "terms")).alias("found")), "candidates")
     keys = found.select("key")
@@ -134,14 +155,21 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, slop:
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    m = find_matches(docs, benchmark, window)
+    m = find_matches(docs, benchmark, window, slop=0)
     named = F.array_compact("items")
     names = F.array_sort(F.transform(named, lambda x: x.cast("string")))
     return m.select("doc_id", "n_words", F.size("hits").cast("long").alias("n_hit"), F.size(named).cast("long").alias("n_items"), F.sha2(F.array_join(names, ","), 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"))
 
 
+def proximity(docs: DataFrame, benchmark: DataFrame, window: int = 10, slop: int = 2) -> DataFrame:
+    """One row per document: doc_id, n_items (matched exactly), near_items (names of those matched by proximity, in order, null last)."""
+    m = find_matches(docs, benchmark, window, slop)
+    near = F.array_sort(F.transform("near_items", lambda x: x.cast("string")))
+    return m.select("doc_id", F.size(F.array_compact("items")).cast("long").alias("n_items"), near.alias("near_items"))
+
+
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """The documents without any benchmark window, with all their columns."""
-    judged = staged(find_matches(docs, benchmark, window).select(F.col("key").alias("__key"), (F.size("hits") > 0).alias("dirty")), "judged")
+    judged = staged(find_matches(docs, benchmark, window, slop=0).select(F.col("key").alias("__key"), (F.size("hits") > 0).alias("dirty")), "judged")
     dirty = staged(judged.filter("dirty").select("__key").distinct(), "contaminated")
     return sized_join(docs.withColumn("__key", F.xxhash64("doc_id", "text")), dirty, ["__key"], "left_anti", dirty.count()).drop("__key")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .debruijn import remove_repeats as remove_repeated_words
-from .decontaminate import contamination
+from .decontaminate import contamination, proximity
 from .exact import exact_groups
 from .language import identify
 from .minhash import near_duplicates
@@ -70,6 +70,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
 
 
+def op5_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return proximity(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
 OP5_SQL = r"""
 WITH lowered AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
 d AS (SELECT doc_id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM lowered),
@@ -166,5 +170,5 @@ x AS (SELECT e.doc_id, count(*) AS n_words, count(g.p) AS n_removed, coalesce(st
 SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN x USING (doc_id)
 """
 
-QUERIES = {"op2_debruijn_dedup": op2_debruijn_dedup, "op1_suffix_dedup": op1_suffix_dedup, "op3_minhash": op3_minhash, "op4_exact_dedup": op4_exact_dedup, "op5_decontamination": op5_decontamination, "op6_language_id": op6_language_id, "op7_pii": op7_pii, "op8_quality": op8_quality, "op9_sharding": op9_sharding, "op10_mixing": op10_mixing}
+QUERIES = {"op2_debruijn_dedup": op2_debruijn_dedup, "op1_suffix_dedup": op1_suffix_dedup, "op3_minhash": op3_minhash, "op4_exact_dedup": op4_exact_dedup, "op5_decontamination": op5_decontamination, "op5_proximity": op5_proximity, "op6_language_id": op6_language_id, "op7_pii": op7_pii, "op8_quality": op8_quality, "op9_sharding": op9_sharding, "op10_mixing": op10_mixing}
 SQL = {"op2_debruijn_dedup": OP2_SQL, "op3_minhash": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op5_decontamination": OP5_SQL, "op7_pii": OP7_SQL, "op10_mixing": OP10_SQL}
