@@ -8,8 +8,9 @@ over its bytes, and every context's cost is worked out once per batch at most. T
 shortest code wins; its score is its posterior under equal priors.
 
 Training reads a bounded sample per language (`per_language` documents of at most `sample_bytes` bytes
-together, by hash of the doc_id) of the documents that are not held out; counting runs in Spark and the
-model's size is bounded by the sample. Scoring reads every whole text.
+together, by hash of the doc_id) of the documents that are not held out and have a doc_id and a text. A text
+gives its first bytes only, a sixteenth of `sample_bytes` at most and what is left of it, so every language with
+such a text has a sample, however long one text is. Counting runs in Spark and the model's size is bounded by the sample. Scoring reads every whole text.
 
 Defined cases: null texts and texts without a letter give `und` with score 0; if nothing can be learned, so does every text;
 ties go to the language whose name sorts first; null doc_ids are not held out; repeated rows are each
@@ -33,6 +34,9 @@ PAD = "\n" * ORDER
 
 SLOTS_BITS = 21
 
+#: Texts that the sample of a language can hold at least, as far as its bytes go.
+STRETCHES = 16
+
 #: Slices of a language in which its sample is sought first.
 SLICES = 64
 
@@ -66,17 +70,20 @@ def _count(batches):
 
 def training_counts(docs: DataFrame, per_language: int, sample_bytes: int) -> DataFrame:
     """lang, key (three bytes of context and their successor), n over the sample."""
-    known = docs.filter(~held_out() & F.col("text").isNotNull() & F.col("lang").isNotNull())
-    keys = known.select("doc_id", "lang", F.octet_length("text").alias("bytes"), F.xxhash64("doc_id").alias("place"))
+    known = docs.filter(~held_out() & (F.octet_length("text") > 0) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull())
+    keys = known.select("doc_id", "lang", F.least(F.octet_length("text"), F.lit(max(sample_bytes // STRETCHES, 1))).alias("bytes"), F.xxhash64("doc_id").alias("place"))
     # First within slices of a language, so that no task ranks a whole language.
     part = Window.partitionBy("lang", F.pmod("place", F.lit(SLICES))).orderBy("place", "doc_id")
     keys = keys.withColumn("rank", F.row_number().over(part)).filter(F.col("rank") <= per_language)
     order = Window.partitionBy("lang").orderBy("place", "doc_id")
     ids = keys.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= per_language)
-    ids = ids.withColumn("sum", F.sum("bytes").over(order.rowsBetween(Window.unboundedPreceding, 0))).filter(F.col("sum") <= sample_bytes)
-    ids = staged(ids.select("doc_id", "lang").distinct(), "sample")
+    ids = ids.withColumn("sum", F.sum("bytes").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    ids = ids.withColumn("take", F.least("bytes", sample_bytes - F.col("sum") + F.col("bytes")).cast("int")).filter("take > 0")
+    ids = staged(ids.groupBy("doc_id", "lang").agg(F.max("take").alias("take")), "sample")
     # One language in a batch: counted text by text within a sorted partition.
-    sample = sized_join(known.select("doc_id", "lang", F.concat(F.lit(PAD), "text").alias("text")), ids, ["doc_id", "lang"], "left_semi", ids.count())
+    sample = sized_join(known.select("doc_id", "lang", F.col("text").cast("binary").alias("text")), ids, ["doc_id", "lang"], "inner", ids.count())
+    stretch = F.concat(F.lit(PAD).cast("binary"), F.substring("text", F.lit(1), F.col("take")))
+    sample = sample.select("doc_id", "lang", stretch.alias("text"))
     return sample.groupBy("lang", F.pmod(F.xxhash64("doc_id"), F.lit(16)).alias("part")).applyInArrow(_count_group, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
 
 
