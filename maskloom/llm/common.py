@@ -4,26 +4,70 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, StructType
 
 from ..sources.shared import staged
 
-__all__ = ["BROADCAST_ROWS", "RAW_WORD", "ascii_lower", "n_raw_words", "sized_join", "staged", "table", "text_or_empty"]
+__all__ = ["RAW_WORD", "ascii_lower", "fresh_name", "is_small", "n_raw_words", "sized_join", "spread_join", "staged", "table", "text_or_empty"]
 
 #: A word of the raw contracts: anything between ASCII white space.
 RAW_WORD = r"[^\x20\x09-\x0D]+"
 
-#: Largest number of rows that a join may broadcast; larger sides are shuffled.
-BROADCAST_ROWS = 1_000_000
+#: Most bytes of a side that a join may broadcast; larger sides are shuffled.
+BROADCAST_BYTES = 32 << 20
+
+#: Bytes that a row takes in a broadcast table beside its strings and arrays, about.
+ROW_BYTES = 40
+
+#: Rows of one join key that stay together; a key with more is dealt over several tasks.
+HOT = 4096
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def sized_join(left: DataFrame, right: DataFrame, on: list[str], how: str, right_rows: int) -> DataFrame:
-    """Join that broadcasts the right side only if its counted rows are few, and merges otherwise."""
-    hint = "broadcast" if right_rows <= BROADCAST_ROWS else "merge"
-    return left.join(right.hint(hint), on, how)
+def is_small(df: DataFrame) -> bool:
+    """Whether the rows of a table that is cheap to read, with the lengths of all that varies in them, may be broadcast."""
+    width = F.lit(ROW_BYTES).cast("long")
+    for f in df.schema.fields:
+        col = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (StringType, BinaryType)):
+            width = width + F.coalesce(F.octet_length(col), F.lit(0))
+        elif isinstance(f.dataType, (ArrayType, MapType, StructType)):
+            width = width + F.coalesce(F.octet_length(F.to_json(col)), F.lit(0))
+        else:
+            width = width + 8
+    return (df.agg(F.sum(width)).first()[0] or 0) <= BROADCAST_BYTES
+
+
+def sized_join(left: DataFrame, right: DataFrame, on: list[str], how: str, small: bool | None = None) -> DataFrame:
+    """Join that broadcasts the right side only if its measured bytes are few, and merges otherwise. right should be staged."""
+    small = is_small(right) if small is None else small
+    return left.join(right.hint("broadcast" if small else "merge"), on, how)
+
+
+def spread_join(rows: DataFrame, side: DataFrame, on: str, n: str, by: str | Column, how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
+    """Join rows with a side of one row per key whose column n counts the rows of that key.
+
+    A key with more than HOT rows is dealt by a hash of `by` over several tasks, and its row of the side, which
+    can be a long text, is sent once to each. side should be staged, or counts, which has its keys and n; n is dropped.
+    """
+    shares = F.ceil(F.col(n) / HOT).cast("int")
+    hot = (side if counts is None else counts).filter(F.col(n) > HOT).select(on, shares.alias("__shares"))
+    if hot.isEmpty():
+        return rows.join(side.drop(n).hint("merge"), on, how)
+    dealt = sized_join(rows, hot, [on], "left").withColumn("__share", F.pmod(F.xxhash64(by), F.coalesce("__shares", F.lit(1))).cast("int")).drop("__shares")
+    sent = side.withColumn("__share", F.explode(F.sequence(F.lit(0), F.greatest(shares, F.lit(1)) - 1))).drop(n)
+    return dealt.join(sent.hint("merge"), [on, "__share"], how).drop("__share")
+
+
+def fresh_name(df: DataFrame, base: str) -> str:
+    """A column name that the table does not have, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
 
 
 def text_or_empty(name: str = "text") -> Column:

@@ -1,12 +1,15 @@
 """Exact deduplication by skew-safe combining (DataFrame functions only).
 
 Copies are combined in three steps, each grouping by the digest *and* the full text: inside each
-input task (partial aggregation), inside salted digest groups, and over the salts. A group of copies
-of any size therefore reaches a task as one row per input task and salt.
+input task (partial aggregation), inside salted digest groups (the salt comes from the input task, so
+a text leaves a task as one row), and over the salts. A group of copies of any size therefore reaches a
+task as one row per input task and salt. The verdict goes back to the rows by digest; a digest with many
+rows is dealt over several tasks there.
 
 Defined cases: null text counts as empty; rows with a null doc_id belong to their group but are kept
 only if no row of the group has an id; rows that repeat both doc_id and text count in group_size and
-share the verdict; an empty table gives an empty result; other columns are ignored.
+share the verdict; texts are compared whole, however long; an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged, text_or_empty
+from .common import spread_join, staged, text_or_empty
 
 
 def normalised(name: str = "text") -> Column:
@@ -29,13 +32,13 @@ def exact_groups(docs: DataFrame, salts: int = 64, digest=lambda text: F.sha2(te
     """
     rows = docs.select("doc_id", normalised().alias("norm"))
     rows = rows.withColumn("digest", digest(F.col("norm")))
-    salt = F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")
+    salt = F.pmod(F.spark_partition_id(), F.lit(salts))
     salted = rows.groupBy("digest", "norm", salt.alias("salt")).agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
     groups = salted.groupBy("digest", "norm").agg(F.min("least").alias("keep_id"), F.sum("n").alias("group_size"))
     # One text per digest: the digest stands for the content from here on. Otherwise the content decides again.
     by_digest = staged(groups.groupBy("digest").agg(F.count(F.lit(1)).alias("texts"), F.min("keep_id").alias("keep_id"), F.min("group_size").alias("group_size")), "exact-groups")
-    single = by_digest.filter("texts = 1").drop("texts")
-    out = rows.select("doc_id", "digest", F.sha2("norm", 256).alias("text_sha256")).join(single.hint("merge"), "digest")
+    single = by_digest.filter("texts = 1").select("digest", "keep_id", "group_size", F.col("group_size").alias("rows"))
+    out = spread_join(rows.select("doc_id", "digest", F.sha2("norm", 256).alias("text_sha256")), single, "digest", "rows", F.xxhash64("doc_id", F.spark_partition_id()))
     clashing = by_digest.filter("texts > 1").select("digest")
     if not clashing.isEmpty():
         both = rows.join(clashing.hint("merge"), "digest").withColumn("text_sha256", F.sha2("norm", 256))

@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import spread_join, staged
 
 
 def large_star(edges: DataFrame) -> DataFrame:
-    """Every larger neighbour of a node is linked to the least of the node and its neighbours."""
+    """Every larger neighbour of a node is linked to the least of the node and its neighbours.
+
+    The neighbours of a hub are dealt over several tasks.
+    """
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-    return both.filter("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    least = staged(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count(F.lit(1)).alias("n")), "least")
+    return spread_join(both.filter("v > u"), least, "u", "n", "v").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def small_star(edges: DataFrame) -> DataFrame:
@@ -26,7 +29,8 @@ def small_star(edges: DataFrame) -> DataFrame:
 def components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
     """links: u, v (long). Returns u, v: each linked node but the least of its component, with that least node.
 
-    Every round is written to the shared folder; only counts come to the driver.
+    Every round is written to the shared folder; only counts come to the driver. The rounds needed grow with
+    the logarithm of the nodes; more than most_rounds raise an error and lose nothing silently.
     """
     edges = staged(links.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     for _ in range(most_rounds):

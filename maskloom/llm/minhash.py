@@ -1,20 +1,25 @@
 """Near-duplicates by MinHash: universal hash minima, banding, signature verification, full sets, components.
 
-1. Each document's set of distinct 4-word shingles (64-bit hashes) gives `bands x rows` minima of
+1. Each document's set of distinct word shingles (64-bit hashes) gives `bands x rows` minima of
    a*x + b modulo 2**64. Documents with equal sets are one class, carried on by its smallest doc_id.
 2. Classes that agree in all rows of a band share a bucket. With 24 bands of 4 rows a pair at
    similarity 0.8 shares none with probability (1 - 0.8**4)**24, about 3 in a million.
 3. Every member of a bucket is paired with the bucket's least member only. Pairs whose signatures agree
    too rarely are dropped, the rest are confirmed on their full shingle sets, and components follow.
-4. Buckets that still hold several components are searched completely: inside blocks of bounded size
-   their members are compared across components by signature and then by set, and at most one link per
-   member and component leaves the task. So no link is lost to the leaders, and no pairs
-   are emitted; the signature check loses a pair at similarity 0.8 with probability 1.1e-7.
+   A leader of many members is sent once to each task that its members are dealt to.
+4. Buckets that still hold several components are searched completely, across components only. Where few members
+   are outside the largest component, these are compared with all others, block by block, in place.
+5. Members of buckets with many outside it are banded again by a second family of 72 bands of 8 rows, which
+   misses a pair at 0.8 with probability 1.8 in a million and parts all that is merely alike; steps 3 and 4 follow on the
+   new buckets, where blocks of those outside the largest component meet each other as well.
+
+So no link is lost to the leaders, no pairs are emitted, and nothing is capped: at most one link per member and
+component leaves a task. The signature check loses a pair at similarity 0.8 with probability 1.1e-7.
 
 Links: 100 * intersection >= 80 * union, with integers, on full sets.
 
 Defined cases: null or wordless texts have an empty set, are their own component and link with nothing;
-texts of fewer than four words have one shingle; rows that share a doc_id are one node, so their links
+texts of fewer words than a shingle have one; texts are read whole, however long; rows that share a doc_id are one node, so their links
 join; rows with a null doc_id link with nothing and are kept; an empty table gives an empty result; other columns
 are ignored.
 """
@@ -30,16 +35,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .batches import U64, chunks, grams, mix, words
-from .common import BROADCAST_ROWS, sized_join, staged, text_or_empty
+from .common import is_small, sized_join, spread_join, staged, text_or_empty
 from .graph import components
 
 SHINGLE, BANDS, ROWS = 4, 24, 4
 
-#: Members of a bucket that are compared with each other in one block.
-BLOCK = 512
+#: A second family of minima for the members of large buckets, with longer keys.
+LONG_BANDS, LONG_ROWS = 72, 8
+
+#: Members of a side of a cell of a bucket, about.
+BLOCK = 256
 
-_A = mix(np.arange(1, BANDS * ROWS + 1, dtype=U64) * U64(0xD1342543DE82EF95)) | U64(1)
-_B = mix(np.arange(1, BANDS * ROWS + 1, dtype=U64) * U64(0xA24BAED4963EE407))
+_MINIMA = BANDS * ROWS + LONG_BANDS * LONG_ROWS
+_A = mix(np.arange(1, _MINIMA + 1, dtype=U64) * U64(0xD1342543DE82EF95)) | U64(1)
+_B = mix(np.arange(1, _MINIMA + 1, dtype=U64) * U64(0xA24BAED4963EE407))
 
 
 def shingle_sets(column: pa.Array, k: int = SHINGLE) -> Iterator[np.ndarray]:
@@ -57,22 +66,29 @@ def shingle_sets(column: pa.Array, k: int = SHINGLE) -> Iterator[np.ndarray]:
                 yield h[:0]
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    """The minimum of each universal hash over a set, its upper 32 bits."""
-    least = np.full(len(_A), ~U64(0), U64)
+def signature(shingles: np.ndarray, first: int = 0, n: int = BANDS * ROWS) -> np.ndarray:
+    """The minimum of n universal hashes, from hash `first` on, over a set: its upper 32 bits."""
+    a, b, least = _A[first : first + n, None], _B[first : first + n, None], np.full(n, ~U64(0), U64)
     for at in range(0, len(shingles), 4096):
-        least = np.minimum(least, (shingles[None, at : at + 4096] * _A[:, None] + _B[:, None]).min(axis=1))
+        least = np.minimum(least, (shingles[None, at : at + 4096] * a + b).min(axis=1))
     return (least >> U64(32)).astype(np.uint32)
 
 
-def _signatures(batches):
-    for batch in batches:
-        n, sets, sigs = [], [], []
-        for s in shingle_sets(batch.column("text")):
-            n.append(len(s))
-            sets.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-            sigs.append(signature(s).tobytes() if len(s) else b"")
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(sets, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "n_shingles", "set_id", "sig"])
+def _signatures(k: int):
+    def run(batches):
+        for batch in batches:
+            yield _signed(batch, k)
+
+    return run
+
+
+def _signed(batch: pa.RecordBatch, k: int) -> pa.RecordBatch:
+    n, sets, sigs = [], [], []
+    for s in shingle_sets(batch.column("text"), k):
+        n.append(len(s))
+        sets.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+        sigs.append(signature(s).tobytes() if len(s) else b"")
+    return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(sets, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "n_shingles", "set_id", "sig"])
 
 
 def _bands(batches):
@@ -103,17 +119,17 @@ def _agreeing(percent: int):
     return run
 
 
-def _confirm(percent: int):
+def _confirm(percent: int, k: int):
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
             keep, last = [], (None, None)
-            left, right = shingle_sets(batch.column("text_a")), batch.column("text_b")
+            left, right = shingle_sets(batch.column("text_a"), k), batch.column("text_b")
             ids = batch.column("b").to_pylist()
-            for k, x in enumerate(left):
-                if last[0] != ids[k]:  # runs of the same leader are common
-                    last = (ids[k], next(shingle_sets(right.slice(k, 1))))
+            for row, x in enumerate(left):
+                if last[0] != ids[row]:  # runs of the same leader are common
+                    last = (ids[row], next(shingle_sets(right.slice(row, 1), k)))
                 y = last[1]
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(len(x) > 0 and 100 * both >= percent * (len(x) + len(y) - both))
@@ -123,20 +139,33 @@ def _confirm(percent: int):
     return run
 
 
-def band_keys(sig: np.ndarray) -> np.ndarray:
+def band_keys(sig: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
     """Bucket of each band of each signature (rows of uint32 minima)."""
-    sig = sig.reshape(len(sig), BANDS, ROWS).astype(U64)
-    key = np.zeros((len(sig), BANDS), U64) + np.arange(BANDS, dtype=U64)
-    for r in range(ROWS):
+    sig = sig.reshape(len(sig), bands, rows).astype(U64)
+    key = np.zeros((len(sig), bands), U64) + np.arange(bands, dtype=U64)
+    for r in range(rows):
         key = mix(key * U64(0x9FB21C651E98DF25) + sig[:, :, r])
     return key.view(np.int64)
 
 
-def _across(percent: int):
+def _long_bands(k: int):
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sigs = [signature(s, BANDS * ROWS, LONG_BANDS * LONG_ROWS) for s in shingle_sets(batch.column("text"), k)]
+            key = band_keys(np.stack(sigs), LONG_BANDS, LONG_ROWS)
+            node = np.repeat(batch.column("node").to_numpy(zero_copy_only=False), LONG_BANDS)
+            yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(node)], ["bucket", "node"])
+
+    return run
+
+
+def _across(percent: int, short: bool = True):
     """Links across components in one cell of a bucket: at most one per member and component, none between rows joined already.
 
-    A pair is judged in the first band that it shares only: by signature, then by the sets' 64-bit
-    hashes, as in the confirmation on full sets afterwards, so what joins components here is not refused there.
+    Rows of block i are compared with those of other blocks and, if i = j, with each other: by signature first, then by the sets' 64-bit hashes, as in the confirmation on full sets afterwards, so what joins components here is not
+    refused there. With short buckets a pair is judged in the first one that it shares only.
     """
     least = least_agreement(percent)
 
@@ -146,15 +175,15 @@ def _across(percent: int):
         sets = [np.frombuffer(x, U64) for x in column("hashes").to_pylist()]
         sizes = np.array([len(x) for x in sets])
         node, comp, block = (column(c).to_numpy().copy() for c in ("node", "comp", "block"))
-        i, j, bucket = (cell.column(c)[0].as_py() for c in ("i", "j", "bucket"))
-        rows, cols, keys = np.flatnonzero(block == i), np.flatnonzero(block == j), band_keys(sig)
-        out_a, out_b = [], []
-        for r in rows:
-            c = cols[(comp[cols] != comp[r]) & ((node[cols] > node[r]) | (i != j))]
+        bucket, i, j = (cell.column(c)[0].as_py() for c in ("bucket", "i", "j"))
+        keys, out_a, out_b = band_keys(sig), [], []
+        for r in np.flatnonzero(block == i):
+            c = np.flatnonzero((comp != comp[r]) & ((block != i) | ((i == j) & (node > node[r]))))
+            # Sets within reach of the threshold differ in size by so much at most.
+            c = c[(100 * sizes[c] >= percent * sizes[r]) & (percent * sizes[c] <= 100 * sizes[r])]
             c = c[(sig[c] == sig[r]).sum(axis=1) >= least]
-            if not len(c):
-                continue
-            c = c[keys[r][(keys[c] == keys[r]).argmax(axis=1)] == bucket]
+            if short and len(c):
+                c = c[keys[r][(keys[c] == keys[r]).argmax(axis=1)] == bucket]
             if not len(c):
                 continue
             x, ends = sets[r], np.cumsum(sizes[c])
@@ -171,53 +200,103 @@ def _across(percent: int):
     return run
 
 
-def _hashes(batches):
-    for batch in batches:
-        hashes = [s.tobytes() for s in shingle_sets(batch.column("text"))]
-        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(hashes, pa.binary())], ["node", "hashes"])
+def _hashes(k: int):
+    def run(batches):
+        for batch in batches:
+            hashes = [s.tobytes() for s in shingle_sets(batch.column("text"), k)]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(hashes, pa.binary())], ["node", "hashes"])
+
+    return run
 
 
 def texts_of(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """node and text of the documents that are nodes; all documents where the nodes are too many to be sent round."""
     nodes = staged(nodes.distinct(), "nodes")
     texts = docs.select(F.col("doc_id").alias("node"), text_or_empty().alias("text"))
-    return texts.join(F.broadcast(nodes), "node", "left_semi") if nodes.count() <= BROADCAST_ROWS else texts
+    return texts.join(F.broadcast(nodes), "node", "left_semi") if is_small(nodes) else texts
+
+
+def beside(pairs: DataFrame, held: DataFrame, name: str) -> DataFrame:
+    """pairs (a, b) with name_a and name_b, what held (node, name) has of both. pairs should be staged.
+
+    A leader b of many pairs is sent once to each of the tasks that its pairs are dealt to.
+    """
+    of = lambda c: held.select(F.col("node").alias(c), F.col(name).alias(f"{name}_{c}")).hint("merge")
+    counts = staged(pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n")), "leader-counts")
+    both = spread_join(pairs.join(of("a"), "a"), counts.join(of("b"), "b"), "b", "n", "a", counts=counts)
+    return both.select("a", "b", f"{name}_a", f"{name}_b")
 
 
-def confirmed_links(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough, as links (u, v)."""
+def confirmed_links(pairs: DataFrame, docs: DataFrame, percent: int, k: int) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets are similar enough, as links (u, v). pairs should be staged."""
     texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("node")), docs)
-    with_a = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a")
-    both = with_a.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(percent), "u long, v long").distinct()
+    return beside(pairs, texts, "text").mapInArrow(_confirm(percent, k), "u long, v long").distinct()
+
+
+def with_components(buckets: DataFrame, stars: DataFrame) -> DataFrame:
+    """bucket, node and comp, the component of the node."""
+    return buckets.join(stars.withColumnRenamed("u", "node").hint("merge"), "node", "left").select("bucket", "node", F.coalesce("v", "node").alias("comp"))
+
+
+def leader_links(named: DataFrame, classes: DataFrame, docs: DataFrame, percent: int, k: int) -> DataFrame:
+    """Confirmed links of the members of a bucket with its least member, where their components differ. named: bucket, node, comp."""
+    leaders = named.groupBy("bucket").agg(F.min(F.struct("node", "comp")).alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    pairs = spread_join(named, staged(leaders, "leaders"), "bucket", "n", "node").filter("comp <> leader.comp").select(F.col("node").alias("a"), F.col("leader.node").alias("b"))
+    likely = beside(staged(pairs.distinct(), "pairs"), classes, "sig").mapInArrow(_agreeing(percent), "a long, b long")
+    return staged(confirmed_links(staged(likely, "likely-pairs"), docs, percent, k), "links")
+
 
+def mixed_rows(named: DataFrame) -> DataFrame:
+    """Members of buckets that hold several components. rest: blocks of those outside the largest component; top: blocks of it; largest: whether a row is in it."""
+    per = named.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("m"))
+    per = per.groupBy("bucket").agg(F.sum("m").alias("n"), F.max(F.struct("m", "comp")).alias("most"), F.count(F.lit(1)).alias("comps")).filter("comps > 1")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    mixed = staged(per.select("bucket", "n", F.col("most.comp").alias("main"), blocks(F.col("n") - F.col("most.m")).alias("rest"), blocks(F.col("most.m")).alias("top")), "mixed")
+    return staged(spread_join(named, mixed, "bucket", "n", "node").withColumn("largest", F.col("comp") == F.col("main")).drop("main"), "open")
 
-def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
+
+def links_across(rows: DataFrame, classes: DataFrame, docs: DataFrame, percent: int, k: int, short: bool) -> DataFrame:
+    """Confirmed links across components of mixed buckets. Every pair outside the largest component, and every one with it, meets in a cell.
+
+    Blocks of the rest are numbered from 0, those of the largest component go on from there; cell (i, j) holds block i
+    of the rest and block j. So a row of the largest component is sent `rest` times.
+    """
+    block = F.pmod(F.xxhash64("node"), F.when(F.col("largest"), F.col("top")).otherwise(F.col("rest"))).cast("int")
+    one = (F.col("rest") == 1) & (F.col("top") == 1)
+    cell = lambda i, j, own: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), own.cast("int").alias("block"))
+    # Two small sides share the cell (0, 0).
+    of_top = F.transform(F.sequence(F.lit(0), F.col("rest") - 1), lambda i: cell(i, F.when(one, 0).otherwise(F.col("rest") + block), F.when(one, -1).otherwise(F.col("rest") + block)))
+    as_first = F.transform(F.sequence(block, F.when(one, 0).otherwise(F.col("rest") + F.col("top") - 1)), lambda j: cell(block, j, block))
+    as_second = F.when(block > 0, F.transform(F.sequence(F.lit(0), block - 1), lambda i: cell(i, block, block))).otherwise(F.array().cast("array<struct<i:int,j:int,block:int>>"))
+    cells = F.when(F.col("largest"), of_top).otherwise(F.concat(as_first, as_second))
+    hashes = texts_of(rows.select("node"), docs).groupBy("node").agg(F.min("text").alias("text")).mapInArrow(_hashes(k), "node long, hashes binary")
+    held = classes.select("node", "sig").join(hashes.hint("merge"), "node")
+    dealt = rows.join(held.hint("merge"), "node").select("bucket", "node", "comp", "sig", "hashes", F.inline(cells))
+    found = dealt.groupBy("bucket", "i", "j").applyInArrow(_across(percent, short), "a long, b long").distinct()
+    return staged(confirmed_links(staged(found, "pairs-across"), docs, percent, k), "links-across")
+
+
+def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = SHINGLE) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept."""
     rows = docs.select("doc_id", text_or_empty().alias("text"))
-    signed = staged(rows.mapInArrow(_signatures, "doc_id long, n_shingles long, set_id binary, sig binary"), "signatures")
+    signed = staged(rows.mapInArrow(_signatures(shingle), "doc_id long, n_shingles long, set_id binary, sig binary"), "signatures")
     linkable = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = staged(linkable.groupBy("set_id").agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig")), "classes")
     buckets = staged(classes.select("node", "sig").mapInArrow(_bands, "bucket long, node long"), "buckets")
 
-    leaders = buckets.groupBy("bucket").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    pairs = buckets.join(leaders.hint("merge"), "bucket").filter("node <> b").select(F.col("node").alias("a"), "b").distinct()
-    sigs = lambda c: classes.select(F.col("node").alias(c), F.col("sig").alias(f"sig_{c}")).hint("merge")
-    pairs = pairs.join(sigs("a"), "a").join(sigs("b"), "b").select("a", "b", "sig_a", "sig_b").mapInArrow(_agreeing(percent), "a long, b long")
-    links = staged(confirmed_links(staged(pairs, "pairs"), rows, percent), "links")
     # Nodes of one doc_id with several sets are joined by the id itself; copies of a set by their class.
+    links = leader_links(buckets.withColumn("comp", F.col("node")), classes, rows, percent, shingle)
     stars = components(links)
-
-    named = buckets.join(stars.withColumnRenamed("u", "node").hint("merge"), "node", "left").select("bucket", "node", F.coalesce("v", "node").alias("comp"))
-    mixed = named.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo < hi").select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    open_rows = named.join(mixed.hint("merge"), "bucket").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    cells = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("i"), F.greatest(o, F.col("block")).alias("j"))))
-    open_nodes = staged(open_rows, "open")
-    hashes = texts_of(open_nodes.select("node"), rows).groupBy("node").agg(F.min("text").alias("text")).mapInArrow(_hashes, "node long, hashes binary")
-    held = classes.select("node", "sig").join(hashes.hint("merge"), "node")
-    open_rows = open_nodes.join(held.hint("merge"), "node").select("bucket", "node", "comp", "block", "sig", "hashes", cells.alias("cell")).select("*", "cell.i", "cell.j").drop("cell")
-    more = open_rows.groupBy("bucket", "i", "j").applyInArrow(_across(percent), "a long, b long").distinct()
-    more = staged(confirmed_links(staged(more, "pairs-across"), rows, percent), "links-across")
+    open_rows = mixed_rows(with_components(buckets, stars))
+    more = links_across(open_rows.filter("rest = 1"), classes, rows, percent, shingle, True)
+    large = open_rows.filter("rest > 1")
+    if not large.isEmpty():
+        texts = texts_of(large.select("node"), rows).groupBy("node").agg(F.min("text").alias("text"))
+        long_buckets = staged(texts.mapInArrow(_long_bands(shingle), "bucket long, node long"), "long-buckets")
+        stars = components(stars.unionByName(more))
+        more = leader_links(with_components(long_buckets, stars), classes, rows, percent, shingle)
+        stars = components(stars.unionByName(more))
+        more = links_across(mixed_rows(with_components(long_buckets, stars)), classes, rows, percent, shingle, False)
     if not more.isEmpty():
         stars = components(stars.unionByName(more))
 
@@ -229,7 +308,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def drop_near_copies(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """One document of each group, with all columns; doc_id must tell documents apart."""
-    gone = staged(near_duplicates(docs, percent).filter("NOT kept").select("doc_id"), "near-copies")
-    return sized_join(docs, gone, ["doc_id"], "left_anti", gone.count())
+def drop_near_copies(docs: DataFrame, percent: int = 80, shingle: int = SHINGLE) -> DataFrame:
+    """One document of each group, with all columns; rows of one doc_id stay or go together."""
+    gone = staged(near_duplicates(docs, percent, shingle).filter("NOT kept").select("doc_id").distinct(), "near-copies")
+    return sized_join(docs, gone, ["doc_id"], "left_anti")
