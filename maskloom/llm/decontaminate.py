@@ -1,8 +1,9 @@
 """Benchmark decontamination with a positional inverted index (DataFrame functions only).
 
-1. Count over all documents how often each benchmark term occurs.
-2. The two rarest terms of each benchmark window (ties: the earlier one) are its anchors. Store the
-   postings (document, position) of anchor terms only: every occurrence of a window holds its anchors.
+1. Split every document into words once and store the postings (document, position) of all benchmark terms.
+   From them, count how often each term occurs over all documents.
+2. The two rarest terms of each benchmark window (ties: the earlier one) are its anchors; their postings
+   are intersected: every occurrence of a window holds its anchors.
 3. Shift each posting by the anchor's place in its item and intersect: a (document, item, offset) stays
    a candidate if both anchors of some window of the item are posted there. For proximity it is one if
    each of the two is posted within `slop` of it. What is left is written to the shared folder.
@@ -10,14 +11,14 @@
    an exact phrase match if all its terms stand at their places, and a proximity match if each stands
    within `slop` words of its place.
 
-Documents without a candidate offset never move. Joins broadcast a side only if its counted rows are few.
+Texts without a candidate offset never move. Joins broadcast a side only if its measured bytes are few.
 
 Items are distinct pairs of item_id and words, each with a number of its own (`item`) that windows, postings and
 candidates carry, so benchmark rows that repeat count once and texts that share an item_id stay apart.
 
 Defined cases: null or wordless texts have no words and match nothing; items without words are ignored;
 a passage of an item with a null item_id is a hit, but names no item; documents that repeat are each judged; ties between rare terms go to the earlier position; empty tables give
-empty results or clean documents; other columns are ignored.
+empty results or clean documents; texts are read whole, however long; other columns are ignored, and pass through `drop_contaminated`.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, ascii_lower, sized_join, staged, text_or_empty
+from .common import ascii_lower, fresh_name, is_small, sized_join, staged, text_or_empty
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -43,11 +44,6 @@ def words(name: str = "text") -> Column:
     return F.regexp_extract_all(lowered(name), F.lit(WORD), F.lit(0))
 
 
-def n_words(name: str = "text") -> Column:
-    """Number of words; needs no lower case."""
-    return F.regexp_count(text_or_empty(name), F.lit(ANY_CASE)).cast("long")
-
-
 def folded(terms: Column) -> Column:
     """Terms with all letters in lower case: equal terms stay equal, so candidates found by them miss nothing."""
     return F.transform(terms, lambda t: F.lower(t))
@@ -65,33 +61,39 @@ def item_windows(items: DataFrame, window: int) -> DataFrame:
     return items.select("item", "terms", size.alias("n"), starts.alias("start")).withColumn("terms", F.slice("terms", F.col("start") + 1, F.col("n")))
 
 
-def candidates(rows: DataFrame, items: DataFrame, window: int, slop: int) -> DataFrame:
-    """Distinct (key, item, shift): document positions minus item positions at which the anchors of a window agree, each give or take slop.
+def postings_of(rows: DataFrame, items: DataFrame) -> DataFrame:
+    """doc_id, key, pos, term: every place of a benchmark term in a document, and one row without a term that has the number of words as pos.
 
-    Terms are compared in lower case of any alphabet here, which is quicker and only adds candidates.
+    The only pass that splits all texts into words. Terms are in lower case of any alphabet, which is quicker and only adds
+    candidates. Written out once; counts, postings of anchors and numbers of words are read from it.
     """
+    words = F.regexp_extract_all(F.lower(text_or_empty()), F.lit(ANY_CASE), F.lit(0))
+    tokens = rows.select("doc_id", "key", F.posexplode(F.concat(words, F.array(F.lit("")))).alias("pos", "term"))
+    vocabulary = staged(items.select(F.explode(folded(F.col("terms"))).alias("term")).union(rows.sparkSession.createDataFrame([("",)], "term string")).distinct(), "vocabulary")
+    return staged(sized_join(tokens, vocabulary, ["term"], "inner"), "postings")
+
+
+def candidates(postings: DataFrame, items: DataFrame, window: int, slop: int) -> DataFrame:
+    """Distinct (key, item, shift): document positions minus item positions at which the anchors of a window agree, each give or take slop."""
     items = items.withColumn("terms", folded(F.col("terms")))
-    tokens = rows.select("key", F.posexplode(F.regexp_extract_all(F.lower(text_or_empty()), F.lit(ANY_CASE), F.lit(0))).alias("pos", "term"))
-    vocabulary = items.select(F.explode("terms").alias("term")).distinct()
-    n_terms = vocabulary.count()
-    counts = staged(sized_join(tokens.select("term"), vocabulary, ["term"], "inner", n_terms).groupBy("term").count(), "term-counts")
+    counts = staged(postings.filter("term <> ''").groupBy("term").count(), "term-counts")
     each = item_windows(items, window).select("item", "start", F.posexplode("terms").alias("at", "term"))
-    each = sized_join(each, counts, ["term"], "left", n_terms)
+    each = sized_join(each, counts, ["term"], "left")
     by_rarity = F.array_sort(F.collect_list(F.struct(F.coalesce("count", F.lit(0)).alias("count"), (F.col("start") + F.col("at")).alias("place"), "term")))
     rarest = each.groupBy("item", "start").agg(F.slice(by_rarity, 1, 2).alias("rarest")).filter("rarest[0].count > 0")
     rarest = staged(rarest, "rarest")
     anchors = staged(rarest.select("item", F.explode("rarest").alias("r")).select("item", "r.term", "r.place").distinct(), "anchors")
-    needs = rarest.groupBy("item").agg(F.collect_set(F.transform("rarest", lambda r: r["place"])).alias("needs"))
-    postings = sized_join(tokens, anchors, ["term"], "inner", anchors.count())
+    needs = staged(rarest.groupBy("item").agg(F.collect_set(F.transform("rarest", lambda r: r["place"])).alias("needs")), "needs")
+    posted = sized_join(postings.select("key", "pos", "term"), anchors, ["term"], "inner")
     shift = F.col("pos") - F.col("place")
     if slop:
-        return near_candidates(postings.select("key", "item", "place", shift.alias("shift")), needs, n_terms, slop)
-    lists = postings.groupBy("key", "item", shift.alias("shift")).agg(F.collect_set("place").alias("places"))
-    lists = sized_join(lists, needs, ["item"], "inner", n_terms)
+        return near_candidates(posted.select("key", "item", "place", shift.alias("shift")), needs, slop)
+    lists = posted.groupBy("key", "item", shift.alias("shift")).agg(F.collect_set("place").alias("places"))
+    lists = sized_join(lists, needs, ["item"], "inner")
     return lists.filter(F.exists("needs", lambda w: F.size(F.array_intersect(w, F.col("places"))) == F.size(F.array_distinct(w)))).select("key", "item", "shift")
 
 
-def near_candidates(postings: DataFrame, needs: DataFrame, n_terms: int, slop: int) -> DataFrame:
+def near_candidates(postings: DataFrame, needs: DataFrame, slop: int) -> DataFrame:
     """Distinct (key, item, shift) within slop of both anchors of a window. postings: key, item, place, shift.
 
     Postings of a document and item meet in buckets of 2 * slop + 1 shifts, each told to the bucket after its own too.
@@ -99,7 +101,7 @@ def near_candidates(postings: DataFrame, needs: DataFrame, n_terms: int, slop: i
     own = F.floor(F.col("shift") / (2 * slop + 1))
     dealt = postings.select("key", "item", "place", "shift", F.explode(F.array(own, own + 1)).alias("bucket"))
     lists = dealt.groupBy("key", "item", "bucket").agg(F.collect_set(F.struct("place", "shift")).alias("posted"))
-    lists = sized_join(lists, needs, ["item"], "inner", n_terms)
+    lists = sized_join(lists, needs, ["item"], "inner")
     reach = lambda p: F.array_distinct(F.flatten(F.transform(F.filter("posted", lambda x: x["place"] == p), lambda x: F.sequence(x["shift"] - slop, x["shift"] + slop))))
     held = F.filter("needs", lambda w: F.forall(w, lambda p: F.exists("posted", lambda x: x["place"] == p)))
     both = F.flatten(F.transform(held, lambda w: F.array_intersect(reach(w[0]), reach(F.element_at(w, -1)))))
@@ -119,10 +121,10 @@ def standing(doc: Column, terms: Column, shift: Column, slop: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.size(terms) - 1), there)
 
 
-def matches(flags: str) -> Column:
+def matches(stood: Column) -> Column:
     """Items and starts of the windows whose terms all stand, of what is found in a document."""
-    starts = lambda m: F.filter(F.sequence(F.lit(0), F.size(m[flags]) - m["n"]), lambda s: F.forall(F.slice(m[flags], s + 1, m["n"]), lambda f: f))
-    return F.filter(F.transform("standing", lambda m: F.struct(m["item_id"].alias("item_id"), m["shift"].alias("shift"), m["n"].alias("n"), starts(m).alias("starts"))), lambda m: F.size(m["starts"]) > 0)
+    starts = lambda m: F.filter(F.sequence(F.lit(0), F.size(m["flags"]) - m["n"]), lambda s: F.forall(F.slice(m["flags"], s + 1, m["n"]), lambda f: f))
+    return F.filter(F.transform(stood, lambda m: F.struct(m["item_id"].alias("item_id"), m["shift"].alias("shift"), m["n"].alias("n"), starts(m).alias("starts"))), lambda m: F.size(m["starts"]) > 0)
 
 
 def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, slop: int = 2) -> DataFrame:
@@ -133,20 +135,23 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, slop:
     rows = keyed(docs)
     items = benchmark.select("item_id", words().alias("terms")).filter(F.size("terms") > 0).distinct()
     items = staged(items.withColumn("item", F.monotonically_increasing_id()), "items")
-    found = candidates(rows, items, window, slop)
-    found = sized_join(found, items, ["item"], "inner", items.count())
-    found = staged(found.groupBy("key").agg(F.collect_list(F.struct("item_id", "shift", "terms")).alias("found")), "candidates")
+    postings = postings_of(rows, items)
+    found = candidates(postings, items, window, slop).groupBy("key", "item").agg(F.collect_set("shift").alias("shifts"))
+    found = sized_join(found, items, ["item"], "inner")
+    found = staged(found.groupBy("key").agg(F.collect_list(F.struct("item_id", "shifts", "terms")).alias("found")), "candidates")
     keys = found.select("key")
-    n_keys = keys.count()
+    few = is_small(keys)
     none = [F.array().cast("array<int>").alias("hits"), F.array().cast("array<bigint>").alias("items"), F.array().cast("array<bigint>").alias("near_items")]
-    clean = sized_join(rows, keys, ["key"], "left_anti", n_keys)
-    clean = clean.select("doc_id", "key", n_words().alias("n_words"), *none)
+    clean = sized_join(postings.filter("term = ''"), keys, ["key"], "left_anti", few)
+    clean = clean.select("doc_id", "key", F.col("pos").cast("long").alias("n_words"), *none)
 
-    held = sized_join(rows, keys, ["key"], "left_semi", n_keys) if n_keys <= BROADCAST_ROWS else rows
+    held = rows.join(F.broadcast(keys), "key", "left_semi") if few else rows
     held = held.join(found.hint("shuffle_hash"), "key").withColumn("words", words())
     doc = F.col("words")
-    stand = F.transform("found", lambda c: F.struct(c["item_id"].alias("item_id"), c["shift"].alias("shift"), F.least(F.size(c["terms"]), F.lit(window)).alias("n"), standing(doc, c["terms"], c["shift"], 0).alias("exact"), standing(doc, c["terms"], c["shift"], slop).alias("near")))
-    held = held.withColumn("standing", stand).withColumns({"exact": matches("exact"), "near": matches("near")})
+    size = lambda c: F.least(F.size(c["terms"]), F.lit(window))
+    standing_at = lambda c, near: F.transform(c["shifts"], lambda x: F.struct(c["item_id"].alias("item_id"), x.alias("shift"), size(c).alias("n"), standing(doc, c["terms"], x, near).alias("flags")))
+    held = held.withColumn("exact", matches(F.flatten(F.transform("found", lambda c: standing_at(c, 0)))))
+    held = held.withColumn("near", matches(F.flatten(F.transform("found", lambda c: standing_at(c, slop)))) if slop else F.col("exact"))
     hits = F.flatten(F.transform("exact", lambda m: F.flatten(F.transform(m["starts"], lambda s: F.sequence(m["shift"] + s, m["shift"] + s + m["n"] - 1)))))
     ids = lambda c: F.array_distinct(F.transform(c, lambda m: m["item_id"]))
     dirty = held.select("doc_id", "key", F.size("words").cast("long").alias("n_words"), F.array_distinct(hits).alias("hits"), ids("exact").alias("items"), ids("near").alias("near_items"))
@@ -170,6 +175,7 @@ def proximity(docs: DataFrame, benchmark: DataFrame, window: int = 10, slop: int
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """The documents without any benchmark window, with all their columns."""
-    judged = staged(find_matches(docs, benchmark, window, slop=0).select(F.col("key").alias("__key"), (F.size("hits") > 0).alias("dirty")), "judged")
-    dirty = staged(judged.filter("dirty").select("__key").distinct(), "contaminated")
-    return sized_join(docs.withColumn("__key", F.xxhash64("doc_id", "text")), dirty, ["__key"], "left_anti", dirty.count()).drop("__key")
+    name = fresh_name(docs, "__key")
+    judged = find_matches(docs, benchmark, window, slop=0).filter(F.size("hits") > 0)
+    dirty = staged(judged.select(F.col("key").alias(name)).distinct(), "contaminated")
+    return sized_join(docs.withColumn(name, F.xxhash64("doc_id", "text")), dirty, [name], "left_anti").drop(name)
