@@ -9,23 +9,23 @@ the k largest sums draws k documents without replacement in proportion to their
 
 k is by default the share of labelled documents with quality 1 of all documents, whatever the number of labels;
 `margin` adds standard errors of that share.
-The k-th largest key is found exactly: two approximate quantiles bracket it, the rows above are counted,
-and only those between are ranked.
+The k-th largest key is found exactly, by rounds that count the keys of a shrinking bracket in bins; no task
+ranks more than the few thousand keys of the last bracket.
 
 Defined cases: null or wordless texts have weight 0; documents without a label count in `raw` only;
 labels that repeat a doc_id count with their worst verdict; without any label everything is kept; equal keys
-are ranked by doc_id; an empty table gives an empty result; other columns pass through `keep_good`.
+are ranked by doc_id; rows that repeat doc_id and text share the verdict; texts are read whole, however long; an empty table gives an empty result; other columns pass through `keep_good`.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .batches import U64, chunks, grams, mix, words
-from .common import sized_join, staged, text_or_empty
+from .common import fresh_name, sized_join, staged, text_or_empty
 
 BINS = 1 << 15
 VIEWS = 5
@@ -107,21 +107,51 @@ def log_ratio(docs: DataFrame, smoothing: float = 1.0) -> np.ndarray:
     return np.concatenate(out)
 
 
-def top_k(df: DataFrame, column: str, k: int, ties: str = "doc_id", error: float = 1e-3) -> DataFrame:
-    """Adds `selected`: whether the row is among the k largest by column, ties by the column `ties`. df should be staged."""
+def kth_largest(df: DataFrame, column: str, k: int, few: int = 4096) -> tuple[object, int]:
+    """The k-th largest value of a column without nulls, and how many rows are larger; 1 <= k <= rows.
+
+    Each round counts the rows of a bracket in a thousand bins and goes on with the bin that holds the k-th;
+    a bracket of few rows, or of one value, is settled. The driver sees the bins, and `few` values at most.
+    """
+    bins, above, inside = 1024, 0, df.select(F.col(column).alias("x"))
+    lo, hi, n = inside.agg(F.min("x"), F.max("x"), F.count("x")).first()
+    while lo < hi and n > few:
+        place = F.least(F.floor((F.col("x") - lo) / (F.lit(hi) - lo) * bins).cast("int"), F.lit(bins - 1))
+        counted = inside.filter(F.col("x").between(lo, hi)).groupBy(place.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect()
+        for r in sorted(counted, key=lambda r: -r["lo"]):
+            if above + r["n"] >= k:
+                lo, hi, n = r["lo"], r["hi"], r["n"]
+                break
+            above += r["n"]
+    if lo == hi:
+        return lo, above
+    values = sorted((r["x"] for r in inside.filter(F.col("x").between(lo, hi)).collect()), reverse=True)
+    value = values[k - above - 1]
+    return value, above + values.index(value)
+
+
+def descending(ids: str) -> Column:
+    """Larger for smaller ids, and largest for null."""
+    return F.when(F.col(ids).isNull(), F.lit(str(1 << 63)).cast("decimal(20)")).otherwise(-F.col(ids).cast("decimal(20)"))
+
+
+def top_k(df: DataFrame, column: str, k: int, ties: str = "doc_id") -> DataFrame:
+    """Adds `selected`: whether the row is among the k largest by column, equal ones by the smallest `ties` (null first).
+
+    Rows equal in both share the verdict, so repeated rows at the k-th place all stay. df should be staged.
+    """
     n = df.count()
     if k >= n:
         return df.withColumn("selected", F.lit(True))
-    at = 1 - k / n
-    lo, hi = df.approxQuantile(column, [max(0.0, at - 2 * error), min(1.0, at + 2 * error)], error)
-    above = df.filter(F.col(column) > hi).count()
-    between = df.filter(F.col(column).between(lo, hi))
-    rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col(column).desc(), ties)) + above
-    return (
-        df.filter(F.col(column) > hi).withColumn("selected", F.lit(True))
-        .unionByName(between.withColumn("selected", rank <= k))
-        .unionByName(df.filter(F.col(column) < lo).withColumn("selected", F.lit(False)))
-    )
+    if k <= 0:
+        return df.withColumn("selected", F.lit(False))
+    value, above = kth_largest(df, column, k)
+    place = descending(ties)
+    tied = df.filter(F.col(column) == value).select(place.alias("place"))
+    if tied.count() <= k - above:
+        return df.withColumn("selected", F.col(column) >= value)
+    last, _ = kth_largest(tied, "place", k - above)
+    return df.withColumn("selected", (F.col(column) > value) | ((F.col(column) == value) & (place >= F.lit(last))))
 
 
 def importance_sample(docs: DataFrame, labels: DataFrame, k: int | None = None, margin: float = 0.0, temperature: float = 1.0) -> DataFrame:
@@ -130,7 +160,7 @@ def importance_sample(docs: DataFrame, labels: DataFrame, k: int | None = None,
     good = verdicts.filter("quality = 1 AND coalesce(toxic, 0) = 0").select("doc_id", F.lit(True).alias("good"))
     rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), text_or_empty().alias("text"))
     n_good = good.count()
-    marked = sized_join(rows, good, ["doc_id"], "left", n_good).select("text", F.coalesce("good", F.lit(False)).alias("good"))
+    marked = sized_join(rows, good, ["doc_id"], "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
     ratio = docs.sparkSession.sparkContext.broadcast(log_ratio(marked) if n_good else np.zeros(BINS * VIEWS))
     weighed = rows.mapInArrow(_weigh(ratio), "doc_id long, key long, log_weight double")
     uniform = (F.shiftrightunsigned(F.xxhash64("key", F.lit(8)), 11) + 0.5) / F.lit(float(1 << 53))
@@ -142,6 +172,7 @@ def importance_sample(docs: DataFrame, labels: DataFrame, k: int | None = None,
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The documents that the sample keeps, with all columns."""
-    rejected = staged(importance_sample(docs, labels, **options).filter("NOT selected").select(F.col("key").alias("__key")).distinct(), "rejected")
-    return sized_join(docs.withColumn("__key", F.xxhash64("doc_id", "text")), rejected, ["__key"], "left_anti", rejected.count()).drop("__key")
+    """The documents that the sample keeps, with all columns. Rows equal in doc_id and text share the verdict."""
+    key = fresh_name(docs, "__key")
+    rejected = staged(importance_sample(docs, labels, **options).filter("NOT selected").select(F.col("key").alias(key)).distinct(), "rejected")
+    return sized_join(docs.withColumn(key, F.xxhash64("doc_id", "text")), rejected, [key], "left_anti").drop(key)
