@@ -13,8 +13,9 @@ and inverting that turns the document's place on the demand line into a training
 Range-sorting by position gives the curriculum.
 
 Defined cases: null text has no words; a document without words takes nothing; null is a source of its
-own; rows that repeat a doc_id are ordered by size and each is placed; an empty table gives an empty result;
-other columns pass through `curriculum`.
+own; rows that repeat a doc_id are ordered by size and each is placed; words are counted in whole texts, however
+long; an empty table gives an empty result; other columns pass through `curriculum`. One row per source is ranked in
+one task: a million sources take some hundred megabytes there.
 """
 
 from __future__ import annotations
@@ -24,6 +25,9 @@ from pyspark.sql import functions as F
 
 from .common import n_raw_words
 
+#: Rows of a bucket of a source, at most about.
+BUCKET_ROWS = 20_000
+
 #: Weights by order of the source, repeating.
 WEIGHTS = (3, 1, 2)
 
@@ -71,11 +75,16 @@ def position_of(demand: Column, order: Column, schedules=SCHEDULES) -> Column:
     return out
 
 
-def mix(docs: DataFrame, budget=(3, 2), max_epochs: int = 2, weights=WEIGHTS, schedules=SCHEDULES, prefix: int = 3, carry: bool = False) -> DataFrame:
+def mix(docs: DataFrame, budget=(3, 2), max_epochs: int = 2, weights=WEIGHTS, schedules=SCHEDULES, prefix: int | None = None, carry: bool = False) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, taken, copies, positions (one per copy).
 
-    prefix: hex digits of the hash that make a bucket. carry: adds the whole input row as a struct, `row`.
+    prefix: hex digits of the hash that make a bucket, by default as many as keep a bucket of the largest possible
+    source at some BUCKET_ROWS rows. carry: adds the whole input row as a struct, `row`.
     """
+    if prefix is None:
+        rows, prefix = docs.count(), 2
+        while rows > BUCKET_ROWS << (4 * prefix):
+            prefix += 1
     row = [F.struct(*[F.col(c) for c in docs.columns]).alias("row")] if carry else []
     rows = docs.select("doc_id", "source", *row, n_raw_words().alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("place"))
     # A key without null, so that the sort by bucket and the join below share one partitioning.
@@ -97,7 +106,16 @@ def mix(docs: DataFrame, budget=(3, 2), max_epochs: int = 2, weights=WEIGHTS, sc
     return both.select("doc_id", "source", *["row"] * carry, "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "positions")
 
 
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """One row per document, as mix gives them, range-sorted by first training position; documents that take no part stand last."""
+    first = F.get("positions", F.lit(0))
+    return mix(docs, **options).withColumn("position", first).orderBy(F.col("position").asc_nulls_last(), "doc_id")
+
+
 def curriculum(docs: DataFrame, **options) -> DataFrame:
-    """The mixed corpus: each taken copy as a row with all columns of docs, range-sorted by training position."""
+    """The mixed corpus: each taken copy as a row with all columns of docs, range-sorted by training position.
+
+    Written out, the order of files and of rows in them is the order of training.
+    """
     out = mix(docs, carry=True, **options).select("row", F.posexplode("positions").alias("epoch", "position"))
     return out.orderBy("position", "row.doc_id", "epoch").select("row.*")

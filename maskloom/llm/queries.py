@@ -11,7 +11,7 @@ from .decontaminate import contamination, proximity
 from .exact import exact_groups
 from .language import identify
 from .minhash import near_duplicates
-from .mixing import mix
+from .mixing import mixed
 from .pii import PLAIN, SCORES, find_pii, pii_digest
 from .quality import importance_sample
 from .sharding import assign_shards
@@ -36,8 +36,8 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
-    return out.select("doc_id", "size", "source_size", "target", "taken", "copies", F.round(F.get("positions", F.lit(0)), 6).alias("first_position"))
+    out = mixed(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return out.select("doc_id", "size", "source_size", "target", "taken", "copies", F.round("position", 6).alias("first_position"))
 
 
 OP10_SQL = r"""
@@ -125,7 +125,7 @@ FROM t LEFT JOIN g USING (doc_id)
 
 
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=4)
 
 
 OP3_SQL = r"""
