@@ -32,8 +32,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .batches import U64, chunks, flat, grams, mix, powers, words
-from .common import BROADCAST_ROWS, sized_join, staged, text_or_empty
-from .suffixes import keyed, sliding_min
+from .common import sized_join, spread_join, staged, text_or_empty
+from .suffixes import keyed, of_keys, sliding_min
 
 WINDOW, GRAM = 20, 8
 
@@ -169,9 +169,7 @@ def _whole(batches):
 def _with_texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """Texts of the wanted keys, joined with what is wanted of them. Only those texts are moved, if the keys are few enough to be sent round."""
     wanted = staged(wanted, "wanted")
-    n = wanted.count()
-    held = sized_join(rows, wanted.select("key"), ["key"], "left_semi", n) if n <= BROADCAST_ROWS else rows
-    return held.join(wanted.hint("shuffle_hash"), "key")
+    return of_keys(rows, wanted.select("key")).join(wanted.hint("shuffle_hash"), "key")
 
 
 def matched(entries: DataFrame) -> DataFrame:
@@ -213,9 +211,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256 (kept words joined by one space)."""
     rows = keyed(docs)
     spans = staged(repeated_paths(rows).groupBy("key").agg(F.collect_set(F.struct("s", "n")).alias("spans")), "verified")
-    n = spans.count()
     result = "doc_id long, n_words long, n_removed long, kept_sha256 string"
     # A key names doc_id and text, and rows without doc_id have no spans.
-    clean = sized_join(rows, spans.select("key"), ["key"], "left_anti", n).select("doc_id", text_or_empty().alias("text")).mapInArrow(_whole, result)
-    held = sized_join(rows, spans.select("key"), ["key"], "left_semi", n) if n <= BROADCAST_ROWS else rows
-    return clean.unionByName(held.join(spans.hint("shuffle_hash"), "key").select("doc_id", "text", "spans").mapInArrow(_cut, result))
+    clean = sized_join(rows, spans.select("key"), ["key"], "left_anti").select("doc_id", text_or_empty().alias("text")).mapInArrow(_whole, result)
+    return clean.unionByName(of_keys(rows, spans.select("key")).join(spans.hint("shuffle_hash"), "key").select("doc_id", "text", "spans").mapInArrow(_cut, result))

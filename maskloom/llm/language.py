@@ -13,7 +13,7 @@ gives its first bytes only, a sixteenth of `sample_bytes` at most and what is le
 such a text has a sample, however long one text is. Counting runs in Spark and the model's size is bounded by the sample. Scoring reads every whole text.
 
 Defined cases: null texts and texts without a letter give `und` with score 0; if nothing can be learned, so does every text;
-ties go to the language whose name sorts first; null doc_ids are not held out; repeated rows are each
+ties go to the language whose name sorts first; every text is scored whole, however long; null doc_ids are not held out; repeated rows are each
 scored; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -72,7 +72,8 @@ def training_counts(docs: DataFrame, per_language: int, sample_bytes: int) -> Da
     """lang, key (three bytes of context and their successor), n over the sample."""
     known = docs.filter(~held_out() & (F.octet_length("text") > 0) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull())
     keys = known.select("doc_id", "lang", F.least(F.octet_length("text"), F.lit(max(sample_bytes // STRETCHES, 1))).alias("bytes"), F.xxhash64("doc_id").alias("place"))
-    # First within slices of a language, so that no task ranks a whole language.
+    # First within slices of a language, so that no task ranks a whole language: the second window sees at most
+    # SLICES * per_language rows (id and length) of one.
     part = Window.partitionBy("lang", F.pmod("place", F.lit(SLICES))).orderBy("place", "doc_id")
     keys = keys.withColumn("rank", F.row_number().over(part)).filter(F.col("rank") <= per_language)
     order = Window.partitionBy("lang").orderBy("place", "doc_id")
@@ -81,7 +82,7 @@ def training_counts(docs: DataFrame, per_language: int, sample_bytes: int) -> Da
     ids = ids.withColumn("take", F.least("bytes", sample_bytes - F.col("sum") + F.col("bytes")).cast("int")).filter("take > 0")
     ids = staged(ids.groupBy("doc_id", "lang").agg(F.max("take").alias("take")), "sample")
     # One language in a batch: counted text by text within a sorted partition.
-    sample = sized_join(known.select("doc_id", "lang", F.col("text").cast("binary").alias("text")), ids, ["doc_id", "lang"], "inner", ids.count())
+    sample = sized_join(known.select("doc_id", "lang", F.col("text").cast("binary").alias("text")), ids, ["doc_id", "lang"], "inner")
     stretch = F.concat(F.lit(PAD).cast("binary"), F.substring("text", F.lit(1), F.col("take")))
     sample = sample.select("doc_id", "lang", stretch.alias("text"))
     return sample.groupBy("lang", F.pmod(F.xxhash64("doc_id"), F.lit(16)).alias("part")).applyInArrow(_count_group, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))

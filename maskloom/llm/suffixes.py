@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .batches import BYTE_VALUES, U64, chunks, flat, mix, powers
-from .common import BROADCAST_ROWS, sized_join, staged, text_or_empty
+from .common import is_small, sized_join, staged, text_or_empty
 
 WINDOW, Q = 50, 16
 
@@ -308,6 +308,11 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", text_or_empty().alias("text"), F.xxhash64("doc_id", "text").alias("key"))
 
 
+def of_keys(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows with these keys, where the keys are few enough to be sent round; all rows otherwise, for a join that comes anyway."""
+    return rows.join(F.broadcast(keys), "key", "left_semi") if is_small(keys) else rows
+
+
 def covered_spans(rows: DataFrame) -> DataFrame:
     """key, covered (array of packed spans) for each document that loses something. rows: doc_id, text, key."""
     spark = rows.sparkSession
@@ -317,8 +322,7 @@ def covered_spans(rows: DataFrame) -> DataFrame:
     entries = long_enough.mapInArrow(_entries(parts), ENTRIES)
     settled = staged(entries.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(_settle, "key long, covered binary, unsettled binary"), "settled")
     todo = staged(settled.filter("unsettled IS NOT NULL").groupBy("key").agg(F.collect_list("unsettled").alias("unsettled")), "unsettled")
-    n = todo.count()
-    held = sized_join(rows, todo.select("key"), ["key"], "left_semi", n) if n <= BROADCAST_ROWS else rows
+    held = of_keys(rows, todo.select("key"))
     contents = held.join(todo.hint("shuffle_hash"), "key").mapInArrow(_contents(parts), "part int, keys binary, ids binary, s binary, n binary, data binary")
     refined = contents.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(_refine, "key long, covered binary")
     both = settled.filter("covered IS NOT NULL").select("key", "covered").unionByName(refined)
@@ -329,10 +333,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes)."""
     rows = keyed(docs)
     covered = covered_spans(rows)
-    n = covered.count()
     keys = covered.select("key")
     whole = F.col("text").cast("binary")
-    clean = sized_join(rows, keys, ["key"], "left_anti", n).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(whole, 256).alias("kept_sha256"), whole.alias("kept"))
-    held = sized_join(rows, keys, ["key"], "left_semi", n) if n <= BROADCAST_ROWS else rows
-    cut = held.join(covered.hint("shuffle_hash"), "key").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    clean = sized_join(rows, keys, ["key"], "left_anti").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(whole, 256).alias("kept_sha256"), whole.alias("kept"))
+    cut = of_keys(rows, keys).join(covered.hint("shuffle_hash"), "key").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return clean.unionByName(cut)
