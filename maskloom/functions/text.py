@@ -21,26 +21,41 @@ def _nfkc(values: pd.Series) -> pd.Series:
     return values.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
 
+#: White space of ASCII, and the rest of it that has no compatibility form.
+_SPACE = r"[\x09-\x0D\x1C-\x20]"
+_WIDE_SPACE = "[\\u0085\\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000]"
+
+
+def strip(c: Column) -> Column:
+    return F.regexp_replace(c, f"^{_SPACE}+|{_SPACE}+$", "")
+
+
+def plain_token(c: Column) -> Column:
+    """The token of a text of ASCII."""
+    return strip(F.regexp_replace(strip(F.lower(c)), r"[.!?,;:]+$", ""))
+
+
 def nfkc_token(col: str) -> Column:
-    """Built-ins for ASCII; only other rows go through Python."""
+    """Built-ins for ASCII. Python is given the other texts only, and null in the place of these."""
     c = F.col(col)
-    plain = F.trim(F.regexp_replace(F.trim(F.lower(c)), r"[.!?,;:]+$", ""))
-    return F.when(c.rlike(r"[^\x00-\x7F]"), _nfkc_token(c)).otherwise(plain)
+    wide = c.rlike(r"[^\x00-\x7F]")
+    return F.when(wide, _nfkc_token(F.when(wide, c))).otherwise(plain_token(c))
 
 
 def sanitize_label(col: str | Column, most: int = 48) -> Column:
-    """A name that is safe in a path: controls, slashes and unsafe characters become one underscore; never empty."""
+    """A name that is safe to show: controls, slashes and unsafe characters become an underscore, other white space a space; runs of either are one, and it is never empty."""
     c = F.substring(F.col(col) if isinstance(col, str) else col, 1, 1024)
-    c = F.regexp_replace(c, r"[\x00-\x1F\x7F/\\]", "_")
-    c = F.regexp_replace(F.trim(F.regexp_replace(c, " +", " ")), r"[^A-Za-z0-9._-]", "_")
-    c = F.substring(F.regexp_replace(c, "_+", "_"), 1, most)
+    c = F.regexp_replace(F.regexp_replace(c, r"[\x00-\x1F\x7F/\\]", "_"), _WIDE_SPACE, " ")
+    c = F.regexp_replace(F.regexp_replace(c, r"[^A-Za-z0-9 _.+-]", "_"), "_+", "_")
+    c = F.substring(F.regexp_replace(F.trim(F.regexp_replace(c, " +", " ")), "_+", "_"), 1, most)
     return F.when(c.isNull() | (c == ""), "unknown").otherwise(c)
 
 
 def sanitize_any_label(col: str) -> Column:
     """sanitize_label after compatibility normalisation of text that is not ASCII."""
-    c = F.col(col)
-    return F.when(c.rlike(r"[^\x00-\x7F]"), sanitize_label(_nfkc(c))).otherwise(sanitize_label(c))
+    c = F.substring(F.col(col), 1, 1024)
+    wide = c.rlike(r"[^\x00-\x7F]")
+    return sanitize_label(F.when(wide, _nfkc(F.when(wide, c))).otherwise(c))
 
 
 def bound_warning(col: str, most: int = 256) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -132,14 +134,90 @@ def clip_crop_boxes(measured: DataFrame, fraction: float = 0.1, low: int = 2, hi
     return measured.withColumns({"crop_radius": r, "cx0": F.greatest(F.col("x0_incl") - r, F.lit(0)), "cy0": F.greatest(F.col("y0_incl") - r, F.lit(0)), "cx1": F.least(F.col("x1_incl") + 1 + r, F.col("img_w")), "cy1": F.least(F.col("y1_incl") + 1 + r, F.col("img_h"))})
 
 
-def shift_crop(measured: DataFrame, size_w: int, size_h: int) -> DataFrame:
-    """Nearest crop of full size around the box centre that stays in the image and holds the box; null where none does."""
-    w, h = F.least(F.lit(size_w), F.col("img_w")), F.least(F.lit(size_h), F.col("img_h"))
-    want_x, want_y = F.expr("(x0_incl + x1_incl + 1) div 2") - F.expr(f"least({size_w}, img_w) div 2"), F.expr("(y0_incl + y1_incl + 1) div 2") - F.expr(f"least({size_h}, img_h) div 2")
-    x = F.least(F.greatest(want_x, F.lit(0)), F.col("img_w") - w)
-    y = F.least(F.greatest(want_y, F.lit(0)), F.col("img_h") - h)
-    fits = (x <= F.col("x0_incl")) & (y <= F.col("y0_incl")) & (x + w > F.col("x1_incl")) & (y + h > F.col("y1_incl"))
-    return measured.withColumns({"crop_x": F.when(fits, x).cast("int"), "crop_y": F.when(fits, y).cast("int"), "crop_shifted": F.when(fits, (x != want_x) | (y != want_y))})
+@dataclass(frozen=True)
+class ViewConfig:
+    """How much surrounding a verification view shows. The defaults."""
+
+    context_fraction: float = 0.20
+    min_context: int = 0
+    max_context: int = 64
+    crop_multiplier: float = 2.0
+    sigma_fraction: float = 0.15
+    contour: bool = True
+    contour_fraction: float = 0.02
+    min_contour: int = 1
+    max_contour: int = 3
+
+
+REJECTED_VIEW = "crop_cannot_contain_support_and_contour"
+
+
+def _clamp(v: Column, low, high) -> Column:
+    return F.least(F.greatest(v, F.lit(low)), F.lit(high))
+
+
+def _view_plan(measured: DataFrame, config: ViewConfig) -> DataFrame:
+    """Adds support_radius, contour_width, sigma, the required box (nx0 to ny1, inclusive) and the nominal size and origin of the crop.
+
+    A disk reaches its radius along both axes, so the box of the dilated and outlined mask is the mask's box grown by
+    radius and width, cut at the image: containment in a rectangle needs no pixels.
+    """
+    w, h = F.col("x1_incl") - F.col("x0_incl") + 1, F.col("y1_incl") - F.col("y0_incl") + 1
+    longer = F.greatest(w, h)
+    support = _clamp(F.ceil(longer * config.context_fraction).cast("int"), config.min_context, config.max_context)
+    contour = _clamp(F.ceil(longer * config.contour_fraction).cast("int"), config.min_contour, config.max_contour) if config.contour else F.lit(0)
+    grown = F.col("support_radius") + F.col("contour_width")
+    # floor((first + last) / 2 - (n - 1) / 2), in integers: half of a sum, towards minus infinity.
+    centred = lambda a, b, n: F.floor((F.col(a) + F.col(b) + 1 - F.col(n)) / 2).cast("int")
+    return measured.withColumns({
+        "support_radius": support, "contour_width": contour, "sigma": _clamp(longer * config.sigma_fraction, 2.0, 20.0),
+        "nominal_w": F.ceil(w * config.crop_multiplier).cast("int"), "nominal_h": F.ceil(h * config.crop_multiplier).cast("int"),
+    }).withColumns({
+        "nx0": F.greatest(F.col("x0_incl") - grown, F.lit(0)), "ny0": F.greatest(F.col("y0_incl") - grown, F.lit(0)),
+        "nx1": F.least(F.col("x1_incl") + grown, F.col("img_w") - 1), "ny1": F.least(F.col("y1_incl") + grown, F.col("img_h") - 1),
+        "origin_x": centred("x0_incl", "x1_incl", "nominal_w"), "origin_y": centred("y0_incl", "y1_incl", "nominal_h"),
+    })
+
+
+def verification_views(measured: DataFrame, config: ViewConfig = ViewConfig()) -> DataFrame:
+    """Support radius, contour width, blur width and crop (end exclusive, cut at the image) of each candidate's view.
+
+    `status` is rejected, with `view_reason`, where the crop does not hold the whole support and contour.
+    """
+    v = _view_plan(measured, config)
+    cut = lambda c, size: F.greatest(F.lit(0), F.least(F.col(size), c)).cast("int")
+    v = v.withColumns({"cx0": cut(F.col("origin_x"), "img_w"), "cy0": cut(F.col("origin_y"), "img_h"), "cx1": cut(F.col("origin_x") + F.col("nominal_w"), "img_w"), "cy1": cut(F.col("origin_y") + F.col("nominal_h"), "img_h")})
+    held = (F.col("cx0") <= F.col("nx0")) & (F.col("cy0") <= F.col("ny0")) & (F.col("nx1") < F.col("cx1")) & (F.col("ny1") < F.col("cy1"))
+    status = F.when(held, "ready").otherwise("rejected")
+    return v.withColumns({"status": status, "view_reason": F.when(~held, REJECTED_VIEW)}).drop("nominal_w", "nominal_h", "origin_x", "origin_y")
+
+
+def drop_infeasible_views(objects: DataFrame, views: DataFrame, routed_path: bool = True) -> DataFrame:
+    """Objects whose view was not rejected; on the older path, without routing and geometry filter, all stay."""
+    if not routed_path:
+        return objects
+    return objects.join(views.filter("status = 'rejected'").select(*MASK).hint("merge"), MASK, "left_anti")
+
+
+def shift_crop(measured: DataFrame, config: ViewConfig = ViewConfig()) -> DataFrame:
+    """Nearest crop of nominal size, no larger than the image, that holds support and contour; null where none does.
+
+    Adds crop_x, crop_y, crop_w, crop_h and crop_shifted, whether it is not the centred one.
+    """
+    v = _view_plan(measured, config)
+
+    def axis(first: str, last: str, n: str, need0: str, need1: str, size: str) -> tuple[Column, Column]:
+        centred = F.floor((F.col(first) + F.col(last) + 1 - F.col(n)) / 2).cast("int")
+        lower = F.greatest(F.lit(0), F.col(need1) + 1 - F.col(n))
+        upper = F.least(F.col(need0), F.col(size) - F.col(n))
+        start = F.least(F.greatest(F.greatest(F.lit(0), F.least(F.col(size), centred)), lower), upper)
+        return F.when(lower <= upper, start), centred
+
+    v = v.withColumns({"crop_w": F.least("nominal_w", "img_w"), "crop_h": F.least("nominal_h", "img_h")})
+    x, cx = axis("x0_incl", "x1_incl", "crop_w", "nx0", "nx1", "img_w")
+    y, cy = axis("y0_incl", "y1_incl", "crop_h", "ny0", "ny1", "img_h")
+    v = v.withColumns({"crop_x": F.when(y.isNotNull(), x).cast("int"), "crop_y": F.when(x.isNotNull(), y).cast("int"), "crop_shifted": (x != cx) | (y != cy)})
+    return v.withColumn("crop_shifted", F.when(F.col("crop_x").isNotNull(), F.col("crop_shifted"))).drop("nominal_w", "nominal_h", "origin_x", "origin_y")
 
 
 def contact_pages(cand: DataFrame, per_page: int = 12, across: int = 4, most: int = 96) -> DataFrame:
@@ -224,17 +302,3 @@ def score_text(col: str) -> Column:
     """Three decimals, or n/a."""
     c = F.col(col)
     return F.when(c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")), "n/a").otherwise(F.call_function("format_number", c, F.lit("0.000")))
-
-
-def verification_views(measured: DataFrame, fraction: float = 0.05, low: int = 1, high: int = 12, margin: float = 1.5) -> DataFrame:
-    """Support radius, contour width, nominal crop, blur width; the crop is centred on the box and clamped."""
-    w, h = F.col("x1_incl") - F.col("x0_incl") + 1, F.col("y1_incl") - F.col("y0_incl") + 1
-    longer = F.greatest(w, h)
-    clamp = lambda v, a, b: F.least(F.greatest(v, F.lit(a)), F.lit(b))
-    support = clamp(F.ceil(longer * fraction).cast("int"), low, high)
-    contour = clamp(F.ceil(longer * 0.02).cast("int"), 1, 3)
-    sigma = clamp(longer * 0.15, 2.0, 20.0)
-    vw, vh = F.ceil(w * margin).cast("int"), F.ceil(h * margin).cast("int")
-    x, y = F.expr("(x0_incl + x1_incl + 1) div 2") - F.expr(f"cast(ceil((x1_incl - x0_incl + 1) * {margin}D) as int) div 2"), F.expr("(y0_incl + y1_incl + 1) div 2") - F.expr(f"cast(ceil((y1_incl - y0_incl + 1) * {margin}D) as int) div 2")
-    zero = F.lit(0)
-    return measured.withColumns({"support_radius": support, "contour_width": contour, "sigma": sigma, "cx0": F.greatest(x, zero).cast("int"), "cy0": F.greatest(y, zero).cast("int"), "cx1": F.least(x + vw, F.col("img_w")).cast("int"), "cy1": F.least(y + vh, F.col("img_h")).cast("int")})

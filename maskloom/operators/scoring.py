@@ -7,10 +7,12 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import plain_token
+
 KEY = ["image_id", "source_index"]
 
-#: Prompts are few by contract; more are not sent round but refused.
-MOST_PROMPTS = 4096
+#: Prompts that are sent round at once; more are dealt in blocks.
+PROMPT_BLOCK = 4096
 
 
 @dataclass(frozen=True)
@@ -64,12 +66,22 @@ def cosine(a: str, b: str) -> Column:
 
 def score_prompts(cands: DataFrame, prompts: DataFrame) -> DataFrame:
     """Every candidate against every prompt, to six decimals half-even so that ties agree everywhere."""
-    n = prompts.count()
-    if n > MOST_PROMPTS:
-        raise ValueError(f"{n} prompts; at most {MOST_PROMPTS} are scored at once")
-    p = prompts.select("class_order", "class_id", "prompt_index", F.col("embedding").alias("prompt_embedding"))
-    both = cands.crossJoin(F.broadcast(p))
-    return both.select(*KEY, "class_order", "class_id", "prompt_index", F.bround(cosine("embedding", "prompt_embedding"), 6).alias("score"))
+    # Norms are worked out once a row, before vectors meet: a pair costs one dot product.
+    norm = lambda v: F.sqrt(dot(F.col(v), F.col(v)))
+    p = prompts.select("class_order", "class_id", "prompt_index", doubles("embedding").alias("p")).withColumn("p_norm", norm("p"))
+    c = cands.select(*KEY, doubles("embedding").alias("c")).withColumn("c_norm", norm("c"))
+    n, tasks = prompts.count(), int(cands.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    c = c.repartition(tasks, *KEY)
+    # Blocks of prompts that may be sent round; every candidate meets every block.
+    blocks = -(-n // PROMPT_BLOCK)
+    if blocks > 1:
+        p = p.withColumn("block", F.pmod(F.xxhash64("class_order", "prompt_index"), F.lit(blocks)).cast("int"))
+        both = c.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(p.hint("shuffle_hash"), "block")
+    else:
+        both = c.crossJoin(F.broadcast(p))
+    size = F.col("c_norm") * F.col("p_norm")
+    score = F.when(size > 0, F.greatest(F.least(dot(F.col("c"), F.col("p")) / size, F.lit(1.0)), F.lit(-1.0)))
+    return both.select(*KEY, "class_order", "class_id", "prompt_index", F.bround(score, 6).alias("score"))
 
 
 def class_max(scores: DataFrame) -> DataFrame:
@@ -99,17 +111,17 @@ def route_reasons(vectors: DataFrame, policy: RoutePolicy) -> DataFrame:
     mine = F.filter("scores", lambda s: F.array_contains(targets, s["class_id"]))
     top = F.get(F.filter("scores", lambda s: s["rank"] == 1), F.lit(0))["score"]
     # Best-scoring target; ties go to the target list's order.
-    best = F.array_max(F.transform(mine, lambda s: F.struct(s["score"].alias("score"), (-F.array_position(targets, s["class_id"])).alias("place"), s["class_id"].alias("class_id"))))
-    v = vectors.withColumns({"target": best["class_id"], "target_score": best["score"], "target_rank": F.array_min(F.transform(mine, lambda s: s["rank"])), "delta": top - best["score"]})
+    best = F.array_max(F.transform(mine, lambda s: F.struct(s["score"].alias("score"), (-F.array_position(targets, s["class_id"])).alias("place"), s["class_id"].alias("class_id"), s["rank"].alias("rank"))))
+    v = vectors.withColumns({"target": best["class_id"], "target_score": best["score"], "target_rank": best["rank"], "delta": top - best["score"]})
     found = [F.when(F.col("target_rank") == 1, "target_top_1")]
     if policy.top_k is not None:
         found.append(F.when(F.col("target_rank") <= policy.top_k, "target_in_top_k"))
     if policy.margin is not None:
-        found.append(F.when(F.col("delta") <= policy.margin + 1e-12, "within_margin"))
+        found.append(F.when(F.col("delta") <= policy.margin + 1e-12, "target_within_score_margin"))
     if policy.minimum is not None:
-        found.append(F.when(F.col("target_score") >= policy.minimum, "target_minimum"))
+        found.append(F.when(F.col("target_score") >= policy.minimum, "target_exceeded_minimum_score"))
     if policy.uncertain:
-        found.append(F.when(F.col("winner").isin(*policy.uncertain), "uncertain_winner"))
+        found.append(F.when(F.col("winner").isin(*policy.uncertain), "explicitly_uncertain"))
     v = v.withColumn("reasons", F.array_compact(F.array(*found)))
     return v.withColumns({"routed": F.size("reasons") > 0, "reason": F.coalesce(F.get("reasons", F.lit(0)), F.lit("clear_negative"))})
 
@@ -154,8 +166,8 @@ def match_label_rules(vectors: DataFrame, rules: DataFrame, settled: DataFrame)
 
 
 def normalize_token(col: str) -> Column:
-    """Lower case, outer spaces and final punctuation gone. For ASCII; functions.text has the form for other text."""
-    return F.trim(F.regexp_replace(F.trim(F.lower(col)), r"[.!?,;:]+$", ""))
+    """Lower case, outer white space and final punctuation gone. For ASCII; functions.text.nfkc_token has the form for any text."""
+    return plain_token(F.col(col))
 
 
 def map_answer(answer: str = "raw_answer") -> tuple[Column, Column]:

@@ -121,23 +121,41 @@ def measured_of(spark, sf_dir):
     return cand.join(ops.measure_masks(mask_runs(cand)), ["image_id", "source_index"])
 
 
-@query("geo05_verification_views", duck(*BASE) + """,
-m AS (SELECT meas.*, img_w, img_h, x1_incl - x0_incl + 1 AS w, y1_incl - y0_incl + 1 AS h FROM meas JOIN f1 USING (image_id, source_index)),
-v AS (SELECT *, CAST(ceil(w * 1.5e0) AS INT) AS vw, CAST(ceil(h * 1.5e0) AS INT) AS vh, (x0_incl + x1_incl + 1) // 2 - CAST(ceil(w * 1.5e0) AS INT) // 2 AS x, (y0_incl + y1_incl + 1) // 2 - CAST(ceil(h * 1.5e0) AS INT) // 2 AS y FROM m)
-SELECT image_id, source_index, least(greatest(CAST(ceil(greatest(w, h) * 0.05e0) AS INT), 1), 12) AS support_radius, least(greatest(CAST(ceil(greatest(w, h) * 0.02e0) AS INT), 1), 3) AS contour_width,
-  least(greatest(greatest(w, h) * 0.15e0, 2.0e0), 20.0e0) AS sigma, CAST(greatest(x, 0) AS INT) AS cx0, CAST(greatest(y, 0) AS INT) AS cy0, CAST(least(x + vw, img_w) AS INT) AS cx1, CAST(least(y + vh, img_h) AS INT) AS cy1 FROM v""")
+#: Support, contour, required box and crop of every mask, in floating point as the centre is defined.
+VIEWS_SQL = """
+vm AS (SELECT meas.*, img_w, img_h, x1_incl - x0_incl + 1 AS w, y1_incl - y0_incl + 1 AS h, greatest(x1_incl - x0_incl, y1_incl - y0_incl) + 1 AS longer FROM meas JOIN f1 USING (image_id, source_index)),
+vr AS (SELECT *, CAST(least(greatest(ceil(longer * 0.2e0), 0), 64) AS INT) AS support_radius, CAST(least(greatest(ceil(longer * 0.02e0), 1), 3) AS INT) AS contour_width, least(greatest(longer * 0.15e0, 2.0e0), 20.0e0) AS sigma,
+  CAST(ceil(w * 2.0e0) AS INT) AS nw, CAST(ceil(h * 2.0e0) AS INT) AS nh FROM vm),
+vn AS (SELECT *, greatest(x0_incl - support_radius - contour_width, 0) AS nx0, greatest(y0_incl - support_radius - contour_width, 0) AS ny0, least(x1_incl + support_radius + contour_width, img_w - 1) AS nx1, least(y1_incl + support_radius + contour_width, img_h - 1) AS ny1,
+  CAST(floor((x0_incl + x1_incl) / 2.0e0 - (nw - 1) / 2.0e0) AS INT) AS ox, CAST(floor((y0_incl + y1_incl) / 2.0e0 - (nh - 1) / 2.0e0) AS INT) AS oy FROM vr),
+vc AS (SELECT *, greatest(0, least(img_w, ox)) AS cx0, greatest(0, least(img_h, oy)) AS cy0, greatest(0, least(img_w, ox + nw)) AS cx1, greatest(0, least(img_h, oy + nh)) AS cy1 FROM vn),
+views AS (SELECT *, CASE WHEN cx0 <= nx0 AND cy0 <= ny0 AND nx1 < cx1 AND ny1 < cy1 THEN 'ready' ELSE 'rejected' END AS status FROM vc)
+"""
+
+
+def views_of(spark, sf_dir):
+    return obj.verification_views(measured_of(spark, sf_dir))
+
+
+@query("geo05_verification_views", duck(*BASE, VIEWS_SQL) + " SELECT image_id, source_index, support_radius, contour_width, sigma, cx0, cy0, cx1, cy1, status, CASE WHEN status = 'rejected' THEN 'crop_cannot_contain_support_and_contour' END AS view_reason FROM views")
 def geo05(spark, sf_dir):
-    return obj.verification_views(measured_of(spark, sf_dir)).select("image_id", "source_index", "support_radius", "contour_width", "sigma", "cx0", "cy0", "cx1", "cy1")
+    return views_of(spark, sf_dir).select("image_id", "source_index", "support_radius", "contour_width", "sigma", "cx0", "cy0", "cx1", "cy1", "status", "view_reason")
+
+
+@query("flt05_feasible_views", duck(*BASE, ORDERED_SQL, VIEWS_SQL) + " SELECT image_id, source_index, filtered_index FROM kept ANTI JOIN (SELECT image_id, source_index FROM views WHERE status = 'rejected') USING (image_id, source_index)")
+def flt05(spark, sf_dir):
+    kept = obj.assign_filtered_index(judged_of(spark, sf_dir).filter("reason IS NULL"))
+    return obj.drop_infeasible_views(kept, views_of(spark, sf_dir)).select("image_id", "source_index", "filtered_index")
 
 
-@query("geo06_shift_crop", duck(*BASE) + """,
-m AS (SELECT meas.*, img_w, img_h, least(24, img_w) AS w, least(20, img_h) AS h FROM meas JOIN f1 USING (image_id, source_index)),
-t AS (SELECT *, (x0_incl + x1_incl + 1) // 2 - w // 2 AS tx, (y0_incl + y1_incl + 1) // 2 - h // 2 AS ty FROM m),
-s AS (SELECT *, least(greatest(tx, 0), img_w - w) AS x, least(greatest(ty, 0), img_h - h) AS y FROM t),
-f AS (SELECT *, x <= x0_incl AND y <= y0_incl AND x + w > x1_incl AND y + h > y1_incl AS fits FROM s)
-SELECT image_id, source_index, CASE WHEN fits THEN CAST(x AS INT) END AS crop_x, CASE WHEN fits THEN CAST(y AS INT) END AS crop_y, CASE WHEN fits THEN x <> tx OR y <> ty END AS crop_shifted FROM f""")
+@query("geo06_shift_crop", duck(*BASE, VIEWS_SQL) + """,
+sw AS (SELECT *, least(nw, img_w) AS w2, least(nh, img_h) AS h2 FROM vn),
+sc AS (SELECT *, CAST(floor((x0_incl + x1_incl) / 2.0e0 - (w2 - 1) / 2.0e0) AS INT) AS ux, CAST(floor((y0_incl + y1_incl) / 2.0e0 - (h2 - 1) / 2.0e0) AS INT) AS uy,
+  greatest(0, nx1 + 1 - w2) AS lx, least(nx0, img_w - w2) AS hx, greatest(0, ny1 + 1 - h2) AS ly, least(ny0, img_h - h2) AS hy FROM sw),
+sp AS (SELECT *, lx <= hx AND ly <= hy AS fits, least(greatest(greatest(0, least(img_w, ux)), lx), hx) AS px, least(greatest(greatest(0, least(img_h, uy)), ly), hy) AS py FROM sc)
+SELECT image_id, source_index, CASE WHEN fits THEN CAST(px AS INT) END AS crop_x, CASE WHEN fits THEN CAST(py AS INT) END AS crop_y, w2 AS crop_w, h2 AS crop_h, CASE WHEN fits THEN px <> ux OR py <> uy END AS crop_shifted FROM sp""")
 def geo06(spark, sf_dir):
-    return obj.shift_crop(measured_of(spark, sf_dir), 24, 20).select("image_id", "source_index", "crop_x", "crop_y", "crop_shifted")
+    return obj.shift_crop(measured_of(spark, sf_dir)).select("image_id", "source_index", "crop_x", "crop_y", "crop_w", "crop_h", "crop_shifted")
 
 
 @query("scl15_model_dims", duck(*BASE) + """,

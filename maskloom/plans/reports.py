@@ -165,14 +165,3 @@ def set01(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumn("hash", F.md5("props"))
     pick = lambda p: e.filter(p).select("user_id", "event_type", "hash").distinct()
     return ops.findings_diff(pick("value < 20"), pick("value > 5"), strict=False)
-
-
-@query("flt05_feasible_views", duck(*BASE) + """,
-v AS (SELECT meas.*, img_w, img_h, greatest(x0_incl - 2, 0) AS sx0, greatest(y0_incl - 2, 0) AS sy0, least(x1_incl + 3, img_w) AS sx1, least(y1_incl + 3, img_h) AS sy1 FROM meas JOIN f1 USING (image_id, source_index))
-SELECT image_id, source_index, sx1 - sx0 <= 20 AND sy1 - sy0 <= 18 AS feasible FROM v""")
-def flt05(spark, sf_dir):
-    """Whether a mask with two pixels round it fits a view of 20 by 18."""
-    cand = candidates(spark, sf_dir)
-    m = cand.join(masks.measure_masks(mask_runs(cand)), ["image_id", "source_index"])
-    crop = objects.clip_crop_boxes(m, 0.0, 2, 2)
-    return crop.select("image_id", "source_index", ((F.col("cx1") - F.col("cx0") <= 20) & (F.col("cy1") - F.col("cy0") <= 18)).alias("feasible"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as fn
@@ -119,12 +120,17 @@ def scl12(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(fn.split_prompts("text"), "|").alias("prompts"))
 
 
-@query("scl05_safe_labels", r"""
-WITH a AS (SELECT page_id, regexp_replace(left(url, 1024), '[\x00-\x1F\x7F/\\]', '_', 'g') AS t FROM pages),
-b AS (SELECT page_id, left(regexp_replace(regexp_replace(trim(regexp_replace(t, ' +', ' ', 'g')), '[^A-Za-z0-9._-]', '_', 'g'), '_+', '_', 'g'), 48) AS t FROM a)
-SELECT page_id, CASE WHEN t = '' THEN 'unknown' ELSE t END AS label FROM b""")
+_LABEL_SQL = r"""regexp_replace(regexp_replace(regexp_replace(left(t, 1024), '[\x00-\x1F\x7F/\\]', '_', 'g'), '[^A-Za-z0-9 _.+-]', '_', 'g'), '_+', '_', 'g')"""
+
+
+@query("scl05_safe_labels", f"""
+WITH a AS (SELECT 'page' AS kind, page_id AS id, 0 AS turn, url AS t FROM pages UNION ALL SELECT 'turn', conv_id, turn, text FROM conversations),
+b AS (SELECT kind, id, turn, left(trim(regexp_replace({_LABEL_SQL}, ' +', ' ', 'g')), 48) AS t FROM a)
+SELECT kind, id, turn, CASE WHEN t = '' THEN 'unknown' ELSE t END AS label FROM b""")
 def scl05(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", fn.sanitize_label("url").alias("label"))
+    pages = table(spark, sf_dir, "pages").select(F.lit("page").alias("kind"), F.col("page_id").cast("long").alias("id"), F.lit(0).alias("turn"), F.col("url").alias("t"))
+    turns = table(spark, sf_dir, "conversations").select(F.lit("turn").alias("kind"), F.col("conv_id").cast("long").alias("id"), F.col("turn").cast("int").alias("turn"), F.col("text").alias("t"))
+    return pages.unionByName(turns).select("kind", "id", "turn", fn.sanitize_any_label("t").alias("label"))
 
 
 @query("scl06_bounded_warnings", r"SELECT doc_id, left(regexp_replace(text, '[\x00-\x1F\x7F]', ' ', 'g'), 256) AS warning FROM documents")
@@ -191,17 +197,16 @@ def agg21(spark, sf_dir):
 
 
 _PROMPT_ROWS_SQL = """
-pr AS (SELECT conv_id AS request_id, CASE role WHEN 'user' THEN 0 ELSE 1 END AS class_order, text AS prompt, turn FROM conversations),
-pn AS (SELECT request_id, class_order, CAST(row_number() OVER (PARTITION BY request_id, class_order ORDER BY turn, prompt) - 1 AS INT) AS prompt_index, trim(left(prompt, CASE WHEN request_id % 3 = 0 THEN 3 ELSE 700 END)) AS prompt FROM pr)
+pr AS (SELECT conv_id AS request_id, CASE role WHEN 'user' THEN 0 ELSE 1 END AS class_order, turn, pos, w[pos] AS prompt FROM (SELECT *, unnest(range(1, len(w) + 1)) AS pos FROM (SELECT *, string_split_regex(text, '[ \n]') AS w FROM conversations))),
+pn AS (SELECT request_id, class_order, CAST(row_number() OVER (PARTITION BY request_id, class_order ORDER BY turn, pos, prompt) - 1 AS INT) AS prompt_index, prompt FROM pr)
 """
 
 
 def prompt_rows(spark, sf_dir):
-    from pyspark.sql import Window
-
-    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("request_id"), F.when(F.col("role") == "user", 0).otherwise(1).alias("class_order"), F.col("text").alias("prompt"), "turn")
-    n = F.row_number().over(Window.partitionBy("request_id", "class_order").orderBy("turn", "prompt")) - 1
-    return c.withColumn("prompt_index", n).withColumn("prompt", F.trim(F.when(F.col("request_id") % 3 == 0, F.substring("prompt", 1, 3)).otherwise(F.substring("prompt", 1, 700))))
+    """Every word of a conversation as a prompt of its speaker's class."""
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("request_id"), F.when(F.col("role") == "user", 0).otherwise(1).alias("class_order"), "turn", F.posexplode(F.split("text", "[ \n]")).alias("pos", "prompt"))
+    n = F.row_number().over(Window.partitionBy("request_id", "class_order").orderBy("turn", "pos", "prompt")) - 1
+    return c.select("request_id", "class_order", n.alias("prompt_index"), "prompt")
 
 
 @query("win13_duplicate_prompts", "WITH " + _PROMPT_ROWS_SQL + ", f AS (SELECT *, min(prompt_index) OVER (PARTITION BY request_id, class_order, prompt) AS first_index FROM pn) SELECT request_id, class_order, prompt_index, first_index FROM f WHERE first_index < prompt_index")
@@ -211,9 +216,9 @@ def win13(spark, sf_dir):
 
 @query("agg20_prompt_violations", "WITH " + _PROMPT_ROWS_SQL + """,
 f AS (SELECT *, min(prompt_index) OVER (PARTITION BY request_id, class_order, prompt) AS first_index, count(*) OVER (PARTITION BY request_id, class_order) AS n_class, count(*) OVER (PARTITION BY request_id) AS n FROM pn),
-v AS (SELECT request_id, class_order, CASE WHEN n_class > 5 THEN 'too_many_prompts' WHEN prompt = '' THEN 'empty_prompt' WHEN length(prompt) > 300 THEN 'prompt_too_long' WHEN first_index < prompt_index THEN 'duplicate_prompt' WHEN n > 8 THEN 'too_many_total' END AS violation,
-  CASE WHEN n_class > 5 THEN 0 ELSE prompt_index + 1 END AS b FROM f)
+v AS (SELECT request_id, class_order, CASE WHEN n_class > 400 THEN 'too_many_prompts' WHEN prompt = '' THEN 'empty_prompt' WHEN length(prompt) > 14 THEN 'prompt_too_long' WHEN first_index < prompt_index THEN 'duplicate_prompt' WHEN n > 700 THEN 'too_many_total' END AS violation,
+  CASE WHEN n_class > 400 THEN 0 ELSE prompt_index + 1 END AS b FROM f)
 SELECT request_id, violation, CAST(CASE WHEN violation = 'too_many_total' THEN 0 ELSE class_order END AS INT) AS class_order FROM v WHERE violation IS NOT NULL
 QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY violation = 'too_many_total', class_order, b) = 1""")
 def agg20(spark, sf_dir):
-    return fn.prompt_violations(prompt_rows(spark, sf_dir), 32, 5, 8, 300)
+    return fn.prompt_violations(prompt_rows(spark, sf_dir), 32, 400, 700, 14)

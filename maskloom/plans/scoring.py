@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.text import nfkc_token
 from ..operators import scoring as ops
 from .base import query
-from .fixtures import CANDS_SQL, PROMPTS_SQL, duck, prompts, scored_candidates
+from .fixtures import CANDS_SQL, PROMPTS_SQL, duck, prompts, scored_candidates, table
 
 POLICY = ops.RoutePolicy(targets=("c3", "c1"), uncertain=("c5",), top_k=2, margin=0.05, minimum=0.3, cap=4)
 RULES = [
@@ -26,10 +27,10 @@ cls AS (SELECT image_id, source_index, class_order, class_id, max(score) AS scor
 ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY image_id, source_index ORDER BY score DESC, class_order) AS INT) AS rank FROM cls)
 """
 ROUTES_SQL = """
-tgt AS (SELECT image_id, source_index, arg_max(class_id, [score, CASE class_id WHEN 'c3' THEN -1 ELSE -2 END]) AS target, max(score) AS target_score, min(rank) AS target_rank FROM ranked WHERE class_id IN ('c3', 'c1') GROUP BY ALL),
+tgt AS (SELECT image_id, source_index, arg_max(class_id, [score, CASE class_id WHEN 'c3' THEN -1 ELSE -2 END]) AS target, max(score) AS target_score, arg_max(rank, [score, CASE class_id WHEN 'c3' THEN -1 ELSE -2 END]) AS target_rank FROM ranked WHERE class_id IN ('c3', 'c1') GROUP BY ALL),
 win AS (SELECT image_id, source_index, class_id AS winner, score AS top FROM ranked WHERE rank = 1),
 rts AS (SELECT *, top - target_score AS delta, list_filter([CASE WHEN target_rank = 1 THEN 'target_top_1' END, CASE WHEN target_rank <= 2 THEN 'target_in_top_k' END,
-   CASE WHEN top - target_score <= 0.05e0 + 1e-12 THEN 'within_margin' END, CASE WHEN target_score >= 0.3e0 THEN 'target_minimum' END, CASE WHEN winner = 'c5' THEN 'uncertain_winner' END], lambda x: x IS NOT NULL) AS reasons
+   CASE WHEN top - target_score <= 0.05e0 + 1e-12 THEN 'target_within_score_margin' END, CASE WHEN target_score >= 0.3e0 THEN 'target_exceeded_minimum_score' END, CASE WHEN winner = 'c5' THEN 'explicitly_uncertain' END], lambda x: x IS NOT NULL) AS reasons
   FROM win LEFT JOIN tgt USING (image_id, source_index)),
 routed AS (SELECT *, len(reasons) > 0 AS routed, coalesce(reasons[1], 'clear_negative') AS reason FROM rts),
 placed AS (SELECT *, row_number() OVER (PARTITION BY image_id, routed ORDER BY target_score DESC NULLS LAST, source_index) AS place FROM routed),
@@ -39,8 +40,16 @@ capped AS (SELECT image_id, source_index, winner, top, target, target_score, rou
 SCORING = (PROMPTS_SQL, CANDS_SQL, SCORES_SQL)
 ROUTING = (*SCORING, RANKED_SQL, ROUTES_SQL)
 
-ANSWERS = ["Yes", " no! ", "YES.", "maybe?", "No", "yes and no"]
-ANSWERS_SQL = "(['Yes', ' no! ', 'YES.', 'maybe?', 'No', 'yes and no'])[(image_id * 10 + source_index) % 6 + 1]"
+#: Raw answers, some with tabs and line ends around them.
+ANSWERS = ["Yes", " no! ", "YES.", "maybe?", "No", "yes and no", "Yes\n", "\t no.\r\n"]
+ANSWERS_SQL = "(['Yes', ' no! ', 'YES.', 'maybe?', 'No', 'yes and no', 'Yes' || chr(10), chr(9) || ' no.' || chr(13) || chr(10)])[(image_id * 10 + source_index) % 8 + 1]"
+
+
+def token_sql(text: str) -> str:
+    """Outer white space gone, final punctuation gone, white space before it gone."""
+    space = r"[\x09-\x0D\x1C-\x20]"
+    stripped = lambda t: f"regexp_replace({t}, '^{space}+|{space}+$', '', 'g')"
+    return stripped(f"regexp_replace({stripped(f'lower({text})')}, '[.!?,;:]+$', '')")
 
 
 def scores_of(spark, sf_dir):
@@ -56,7 +65,7 @@ def routes_of(spark, sf_dir):
 
 
 def with_answers(matches):
-    at = (F.col("image_id") * 10 + F.col("source_index")) % 6
+    at = (F.col("image_id") * 10 + F.col("source_index")) % len(ANSWERS)
     return matches.withColumn("raw_answer", F.get(F.array(*[F.lit(a) for a in ANSWERS]), at.cast("int")))
 
 
@@ -111,7 +120,7 @@ def top01(spark, sf_dir):
 
 _VERIFIED_SQL = f"""
 vq AS (SELECT *, {ANSWERS_SQL} AS raw_answer, CAST(row_number() OVER (PARTITION BY image_id ORDER BY source_index) AS INT) AS question_number FROM capped WHERE verify AND target IN ('c1', 'c3')),
-vt AS (SELECT *, trim(regexp_replace(trim(lower(raw_answer)), '[.!?,;:]+$', '')) AS tok FROM vq),
+vt AS (SELECT *, {token_sql('raw_answer')} AS tok FROM vq),
 va AS (SELECT *, CASE tok WHEN 'yes' THEN 'true' WHEN 'no' THEN 'false' ELSE 'unmatched_answer' END AS status, CASE WHEN tok = 'yes' THEN target ELSE 'other' END AS new_label FROM vt)
 """
 
@@ -131,9 +140,10 @@ def scl02(spark, sf_dir):
     return verified_of(spark, sf_dir).select("image_id", "source_index", "raw_answer", status.alias("status"), label.alias("new_label"))
 
 
-@query("scl01_normalized_tokens", duck(CANDS_SQL) + f" SELECT image_id, source_index, trim(regexp_replace(trim(lower({ANSWERS_SQL})), '[.!?,;:]+$', '')) AS token FROM cands")
+#: Casefolding differs from lower case in one letter of the given texts, and none of their letters has another compatibility form.
+@query("scl01_normalized_tokens", f"SELECT conv_id, turn, {token_sql("replace(text, 'ß', 'ss')")} AS token FROM conversations")
 def scl01(spark, sf_dir):
-    return with_answers(scored_candidates(spark, sf_dir)).select("image_id", "source_index", ops.normalize_token("raw_answer").alias("token"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", nfkc_token("text").alias("token"))
 
 
 @query("scl03_substring_answers", duck(*ROUTING, _VERIFIED_SQL) + """
@@ -166,7 +176,7 @@ def jon03(spark, sf_dir):
 
 
 @query("jon04_label_rules", duck(*ROUTING) + f"""
-SELECT image_id, source_index, winner, winner AS rule_name FROM capped WHERE winner IN ('c1', 'c3') AND NOT (top <= 0.2 AND trim(regexp_replace(trim(lower({ANSWERS_SQL})), '[.!?,;:]+$', '')) IN ('yes', 'no'))""")
+SELECT image_id, source_index, winner, winner AS rule_name FROM capped WHERE winner IN ('c1', 'c3') AND NOT (top <= 0.2 AND {token_sql(ANSWERS_SQL)} IN ('yes', 'no'))""")
 def jon04(spark, sf_dir):
     v, rules = ops.score_vector(ranked_of(spark, sf_dir)), ops.rules_table(spark, RULES)
     asked = with_answers(ops.match_threshold_rules(v, rules))
