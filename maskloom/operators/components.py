@@ -1,99 +1,254 @@
-"""Connected parts of masks: runs are nodes, touching runs of neighbouring columns are edges."""
+"""Connected parts of masks, their outer boundaries and chords.
+
+A mask's runs fit one image, so Spark deals whole masks to tasks and sorts them there; inside a task numpy works on
+all masks of an Arrow batch at once. Runs are found by one sorted key of mask, column and row, so neighbours
+and pixels are looked up by bisection, and no pixel raster is built.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import staged
-from .masks import MASK, measure_masks, merge_runs
+from .masks import MASK
 
+#: Columns and rows of a key lie below 2**21 and are moved up a little, as padded boxes begin at -1.
+BITS, PAD = 21, 4
 
-#: Rows and columns may be negative by a little, in padded boxes; a node's number stays positive.
-SHIFT, PAD = 1 << 20, 4
+#: Pixels of rays that are looked up at once.
+RAY_PIXELS = 1 << 22
 
 
-def node_of() -> Column:
-    return (F.col("col").cast("long") + PAD) * SHIFT + F.col("r0") + PAD
+def place(group: np.ndarray, col: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """One number that sorts by group, column and row."""
+    return (group.astype(np.int64) << (2 * BITS)) | ((col.astype(np.int64) + PAD) << BITS) | (row.astype(np.int64) + PAD)
 
 
-def run_edges(runs: DataFrame, keys: list[str], corners: bool) -> DataFrame:
-    """Pairs of runs in neighbouring columns that touch, by corners too or by sides only."""
-    node = node_of()
-    a = runs.select(*keys, node.alias("u"), (F.col("col") + 1).alias("next"), F.col("r0").alias("a0"), F.col("r1").alias("a1"))
-    b = runs.select(*keys, node.alias("v"), F.col("col").alias("next"), F.col("r0").alias("b0"), F.col("r1").alias("b1"))
-    return a.join(b, [*keys, "next"]).filter("b0 <= a1 AND a0 <= b1" if corners else "b0 < a1 AND a0 < b1").select(*keys, "u", "v")
+def node_of(col: np.ndarray, r0: np.ndarray) -> np.ndarray:
+    return ((col.astype(np.int64) + PAD) << BITS) | (r0.astype(np.int64) + PAD)
 
 
-def mask_components(runs: DataFrame, keys: list[str] = MASK, corners: bool = True, most_rounds: int = 40) -> DataFrame:
-    """Each run with its component, named by its least node.
+def spread(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs (i, k) with lo[i] <= k < hi[i]."""
+    n = np.maximum(hi - lo, 0)
+    i = np.repeat(np.arange(len(n)), n)
+    return i, np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
 
-    Alternating steps link larger neighbours to the least node of a neighbourhood; rounds grow with the
-    logarithm of a mask's width. Every round is written to the shared folder.
-    """
-    edges = staged(run_edges(runs, keys, corners).select(*keys, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "run-edges")
-    before = None
-    for _ in range(most_rounds):
-        # Settled when a round changes nothing: one scan tells.
-        now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("*").cast("decimal(38,0)"))).first())
-        if now == before:
+
+def overlapping(group, col, r0, r1, at_group, at_col, a0, a1) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (query, run) where a run of the query's group and column meets the rows a0 to a1; runs are sorted and disjoint in a column."""
+    first = np.searchsorted(place(group, col, r1 - 1), place(at_group, at_col, a0), "left")
+    last = np.searchsorted(place(group, col, r0), place(at_group, at_col, a1 - 1), "right")
+    return spread(first, last)
+
+
+def labels(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The least index of each node's component."""
+    label = np.arange(n)
+    while len(u):
+        low = np.minimum(label[u], label[v])
+        before = label.copy()
+        # A node's old label is told the lower one too, and chains are cut short.
+        for x in (u, v, before[u], before[v]):
+            np.minimum.at(label, x, low)
+        label = label[label]
+        apart = label[u] != label[v]
+        if not apart.any() and np.array_equal(label, before):
             break
-        before = now
-        both = edges.unionByName(edges.select(*keys, F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy(*keys, "u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.filter("v > u").join(least, [*keys, "u"]).select(*keys, F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        down = large.select(*keys, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v")
-        low = down.groupBy(*keys, "u").agg(F.min("v").alias("m"))
-        moved = down.join(low, [*keys, "u"]).select(*keys, F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-        edges = staged(moved.unionByName(low.select(*keys, "u", F.col("m").alias("v"))).distinct(), "run-edges")
-    else:
-        raise RuntimeError(f"no components after {most_rounds} rounds")
-    named = runs.withColumn("u", node_of()).join(edges, [*keys, "u"], "left")
-    return named.select(*keys, "col", "r0", "r1", F.coalesce("v", "u").alias("component"))
+        u, v = (u[apart], v[apart]) if apart.any() else (u, v)
+    while not np.array_equal(label, label[label]):
+        label = label[label]
+    return label
 
 
-def external_boundary(parts: DataFrame) -> DataFrame:
-    """Runs of each component's pixels that are 8-adjacent to background which reaches the border of its padded box by sides.
+def touching(group, col, r0, r1, corners: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of runs in neighbouring columns that touch, by corners too or by sides only."""
+    by = 1 if corners else 0
+    return overlapping(group, col, r0, r1, group, col + 1, r0 - by, r1 + by)
+
+
+def numbered(table: pa.Table, keys: list[str]) -> np.ndarray:
+    """Number of the group of each row; equal keys stand together."""
+    new = np.zeros(table.num_rows, bool)
+    new[:1] = True
+    for k in keys:
+        x = table.column(k).to_numpy()
+        new[1:] |= x[1:] != x[:-1]
+    return np.cumsum(new) - 1
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Batches cut between groups: rows of the last group of a batch wait for the next one."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        table = table if held is None else pa.concat_tables([held, table])
+        group = numbered(table, keys)
+        cut = int(np.searchsorted(group, group[-1]))
+        held = table.slice(cut)
+        if cut:
+            yield table.slice(0, cut).combine_chunks()
+    if held is not None:
+        yield held.combine_chunks()
+
+
+def per_group(df: DataFrame, keys: list[str], order: list[str], work: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """Apply work to tables of whole groups, sorted by keys and order."""
+
+    def run(batches):
+        for table in whole_groups(batches, keys):
+            yield from work(table).to_batches()
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+
+
+def _columns(table: pa.Table, *names: str) -> list[np.ndarray]:
+    return [table.column(c).to_numpy() for c in names]
+
+
+def _schema(df: DataFrame, keys: list[str]) -> str:
+    return ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
+
+
+def mask_components(runs: DataFrame, keys: list[str] = MASK, corners: bool = True) -> DataFrame:
+    """Each run with its component, named by its least node. Runs of a mask and column are disjoint."""
+
+    def work(table: pa.Table) -> pa.Table:
+        group = numbered(table, keys)
+        col, r0, r1 = _columns(table, "col", "r0", "r1")
+        label = labels(len(col), *touching(group, col, r0, r1, corners))
+        return table.select([*keys, "col", "r0", "r1"]).append_column("component", pa.array(node_of(col, r0)[label]))
+
+    return per_group(runs.select(*keys, "col", "r0", "r1"), keys, ["col", "r0"], work, f"{_schema(runs, keys)}, col int, r0 int, r1 int, component long")
+
+
+def background(group, col, r0, r1) -> tuple[np.ndarray, ...]:
+    """Gaps (group, col, r0, r1) between the runs of each column of each group's box, padded by one on all sides."""
+    n = int(group[-1]) + 1
+    low, high = np.full((2, n), np.iinfo(np.int64).max), np.full((2, n), np.iinfo(np.int64).min)
+    for k, (a, b) in enumerate(((col, col), (r0, r1))):
+        np.minimum.at(low[k], group, a)
+        np.maximum.at(high[k], group, b)
+    g, c = spread(low[0] - 1, high[0] + 2)
+    lo, hi = low[1][g] - 1, high[1][g] + 1
+    starts = np.sort(np.concatenate([place(g, c, lo), place(group, col, r1)]))
+    stops = np.sort(np.concatenate([place(g, c, hi), place(group, col, r0)]))
+    row = (1 << BITS) - 1
+    out = starts >> (2 * BITS), ((starts >> BITS) & row) - PAD, (starts & row) - PAD, (stops & row) - PAD
+    some = out[2] < out[3]
+    return tuple(x[some] for x in out)
+
+
+def merged(group, col, r0, r1) -> tuple[np.ndarray, ...]:
+    """Union of the intervals of each group and column; touching ones become one."""
+    start, end = place(group, col, r0), place(group, col, r1)
+    order = np.argsort(start, kind="stable")
+    start, end = start[order], np.maximum.accumulate(end[order])
+    # Ends grow with groups and columns, so the running maximum crosses no column.
+    new = np.concatenate([[True], start[1:] > end[:-1]]) if len(start) else np.zeros(0, bool)
+    at = np.flatnonzero(new)
+    s, e = start[at], end[np.append(at[1:], len(start)) - 1] if len(at) else end[:0]
+    row = (1 << BITS) - 1
+    return s >> (2 * BITS), ((s >> BITS) & row) - PAD, (s & row) - PAD, (e & row) - PAD
+
+
+def boundary_of(group, col, r0, r1) -> tuple[np.ndarray, ...]:
+    """Runs of the pixels of each group that are 8-adjacent to background which reaches the border of its padded box by sides."""
+    g, c, a, b = background(group, col, r0, r1)
+    label = labels(len(g), *touching(g, c, a, b, False))
+    # The padded ring is one region, and a group's first gap is in it.
+    first = np.searchsorted(g, np.arange(int(g[-1]) + 1))
+    outer = label == label[first[g]]
+    g, c, a, b = (x[outer] for x in (g, c, a, b))
+    found = []
+    for step in (-1, 0, 1):
+        q, k = overlapping(group, col, r0, r1, g, c + step, a - 1, b + 1)
+        found.append((group[k], col[k], np.maximum(r0[k], a[q] - 1), np.minimum(r1[k], b[q] + 1)))
+    return merged(*(np.concatenate(x) for x in zip(*found, strict=True)))
 
-    parts: the mask keys, component, col, r0, r1 (what mask_components returns).
-    """
+
+def external_boundary(parts: DataFrame) -> DataFrame:
+    """Runs of each component's outer boundary. parts: the mask keys, component, col, r0, r1 (what mask_components returns)."""
     keys = [*MASK, "component"]
-    box = parts.groupBy(*keys).agg(F.min("col").alias("c0"), F.max("col").alias("c1"), F.min("r0").alias("b0"), F.max("r1").alias("b1"))
-    columns = box.select(*keys, F.explode(F.sequence(F.col("c0") - 1, F.col("c1") + 1)).alias("col"), (F.col("b0") - 1).alias("lo"), (F.col("b1") + 1).alias("hi"))
-    # Background of a column: the gaps between its runs, from one above to one below the box.
-    ends = parts.groupBy(*keys, "col").agg(F.array_sort(F.collect_list(F.struct("r0", "r1"))).alias("runs"))
-    held = columns.join(ends, [*keys, "col"], "left").withColumn("runs", F.coalesce("runs", F.array().cast("array<struct<r0:int,r1:int>>")))
-    starts = F.concat(F.array("lo"), F.transform("runs", lambda x: x["r1"]))
-    stops = F.concat(F.transform("runs", lambda x: x["r0"]), F.array("hi"))
-    gaps = held.select(*keys, "col", F.inline(F.filter(F.zip_with(starts, stops, lambda a, b: F.struct(a.alias("r0"), b.alias("r1"))), lambda g: g["r0"] < g["r1"])))
-    named = mask_components(staged(gaps, "background").withColumnRenamed("component", "part"), [*MASK, "part"], corners=False).withColumnRenamed("component", "region")
-    # The padded ring is one region, and its first column begins with the least node of the box.
-    outside = named.groupBy(*MASK, "part").agg(F.min("region").alias("region"))
-    outer = named.join(outside, [*MASK, "part", "region"]).select(*MASK, F.col("part").alias("component"), F.explode(F.array(F.col("col") - 1, F.col("col"), F.col("col") + 1)).alias("col"), (F.col("r0") - 1).alias("o0"), (F.col("r1") + 1).alias("o1"))
-    touching = outer.join(parts, [*keys, "col"]).filter("o0 < r1 AND r0 < o1")
-    return merge_runs(touching.select(*keys, "col", F.greatest("r0", "o0").alias("r0"), F.least("r1", "o1").alias("r1")), keys)
-
-
-def chord_stats(boundary: DataFrame, runs: DataFrame, fraction: float = 0.2, low: int = 1, high: int = 16) -> DataFrame:
+
+    def work(table: pa.Table) -> pa.Table:
+        group = numbered(table, keys)
+        g, c, a, b = boundary_of(group, *_columns(table, "col", "r0", "r1"))
+        of = pa.array(np.searchsorted(group, g))
+        made = {"col": c, "r0": a, "r1": b}
+        return pa.table({**{k: table.column(k).take(of) for k in keys}, **{k: pa.array(x.astype(np.int32)) for k, x in made.items()}})
+
+    return per_group(parts.select(*keys, "col", "r0", "r1"), keys, ["col", "r0"], work, f"{_schema(parts, MASK)}, component long, col int, r0 int, r1 int")
+
+
+def ray_ends(px, py, x, y, box) -> tuple[np.ndarray, np.ndarray]:
+    """Pixel at which the ray from each boundary pixel through the centroid leaves the box; the pixel itself, if it is the centroid."""
+    x0, y0, x1, y1 = box
+    vx, vy = x - px, y - py
+    with np.errstate(divide="ignore", invalid="ignore"):
+        tx = np.where(vx > 0, (x1 - px) / vx, np.where(vx < 0, (x0 - px) / vx, np.inf))
+        ty = np.where(vy > 0, (y1 - py) / vy, np.where(vy < 0, (y0 - py) / vy, np.inf))
+    t = np.minimum(np.where(tx >= 1, tx, np.inf), np.where(ty >= 1, ty, np.inf))
+    t = np.where(np.isfinite(t), t, 1.0)
+    end = lambda at, v, lo, hi: np.floor(np.minimum(np.maximum(at + t * v, lo), hi) + 0.5).astype(np.int64)
+    still = (vx == 0) & (vy == 0)
+    return np.where(still, px, end(px, vx, x0, x1)), np.where(still, py, end(py, vy, y0, y1))
+
+
+def pixels_on_rays(group, col, r0, r1, at, px, py, ex, ey) -> np.ndarray:
+    """Pixels of group `at` on the raster line from (px, py) to (ex, ey), half up."""
+    dx, dy = ex - px, ey - py
+    n = np.maximum(np.abs(dx), np.abs(dy))
+    begin, out = place(group, col, r0), np.zeros(len(px), np.int64)
+    cuts = np.searchsorted(np.cumsum(n + 1), np.arange(RAY_PIXELS, int((n + 1).sum()) + RAY_PIXELS, RAY_PIXELS), "left") + 1
+    lo = 0
+    for hi in np.unique(np.minimum(cuts, len(px))):
+        ray, k = spread(np.zeros(hi - lo, np.int64), n[lo:hi] + 1)
+        ray += lo
+        twice = 2 * np.maximum(n[ray], 1)
+        step = lambda d: np.sign(d[ray]) * ((2 * np.abs(d[ray]) * k + twice // 2) // twice)  # noqa: E731, B023
+        c, r = px[ray] + step(dx), py[ray] + step(dy)
+        run = np.searchsorted(begin, place(at[ray], c, r), "right") - 1
+        hit = (run >= 0) & (group[run] == at[ray]) & (col[run] == c) & (r < r1[run])
+        out += np.bincount(ray[hit], minlength=len(px))
+        lo = int(hi)
+    return out
+
+
+def chord_stats(runs: DataFrame, fraction: float = 0.2, low: int = 1, high: int = 16) -> DataFrame:
     """Least, greatest and mean distance of each mask, over its distinct boundary pixels.
 
-    From a boundary pixel a ray goes through the centroid to the edge of the mask's box (if the centroid is
-    the pixel, nowhere). The mask's pixels on its raster line, times fraction, rounded up and clamped, are the distance.
+    From a boundary pixel of any of the mask's components a ray goes through the mask's centroid to the edge of its box.
+    The mask's pixels on its raster line, times fraction, rounded up and clamped, are the distance.
     """
-    m = measure_masks(runs)
-    p = boundary.select(*MASK, F.col("col").alias("px"), F.explode(F.sequence(F.col("r0"), F.col("r1") - 1)).alias("py")).distinct().join(m, MASK)
-    vx, vy = F.col("centroid_col") - F.col("px"), F.col("centroid_row") - F.col("py")
-    reach = lambda v, at, lo, hi: F.when(v > 0, (F.col(hi) - F.col(at)) / v).when(v < 0, (F.col(lo) - F.col(at)) / v)
-    far = F.array_min(F.filter(F.array(reach(vx, "px", "x0_incl", "x1_incl"), reach(vy, "py", "y0_incl", "y1_incl")), lambda t: t >= 1.0))
-    t = F.coalesce(far, F.lit(1.0))
-    end = lambda at, v, lo, hi: F.floor(F.least(F.greatest(F.col(at) + t * v, F.col(lo).cast("double")), F.col(hi).cast("double")) + 0.5).cast("int")
-    still = (vx == 0) & (vy == 0)
-    p = p.withColumns({"ex": F.when(still, F.col("px")).otherwise(end("px", vx, "x0_incl", "x1_incl")), "ey": F.when(still, F.col("py")).otherwise(end("py", vy, "y0_incl", "y1_incl"))})
-    p = p.select(*MASK, "px", "py", (F.col("ex") - F.col("px")).alias("dx"), (F.col("ey") - F.col("py")).alias("dy")).withColumn("n", F.greatest(F.abs("dx"), F.abs("dy")))
-    line = p.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n"))))
-    step = lambda d: F.signum(d).cast("int") * F.expr(f"(2 * abs({d}) * k + greatest(n, 1)) div (2 * greatest(n, 1))").cast("int")
-    line = line.select(*MASK, "px", "py", (F.col("px") + step("dx")).alias("col"), (F.col("py") + step("dy")).alias("row"))
-    on = line.join(runs, [*MASK, "col"]).filter("row >= r0 AND row < r1")
-    per = on.groupBy(*MASK, "px", "py").agg(F.count(F.lit(1)).alias("pixels"))
-    per = per.withColumn("distance", F.least(F.greatest(F.ceil(F.col("pixels") * fraction).cast("int"), F.lit(low)), F.lit(high)))
-    return per.groupBy(*MASK).agg(F.count(F.lit(1)).alias("rays"), F.min("distance").alias("least"), F.max("distance").alias("greatest"), (F.sum("distance").cast("double") / F.count(F.lit(1))).alias("mean"))
+
+    def work(table: pa.Table) -> pa.Table:
+        group = numbered(table, MASK)
+        col, r0, r1 = (x.astype(np.int64) for x in _columns(table, "col", "r0", "r1"))
+        masks, first = int(group[-1]) + 1, np.searchsorted(group, np.arange(int(group[-1]) + 1))
+        # Components of all masks as groups of their own, for the boundary; sorted by component, column and row.
+        part = labels(len(col), *touching(group, col, r0, r1, True))
+        order = np.lexsort((r0, col, part))
+        of, dense = np.unique(part[order], return_inverse=True)
+        g, c, a, b = boundary_of(dense, col[order], r0[order], r1[order])
+        i, py = spread(a, b)
+        at, px = group[of[g[i]]], c[i]
+        area, rows, cols = (np.bincount(group, w, masks) for w in (r1 - r0, (r0 + r1 - 1) * (r1 - r0), col * (r1 - r0)))
+        x, y = cols / area, rows / (area * 2.0)
+        box = [np.minimum.reduceat(col, first), np.minimum.reduceat(r0, first), np.maximum.reduceat(col, first), np.maximum.reduceat(r1, first) - 1]
+        ex, ey = ray_ends(px, py, x[at], y[at], [v[at] for v in box])
+        pixels = pixels_on_rays(group, col, r0, r1, at, px, py, ex, ey)
+        distance = np.clip(np.ceil(pixels * fraction).astype(np.int64), low, high)
+        order = np.argsort(at, kind="stable")
+        starts = np.searchsorted(at[order], np.arange(masks))
+        rays, total = np.bincount(at, minlength=masks), np.bincount(at, distance, masks)
+        stats = {"rays": rays.astype(np.int64), "least": np.minimum.reduceat(distance[order], starts).astype(np.int32), "greatest": np.maximum.reduceat(distance[order], starts).astype(np.int32), "mean": total / rays}
+        return pa.table({**{k: table.column(k).take(pa.array(first)) for k in MASK}, **{k: pa.array(v) for k, v in stats.items()}})
+
+    return per_group(runs.select(*MASK, "col", "r0", "r1"), MASK, ["col", "r0"], work, f"{_schema(runs, MASK)}, rays long, least int, greatest int, mean double")

@@ -5,7 +5,7 @@ All sweeps are keyed by (image_id, ..., col), so they spread over columns of an
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MASK = ["image_id", "source_index"]
@@ -34,10 +34,11 @@ def merge_runs(runs: DataFrame, keys: list[str] | None = None) -> DataFrame:
 def depth_segments(runs: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Maximal row intervals of equal overlap depth per image and column; depth 0 is left out.
 
-    Both events of a run come from one scan, and events at one place are summed before the sweep.
+    Both events of a run come from one scan, and events at one place are summed before the sweep. Runs are dealt by
+    column once; the sums and the sweep stay where the runs are.
     """
     keys = [*(by or ["image_id"]), "col"]
-    events = runs.select(*keys, F.inline(F.array(F.struct(F.col("r0").alias("at"), F.lit(1).alias("d")), F.struct(F.col("r1").alias("at"), F.lit(-1).alias("d")))))
+    events = runs.select(*keys, "r0", "r1").repartition(*keys).select(*keys, F.inline(F.array(F.struct(F.col("r0").alias("at"), F.lit(1).alias("d")), F.struct(F.col("r1").alias("at"), F.lit(-1).alias("d")))))
     events = events.groupBy(*keys, "at").agg(F.sum("d").alias("d")).filter("d <> 0")
     order = Window.partitionBy(*keys).orderBy("at")
     swept = events.withColumns({"depth": F.sum("d").over(order.rowsBetween(Window.unboundedPreceding, 0)), "r1": F.lead("at").over(order)})
@@ -49,9 +50,9 @@ def overlap_histogram(depth: DataFrame, images: DataFrame, most: int = 255) -> D
     px = (F.col("r1") - F.col("r0")).cast("long")
     per = depth.groupBy("image_id", "depth").agg(F.sum(px).alias("px"))
     total = per.groupBy("image_id").agg(F.sum("px").alias("covered"), F.max("depth").alias("max_depth"), F.sum(F.when(F.col("depth") > most, F.col("px")).otherwise(0)).alias("overflow"))
-    full = images.select("image_id", (F.col("img_w").cast("long") * F.col("img_h")).alias("pixels")).join(total, "image_id", "left").na.fill(0, ["covered", "max_depth", "overflow"])
+    full = images.select("image_id", (F.col("img_w").cast("long") * F.col("img_h")).alias("pixels")).join(total.hint("merge"), "image_id", "left").na.fill(0, ["covered", "max_depth", "overflow"])
     full = full.withColumn("depth", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("max_depth"), F.lit(most)).cast("long"))))
-    out = full.join(per, ["image_id", "depth"], "left")
+    out = full.join(per.hint("merge"), ["image_id", "depth"], "left")
     uncovered = F.col("pixels") - F.col("covered")
     return out.select("image_id", "depth", F.when(F.col("depth") == 0, uncovered).otherwise(F.coalesce("px", F.lit(0))).alias("px"), "covered", uncovered.alias("uncovered"), "max_depth", "overflow", (F.col("overflow") > 0).alias("truncated"))
 
@@ -73,7 +74,7 @@ def mask_difference(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def dilate(runs: DataFrame, dims: DataFrame, radius: str = "radius") -> DataFrame:
     """Exact Euclidean disk of whole-number radius, clipped to the image. dims: image_id, source_index, img_w, img_h, radius."""
-    wide = runs.join(dims.select(*MASK, "img_w", "img_h", F.col(radius).alias("radius")), MASK)
+    wide = runs.join(dims.select(*MASK, "img_w", "img_h", F.col(radius).alias("radius")).hint("merge"), MASK)
     wide = wide.withColumn("dx", F.explode(F.sequence(-F.col("radius"), F.col("radius"))))
     dy = F.floor(F.sqrt((F.col("radius") * F.col("radius") - F.col("dx") * F.col("dx")).cast("double"))).cast("int")
     moved = wide.select(*MASK, (F.col("col") + F.col("dx")).alias("col"), F.greatest(F.col("r0") - dy, F.lit(0)).alias("r0"), F.least(F.col("r1") + dy, F.col("img_h")).alias("r1"), "img_w")
@@ -81,32 +82,40 @@ def dilate(runs: DataFrame, dims: DataFrame, radius: str = "radius") -> DataFram
 
 
 def identity_map(objects: DataFrame, runs: DataFrame) -> DataFrame:
-    """Who owns each pixel: the larger object, the smaller instance_id on ties. objects: image_id, source_index, instance_id, area."""
-    own = runs.join(objects.select(*MASK, "instance_id", "area"), MASK)
-    cuts = own.select("image_id", "col", F.explode(F.array("r0", "r1")).alias("at")).distinct()
-    pieces = cuts.withColumn("to", F.lead("at").over(Window.partitionBy("image_id", "col").orderBy("at"))).filter("to IS NOT NULL")
-    over = pieces.join(own, ["image_id", "col"]).filter("r0 <= at AND at < r1")
-    owner = over.groupBy("image_id", "col", "at", "to").agg(F.max_by("instance_id", F.struct("area", -F.col("instance_id"))).alias("instance_id"))
-    return merge_runs(owner.select("image_id", "instance_id", "col", F.col("at").alias("r0"), F.col("to").alias("r1")), ["image_id", "instance_id"])
+    """Who owns each pixel: the larger object, the smaller instance_id on ties. objects: image_id, source_index, instance_id, area.
+
+    A column's runs, one per object and gap at most, become one row; the intervals between their ends are judged and
+    joined in place, so only runs are moved.
+    """
+    own = runs.join(objects.select(*MASK, "instance_id", "area").hint("shuffle_hash"), MASK)
+    per = own.groupBy("image_id", "col").agg(F.collect_list(F.struct("r0", "r1", "area", F.col("instance_id").alias("id"))).alias("rs"))
+    per = per.withColumn("cuts", F.array_sort(F.array_distinct(F.flatten(F.transform("rs", lambda r: F.array(r["r0"], r["r1"]))))))
+    best = lambda at: F.array_max(F.transform(F.filter("rs", lambda r: (r["r0"] <= at) & (at < r["r1"])), lambda r: F.struct(r["area"].alias("area"), (-r["id"]).alias("minus"))))
+    per = per.withColumn("owner", F.transform("cuts", lambda at: -best(at)["minus"]))
+    # Places where the owner changes; nobody owns what follows the last end.
+    changes = F.filter(F.sequence(F.lit(0), F.size("cuts") - 1), lambda i: (i == 0) | ~F.get("owner", i).eqNullSafe(F.get("owner", i - 1)))
+    per = per.withColumn("at", changes)
+    pieces = F.transform("at", lambda i, k: F.struct(F.get("owner", i).alias("instance_id"), F.get("cuts", i).alias("r0"), F.get("cuts", F.get("at", k + 1)).alias("r1")))
+    return per.select("image_id", "col", F.inline(F.filter(pieces, lambda x: x["instance_id"].isNotNull()))).select("image_id", "instance_id", "col", "r0", "r1")
 
 
 def visible_pixels(identity: DataFrame, objects: DataFrame) -> DataFrame:
     """Visible area, first visible pixel in row-major order, and whether an object is wholly hidden."""
     first = F.min(F.struct(F.col("r0").alias("row"), F.col("col").alias("col")))
     seen = identity.groupBy("image_id", "instance_id").agg(F.sum((F.col("r1") - F.col("r0")).cast("long")).alias("visible"), first.alias("first"))
-    out = objects.select("image_id", "instance_id").join(seen, ["image_id", "instance_id"], "left")
+    out = objects.select("image_id", "instance_id").join(seen.hint("merge"), ["image_id", "instance_id"], "left")
     return out.select("image_id", "instance_id", F.coalesce("visible", F.lit(0)).alias("visible"), F.col("first.row").alias("first_row"), F.col("first.col").alias("first_col"), F.col("visible").isNull().alias("hidden"))
 
 
 def runs_to_rle(runs: DataFrame, dims: DataFrame) -> DataFrame:
     """Column-major counts starting with background, 0 if the first pixel is set; [w*h] for an empty mask. dims has one row per mask."""
     h = F.col("img_h").cast("long")
-    flat = runs.join(dims.select(*MASK, "img_h"), MASK).select(*MASK, F.lit(0).alias("col"), (F.col("col") * h + F.col("r0")).alias("r0"), (F.col("col") * h + F.col("r1")).alias("r1"))
+    flat = runs.join(dims.select(*MASK, "img_h").hint("merge"), MASK).select(*MASK, F.lit(0).alias("col"), (F.col("col") * h + F.col("r0")).alias("r0"), (F.col("col") * h + F.col("r1")).alias("r1"))
     flat = merge_runs(flat)
     before = F.coalesce(F.lag("r1").over(Window.partitionBy(*MASK).orderBy("r0")), F.lit(0))
     parts = flat.select(*MASK, "r0", F.array(F.col("r0") - before, F.col("r1") - F.col("r0")).alias("pair"), "r1")
     counts = parts.groupBy(*MASK).agg(F.array_sort(F.collect_list(F.struct("r0", "pair"))).alias("pairs"), F.max("r1").alias("last"))
-    out = dims.join(counts, MASK, "left")
+    out = dims.join(counts.hint("merge"), MASK, "left")
     total = F.col("img_w").cast("long") * h
     body = F.flatten(F.transform("pairs", lambda p: p["pair"]))
     rest = F.when(F.col("last") < total, F.array(total - F.col("last"))).otherwise(F.array().cast("array<bigint>"))
@@ -128,33 +137,54 @@ def rle_to_runs(rle: DataFrame) -> DataFrame:
 def remap_masks(runs: DataFrame, plan: DataFrame) -> DataFrame:
     """Masks of resized regions back on full images by inverse nearest neighbour.
 
-    plan: image_id, roi_x, roi_y, roi_w, roi_h, res_w, res_h. A target row reads source row
-    floor(r * (res_h / roi_h)), in doubles and in that order; a closed form would differ.
+    plan: image_id, roi_x, roi_y, roi_w, roi_h, res_w, res_h, one row per image. A target row r reads source row
+    floor(r * (res_h / roi_h)), in doubles and in that order. What reads rows r0 to r1 is an interval: its ends are
+    estimated by division and corrected by the formula itself, as a closed form alone would differ.
     """
-    source = lambda i, res, roi: F.least(F.floor(i * (F.col(res).cast("double") / F.col(roi))).cast("int"), F.col(res) - 1)
-    some = plan.filter("roi_w > 0 AND roi_h > 0")
-    cols = some.select("image_id", F.explode(F.sequence(F.lit(0), F.col("roi_w") - 1)).alias("c"), "res_w", "roi_w", "roi_x").select("image_id", (F.col("c") + F.col("roi_x")).alias("to_col"), source(F.col("c"), "res_w", "roi_w").alias("col"))
-    rows = some.select("image_id", F.explode(F.sequence(F.lit(0), F.col("roi_h") - 1)).alias("r"), "res_h", "roi_h", "roi_y").select("image_id", (F.col("r") + F.col("roi_y")).alias("to_row"), source(F.col("r"), "res_h", "roi_h").alias("row"))
-    # The rows that read each source row are neighbours: one interval per source row.
-    rows = rows.groupBy("image_id", "row").agg(F.min("to_row").alias("a"), (F.max("to_row") + 1).alias("b"))
-    spans = runs.join(rows, "image_id").filter("row >= r0 AND row < r1").groupBy(*MASK, "col", "r0").agg(F.min("a").alias("a"), F.max("b").alias("b"))
-    out = spans.join(cols, ["image_id", "col"]).select(*MASK, F.col("to_col").alias("col"), F.col("a").alias("r0"), F.col("b").alias("r1"))
-    return merge_runs(out)
+
+    def first(source: str, res: str, roi: str) -> Column:
+        """The first target whose source is not before `source`."""
+        step = F.col(res).cast("double") / F.col(roi)
+        reads = lambda i: F.least(F.floor(i * step).cast("int"), F.col(res) - 1)
+        guess = F.ceil(F.col(source) / step).cast("int")
+        near = F.when((guess > 0) & (reads(guess - 1) >= F.col(source)), guess - 1).when(reads(guess) >= F.col(source), guess).otherwise(guess + 1)
+        return F.when(F.col(source) >= F.col(res), F.col(roi)).otherwise(F.least(near, F.col(roi)))
+
+    both = runs.join(plan.filter("roi_w > 0 AND roi_h > 0 AND res_w > 0 AND res_h > 0").hint("shuffle_hash"), "image_id").withColumn("next", F.col("col") + 1)
+    both = both.withColumns({"a": first("r0", "res_h", "roi_h"), "b": first("r1", "res_h", "roi_h"), "c": first("col", "res_w", "roi_w"), "d": first("next", "res_w", "roi_w")})
+    out = both.filter("a < b AND c < d").select(*MASK, F.explode(F.sequence(F.col("c"), F.col("d") - 1)).alias("at"), "roi_x", (F.col("a") + F.col("roi_y")).alias("r0"), (F.col("b") + F.col("roi_y")).alias("r1"))
+    return merge_runs(out.select(*MASK, (F.col("at") + F.col("roi_x")).alias("col"), "r0", "r1"))
 
 
 def uncontained_runs(runs: DataFrame, crops: DataFrame) -> DataFrame:
     """Pixels of each mask outside its crop. crops: image_id, source_index, cx0, cy0, cx1, cy1 (end exclusive)."""
-    both = runs.join(crops.select(*MASK, "cx0", "cy0", "cx1", "cy1"), MASK)
+    both = runs.join(crops.select(*MASK, "cx0", "cy0", "cx1", "cy1").hint("merge"), MASK)
     inside = F.greatest(F.least("r1", "cy1") - F.greatest("r0", "cy0"), F.lit(0))
     outside = (F.col("r1") - F.col("r0")) - F.when(F.col("col").between(F.col("cx0"), F.col("cx1") - 1), inside).otherwise(0)
     return both.groupBy(*MASK).agg(F.sum(outside.cast("long")).alias("outside")).filter("outside > 0")
 
 
-def box_overlap(boxes: DataFrame) -> DataFrame:
-    """Area that each half-open box shares with the boxes before it in its image. boxes: image_id, ord, bx0, by0, bx1, by1."""
-    prior = boxes.select("image_id", *[F.col(c).alias(f"p_{c}") for c in ("ord", "bx0", "by0", "bx1", "by1")])
-    both = boxes.join(prior, "image_id").filter("p_ord < ord")
+def in_cells(boxes: DataFrame, box: tuple[Column, Column, Column, Column], size: int) -> DataFrame:
+    """Boxes (inclusive edges) repeated for each grid cell that they reach, with the cell as cell_x and cell_y."""
+    cell = lambda v: F.floor(v / size).cast("int")
+    x0, y0, x1, y1 = box
+    return boxes.withColumn("cell_x", F.explode(F.sequence(cell(x0), cell(x1)))).withColumn("cell_y", F.explode(F.sequence(cell(y0), cell(y1))))
+
+
+def pair_cell(a: tuple[Column, Column], b: tuple[Column, Column], size: int) -> Column:
+    """Whether this is the one cell in which a pair of overlapping boxes counts: that of the later left and upper edges."""
+    return (F.col("cell_x") == F.floor(F.greatest(a[0], b[0]) / size)) & (F.col("cell_y") == F.floor(F.greatest(a[1], b[1]) / size))
+
+
+def box_overlap(boxes: DataFrame, cell: int = 128) -> DataFrame:
+    """Area that each half-open box shares with the boxes before it in its image. boxes: image_id, ord, bx0, by0, bx1, by1.
+
+    Only boxes of a common grid cell are paired.
+    """
+    dealt = in_cells(boxes.select("image_id", "ord", "bx0", "by0", "bx1", "by1").filter("bx0 < bx1 AND by0 < by1"), (F.col("bx0"), F.col("by0"), F.col("bx1") - 1, F.col("by1") - 1), cell)
+    prior = dealt.select("image_id", "cell_x", "cell_y", *[F.col(c).alias(f"p_{c}") for c in ("ord", "bx0", "by0", "bx1", "by1")])
+    both = dealt.join(prior.hint("merge"), ["image_id", "cell_x", "cell_y"]).filter("p_ord < ord").filter(pair_cell((F.col("bx0"), F.col("by0")), (F.col("p_bx0"), F.col("p_by0")), cell))
     w = F.greatest(F.least("bx1", "p_bx1") - F.greatest("bx0", "p_bx0"), F.lit(0))
     h = F.greatest(F.least("by1", "p_by1") - F.greatest("by0", "p_by0"), F.lit(0))
     shared = both.groupBy("image_id", "ord").agg(F.sum((w * h).cast("long")).alias("overlap"))
-    return boxes.select("image_id", "ord").join(shared, ["image_id", "ord"], "left").na.fill(0, ["overlap"])
+    return boxes.select("image_id", "ord").join(shared.hint("merge"), ["image_id", "ord"], "left").na.fill(0, ["overlap"])

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .masks import MASK
+from .masks import MASK, in_cells, pair_cell
 
 #: Reasons of the geometry filter in order of precedence.
 GEOMETRY_REASONS = ("empty_mask", "min_area", "max_area", "min_width", "max_width", "min_height", "max_height", "min_aspect", "max_aspect", "border")
@@ -15,11 +15,11 @@ GEOMETRY_REASONS = ("empty_mask", "min_area", "max_area", "min_width", "max_widt
 
 def with_measures(cand: DataFrame, measures: DataFrame) -> DataFrame:
     """Candidates with their measures; empty masks keep null boxes and area 0."""
-    return cand.join(measures, MASK, "left").withColumn("area", F.coalesce("area", F.lit(0).cast("long")))
+    return cand.join(measures.hint("merge"), MASK, "left").withColumn("area", F.coalesce("area", F.lit(0).cast("long")))
 
 
 def drop_empty(cand: DataFrame, runs: DataFrame) -> DataFrame:
-    return cand.join(runs.select(*MASK).distinct(), MASK, "left_semi")
+    return cand.join(runs.select(*MASK).distinct().hint("merge"), MASK, "left_semi")
 
 
 def filter_area_bbox(measured: DataFrame, maxsize: int, max_w: int, max_h: int, area: str = "area") -> DataFrame:
@@ -101,13 +101,47 @@ def yolo_lines(objects: DataFrame, images: DataFrame) -> DataFrame:
     return images.select("image_id").join(per, "image_id", "left").select("image_id", F.coalesce(F.array_join(F.transform("l", lambda x: x["line"]), "\n"), F.lit("")).alias("text"))
 
 
-def object_records(objects: DataFrame) -> DataFrame:
-    """One JSON record per object with rounded geometry; null fields are left out."""
-    record = F.struct(
-        "instance_id", F.col("source_index").alias("source_candidate"), "label", "class_id", "area",
-        F.array(*[F.bround(c, 6) for c in ("cx", "cy", "nw", "nh")]).alias("bbox"), F.array(F.bround("centroid_row", 3), F.bround("centroid_col", 3)).alias("centroid"), "warning",
+def export_lines(objects: DataFrame, runs: DataFrame, images: DataFrame, labels: list[str], roi: str | None = None) -> DataFrame:
+    """Label lines of a data set, cut to a region: one text per image, empty without objects.
+
+    Labels outside the list are dropped (an empty list keeps all, as class 0; a repeated label has its last place). Masks are
+    cut to the region and measured again inside it, and what is empty there is left out. objects: image_id, source_index,
+    instance_id, label; images: image_id, img_w, img_h.
+    """
+    if labels:
+        places = F.create_map(*[F.lit(x) for pair in {label: k for k, label in enumerate(labels)}.items() for x in pair])
+        objects = objects.filter(F.col("label").isin(labels)).withColumn("class_at", F.element_at(places, F.col("label")))
+    else:
+        objects = objects.withColumn("class_at", F.lit(0))
+    x, y, w, h = (int(v) for v in roi.split(",")) if roi else (0, 0, None, None)
+    size = lambda full, at, n: (F.col(full) if n is None else F.least(F.col(full), F.lit(at + n))) - at
+    region = images.select("image_id", size("img_w", x, w).alias("rw"), size("img_h", y, h).alias("rh"))
+    cut = runs.join(region.hint("shuffle_hash"), "image_id")
+    cut = cut.select(*MASK, "rw", "rh", (F.col("col") - x).alias("col"), F.greatest(F.col("r0") - y, F.lit(0)).alias("r0"), F.least(F.col("r1") - y, F.col("rh")).alias("r1")).filter("col >= 0 AND col < rw AND r0 < r1")
+    box = cut.groupBy(*MASK).agg(F.first("rw").alias("rw"), F.first("rh").alias("rh"), F.min("col").alias("a"), F.max("col").alias("c"), F.min("r0").alias("b"), (F.max("r1") - 1).alias("d"))
+    both = objects.select(*MASK, "instance_id", "class_at").join(box.hint("merge"), MASK)
+    numbers = ((F.col("a") + F.col("c")) / 2 / F.col("rw"), (F.col("b") + F.col("d")) / 2 / F.col("rh"), (F.col("c") - F.col("a") + 1) / F.col("rw"), (F.col("d") - F.col("b") + 1) / F.col("rh"))
+    line = F.concat_ws(" ", F.col("class_at").cast("string"), *[six(n) for n in numbers])
+    per = both.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("instance_id", line.alias("line")))).alias("l"))
+    return images.select("image_id").join(per.hint("merge"), "image_id", "left").select("image_id", F.coalesce(F.array_join(F.transform("l", lambda v: v["line"]), "\n"), F.lit("")).alias("text"))
+
+
+def rounded(col: str, places: int) -> Column:
+    """A number with fixed decimals, rounded half to even, as JSON prints it plainly."""
+    return F.bround(col, places).cast(f"decimal(18,{places})")
+
+
+def record_struct() -> Column:
+    """The public facts of an object, keys in order; null ones are left out of JSON."""
+    return F.struct(
+        F.col("area").alias("area_px"), F.array(*[rounded(c, 6) for c in ("cx", "cy", "nw", "nh")]).alias("bbox_normalized"), F.array("x0_incl", "y0_incl", "x1_incl", "y1_incl").alias("bbox_xyxy"),
+        F.array(rounded("centroid_row", 3), rounded("centroid_col", 3)).alias("centroid_rc"), "class_id", "filtered_index", "instance_id", "label", (F.col("source_index") + 1).alias("source_candidate_id"), F.when(F.col("warning").isNotNull(), F.array("warning")).alias("warnings"),
     )
-    return objects.select("image_id", "instance_id", F.to_json(record).alias("record"))
+
+
+def object_records(objects: DataFrame) -> DataFrame:
+    """One JSON record per object with rounded geometry, sorted keys and no null fields."""
+    return objects.select("image_id", "instance_id", F.to_json(record_struct()).alias("record"))
 
 
 def keep_labels(objects: DataFrame, labels: list[str]) -> DataFrame:
@@ -228,11 +262,16 @@ def contact_pages(cand: DataFrame, per_page: int = 12, across: int = 4, most: in
     return rows.select(*MASK, F.expr(f"at div {per_page} + 1").cast("int").alias("page"), F.expr(f"(at % {per_page}) div {across}").cast("int").alias("tile_row"), F.expr(f"(at % {per_page}) % {across}").cast("int").alias("tile_col"), "truncated")
 
 
-def segment_intersections(segments: DataFrame) -> DataFrame:
-    """Where pairs of segments of an image cross, inside both and inside the image. segments: image_id, seg, sx1, sy1, sx2, sy2, img_w, img_h."""
+def segment_intersections(segments: DataFrame, cell: int = 128) -> DataFrame:
+    """Where pairs of segments of an image cross, inside both and inside the image. segments: image_id, seg, sx1, sy1, sx2, sy2, img_w, img_h.
+
+    Only segments whose boxes share a grid cell are paired.
+    """
     line = lambda p: {"a": F.col(f"{p}sy1") - F.col(f"{p}sy2"), "b": F.col(f"{p}sx2") - F.col(f"{p}sx1")}
-    other = segments.select("image_id", *[F.col(c).alias(f"o_{c}") for c in ("seg", "sx1", "sy1", "sx2", "sy2")])
-    pairs = segments.join(other, "image_id").filter("seg < o_seg")
+    low = lambda p: (F.least(f"{p}sx1", f"{p}sx2"), F.least(f"{p}sy1", f"{p}sy2"))
+    dealt = in_cells(segments, (*low(""), F.greatest("sx1", "sx2"), F.greatest("sy1", "sy2")), cell)
+    other = dealt.select("image_id", "cell_x", "cell_y", *[F.col(c).alias(f"o_{c}") for c in ("seg", "sx1", "sy1", "sx2", "sy2")])
+    pairs = dealt.join(other.hint("merge"), ["image_id", "cell_x", "cell_y"]).filter("seg < o_seg").filter(pair_cell(low(""), low("o_"), cell))
     p, q = line(""), line("o_")
     c1, c2 = p["a"] * F.col("sx1") + p["b"] * F.col("sy1"), q["a"] * F.col("o_sx1") + q["b"] * F.col("o_sy1")
     det = (p["a"] * q["b"] - q["a"] * p["b"]).cast("double")

@@ -215,4 +215,4 @@ SELECT a.image_id, a.source_index AS ord, CAST(coalesce(sum(CASE WHEN b.image_id
 FROM f1 a LEFT JOIN f1 b ON a.image_id = b.image_id AND b.source_index < a.source_index GROUP BY a.image_id, a.source_index""")
 def jon07(spark, sf_dir):
     c = candidates(spark, sf_dir)
-    return ops.box_overlap(c.select("image_id", F.col("source_index").alias("ord"), F.col("x0").alias("bx0"), F.col("y0").alias("by0"), (F.col("x1") + 1).alias("bx1"), (F.col("y1") + 1).alias("by1")))
+    return ops.box_overlap(c.select("image_id", F.col("source_index").alias("ord"), F.col("x0").alias("bx0"), F.col("y0").alias("by0"), (F.col("x1") + 1).alias("bx1"), (F.col("y1") + 1).alias("by1")), 16)

@@ -97,9 +97,32 @@ def prj10(spark, sf_dir):
     return typed_of(spark, sf_dir).select("image_id", "instance_id", "cx", "cy", "nw", "nh")
 
 
-@query("prj11_object_numbers", duck(*OBJECTS) + " SELECT image_id, instance_id, round_even(cx, 6) AS cx, round_even(cy, 6) AS cy, round_even(centroid_row, 3) AS centroid_row, round_even(centroid_col, 3) AS centroid_col FROM typed")
+#: Public records of objects as JSON text with sorted keys.
+RECORDS_SQL = """
+recs AS (SELECT *, '{{"area_px":' || area || ',"bbox_normalized":[' || concat_ws(',', printf('%.6f', round_even(cx, 6)), printf('%.6f', round_even(cy, 6)), printf('%.6f', round_even(nw, 6)), printf('%.6f', round_even(nh, 6))) || '],"bbox_xyxy":[' || concat_ws(',', x0_incl, y0_incl, x1_incl, y1_incl)
+  || '],"centroid_rc":[' || printf('%.3f', round_even(centroid_row, 3)) || ',' || printf('%.3f', round_even(centroid_col, 3)) || '],"class_id":' || class_id || ',"filtered_index":' || filtered_index || ',"instance_id":' || instance_id || ',"label":"' || label || '","source_candidate_id":' || (source_index + 1)
+  || CASE WHEN warning IS NULL THEN '' ELSE ',"warnings":["' || warning || '"]' END || '}}' AS record FROM typed)
+"""
+
+
+@query("prj11_object_records", duck(*OBJECTS, RECORDS_SQL) + " SELECT image_id, instance_id, record FROM recs")
 def prj11(spark, sf_dir):
-    return typed_of(spark, sf_dir).select("image_id", "instance_id", *[F.bround(c, 6).alias(c) for c in ("cx", "cy")], *[F.bround(c, 3).alias(c) for c in ("centroid_row", "centroid_col")])
+    return obj.object_records(typed_of(spark, sf_dir))
+
+
+_EXPORT_SQL = """
+sz AS (SELECT DISTINCT image_id, least(img_w, 40) - 8 AS rw, least(img_h, 30) - 5 AS rh FROM f1),
+ct AS (SELECT r.image_id, r.source_index, rw, rh, col - 8 AS c, unnest(range(r0, r1)) - 5 AS y FROM runs r JOIN sz USING (image_id)),
+bx AS (SELECT image_id, source_index, rw, rh, min(c) AS a, max(c) AS c, min(y) AS b, max(y) AS d FROM ct WHERE c >= 0 AND c < rw AND y >= 0 AND y < rh GROUP BY ALL),
+ln AS (SELECT image_id, string_agg(CASE label WHEN 'R' THEN 0 ELSE 1 END || ' ' || printf('%.6f', (a + c) / 2.0e0 / rw) || ' ' || printf('%.6f', (b + d) / 2.0e0 / rh) || ' ' || printf('%.6f', (c - a + 1) * 1.0e0 / rw) || ' ' || printf('%.6f', (d - b + 1) * 1.0e0 / rh), chr(10) ORDER BY instance_id) AS text
+  FROM objs JOIN bx USING (image_id, source_index) WHERE label IN ('R', 'N') GROUP BY image_id)
+"""
+
+
+@query("snk02_exported_lines", duck(*BASE, ORDERED_SQL, _EXPORT_SQL) + " SELECT image_id, coalesce(text, '') AS text FROM sz LEFT JOIN ln USING (image_id)")
+def snk02_export(spark, sf_dir):
+    cand = candidates(spark, sf_dir)
+    return obj.export_lines(objects_of(spark, sf_dir), mask_runs(cand), cand.select("image_id", "img_w", "img_h").distinct(), ["R", "N"], "8,5,32,25")
 
 
 @query("snk02_label_lines", duck(*OBJECTS) + """,
@@ -191,7 +214,7 @@ SELECT image_id, seg, other, x, y FROM pr WHERE x BETWEEN least(px1, px2) - 1e-9
 def jon06(spark, sf_dir):
     c = candidates(spark, sf_dir)
     s = c.select("image_id", F.col("source_index").alias("seg"), (F.col("pk") % F.col("img_w")).alias("sx1"), (F.col("sk") % F.col("img_h")).alias("sy1"), ((F.col("pk") * 7 + F.col("q")) % F.col("img_w")).alias("sx2"), ((F.col("sk") * 5 + F.col("q") * 3) % F.col("img_h")).alias("sy2"), "img_w", "img_h")
-    return obj.segment_intersections(s)
+    return obj.segment_intersections(s, 16)
 
 
 @query("src03_admit_images", duck(IMAGES_SQL) + """

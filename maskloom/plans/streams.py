@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from ..operators import components
 from ..operators import reports
-from ..sources.shared import fresh_path, staged
+from ..sources.shared import fresh_path
 from ..streaming import frames as ops
 from .base import query
-from .fixtures import FRAMES_SQL, RUNS_SQL, F1_SQL, candidates, duck, frames, mask_runs
+from .fixtures import F1_SQL, FRAMES_SQL, MEASURE_SQL, RUNS_SQL, candidates, duck, frames, mask_runs
 
 _COLUMNS = ["stream_id", "frame_idx", "event_id", "ts", "ms", "outcome"]
 
@@ -48,7 +48,7 @@ def str03(spark, sf_dir):
 
 @query("geo07_component_counts", duck(F1_SQL, RUNS_SQL) + " SELECT image_id, source_index, CAST(CASE WHEN has_gap AND y1 - y0 >= 2 THEN CASE WHEN m = y0 THEN 1 ELSE 2 END ELSE 1 END AS BIGINT) AS components FROM (SELECT DISTINCT image_id, source_index, has_gap, y0, y1, m FROM cols)")
 def geo07(spark, sf_dir):
-    c = components.mask_components(staged(mask_runs(candidates(spark, sf_dir)), "runs"))
+    c = components.mask_components(mask_runs(candidates(spark, sf_dir)))
     return c.groupBy("image_id", "source_index").agg(F.countDistinct("component").alias("components"))
 
 
@@ -57,13 +57,25 @@ p AS (SELECT DISTINCT image_id, source_index, x1 - x0 + 1 AS w, y0, y1, m, has_g
 h AS (SELECT image_id, source_index, w, unnest(CASE WHEN g THEN [m - y0, y1 - m] ELSE [y1 - y0 + 1] END) AS h FROM p)
 SELECT image_id, source_index, CAST(sum(CASE WHEN w <= 2 OR h <= 2 THEN w * h ELSE 2 * w + 2 * h - 4 END) AS BIGINT) AS boundary FROM h GROUP BY ALL""")
 def geo08(spark, sf_dir):
-    parts = staged(components.mask_components(staged(mask_runs(candidates(spark, sf_dir)), "runs")), "parts")
-    b = components.external_boundary(parts)
+    b = components.external_boundary(components.mask_components(mask_runs(candidates(spark, sf_dir))))
     return b.groupBy("image_id", "source_index").agg(F.sum((F.col("r1") - F.col("r0")).cast("long")).alias("boundary"))
 
 
-@query("geo09_chord_stats")
+_RAYS_SQL = """
+cm AS (SELECT DISTINCT cols.image_id, cols.source_index, x0, x1, y0, y1, m, has_gap AND y1 - y0 >= 2 AS g, centroid_col AS mx, centroid_row AS my FROM cols JOIN meas USING (image_id, source_index)),
+pc AS (SELECT *, unnest(CASE WHEN g THEN [y0, m + 1] ELSE [y0] END) AS top, unnest(CASE WHEN g THEN [m - 1, y1] ELSE [y1] END) AS bottom FROM cm),
+px AS (SELECT *, unnest(range(top, bottom + 1)) AS py FROM (SELECT *, unnest(range(x0, x1 + 1)) AS px FROM pc)),
+bd AS (SELECT *, mx - px AS vx, my - py AS vy FROM px WHERE px = x0 OR px = x1 OR py = top OR py = bottom),
+tt AS (SELECT *, list_min(list_filter([CASE WHEN vx > 0 THEN (x1 - px) / vx WHEN vx < 0 THEN (x0 - px) / vx END, CASE WHEN vy > 0 THEN (y1 - py) / vy WHEN vy < 0 THEN (y0 - py) / vy END], lambda t: t >= 1.0e0)) AS t FROM bd),
+en AS (SELECT *, CASE WHEN vx = 0 AND vy = 0 THEN px ELSE CAST(floor(least(greatest(px + coalesce(t, 1.0e0) * vx, x0), x1) + 0.5e0) AS BIGINT) END AS ex, CASE WHEN vx = 0 AND vy = 0 THEN py ELSE CAST(floor(least(greatest(py + coalesce(t, 1.0e0) * vy, y0), y1) + 0.5e0) AS BIGINT) END AS ey FROM tt),
+nn AS (SELECT image_id, source_index, px, py, x0, x1, y0, y1, m, g, ex - px AS dx, ey - py AS dy, greatest(abs(ex - px), abs(ey - py)) AS n FROM en),
+ry AS (SELECT *, unnest(range(0, n + 1)) AS k FROM nn),
+ln AS (SELECT *, px + sign(dx) * ((2 * abs(dx) * k + greatest(n, 1)) // (2 * greatest(n, 1))) AS c, py + sign(dy) * ((2 * abs(dy) * k + greatest(n, 1)) // (2 * greatest(n, 1))) AS r FROM ry),
+ct AS (SELECT image_id, source_index, px, py, count(*) FILTER (c BETWEEN x0 AND x1 AND r BETWEEN y0 AND y1 AND NOT (g AND r = m)) AS pixels FROM ln GROUP BY ALL),
+ds AS (SELECT *, CAST(least(greatest(ceil(pixels * 0.2e0), 1), 16) AS INT) AS distance FROM ct)
+"""
+
+
+@query("geo09_chord_stats", duck(F1_SQL, RUNS_SQL, MEASURE_SQL, _RAYS_SQL) + ' SELECT image_id, source_index, count(*) AS rays, min(distance) AS least, max(distance) AS greatest, CAST(sum(distance) AS DOUBLE) / count(*) AS mean FROM ds GROUP BY ALL')
 def geo09(spark, sf_dir):
-    runs = staged(mask_runs(candidates(spark, sf_dir)), "runs")
-    parts = staged(components.mask_components(runs), "parts")
-    return components.chord_stats(staged(components.external_boundary(parts), "boundary"), runs)
+    return components.chord_stats(mask_runs(candidates(spark, sf_dir)))
