@@ -99,7 +99,7 @@ def missing_links(documents: DataFrame, known: DataFrame, key: str, col: str) ->
     found = documents.select(key, F.explode(links(col)).alias("link"))
     local = found.filter(~F.col("link").rlike(r"^(?:[A-Za-z][A-Za-z0-9+.-]*:|//|#|data:)"))
     target = local.select(key, F.regexp_replace("link", r"[?#].*$", "").alias("target")).filter("target <> ''")
-    return target.join(known.select("target").distinct(), "target", "left_anti").groupBy(key, "target").agg(F.count(F.lit(1)).alias("n"))
+    return target.join(known.select("target").distinct().hint("merge"), "target", "left_anti").groupBy(key, "target").agg(F.count(F.lit(1)).alias("n"))
 
 
 def document_checks(documents: DataFrame, key: str, col: str, heading: str, forbidden: dict[str, str]) -> DataFrame:

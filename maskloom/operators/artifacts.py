@@ -18,8 +18,12 @@ class Budget:
     single_bytes: int = 200_000
     total_bytes: int = 900_000
     response_count: int = 20
+    candidates: tuple[int, ...] | None = None
 
 
+#: Stages whose artifacts belong to one candidate.
+CANDIDATE_STAGES = ("label", "verify")
+
 #: Essential artifacts of a stage are not debug output.
 ESSENTIAL_STAGES = ("picture",)
 
@@ -51,19 +55,25 @@ def first_offers(offers: DataFrame) -> DataFrame:
 def admit(offers: DataFrame, budget: Budget, stages: tuple[str, ...] | None = None) -> DataFrame:
     """Greedy admission of each request's offers in order; a refused offer uses up nothing.
 
+    Stages, then candidates, then the page select; only selected offers count towards pages and budgets.
+
     A fold over the ordered offers of a request, in Catalyst: the state is what has been taken so far, which no
     running sum gives. A request's ledger is bounded by what a client may be told, so it fits a row.
     """
-    ordered = F.array_sort(F.collect_list(F.struct("offer_seq", "name", "stage", "raw_bytes")))
+    ordered = F.array_sort(F.collect_list(F.struct("offer_seq", "name", "stage", "raw_bytes", artifact_identity()["candidate"].alias("candidate"))))
     per = offers.groupBy("request_id").agg(ordered.alias("offers"))
     start = F.struct(F.lit(0).alias("selected"), F.lit(0).alias("debug"), F.lit(0).cast("long").alias("total"), F.lit(0).alias("count"), F.array().cast("array<struct<offer_seq:int,status:string,page:int>>").alias("out"))
 
     def step(a, x):
-        chosen = x["stage"].isin(*stages) if stages else F.lit(True)
+        staged = x["stage"].isin(*stages) if stages else F.lit(True)
+        wanted = F.lit(True)
+        if budget.candidates is not None:
+            wanted = ~x["stage"].isin(*CANDIDATE_STAGES) | F.coalesce(x["candidate"].isin(*budget.candidates), F.lit(False))
+        chosen = staged & wanted
         debug = ~x["stage"].isin(*ESSENTIAL_STAGES)
         page = F.when(chosen, ((a["selected"] - a["selected"] % budget.page_size) / budget.page_size).cast("int") + 1)
         status = (
-            F.when(~chosen, "stage_excluded").when(page != budget.page, "page_excluded").when(debug & (a["debug"] >= budget.max_debug), "omitted_debug_limit")
+            F.when(~staged, "stage_excluded").when(~wanted, "candidate_excluded").when(page != budget.page, "page_excluded").when(debug & (a["debug"] >= budget.max_debug), "omitted_debug_limit")
             .when(x["raw_bytes"] > budget.single_bytes, "omitted_single_size").when(a["total"] + x["raw_bytes"] > budget.total_bytes, "omitted_total_size")
             .when(a["count"] >= budget.response_count, "omitted_count").otherwise("delivered")
         )
@@ -75,7 +85,29 @@ def admit(offers: DataFrame, budget: Budget, stages: tuple[str, ...] | None = No
 
     folded = per.select("request_id", F.aggregate("offers", start, step, lambda a: a["out"]).alias("out"))
     verdicts = folded.select("request_id", F.inline("out"))
-    return offers.join(verdicts, ["request_id", "offer_seq"])
+    return offers.join(verdicts.hint("merge"), ["request_id", "offer_seq"])
+
+
+def admit_replacing(offers: DataFrame, most: int = 20, single_bytes: int = 200_000, total_bytes: int = 900_000) -> DataFrame:
+    """Admission where a later offer of a name replaces the earlier one, if it fits in its place: request_id, offer_seq, status.
+
+    A replacement takes no further place in the count, and frees the bytes of what it replaces; one that does not fit leaves
+    the earlier artifact stored. A fold per request over a map of what is stored.
+    """
+    ordered = F.array_sort(F.collect_list(F.struct("offer_seq", "name", "raw_bytes")))
+    per = offers.groupBy("request_id").agg(ordered.alias("offers"))
+    start = F.struct(F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<bigint>")).alias("held"), F.lit(0).cast("long").alias("total"), F.array().cast("array<struct<offer_seq:int,status:string>>").alias("out"))
+
+    def step(a, x):
+        before = F.try_element_at(a["held"], x["name"])
+        total = a["total"] - F.coalesce(before, F.lit(0)) + x["raw_bytes"]
+        status = F.when(before.isNull() & (F.size(a["held"]) >= most), "omitted_count").when(x["raw_bytes"] > single_bytes, "omitted_single_size").when(total > total_bytes, "omitted_total_size").when(before.isNull(), "stored").otherwise("replaced")
+        taken = status.isin("stored", "replaced")
+        others = F.map_filter(a["held"], lambda k, v: k != x["name"])
+        held = F.when(taken, F.map_concat(others, F.map_from_arrays(F.array(x["name"]), F.array(x["raw_bytes"])))).otherwise(a["held"])
+        return F.struct(held.alias("held"), F.when(taken, total).otherwise(a["total"]).alias("total"), F.concat(a["out"], F.array(F.struct(x["offer_seq"].alias("offer_seq"), status.alias("status")))).alias("out"))
+
+    return per.select("request_id", F.inline(F.aggregate("offers", start, step, lambda a: a["out"])))
 
 
 def base64_bytes(raw: str = "raw_bytes") -> Column:
@@ -109,7 +141,7 @@ def ledger_summary(ledger: DataFrame) -> DataFrame:
     done = F.col("status") == "delivered"
     total = lambda v: F.coalesce(F.sum(F.when(done, v)), F.lit(0))
     return ledger.groupBy("request_id").agg(
-        F.count(F.lit(1)).alias("eligible"), F.count_if(~F.col("status").isin("stage_excluded", "page_excluded")).alias("selected"), F.count_if(done).alias("delivered"), F.count_if(F.col("status").startswith("omitted")).alias("omitted"),
+        F.count(F.lit(1)).alias("eligible"), F.count_if(~F.col("status").endswith("_excluded")).alias("selected"), F.count_if(done).alias("delivered"), F.count_if(F.col("status").startswith("omitted")).alias("omitted"),
         total(F.col("raw_bytes")).alias("raw_total"), total(base64_bytes()).alias("base64_total"), total(F.col("raw_bytes") + 128 + F.length("name")).alias("zip_total"),
     )
 
@@ -125,7 +157,7 @@ def manifest_compare(left: DataFrame, right: DataFrame) -> DataFrame:
     """Members that differ as (name, size, digest) multisets."""
     cols = ["request_id", "name", "raw_bytes", "sha256"]
     count = lambda df, n: df.groupBy(*cols).agg(F.count(F.lit(1)).alias(n))
-    both = count(left, "in_left").join(count(right, "in_right"), cols, "full").na.fill(0, ["in_left", "in_right"])
+    both = count(left, "in_left").join(count(right, "in_right").hint("merge"), cols, "full").na.fill(0, ["in_left", "in_right"])
     return both.filter("in_left <> in_right")
 
 

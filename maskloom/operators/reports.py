@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
+
+from .objects import record_struct
 
 
 def frame_ids(frames: DataFrame) -> DataFrame:
@@ -33,23 +36,35 @@ def nearest_rank(timings: DataFrame, key: str, value: str, share: float = 0.95)
 
 
 #: Outcomes by the group that reports add up.
-OUTCOME_GROUPS = {"busy": ("service_busy",), "not_ready": ("not_ready",), "timeout": ("timeout",), "limit": ("response_too_large",)}
+OUTCOME_GROUPS = {"busy": ("service_busy",), "not_ready": ("not_ready",), "timeout": ("timeout",), "cancelled": ("cancelled",), "limit": ("response_too_large", "insufficient_memory", "insufficient_shm")}
 
 
-def outcome_counters(log: DataFrame, keys: list[str]) -> DataFrame:
+def counter_columns() -> list[Column]:
     groups = [F.count_if(F.col("outcome").isin(*v)).alias(k) for k, v in OUTCOME_GROUPS.items()]
-    return log.groupBy(*keys).agg(F.count(F.lit(1)).alias("requests"), F.count_if(F.col("outcome") == "success").alias("success"), *groups)
+    return [F.count(F.lit(1)).alias("requests"), F.count_if(F.col("outcome") == "success").alias("success"), *groups]
 
 
-def cumulative_histogram(log: DataFrame, keys: list[str], value: str, bounds: list[float]) -> DataFrame:
-    """Counts of values up to each bound, and all of them, in one pass."""
+def histogram_columns(value: str, bounds: list[float]) -> list[Column]:
     names = [f"le_{b:g}".replace(".", "_") for b in bounds]
     counts = [F.count_if(F.col(value) <= b).alias(n) for n, b in zip(names, bounds, strict=True)]
-    return log.groupBy(*keys).agg(*counts, F.count(value).alias("le_inf"), F.bround(F.sum(F.col(value).cast("decimal(20,4)")), 4).cast("double").alias("total"))
+    return [*counts, F.count(value).alias("le_inf"), F.bround(F.sum(F.col(value).cast("decimal(20,4)")), 4).cast("double").alias("total")]
+
+
+def gauge_columns(order: list[str], value: str) -> list[Column]:
+    return [F.max_by(value, F.struct(*order)).alias("latest"), F.max(value).alias("peak")]
+
+
+def outcome_counters(log: DataFrame, keys: list[str]) -> DataFrame:
+    return log.groupBy(*keys).agg(*counter_columns())
+
+
+def cumulative_histogram(log: DataFrame, keys: list[str], value: str, bounds: list[float]) -> DataFrame:
+    """Counts of values up to each bound, and all of them, in one pass."""
+    return log.groupBy(*keys).agg(*histogram_columns(value, bounds))
 
 
 def gauges(log: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
-    return log.groupBy(*keys).agg(F.max_by(value, F.struct(*order)).alias("latest"), F.max(value).alias("peak"))
+    return log.groupBy(*keys).agg(*gauge_columns(order, value))
 
 
 def repeatability(runs: DataFrame, keys: list[str], signature: list[str]) -> DataFrame:
@@ -71,10 +86,28 @@ def frame_size_conflicts(frames: DataFrame) -> DataFrame:
 def unexpected_stage_status(statuses: DataFrame, expected: DataFrame) -> DataFrame:
     """Stages whose status is not the expected one, missing and surplus stages included. Both: request_id, stage, status."""
     e = expected.select("request_id", "stage", F.col("status").alias("expected"))
-    both = statuses.join(e, ["request_id", "stage"], "full")
+    both = statuses.join(e.hint("merge"), ["request_id", "stage"], "full")
     return both.filter(~F.col("status").eqNullSafe(F.col("expected"))).select("request_id", "stage", "status", "expected")
 
 
+#: What a stage's status can be.
+STATUSES = ("executed", "skipped", "not_configured")
+
+
+def stage_order_problems(statuses: DataFrame, order: list[str]) -> DataFrame:
+    """Requests whose stages are not the full list in its order, or have a status that is none. statuses: request_id, seq, stage, status."""
+    per = statuses.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("seq", "stage"))).alias("s"), F.count_if(~F.col("status").isin(*STATUSES)).alias("unknown"))
+    stages, full = F.transform("s", lambda x: x["stage"]), F.array(*[F.lit(x) for x in order])
+    problem = F.when(F.col("unknown") > 0, "unknown_status").when(F.size(F.array_except(full, stages)) > 0, "missing_stage").when(F.size(F.array_except(stages, full)) > 0, "surplus_stage").when(stages != full, "wrong_order")
+    return per.select("request_id", F.array_join(stages, ",").alias("stages"), problem.alias("problem")).filter("problem IS NOT NULL")
+
+
+def stage_funnel(parts: dict[str, Column], rows: DataFrame) -> DataFrame:
+    """image_id, stage, n: how many rows of each image meet each stage's condition."""
+    n = rows.groupBy("image_id").agg(*[F.count_if(c).alias(k) for k, c in parts.items()])
+    return n.unpivot("image_id", list(parts), "stage", "n")
+
+
 def accounting_violations(checks: DataFrame, keys: list[str], identities: dict[str, tuple[Column, Column]]) -> DataFrame:
     """One row per identity that does not hold."""
     rows = F.array(*[F.struct(F.lit(n).alias("check"), a.cast("double").alias("lhs"), b.cast("double").alias("rhs")) for n, (a, b) in identities.items()])
@@ -100,24 +133,52 @@ def record_json() -> Column:
 def records(objects: DataFrame, images: DataFrame) -> DataFrame:
     """One JSON list of records per image in final order."""
     per = objects.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("instance_id", record_json().alias("r")))).alias("l"))
-    return images.select("image_id").join(per, "image_id", "left").select("image_id", F.concat(F.lit("["), F.coalesce(F.array_join(F.transform("l", lambda x: x["r"]), ","), F.lit("")), F.lit("]")).alias("records"))
+    return images.select("image_id").join(per.hint("merge"), "image_id", "left").select("image_id", F.concat(F.lit("["), F.coalesce(F.array_join(F.transform("l", lambda x: x["r"]), ","), F.lit("")), F.lit("]")).alias("records"))
+
 
+def result_documents(objects: DataFrame, images: DataFrame, level: int, artifacts: DataFrame | None = None, rle: DataFrame | None = None, counts: DataFrame | None = None) -> DataFrame:
+    """Documents by tier. A tier is a choice of columns: what it leaves out is never computed.
 
-def result_documents(objects: DataFrame, images: DataFrame, level: int) -> DataFrame:
-    """Documents by tier. A tier is a choice of columns: what it leaves out is never computed."""
+    0: labels; 1: and descriptors of the artifacts (image_id, name, raw_bytes, sha256); 2: and object records; 3: and the objects'
+    run lengths (rle: the mask keys, counts), the funnel (counts: image_id, stage, n) and warnings.
+    """
     lines = F.array_sort(F.collect_list(F.struct("instance_id", F.col("label").alias("label"))))
-    per = objects.groupBy("image_id").agg(lines.alias("l"), F.count(F.lit(1)).alias("n"))
-    base = images.select("image_id").join(per, "image_id", "left").select("image_id", F.coalesce("n", F.lit(0)).alias("objects"), F.coalesce(F.array_join(F.transform("l", lambda x: x["label"]), ","), F.lit("")).alias("labels"))
+    warnings = F.array_sort(F.collect_list(F.when(F.col("warning").isNotNull(), F.struct("instance_id", F.concat(F.lit("object "), F.col("instance_id").cast("string"), F.lit(": "), "warning").alias("w")))))
+    per = objects.groupBy("image_id").agg(lines.alias("l"), F.count(F.lit(1)).alias("n"), *([warnings.alias("w")] if level >= 3 else []))
+    joined = lambda c, field: F.coalesce(F.array_join(F.transform(c, lambda x: x[field]), ","), F.lit(""))
+    extra = [joined("w", "w").alias("warnings")] if level >= 3 else []
+    base = images.select("image_id").join(per.hint("merge"), "image_id", "left").select("image_id", F.coalesce("n", F.lit(0)).alias("objects"), joined("l", "label").alias("labels"), *extra)
+    if level >= 1 and artifacts is not None:
+        described = F.concat_ws(":", "name", F.col("raw_bytes").cast("string"), "sha256")
+        per = artifacts.groupBy(F.col("request_id").alias("image_id")).agg(F.array_join(F.array_sort(F.collect_list(described)), ",").alias("artifacts"))
+        base = base.join(per.hint("merge"), "image_id", "left").na.fill("", ["artifacts"])
     if level >= 2:
-        base = base.join(records(objects, images), "image_id")
+        base = base.join(records(objects, images).hint("merge"), "image_id")
+    if level >= 3 and rle is not None:
+        text = F.concat(F.col("instance_id").cast("string"), F.lit("="), F.array_join(F.transform("counts", lambda x: x.cast("string")), " "))
+        own = objects.select("image_id", "source_index", "instance_id").join(rle.select("image_id", "source_index", "counts").hint("merge"), ["image_id", "source_index"])
+        per = own.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("instance_id", text.alias("t")))).alias("r")).select("image_id", joined("r", "t").alias("mask_rle"))
+        base = base.join(per.hint("merge"), "image_id", "left").na.fill("", ["mask_rle"])
+    if level >= 3 and counts is not None:
+        per = counts.groupBy("image_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat("stage", F.lit("="), F.col("n").cast("string")))), ",").alias("candidate_counts"))
+        base = base.join(per.hint("merge"), "image_id", "left").na.fill("", ["candidate_counts"])
     return base
 
 
-def public_projection(objects: DataFrame, warnings: int = 32, characters: int = 256) -> DataFrame:
-    """Object count, labels and bounded warnings of each image, without masks."""
-    w = F.array_sort(F.collect_list(F.when(F.col("warning").isNotNull(), F.struct("instance_id", F.substring("warning", 1, characters).alias("w")))))
-    per = objects.groupBy("image_id").agg(F.count(F.lit(1)).alias("n_objects"), w.alias("w"))
-    return per.select("image_id", "n_objects", F.array_join(F.transform(F.slice("w", 1, warnings), lambda x: x["w"]), ";").alias("warnings"))
+def public_projection(objects: DataFrame, images: DataFrame, counts: DataFrame, warnings: int = 32, characters: int = 256) -> DataFrame:
+    """One compact JSON text per image, keys sorted: counts by stage, size, object records without masks, bounded warnings.
+
+    images: image_id, img_w, img_h; counts: image_id, stage, n. Numbers that are not finite have no place in it: they become null and
+    so are left out.
+    """
+    w = F.array_sort(F.collect_list(F.when(F.col("warning").isNotNull(), F.struct("instance_id", F.substring(F.regexp_replace("warning", r"[\x00-\x1F]", " "), 1, characters).alias("w")))))
+    per = objects.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("instance_id", record_struct().alias("r")))).alias("o"), w.alias("w"))
+    stages = counts.groupBy("image_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("stage", "n")))).alias("candidate_counts"))
+    all_of = images.join(per.hint("merge"), "image_id", "left").join(stages.hint("merge"), "image_id", "left")
+    none = F.array().cast(ArrayType(objects.select(record_struct().alias("r")).schema["r"].dataType))
+    warned = F.coalesce(F.transform(F.slice("w", 1, warnings), lambda x: x["w"]), F.array().cast("array<string>"))
+    document = F.struct("candidate_counts", F.struct(F.col("img_h").alias("height"), F.col("img_w").alias("width")).alias("image"), F.coalesce(F.transform("o", lambda x: x["r"]), none).alias("objects"), warned.alias("warnings"))
+    return all_of.select("image_id", F.to_json(document).alias("document"))
 
 
 def dataset_manifest(labels: list[str]) -> dict:

@@ -88,6 +88,31 @@ def range_violations(requests: DataFrame, bounds: dict = BOUNDS) -> DataFrame:
     return bad.groupBy("request_id").agg(F.min_by(F.struct("field", "value", "low", "high"), "field_order").alias("v")).select("request_id", "v.*")
 
 
+def setting_violations(requests: DataFrame, fields: dict[str, tuple[str, float, float]], pairs: tuple[tuple[str, str], ...] = (), aliases: dict[str, str] | None = None, col: str = "settings") -> DataFrame:
+    """The first violation of each request in field order, then pair by pair: request_id, field, problem.
+
+    fields: name to (int, number or bool; low, high); pairs: (least, most) fields; aliases: old spelling to field. Of a field both
+    spellings together are a `conflict`, then comes its `type`, then its `range`; a pair is in wrong `order` if least > most.
+    settings is a map of texts.
+    """
+    old = {new: was for was, new in (aliases or {}).items()}
+    given = lambda k: F.map_contains_key(F.col(col), F.lit(k))
+    at = lambda k: F.try_element_at(F.col(col), F.lit(k))
+    value = {k: F.coalesce(at(k), at(old[k])) if k in old else at(k) for k in fields}
+    found = lambda k, problem, when: F.when(when, F.struct(F.lit(k).alias("field"), F.lit(problem).alias("problem")))
+    checks = []
+    for k, (kind, low, high) in fields.items():
+        v = value[k]
+        well = {"int": v.rlike("^[+-]?[0-9]+$"), "number": v.try_cast("double").isNotNull() & ~F.isnan(v.try_cast("double")), "bool": F.lower(v).isin("true", "false")}[kind]
+        if k in old:
+            checks.append(found(k, "conflict", given(k) & given(old[k])))
+        checks.append(found(k, "type", v.isNotNull() & ~well))
+        if kind != "bool":
+            checks.append(found(k, "range", (v.try_cast("double") < low) | (v.try_cast("double") > high)))
+    checks += [found(a, "order", value[a].try_cast("double") > value[b].try_cast("double")) for a, b in pairs]
+    return requests.select("request_id", F.coalesce(*checks).alias("v")).filter("v IS NOT NULL").select("request_id", "v.field", "v.problem")
+
+
 #: Top-level settings by who reads them.
 ALGORITHM_KEYS = ("alpha", "preprocessing", "mask_generator", "candidate_views", "diagnostic_artifacts", "visualization")
 BATCH_KEYS = ("images", "video")

@@ -38,6 +38,36 @@ def udf03(spark, sf_dir):
     return ledger_of(spark, sf_dir).select("request_id", "offer_seq", "name", "status", "page")
 
 
+#: Candidates that the selecting query asks for.
+CHOSEN = tuple(range(1, 41))
+_SELECT_SQL = ADMIT_SQL.replace("sel + 1,", "sel + CASE WHEN chosen THEN 1 ELSE 0 END,").replace("SELECT s.request_id, s.rn,", "SELECT s.request_id, s.rn, s.chosen,").replace("CASE WHEN f.sel // 16", "CASE WHEN s.stage = 'segment' THEN 'stage_excluded' WHEN NOT s.chosen THEN 'candidate_excluded' WHEN f.sel // 16")
+_SELECT_SQL = _SELECT_SQL.replace("seqs AS (SELECT *,", "seqs AS (SELECT *, stage <> 'segment' AND (stage NOT IN ('label', 'verify') OR coalesce(CAST(nullif(regexp_extract(name, 'CANDIDATE-([0-9]+)', 1), '') AS INT) <= 40, false)) AS chosen,").replace("CAST(f.sel // 16 + 1 AS INT) AS page", "CASE WHEN s.chosen THEN CAST(f.sel // 16 + 1 AS INT) END AS page")
+
+
+@query("udf03_selected_admission", _duck(OFFERS_SQL, FIRST_SQL, _SELECT_SQL) + " SELECT request_id, offer_seq, name, status, page FROM ledger")
+def udf03_selected(spark, sf_dir):
+    budget = ops.Budget(candidates=CHOSEN)
+    out = ops.admit(ops.first_offers(offers(spark, sf_dir)), budget, ("picture", "label", "verify"))
+    return out.select("request_id", "offer_seq", "name", "status", "page")
+
+
+_REPLACE_SQL = """
+seqs AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY offer_seq) AS rn FROM offers),
+fold AS (
+  SELECT request_id, CAST(0 AS BIGINT) AS rn, CAST(NULL AS INT) AS offer_seq, CAST(NULL AS VARCHAR) AS status, CAST([] AS STRUCT(n VARCHAR, b BIGINT)[]) AS held FROM (SELECT DISTINCT request_id FROM seqs)
+  UNION ALL
+  SELECT request_id, rn, offer_seq, status, CASE WHEN status IN ('stored', 'replaced') THEN list_append(list_filter(held, lambda h: h.n <> name), {{'n': name, 'b': raw_bytes}}) ELSE held END
+  FROM (SELECT *, CASE WHEN before IS NULL AND len(held) >= 12 THEN 'omitted_count' WHEN raw_bytes > 9000 THEN 'omitted_single_size' WHEN total > 30000 THEN 'omitted_total_size' WHEN before IS NULL THEN 'stored' ELSE 'replaced' END AS status
+    FROM (SELECT s.request_id, s.rn, s.offer_seq, s.name, s.raw_bytes, f.held, list_filter(f.held, lambda h: h.n = s.name)[1].b AS before,
+        coalesce(list_sum(list_transform(list_filter(f.held, lambda h: h.n <> s.name), lambda h: h.b)), 0) + s.raw_bytes AS total FROM fold f JOIN seqs s ON s.request_id = f.request_id AND s.rn = f.rn + 1)))
+"""
+
+
+@query("udf03_replacing_admission", _duck(OFFERS_SQL, _REPLACE_SQL) + " SELECT request_id, offer_seq, status FROM fold WHERE rn > 0")
+def udf03_replacing(spark, sf_dir):
+    return ops.admit_replacing(offers(spark, sf_dir), 12, 9000, 30_000)
+
+
 @query("agg16_ledger_summary", _duck(OFFERS_SQL, FIRST_SQL, ADMIT_SQL) + """
 SELECT request_id, count(*) AS eligible, count(*) FILTER (status <> 'page_excluded') AS selected, count(*) FILTER (status = 'delivered') AS delivered, count(*) FILTER (starts_with(status, 'omitted')) AS omitted,
   CAST(coalesce(sum(raw_bytes) FILTER (status = 'delivered'), 0) AS BIGINT) AS raw_total, CAST(coalesce(sum(4 * ((raw_bytes + 2) // 3)) FILTER (status = 'delivered'), 0) AS BIGINT) AS base64_total,
@@ -75,14 +105,14 @@ def scl09(spark, sf_dir):
     return o.select("request_id", "offer_seq", ops.logical_name_ok().alias("ok"))
 
 
-_HASHED_SQL = "hashed AS (SELECT *, sha256(name || ':' || raw_bytes) AS sha256 FROM firsts)"
+HASHED_SQL = "hashed AS (SELECT *, sha256(name || ':' || raw_bytes) AS sha256 FROM firsts)"
 
 
 def hashed_of(spark, sf_dir):
     return ops.first_offers(offers(spark, sf_dir)).withColumn("sha256", F.sha2(F.concat_ws(":", "name", F.col("raw_bytes").cast("string")), 256))
 
 
-@query("snk06_manifest", duck(OFFERS_SQL, FIRST_SQL, _HASHED_SQL) + " SELECT request_id, CAST(count(*) AS INT) AS members, sha256(string_agg(name || '|' || raw_bytes || '|' || sha256, chr(10) ORDER BY name || '|' || raw_bytes || '|' || sha256)) AS digest FROM hashed GROUP BY request_id")
+@query("snk06_manifest", duck(OFFERS_SQL, FIRST_SQL, HASHED_SQL) + " SELECT request_id, CAST(count(*) AS INT) AS members, sha256(string_agg(name || '|' || raw_bytes || '|' || sha256, chr(10) ORDER BY name || '|' || raw_bytes || '|' || sha256)) AS digest FROM hashed GROUP BY request_id")
 def snk06(spark, sf_dir):
     return ops.artifact_manifest(hashed_of(spark, sf_dir))
 
@@ -95,14 +125,14 @@ def other_of(spark, sf_dir):
     return hashed_of(spark, sf_dir).filter("offer_seq % 11 <> 0").withColumn("raw_bytes", F.col("raw_bytes") + F.when(F.col("offer_seq") % 9 == 0, 1).otherwise(0))
 
 
-@query("jon10_manifest_compare", duck(OFFERS_SQL, FIRST_SQL, _HASHED_SQL, _OTHER_SQL) + """
+@query("jon10_manifest_compare", duck(OFFERS_SQL, FIRST_SQL, HASHED_SQL, _OTHER_SQL) + """
 SELECT request_id, name, raw_bytes, sha256, count(*) FILTER (s = 1) AS in_left, count(*) FILTER (s = 2) AS in_right FROM (SELECT request_id, name, raw_bytes, sha256, 1 AS s FROM hashed UNION ALL SELECT request_id, name, raw_bytes, sha256, 2 FROM other)
 GROUP BY ALL HAVING count(*) FILTER (s = 1) <> count(*) FILTER (s = 2)""")
 def jon10(spark, sf_dir):
     return ops.manifest_compare(hashed_of(spark, sf_dir), other_of(spark, sf_dir))
 
 
-@query("set02_manifests_equal", duck(OFFERS_SQL, FIRST_SQL, _HASHED_SQL, _OTHER_SQL) + """
+@query("set02_manifests_equal", duck(OFFERS_SQL, FIRST_SQL, HASHED_SQL, _OTHER_SQL) + """
 SELECT (SELECT count(*) FROM (SELECT request_id, name, raw_bytes, sha256 FROM hashed EXCEPT ALL SELECT request_id, name, raw_bytes, sha256 FROM other)) AS only_left,
   (SELECT count(*) FROM (SELECT request_id, name, raw_bytes, sha256 FROM other EXCEPT ALL SELECT request_id, name, raw_bytes, sha256 FROM hashed)) AS only_right""")
 def set02(spark, sf_dir):

@@ -94,8 +94,8 @@ def scored_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 FRAMES_SQL = """
 frames AS (SELECT user_id AS stream_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS frame_idx, event_id, ts, value AS ms,
-  CASE event_type WHEN 'error' THEN 'timeout' WHEN 'signup' THEN 'service_busy' WHEN 'view' THEN 'not_ready'
-    WHEN 'click' THEN 'response_too_large' ELSE 'success' END AS outcome, props FROM {events})
+  CASE WHEN event_id % 17 = 0 THEN 'cancelled' WHEN event_id % 19 = 0 THEN 'insufficient_memory' WHEN event_type = 'error' THEN 'timeout' WHEN event_type = 'signup' THEN 'service_busy' WHEN event_type = 'view' THEN 'not_ready'
+    WHEN event_type = 'click' THEN 'response_too_large' ELSE 'success' END AS outcome, props FROM {events})
 """
 
 

@@ -145,7 +145,7 @@ def geo10(spark, sf_dir):
     return ops.visible_pixels(ops.identity_map(objects, runs_of(spark, sf_dir)), objects)
 
 
-_RLE_SQL = """
+RLE_SQL = """
 fl AS (SELECT image_id, source_index, img_w, img_h, CAST(col AS BIGINT) * img_h + r0 AS s, CAST(col AS BIGINT) * img_h + r1 AS e FROM runs JOIN f1 USING (image_id, source_index)),
 mk AS (SELECT *, CASE WHEN s > max(e) OVER (PARTITION BY image_id, source_index ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS brk FROM fl),
 gr AS (SELECT *, sum(brk) OVER (PARTITION BY image_id, source_index ORDER BY s, e) AS g FROM mk),
@@ -161,7 +161,7 @@ def rle_of(spark, sf_dir) -> DataFrame:
     return ops.runs_to_rle(mask_runs(cand), cand.select("image_id", "source_index", "img_w", "img_h"))
 
 
-@query("win06_runs_to_rle", duck(F1_SQL, RUNS_SQL, _RLE_SQL) + " SELECT image_id, source_index, img_w, img_h, array_to_string(counts, ',') AS counts FROM rle")
+@query("win06_runs_to_rle", duck(F1_SQL, RUNS_SQL, RLE_SQL) + " SELECT image_id, source_index, img_w, img_h, array_to_string(counts, ',') AS counts FROM rle")
 def win06(spark, sf_dir):
     return rle_of(spark, sf_dir).withColumn("counts", F.array_join(F.transform("counts", lambda x: x.cast("string")), ","))
 
@@ -171,7 +171,7 @@ def win05(spark, sf_dir):
     return ops.rle_to_runs(rle_of(spark, sf_dir))
 
 
-@query("flt06_run_budget", duck(F1_SQL, RUNS_SQL, _RLE_SQL) + """
+@query("flt06_run_budget", duck(F1_SQL, RUNS_SQL, RLE_SQL) + """
 SELECT image_id, source_index, CAST(len(counts) AS BIGINT) AS runs, CAST(sum(len(counts)) OVER (PARTITION BY image_id) AS BIGINT) AS image_runs,
   CASE WHEN len(counts) > 60 THEN 'object_runs' WHEN sum(len(counts)) OVER (PARTITION BY image_id) > 150 THEN 'image_runs' END AS violation FROM rle""")
 def flt06(spark, sf_dir):

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import masks, objects
+from ..operators import artifacts, masks, objects
 from ..operators import reports as ops
+from .artifacts import ADMIT_SQL, FIRST_SQL, HASHED_SQL, hashed_of, ledger_of
 from .base import query
-from .fixtures import BASE, F1_SQL, FRAMES_SQL, candidates, duck, frames, mask_runs, table
-from .masks import DEPTH_SQL, ORDERED_SQL, judged_of
-from .objects import OBJECTS, typed_of
+from .fixtures import BASE, F1_SQL, FRAMES_SQL, OFFERS_SQL, candidates, duck, frames, mask_runs, table
+from .masks import DEPTH_SQL, ORDERED_SQL, RLE_SQL, judged_of, rle_of
+from .objects import OBJECTS, RECORDS_SQL, VIEWS_SQL, typed_of, views_of
+from .scoring import ROUTING, routes_of
 
 
 @query("src04_frame_ids", duck(FRAMES_SQL) + " SELECT stream_id, frame_idx, printf('stream%d-%07d', stream_id, frame_idx) AS frame_id FROM frames")
@@ -37,8 +39,10 @@ def agg10(spark, sf_dir):
     return ops.nearest_rank(frames(spark, sf_dir), "stream_id", "ms")
 
 
-@query("agg11_outcome_counters", duck(FRAMES_SQL) + """
-SELECT stream_id, count(*) AS requests, count(*) FILTER (outcome = 'success') AS success, count(*) FILTER (outcome = 'service_busy') AS busy, count(*) FILTER (outcome = 'not_ready') AS not_ready, count(*) FILTER (outcome = 'timeout') AS timeout, count(*) FILTER (outcome = 'response_too_large') AS limit FROM frames GROUP BY stream_id""".replace("AS limit", 'AS "limit"'))
+COUNTERS_SQL = """count(*) AS requests, count(*) FILTER (outcome = 'success') AS success, count(*) FILTER (outcome = 'service_busy') AS busy, count(*) FILTER (outcome = 'not_ready') AS not_ready, count(*) FILTER (outcome = 'timeout') AS timeout, count(*) FILTER (outcome = 'cancelled') AS cancelled, count(*) FILTER (outcome IN ('response_too_large', 'insufficient_memory', 'insufficient_shm')) AS "limit" """
+
+
+@query("agg11_outcome_counters", duck(FRAMES_SQL) + f" SELECT stream_id, {COUNTERS_SQL} FROM frames GROUP BY stream_id")
 def agg11(spark, sf_dir):
     return ops.outcome_counters(frames(spark, sf_dir), ["stream_id"])
 
@@ -90,15 +94,62 @@ def jon12(spark, sf_dir):
     return ops.unexpected_stage_status(statuses, expected)
 
 
-@query("agg18_accounting", duck(*BASE, ORDERED_SQL, DEPTH_SQL) + """,
-d AS (SELECT image_id, sum((r1 - r0) * depth) AS px FROM depths GROUP BY image_id), a AS (SELECT image_id, sum(area) AS area, count(*) AS n, count(reason) AS rej FROM judged JOIN (SELECT image_id, source_index, reason FROM reasoned) USING (image_id, source_index) GROUP BY image_id)
-SELECT unnest(['evaluated', 'pixels']) AS "check", (SELECT count(*) FROM a) AS checked, unnest([0, (SELECT count(*) FROM a LEFT JOIN d USING (image_id) WHERE area <> coalesce(px, 0))]) AS broken""")
+STAGE_ORDER = ["not_ready", "timeout", "service_busy", "response_too_large", "success", "insufficient_memory", "cancelled"]
+
+
+@query("jon12_stage_order", duck(FRAMES_SQL) + """,
+fs AS (SELECT stream_id AS request_id, outcome AS stage, min(frame_idx) AS seq, CASE WHEN min(ms) < 0.05e0 THEN 'lost' WHEN min(ms) < 0.2e0 THEN 'skipped' ELSE 'executed' END AS status FROM frames GROUP BY ALL),
+ps AS (SELECT request_id, list(stage ORDER BY seq) AS s, count(*) FILTER (status = 'lost') AS bad FROM fs GROUP BY request_id),
+pb AS (SELECT request_id, array_to_string(s, ',') AS stages, CASE WHEN bad > 0 THEN 'unknown_status' WHEN NOT list_has_all(s, ['not_ready', 'timeout', 'service_busy', 'response_too_large', 'success', 'insufficient_memory', 'cancelled']) THEN 'missing_stage'
+  WHEN s <> ['not_ready', 'timeout', 'service_busy', 'response_too_large', 'success', 'insufficient_memory', 'cancelled'] THEN 'wrong_order' END AS problem FROM ps)
+SELECT * FROM pb WHERE problem IS NOT NULL""")
+def jon12_order(spark, sf_dir):
+    f = frames(spark, sf_dir)
+    status = F.when(F.min("ms") < 0.05, "lost").when(F.min("ms") < 0.2, "skipped").otherwise("executed").alias("status")
+    statuses = f.groupBy(F.col("stream_id").alias("request_id"), F.col("outcome").alias("stage")).agg(F.min("frame_idx").alias("seq"), status)
+    return ops.stage_order_problems(statuses, STAGE_ORDER)
+
+
+_ACCOUNT_SQL = """
+im AS (SELECT image_id, sum(area) AS area, count(*) AS evaluated, count(*) FILTER (area > 0) AS non_empty, count(*) FILTER (area = 0) AS empty, count(*) FILTER (reason IS NULL) AS retained, count(reason) AS rejected, any_value(CAST(img_w AS BIGINT) * img_h) AS size FROM reasoned GROUP BY image_id),
+dp AS (SELECT image_id, sum((r1 - r0) * depth) AS px, sum(r1 - r0) AS covered FROM depths GROUP BY image_id),
+ia AS (SELECT im.*, coalesce(px, 0) AS px, coalesce(covered, 0) AS covered FROM im LEFT JOIN dp USING (image_id)),
+rq AS (SELECT request_id, count(*) AS eligible, count(*) FILTER (status <> 'page_excluded') AS selected, count(*) FILTER (status = 'delivered') AS delivered, count(*) FILTER (starts_with(status, 'omitted')) AS omitted, count(*) FILTER (status = 'page_excluded') AS excluded FROM ledger GROUP BY request_id)
+"""
+
+
+@query("agg18_accounting", duck(*BASE, ORDERED_SQL, DEPTH_SQL, VIEWS_SQL, OFFERS_SQL, FIRST_SQL, ADMIT_SQL, *ROUTING, _ACCOUNT_SQL).replace("WITH", "WITH RECURSIVE", 1) + """
+SELECT unnest(['rejected_is_sum_of_removed', 'evaluated', 'raw_is_visible_and_empty', 'pixels', 'covered_and_uncovered', 'histogram']) AS "check", count(*) AS checked,
+  unnest([count(*) FILTER (evaluated - retained <> rejected), count(*) FILTER (evaluated <> retained + rejected), count(*) FILTER (evaluated <> non_empty + empty), count(*) FILTER (area <> px), count(*) FILTER (covered > size), count(*) FILTER (covered > size)]) AS broken FROM ia
+UNION ALL SELECT unnest(['eligible', 'selected', 'truncated']), count(*), unnest([count(*) FILTER (eligible <> delivered + omitted + excluded), count(*) FILTER (selected <> delivered + omitted), 0]) FROM rq
+UNION ALL SELECT unnest(['scores_in_range', 'delta_not_negative']), count(*), unnest([count(*) FILTER (NOT (top BETWEEN -1 AND 1 AND coalesce(target_score, 0) BETWEEN -1 AND 1)), count(*) FILTER (top < target_score)]) FROM capped
+UNION ALL SELECT 'view_status_and_reason', count(*), 0 FROM views""")
 def agg18(spark, sf_dir):
-    judged = judged_of(spark, sf_dir)
-    diag = objects.filter_diagnostics(judged).join(judged.groupBy("image_id").agg(F.sum("area").alias("area")), "image_id")
-    deep = masks.depth_segments(mask_runs(candidates(spark, sf_dir))).groupBy("image_id").agg(F.sum((F.col("r1") - F.col("r0")) * F.col("depth")).alias("px"))
-    checks = diag.join(deep, "image_id", "left").na.fill(0, ["px"])
-    return ops.accounting_summary(checks, ["image_id"], {"evaluated": (F.col("evaluated"), F.col("retained") + F.col("rejected")), "pixels": (F.col("area"), F.col("px"))})
+    """How often each accounting identity was looked at and broken, over images, requests, candidates and views."""
+    judged, yes = judged_of(spark, sf_dir), F.lit(True)
+    depth = masks.depth_segments(mask_runs(candidates(spark, sf_dir)))
+    images = judged.groupBy("image_id").agg(F.first("img_w").alias("img_w"), F.first("img_h").alias("img_h"), F.sum("area").alias("area"), F.count_if(F.col("area") == 0).alias("empty"))
+    histogram = masks.overlap_histogram(depth, images).groupBy("image_id").agg(F.sum("px").alias("histogram"), F.max("covered").alias("covered"), F.max("uncovered").alias("uncovered"), F.max("overflow").alias("overflow"))
+    deep = depth.groupBy("image_id").agg(F.sum((F.col("r1") - F.col("r0")) * F.col("depth")).alias("px"))
+    each = objects.filter_diagnostics(judged).join(images.hint("merge"), "image_id").join(histogram.hint("merge"), "image_id").join(deep.hint("merge"), "image_id", "left").na.fill(0, ["px"])
+    removed, size = sum((F.col(f"removed_by_{r}") for r in objects.GEOMETRY_REASONS), F.lit(0)), F.col("img_w").cast("long") * F.col("img_h")
+    parts = [ops.accounting_summary(each, ["image_id"], {
+        "rejected_is_sum_of_removed": (F.col("rejected"), removed), "evaluated": (F.col("evaluated"), F.col("retained") + removed), "raw_is_visible_and_empty": (F.col("evaluated"), F.col("non_empty") + F.col("empty")),
+        "pixels": (F.col("area"), F.col("px")), "covered_and_uncovered": (F.col("covered") + F.col("uncovered"), size), "histogram": (F.col("histogram") + F.col("overflow"), size),
+    })]
+    ledger = ledger_of(spark, sf_dir)
+    excluded = ledger.groupBy("request_id").agg(F.count_if(F.col("status").endswith("excluded")).alias("excluded"), F.max(F.col("status").startswith("omitted").cast("int")).alias("any_omitted"))
+    requests = artifacts.ledger_summary(ledger).join(excluded.hint("merge"), "request_id")
+    parts.append(ops.accounting_summary(requests, ["request_id"], {
+        "eligible": (F.col("eligible"), F.col("delivered") + F.col("omitted") + F.col("excluded")), "selected": (F.col("selected"), F.col("delivered") + F.col("omitted")), "truncated": ((F.col("omitted") > 0).cast("int"), F.col("any_omitted")),
+    }))
+    routes = routes_of(spark, sf_dir)
+    scores = F.transform("scores", lambda x: x["score"])
+    finite = F.forall(scores, lambda x: x.between(-1.0, 1.0)) & F.coalesce(F.col("target_score").between(-1.0, 1.0), yes)
+    parts.append(ops.accounting_summary(routes, ["image_id"], {"scores_in_range": (finite, yes), "delta_not_negative": (F.coalesce(F.col("delta") >= 0, yes), yes)}))
+    views = views_of(spark, sf_dir)
+    parts.append(ops.accounting_summary(views, ["image_id"], {"view_status_and_reason": (F.col("status") == "rejected", F.col("view_reason").isNotNull())}))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
 @query("agg15_content_digest", duck(*OBJECTS) + """,
@@ -133,9 +184,36 @@ def snk07_2(spark, sf_dir):
     return ops.result_documents(typed_of(spark, sf_dir), images_of(spark, sf_dir), 2)
 
 
-@query("snk08_public_projection", duck(*OBJECTS) + " SELECT image_id, count(*) AS n_objects, coalesce(array_to_string((list(warning ORDER BY instance_id) FILTER (warning IS NOT NULL))[1:2], ';'), '') AS warnings FROM typed GROUP BY image_id")
+_DOC_ARTIFACTS_SQL = "dart AS (SELECT request_id AS image_id, string_agg(name || ':' || raw_bytes || ':' || sha256, ',' ORDER BY name || ':' || raw_bytes || ':' || sha256) AS artifacts FROM hashed GROUP BY request_id)"
+_COUNTS_SQL = "cnt AS (SELECT image_id, count(*) AS raw, count(*) FILTER (area > 0) AS non_empty, count(*) FILTER (reason IS NULL) AS after_geometry FROM reasoned GROUP BY image_id)"
+_ALL_IMAGES_SQL = "(SELECT DISTINCT image_id FROM f1) i"
+
+
+def counts_of(judged):
+    return ops.stage_funnel({"raw": F.lit(True), "non_empty": F.col("area") > 0, "after_geometry": F.col("reason").isNull()}, judged)
+
+
+@query("snk07_documents_level1", duck(*OBJECTS, _RECORD_SQL, OFFERS_SQL, FIRST_SQL, HASHED_SQL, _DOC_ARTIFACTS_SQL) + f" SELECT i.image_id, coalesce(n, 0) AS objects, coalesce(labels, '') AS labels, coalesce(artifacts, '') AS artifacts FROM {_ALL_IMAGES_SQL} LEFT JOIN rec USING (image_id) LEFT JOIN dart USING (image_id)")
+def snk07_1(spark, sf_dir):
+    return ops.result_documents(typed_of(spark, sf_dir), images_of(spark, sf_dir), 1, hashed_of(spark, sf_dir))
+
+
+@query("snk07_documents_level3", duck(*OBJECTS, _RECORD_SQL, OFFERS_SQL, FIRST_SQL, HASHED_SQL, _DOC_ARTIFACTS_SQL, RLE_SQL, _COUNTS_SQL, """
+dr AS (SELECT image_id, string_agg(instance_id || '=' || array_to_string(counts, ' '), ',' ORDER BY instance_id) AS mask_rle FROM typed JOIN rle USING (image_id, source_index) GROUP BY image_id)""", """
+dw AS (SELECT image_id, string_agg('object ' || instance_id || ': ' || warning, ',' ORDER BY instance_id) AS warnings FROM typed WHERE warning IS NOT NULL GROUP BY image_id)""") + f"""
+SELECT i.image_id, coalesce(n, 0) AS objects, coalesce(labels, '') AS labels, coalesce(warnings, '') AS warnings, coalesce(artifacts, '') AS artifacts, coalesce(records, '[]') AS records, coalesce(mask_rle, '') AS mask_rle,
+  'after_geometry=' || after_geometry || ',non_empty=' || non_empty || ',raw=' || raw AS candidate_counts FROM {_ALL_IMAGES_SQL} LEFT JOIN rec USING (image_id) LEFT JOIN dart USING (image_id) LEFT JOIN dr USING (image_id) LEFT JOIN dw USING (image_id) LEFT JOIN cnt USING (image_id)""")
+def snk07_3(spark, sf_dir):
+    return ops.result_documents(typed_of(spark, sf_dir), images_of(spark, sf_dir), 3, hashed_of(spark, sf_dir), rle_of(spark, sf_dir), counts_of(judged_of(spark, sf_dir)))
+
+
+@query("snk08_public_projection", duck(*OBJECTS, RECORDS_SQL, _COUNTS_SQL) + """,
+ob AS (SELECT image_id, string_agg(record, ',' ORDER BY instance_id) AS o, coalesce(array_to_string((list('"' || warning || '"' ORDER BY instance_id) FILTER (warning IS NOT NULL))[1:2], ','), '') AS w FROM recs GROUP BY image_id)
+SELECT i.image_id, '{"candidate_counts":{"after_geometry":' || after_geometry || ',"non_empty":' || non_empty || ',"raw":' || raw || '},"image":{"height":' || img_h || ',"width":' || img_w || '},"objects":[' || coalesce(o, '') || '],"warnings":[' || coalesce(w, '') || ']}' AS document
+FROM (SELECT DISTINCT image_id, img_w, img_h FROM f1) i LEFT JOIN ob USING (image_id) LEFT JOIN cnt USING (image_id)""")
 def snk08(spark, sf_dir):
-    return ops.public_projection(typed_of(spark, sf_dir), 2)
+    images = candidates(spark, sf_dir).select("image_id", "img_w", "img_h").distinct()
+    return ops.public_projection(typed_of(spark, sf_dir), images, counts_of(judged_of(spark, sf_dir)), 2)
 
 
 @query("snk03_label_manifest", duck(*OBJECTS) + " SELECT class_id, label, count(*) AS objects, count(DISTINCT image_id) AS images FROM typed GROUP BY ALL")

@@ -67,6 +67,31 @@ def flt08(spark, sf_dir):
     return ops.range_violations(requests(spark, sf_dir), {"points_per_side": (4, 70), "crop_n_layers": (0, 2)})
 
 
+_TEXT_SETTINGS_SQL = """
+ts AS (SELECT p_partkey AS request_id, CASE WHEN p_partkey % 13 = 0 THEN 'x' || p_size ELSE CAST(p_size * 2 AS VARCHAR(20)) END AS points_per_side, CASE WHEN p_partkey % 7 = 0 THEN 'high' ELSE p_size || 'e-1' END AS quality,
+  CASE WHEN p_partkey % 5 = 0 THEN CASE WHEN p_size % 2 = 0 THEN 'True' ELSE 'perhaps' END END AS multimask, CAST(p_size AS VARCHAR(20)) AS min_area, CASE WHEN p_partkey % 4 <> 0 THEN CAST(p_partkey % 60 AS VARCHAR(20)) END AS max_area, CASE WHEN p_partkey % 9 = 0 THEN '40' END AS maxsize FROM {part})
+"""
+#: Kind and range of each field of the fixture.
+TEXT_FIELDS = {"points_per_side": ("int", 1, 90), "quality": ("number", 0, 4), "multimask": ("bool", 0, 1), "min_area": ("int", 0, 1000), "max_area": ("int", 0, 50)}
+
+
+def text_settings(spark, sf_dir):
+    rows = spark.sql("WITH " + _TEXT_SETTINGS_SQL + " SELECT * FROM ts", part=table(spark, sf_dir, "part"))
+    names = [*TEXT_FIELDS, "maxsize"]
+    entries = F.filter(F.array(*[F.struct(F.lit(n).alias("key"), F.col(n).alias("value")) for n in names]), lambda e: e["value"].isNotNull())
+    return rows.select("request_id", F.map_from_entries(entries).alias("settings"))
+
+
+@query("flt08_setting_violations", duck(_TEXT_SETTINGS_SQL) + """,
+m AS (SELECT *, coalesce(max_area, maxsize) AS most FROM ts),
+v AS (SELECT request_id, CASE WHEN NOT regexp_full_match(points_per_side, '[+-]?[0-9]+') THEN 'points_per_side:type' WHEN TRY_CAST(points_per_side AS DOUBLE) < 1 OR TRY_CAST(points_per_side AS DOUBLE) > 90 THEN 'points_per_side:range'
+  WHEN TRY_CAST(quality AS DOUBLE) IS NULL THEN 'quality:type' WHEN TRY_CAST(quality AS DOUBLE) > 4 THEN 'quality:range' WHEN multimask IS NOT NULL AND lower(multimask) NOT IN ('true', 'false') THEN 'multimask:type'
+  WHEN max_area IS NOT NULL AND maxsize IS NOT NULL THEN 'max_area:conflict' WHEN TRY_CAST(most AS DOUBLE) > 50 THEN 'max_area:range' WHEN TRY_CAST(min_area AS DOUBLE) > TRY_CAST(most AS DOUBLE) THEN 'min_area:order' END AS v FROM m)
+SELECT request_id, string_split(v, ':')[1] AS field, string_split(v, ':')[2] AS problem FROM v WHERE v IS NOT NULL""")
+def flt08_settings(spark, sf_dir):
+    return ops.setting_violations(text_settings(spark, sf_dir), TEXT_FIELDS, (("min_area", "max_area"),), {"maxsize": "max_area"})
+
+
 _KEYS = "'alpha', 'images', 'video', 'mask_generator', 'palette', 'visualization'"
 _SETTINGS_SQL = f"sets AS (SELECT p_partkey AS request_id, list_filter([{_KEYS}], lambda x, i: (p_partkey // i) % 2 = 0) AS keys FROM {{part}})"
 

@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions.text import nfkc_token
 from ..operators import scoring as ops
+from ..operators.reports import stage_funnel
 from .base import query
-from .fixtures import CANDS_SQL, PROMPTS_SQL, duck, prompts, scored_candidates, table
+from .fixtures import BASE, CANDS_SQL, PROMPTS_SQL, duck, prompts, scored_candidates, table
+from .masks import ORDERED_SQL, judged_of
 
 POLICY = ops.RoutePolicy(targets=("c3", "c1"), uncertain=("c5",), top_k=2, margin=0.05, minimum=0.3, cap=4)
 RULES = [
@@ -184,15 +186,16 @@ def jon04(spark, sf_dir):
     return ops.match_label_rules(v, rules, settled).select("image_id", "source_index", "winner", "rule_name")
 
 
-@query("agg03_stage_funnel", duck(*ROUTING, _VERIFIED_SQL) + """
-SELECT image_id, unnest(['scored', 'routed', 'after_cap', 'verified', 'final']) AS stage, unnest([n, r, c, v, f]) AS n FROM (
+@query("agg03_stage_funnel", duck(*BASE, ORDERED_SQL, *ROUTING, _VERIFIED_SQL) + """
+SELECT image_id, unnest(['raw', 'non_empty', 'after_geometry']) AS stage, unnest([count(*), count(*) FILTER (area > 0), count(*) FILTER (reason IS NULL)]) AS n FROM reasoned GROUP BY image_id
+UNION ALL SELECT image_id, unnest(['scored', 'initially_routed', 'after_cap', 'verified', 'final']) AS stage, unnest([n, r, c, v, f]) AS n FROM (
   SELECT image_id, count(*) AS n, count(*) FILTER (routed) AS r, count(*) FILTER (verify) AS c, count(status) AS v, count(*) FILTER (status = 'true') AS f FROM capped LEFT JOIN (SELECT image_id, source_index, status FROM va) USING (image_id, source_index) GROUP BY image_id)""")
 def agg03(spark, sf_dir):
-    status = ops.map_answer()[0].alias("status")
-    v = verified_of(spark, sf_dir).select("image_id", "source_index", status)
-    r = routes_of(spark, sf_dir).select("image_id", "source_index", "routed", "verify").join(v, ["image_id", "source_index"], "left")
-    n = r.groupBy("image_id").agg(F.count(F.lit(1)).alias("scored"), F.count_if("routed").alias("routed"), F.count_if("verify").alias("after_cap"), F.count("status").alias("verified"), F.count_if(F.col("status") == "true").alias("final"))
-    return n.unpivot("image_id", ["scored", "routed", "after_cap", "verified", "final"], "stage", "n")
+    before = stage_funnel({"raw": F.lit(True), "non_empty": F.col("area") > 0, "after_geometry": F.col("reason").isNull()}, judged_of(spark, sf_dir))
+    v = verified_of(spark, sf_dir).select("image_id", "source_index", ops.map_answer()[0].alias("status"))
+    r = routes_of(spark, sf_dir).select("image_id", "source_index", "routed", "verify").join(v.hint("merge"), ["image_id", "source_index"], "left")
+    after = stage_funnel({"scored": F.lit(True), "initially_routed": F.col("routed"), "after_cap": F.col("verify"), "verified": F.col("status").isNotNull(), "final": F.col("status") == "true"}, r)
+    return before.unionByName(after)
 
 
 @query("scl13_normalized_vectors", duck(CANDS_SQL) + """,

@@ -10,6 +10,7 @@ from ..sources.shared import fresh_path
 from ..streaming import frames as ops
 from .base import query
 from .fixtures import F1_SQL, FRAMES_SQL, MEASURE_SQL, RUNS_SQL, candidates, duck, frames, mask_runs
+from .reports import COUNTERS_SQL
 
 _COLUMNS = ["stream_id", "frame_idx", "event_id", "ts", "ms", "outcome"]
 
@@ -32,18 +33,21 @@ def str02(spark, sf_dir):
     return ops.run_available(ops.ordered_emit(reports.frame_ids(arriving(spark, sf_dir)).select("stream_id", F.col("frame_idx").cast("long").alias("frame_idx"), "frame_id")))
 
 
-@query("str04_live_metrics", duck(FRAMES_SQL) + """
-SELECT stream_id, count(*) AS requests, count(*) FILTER (outcome = 'success') AS success, count(*) FILTER (outcome = 'service_busy') AS busy, count(*) FILTER (outcome = 'not_ready') AS not_ready, count(*) FILTER (outcome = 'timeout') AS timeout, count(*) FILTER (outcome = 'response_too_large') AS "limit" FROM frames GROUP BY stream_id""")
+@query("str04_live_metrics", duck(FRAMES_SQL) + f"""
+SELECT stream_id, {COUNTERS_SQL}, count(*) FILTER (ms <= 1) AS le_1, count(*) FILTER (ms <= 2.5e0) AS le_2_5, count(*) FILTER (ms <= 10) AS le_10, count(*) FILTER (ms <= 50) AS le_50, count(ms) AS le_inf, CAST(sum(CAST(ms AS DECIMAL(20, 4))) AS DOUBLE) AS total,
+  arg_max(ms, frame_idx) AS latest, max(ms) AS peak FROM frames GROUP BY stream_id""")
 def str04(spark, sf_dir):
     return ops.run_available(ops.live_metrics(arriving(spark, sf_dir)), "complete")
 
 
-@query("str03_idempotent_offers", "SELECT DISTINCT user_id AS request_id, event_type AS stage, props AS name, CAST(floor(value) AS BIGINT) AS raw_bytes FROM events")
+@query("str03_idempotent_offers", "SELECT event_id AS request_id, event_type AS stage, props AS name, CAST(floor(value) AS BIGINT) AS raw_bytes FROM events")
 def str03(spark, sf_dir):
+    """Every offer is made twice, up to five minutes apart; what was seen is forgotten after ten."""
     path = fresh_path(spark, "offers")
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("request_id"), F.col("event_type").alias("stage"), F.col("props").alias("name"), F.floor("value").cast("long").alias("raw_bytes"))
+    twice = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("again", F.explode(F.array(F.lit(0).cast("long"), F.col("event_id") % 300)))
+    e = twice.select((F.col("ts").cast("timestamp").cast("double") + F.col("again")).cast("timestamp").alias("ts"), F.col("event_id").alias("request_id"), F.col("event_type").alias("stage"), F.col("props").alias("name"), F.floor("value").cast("long").alias("raw_bytes"))
     e.write.parquet(path)
-    return ops.run_available(ops.idempotent_offers(ops.file_stream(spark, path, e.schema, 1000), "3650 days")).drop("ts")
+    return ops.run_available(ops.idempotent_offers(ops.file_stream(spark, path, e.schema, 1000))).drop("ts")
 
 
 @query("geo07_component_counts", duck(F1_SQL, RUNS_SQL) + " SELECT image_id, source_index, CAST(CASE WHEN has_gap AND y1 - y0 >= 2 THEN CASE WHEN m = y0 THEN 1 ELSE 2 END ELSE 1 END AS BIGINT) AS components FROM (SELECT DISTINCT image_id, source_index, has_gap, y0, y1, m FROM cols)")

@@ -17,18 +17,37 @@ def file_stream(spark: SparkSession, path: str, schema, files_per_trigger: int =
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Drive a stream over what is there and return what its sink holds. The sink is a table of the shared folder."""
-    spark = stream.sparkSession
-    out, log = fresh_path(spark, "stream-out"), fresh_path(spark, "stream-log")
-    schema = stream.schema
+class TableSink:
+    """Writes each batch of a stream under its number, so a batch that is replayed after a failure replaces itself.
+
+    A subclass can change what is stored by its `commit`; it is called once per batch, and again with the same
+    number if the batch is replayed.
+    """
+
+    def __init__(self, path: str, keep: str = "append"):
+        self.path, self.keep = path, keep
+
+    def commit(self, batch: DataFrame, number: int) -> None:
+        """Every batch stays (`append`), or only the last one (`complete`)."""
+        batch.write.mode("overwrite").parquet(f"{self.path}/batch={number if self.keep == 'append' else 0}")
 
-    def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("append" if mode == "append" else "overwrite").parquet(out)
+    def rows(self, spark: SparkSession, schema) -> DataFrame:
+        names = [f.name for f in schema.fields]
+        return spark.read.option("basePath", self.path).schema(schema).parquet(self.path).select(*names)
 
-    query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", log).trigger(availableNow=True).start()
+
+def drive(stream: DataFrame, sink: TableSink, mode: str, log: str) -> None:
+    """Run a stream over what is there. log: the folder of the stream's progress; with it a restart goes on where it stopped."""
+    query = stream.writeStream.outputMode(mode).foreachBatch(sink.commit).option("checkpointLocation", log).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(schema).parquet(out)
+
+
+def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
+    """Drive a stream over what is there and return what its sink holds, a table of the shared folder."""
+    spark = stream.sparkSession
+    sink = TableSink(fresh_path(spark, "stream-out"), mode)
+    drive(stream, sink, mode, fresh_path(spark, "stream-log"))
+    return sink.rows(spark, stream.schema)
 
 
 def frame_records(frames: DataFrame) -> DataFrame:
@@ -69,6 +88,6 @@ def idempotent_offers(stream: DataFrame, watermark: str = "10 minutes") -> DataF
     return stream.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["request_id", "name", "stage", "raw_bytes"])
 
 
-def live_metrics(stream: DataFrame) -> DataFrame:
-    """Running counters per outcome and stream; the batch report's own aggregate."""
-    return reports.outcome_counters(stream, ["stream_id"])
+def live_metrics(stream: DataFrame, value: str = "ms", bounds: tuple[float, ...] = (1, 2.5, 10, 50), order: tuple[str, ...] = ("frame_idx",)) -> DataFrame:
+    """Running counters, cumulative histogram and gauges per stream: the columns of the batch reports."""
+    return stream.groupBy("stream_id").agg(*reports.counter_columns(), *reports.histogram_columns(value, list(bounds)), *reports.gauge_columns(list(order), value))
