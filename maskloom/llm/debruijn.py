@@ -9,7 +9,8 @@ edge met before (smaller doc_id, or the same document further left) is a repeat,
    Within an input batch, occurrences of a piece after the first are settled at once.
 2. Where all occurrences of a gram carry the same words the piece does not branch, and every occurrence
    but the first repeats it. Where they differ, the first occurrence of each variant is cut into its
-   single edges, which are matched one by one.
+   single edges, which are matched one by one. Pieces of a gram that is common everywhere are cut at once: a first
+   pass counts grams, and a partition is named by the whole window then, so no common gram makes a task of its own.
 3. Compaction. A repeated piece whose predecessor ends where it begins, in the document and in the
    source of the repeat alike, continues that path: joins of pieces with their predecessors find the heads,
    and pieces are compacted into long spans from head to head.
@@ -18,7 +19,7 @@ edge met before (smaller doc_id, or the same document further left) is a repeat,
 
 Defined cases: null text has no words; texts under 20 words keep all; rows of one doc_id are one document, in
 the order of a hash of their texts; rows that repeat doc_id and text are the same place, so both keep what the first
-keeps; rows with a null doc_id neither repeat nor are repeated; an empty table gives an empty result; other
+keeps; rows with a null doc_id neither repeat nor are repeated; texts are read whole, however long; an empty table gives an empty result; other
 columns are ignored.
 """
 
@@ -37,7 +38,10 @@ from .suffixes import keyed, of_keys, sliding_min
 
 WINDOW, GRAM = 20, 8
 
-PIECES = "settled boolean, part long, content long, key long, doc_id long, s int, n int, okey long, os int"
+#: Open pieces of a gram from which on they are cut into edges at once.
+CROWD = 20_000
+
+PIECES = "settled boolean, part long, content long, key long, doc_id long, s int, n int, okey long, os int, crowded boolean"
 EDGES = "settled boolean, part long, content long, key long, doc_id long, s int, okey long, os int"
 
 
@@ -80,22 +84,45 @@ def settle(groups: list[np.ndarray], order: list[np.ndarray]) -> tuple[np.ndarra
     return first != np.arange(len(at)), first
 
 
-def _pieces(batches):
+def found_pieces(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """row, first word, number of edges, gram and content of the pieces of a batch, whether each repeats an earlier one of it, and that one."""
+    key, ids = (batch.column(c).to_numpy() for c in ("key", "doc_id"))
+    found = []
+    for at, _, buf, offs in chunks(batch.column("text")):
+        _, _, h, first = words(buf, offs)
+        row, s, n, gram, content = pieces_of(h, first)
+        found.append((at + row, s, n, gram, content))
+    if not found:
+        found = [tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, U64, U64))]
+    row, s, n, gram, content = (np.concatenate(x) for x in zip(*found, strict=True))
+    return row, s, n, gram, content, *settle([content, gram], [ids[row], key[row], s])
+
+
+def _gram_counts(batches):
+    """Grams of several pieces that a batch does not settle; a gram that is common everywhere is common in the batches."""
     for batch in batches:
-        key, ids = (batch.column(c).to_numpy() for c in ("key", "doc_id"))
-        found = []
-        for at, _, buf, offs in chunks(batch.column("text")):
-            _, _, h, first = words(buf, offs)
-            row, s, n, gram, content = pieces_of(h, first)
-            found.append((at + row, s, n, gram, content))
-        if not found:
-            continue
-        row, s, n, gram, content = (np.concatenate(x) for x in zip(*found, strict=True))
-        k, d = key[row], ids[row]
-        settled, first = settle([content, gram], [d, k, s])
-        # What is settled needs no partition of its own.
-        part = np.where(settled, mix(k.view(U64) + s.astype(U64)), gram).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(settled), pa.array(part), pa.array(content.view(np.int64)), pa.array(k), pa.array(d), pa.array(s.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(k[first]), pa.array(s[first].astype(np.int32))], ["settled", "part", "content", "key", "doc_id", "s", "n", "okey", "os"])
+        *_, gram, _, settled, _ = found_pieces(batch)
+        grams_, n = np.unique(gram[~settled], return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(grams_[n > 3].view(np.int64)), pa.array(n[n > 3].astype(np.int64))], ["part", "n"])
+
+
+def _pieces(crowded: np.ndarray):
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield _dealt(batch, crowded)
+
+    return run
+
+
+def _dealt(batch: pa.RecordBatch, crowded: np.ndarray) -> pa.RecordBatch:
+    key, ids = (batch.column(c).to_numpy() for c in ("key", "doc_id"))
+    row, s, n, gram, content, settled, first = found_pieces(batch)
+    k, d = key[row], ids[row]
+    open_ = ~settled & np.isin(gram.view(np.int64), crowded)
+    # What is settled needs no partition of its own, nor what is cut into edges anyway.
+    part = np.where(settled | open_, mix(k.view(U64) + s.astype(U64)), gram).view(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(settled), pa.array(part), pa.array(content.view(np.int64)), pa.array(k), pa.array(d), pa.array(s.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(k[first]), pa.array(s[first].astype(np.int32)), pa.array(open_)], ["settled", "part", "content", "key", "doc_id", "s", "n", "okey", "os", "crowded"])
 
 
 def _edges(batches):
@@ -180,13 +207,21 @@ def matched(entries: DataFrame) -> DataFrame:
     ranked = dealt.withColumns({"rank": F.row_number().over(same), "fkey": F.first("key").over(first), "fs": F.first("s").over(first), "varied": F.min("content").over(group) < F.max("content").over(group)})
     # The same place can be listed by several rows: it does not repeat itself.
     again = F.col("settled") | ((F.col("rank") > 1) & ~((F.col("fkey") == F.col("key")) & (F.col("fs") == F.col("s"))))
-    return ranked.withColumns({"again": again, "okey": F.when(F.col("settled"), F.col("okey")).otherwise(F.col("fkey")), "os": F.when(F.col("settled"), F.col("os")).otherwise(F.col("fs"))}).filter("again OR varied")
+    ranked = ranked if "crowded" in ranked.columns else ranked.withColumn("crowded", F.lit(False))
+    return ranked.withColumns({"again": again, "okey": F.when(F.col("settled"), F.col("okey")).otherwise(F.col("fkey")), "os": F.when(F.col("settled"), F.col("os")).otherwise(F.col("fs"))}).filter("again OR varied OR crowded")
+
+
+def crowded_grams(rows: DataFrame) -> np.ndarray:
+    """Grams with so many open pieces that one partition should not hold them: some thousands at most, whatever the input."""
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    counts = rows.mapInArrow(_gram_counts, "part long, n long").groupBy("part").agg(F.sum("n").alias("n")).filter(F.col("n") > max(CROWD, size // 20_000))
+    return np.array(sorted(r["part"] for r in counts.select("part").collect()), np.int64)
 
 
 def repeated_paths(rows: DataFrame) -> DataFrame:
     """key, s, n, okey, os: verified long spans (n edges from word s) and their source coordinates. rows: doc_id, text, key."""
     long_enough = rows.filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= 2 * WINDOW - 1))
-    found = matched(long_enough.mapInArrow(_pieces, PIECES))
+    found = matched(long_enough.mapInArrow(_pieces(crowded_grams(long_enough)), PIECES))
     found = staged(found.select("key", "s", "n", "okey", "os", "again"), "pieces")
     branching = found.filter("NOT again").groupBy("key").agg(F.collect_set(F.struct("s", "n")).alias("pieces"))
     edges = _with_texts(rows, branching).select("key", "doc_id", "text", "pieces").mapInArrow(_edges, EDGES)

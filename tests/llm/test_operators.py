@@ -290,3 +290,15 @@ def test_top_k_is_exact(spark):
     df = spark.range(5000).select(F.col("id").alias("doc_id"), (F.pmod(F.xxhash64("id"), F.lit(997)) * 1.0).alias("x"))
     want = {r.doc_id for r in df.orderBy(F.desc("x"), "doc_id").limit(1234).collect()}
     assert {r.doc_id for r in quality.top_k(df, "x", 1234).filter("selected").collect()} == want
+
+
+def test_crowded_buckets(spark, monkeypatch):
+    """What is done where thousands of windows share a bucket gives the same rows."""
+    common = sentences(77, 16)
+    texts = [(k, f"{sentences(100 + k % 30, 25)} {common} {sentences(200 + k, 25)} {sentences(300 + k % 5, 30)}") for k in range(60)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
+    monkeypatch.setattr(debruijn, "CROWD", 1)
+    monkeypatch.setattr(suffixes, "CROWD", 1)
+    assert len(debruijn.crowded_grams(suffixes.keyed(docs))) > 0
+    assert rows(debruijn.remove_repeats(docs)) == sorted(brute.substring_dedup(texts), key=repr)
+    assert rows(suffixes.remove_repeats(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(brute.suffix_dedup(texts), key=repr)
