@@ -7,10 +7,12 @@ with possessive runs and look-behind, so that a long run without a match costs l
 only runs of 12 to 19 digits are proposed at all.
 
 Kinds of the contract: email, ip (parts at most 255), card (12 to 19 digits passing Luhn) and phone
-(9 to 15 digits). iban, confirmed by mod 97, is added by the method. Scores are percentages.
+(9 to 15 digits). The method adds iban, confirmed by mod 97, ssn (a number that can be given out) and secret (long runs of
+mixed letters and digits). Scores are percentages, raised by a context word shortly before a span; a span that the
+method adds stays only if its score reaches SURE, so an ssn or a secret needs its context.
 
 Defined cases: null text is empty and has no spans; every row gives one row, repeated ones too; an
-empty table gives an empty result; other columns are ignored.
+empty table gives an empty result; texts are searched whole, however long; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,8 +29,14 @@ PLAIN = {
     "card": r"[0-9]([\x20-]?[0-9])+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "iban": r"[A-Z]{2}[0-9]{2}(\x20?[A-Z0-9]{4}){2,7}(\x20?[A-Z0-9]{1,3})?",
+    "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
+    "secret": r"[A-Za-z0-9_-]{20,}",
 }
 
+#: Kinds whose spans the contract fixes; the method's own follow them, and stay only if their score reaches SURE.
+BASE = 4
+SURE = 60
+
 #: The same matches (cards: those of the right length) in linear time.
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -36,20 +44,31 @@ PATTERNS = {
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){11,18}+(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "ssn": r"(?<![A-Za-z0-9_-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9_-])",
+    "secret": r"[A-Za-z0-9_-]{20,}+",
 }
 
-#: Score of a confirmed span in percent, what a context word adds, and the context words.
+#: Score of a confirmed span in percent, what a context word adds, and the context words, whole ones.
 SCORES = {
-    "email": (80, 15, "mail|contact|write|reach"),
-    "ip": (60, 30, "ip|addr|host|server|login"),
-    "card": (85, 14, "card|visa|credit|debit|pay"),
+    "email": (80, 15, "mail|e-mail|email|contact|write|reach"),
+    "ip": (60, 30, "ip|addr|address|host|server|login"),
+    "card": (85, 14, "card|visa|credit|debit|pay|payment"),
     "phone": (60, 35, "tel|phone|call|mobile|fax|ring"),
     "iban": (90, 9, "iban|bank|account|konto|compte"),
+    "ssn": (45, 45, "ssn|social|security|insurance"),
+    "secret": (40, 50, "token|secret|password|passwd|pwd|key|apikey|auth|bearer|credential|credentials"),
 }
 
 #: Code points before a span in which context words count.
 CONTEXT = 40
 
+
+
+def context(words: str) -> str:
+    """Pattern of any of the words between characters that are neither ASCII letters nor digits."""
+    return f"(?:^|[^a-z0-9])(?:{words})(?:[^a-z0-9]|$)"
+
+
 _IP_PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 
 
@@ -86,6 +105,10 @@ def confirmed(kind: str, found: Column) -> Column:
         return F.length(digits).between(9, 15)
     if kind == "iban":
         return mod97(F.regexp_replace(found, " ", "")) == 1
+    if kind == "ssn":  # areas, groups and serials that are never given out
+        return ~found.rlike("^(?:000|666|9)") & ~found.rlike("-00-") & ~found.rlike("-0000$")
+    if kind == "secret":  # mixed letters and digits, as chance makes them
+        return (F.length(digits) >= 4) & (F.length(F.regexp_replace(found, "[^A-Za-z]", "")) >= 4)
     return F.lit(True)
 
 
@@ -99,9 +122,11 @@ def spans_of(kind: str, rank: int, text: Column) -> Column:
     def step(acc, x):
         start = acc["at"] + F.length(x["between"])
         end = start + F.length(x["found"])
-        near = F.lower(F.substring(x["between"], -CONTEXT, CONTEXT)).rlike(words)
-        span = F.struct(start.alias("start"), F.lit(rank).alias("kind"), end.alias("end"), (score + F.when(near, more).otherwise(0)).alias("score"))
-        return F.struct(end.alias("at"), F.when(confirmed(kind, x["found"]), F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
+        near = F.lower(F.substring(x["between"], -CONTEXT, CONTEXT)).rlike(context(words))
+        points = score + F.when(near, more).otherwise(0)
+        span = F.struct(start.alias("start"), F.lit(rank).alias("kind"), end.alias("end"), points.alias("score"))
+        stays = confirmed(kind, x["found"]) if rank < BASE else confirmed(kind, x["found"]) & (points >= SURE)
+        return F.struct(end.alias("at"), F.when(stays, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
 
     pairs = F.zip_with(found, between, lambda f, b: F.struct(f.alias("found"), b.alias("between")))
     pairs = F.filter(pairs, lambda x: x["found"].isNotNull())
@@ -120,10 +145,10 @@ def pii_digest(found: DataFrame) -> DataFrame:
     kinds = list(PLAIN)
     name = lambda s: F.get(F.array(*[F.lit(k) for k in kinds]), s["kind"])
     place = lambda s: F.concat_ws(":", name(s), s["start"].cast("string"), s["end"].cast("string"))
-    base = F.filter("spans", lambda s: s["kind"] < 4)
+    base = F.filter("spans", lambda s: s["kind"] < BASE)
     count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
     counts = [count(k).alias(f"n_{kind}") for k, kind in enumerate(kinds)]
     return found.select(
-        "doc_id", *counts, F.sha2(F.array_join(F.transform(base, place), ","), 256).alias("base_sha256"), F.array_join(F.transform("spans", place), ",").alias("spans"),
+        "doc_id", *counts, F.size("spans").cast("long").alias("n_spans"), F.sha2(F.array_join(F.transform(base, place), ","), 256).alias("base_sha256"), F.array_join(F.transform("spans", place), ",").alias("spans"),
         F.array_join(F.transform("spans", lambda s: s["score"].cast("string")), ",").alias("scores"),
     )

@@ -12,7 +12,7 @@ from .exact import exact_groups
 from .language import identify
 from .minhash import near_duplicates
 from .mixing import mixed
-from .pii import PLAIN, SCORES, find_pii, pii_digest
+from .pii import BASE, PLAIN, SCORES, SURE, context, find_pii, pii_digest
 from .quality import importance_sample
 from .sharding import assign_shards
 from .suffixes import remove_repeats
@@ -96,29 +96,29 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digest(find_pii(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
-def _pii_kind_sql(kind: str, rank: int, pattern: str, valid: str, score: int, more: int, context: str) -> str:
+def _pii_kind_sql(kind: str, rank: int, pattern: str, valid: str, score: int, more: int, words: str) -> str:
     return rf"""
   SELECT doc_id, {rank} AS k, '{kind}' AS kind, b AS s, b + length(f) AS e,
-    {score} + CASE WHEN regexp_matches(lower(right(gap, 40)), '{context}') THEN {more} ELSE 0 END AS score
+    {score} + CASE WHEN regexp_matches(lower(right(gap, 40)), '{context(words)}') THEN {more} ELSE 0 END AS score
   FROM (SELECT doc_id, ps[i] AS gap, ms[i] AS f, regexp_replace(ms[i], '[^0-9]', '', 'g') AS digits, replace(ms[i], ' ', '') AS code,
       list_sum(list_transform(ps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS b
     FROM (SELECT doc_id, ps, ms, unnest(range(1, len(ms) + 1)) AS i FROM
       (SELECT doc_id, regexp_extract_all(t, '{pattern}') AS ms, string_split_regex(t, '{pattern}') AS ps FROM t WHERE regexp_matches(t, '{pattern}'))))
-  WHERE {valid}"""
+  WHERE {valid} AND ({rank} < {BASE} OR score >= {SURE})"""
 
 
 _LUHN_SQL = "list_sum(list_transform(range(0, length(digits)), lambda i: CASE WHEN i % 2 = 0 THEN CAST(substr(digits, length(digits) - i, 1) AS INT) ELSE CAST(substr(digits, length(digits) - i, 1) AS INT) * 2 - CASE WHEN CAST(substr(digits, length(digits) - i, 1) AS INT) > 4 THEN 9 ELSE 0 END END)) % 10 = 0"
 _OCTET_SQL = "list_bool_and(list_transform(string_split(f, '.'), lambda x: TRY_CAST(x AS HUGEINT) <= 255))"
 _MOD97_SQL = "list_reduce(list_prepend(0, list_transform(string_split(substr(code, 5) || substr(code, 1, 4), ''), lambda c: CASE WHEN c >= 'A' THEN ascii(c) - 55 ELSE ascii(c) - 48 END)), lambda a, x: CASE WHEN x >= 10 THEN (a * 100 + x) % 97 ELSE (a * 10 + x) % 97 END) = 1"
-_VALID_SQL = {"email": "true", "ip": _OCTET_SQL, "card": f"length(digits) BETWEEN 12 AND 19 AND {_LUHN_SQL}", "phone": "length(digits) BETWEEN 9 AND 15", "iban": _MOD97_SQL}
-_PII_SQL = " UNION ALL ".join(_pii_kind_sql(kind, n, rf"\b{PLAIN[kind]}\b" if kind == "iban" else PLAIN[kind], _VALID_SQL[kind], *SCORES[kind]) for n, kind in enumerate(PLAIN))
+_VALID_SQL = {"email": "true", "ip": _OCTET_SQL, "card": f"length(digits) BETWEEN 12 AND 19 AND {_LUHN_SQL}", "phone": "length(digits) BETWEEN 9 AND 15", "iban": _MOD97_SQL, "ssn": "NOT regexp_matches(f, '^(000|666|9)|-00-|-0000$')", "secret": "length(digits) >= 4 AND length(regexp_replace(f, '[^A-Za-z]', '', 'g')) >= 4"}
+_PII_SQL = " UNION ALL ".join(_pii_kind_sql(kind, n, rf"\b{PLAIN[kind]}\b" if kind in ("iban", "ssn") else PLAIN[kind], _VALID_SQL[kind], *SCORES[kind]) for n, kind in enumerate(PLAIN))
 
 OP7_SQL = rf"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 spans AS ({_PII_SQL}),
-g AS (SELECT doc_id, count(*) FILTER (k = 0) AS n_email, count(*) FILTER (k = 1) AS n_ip, count(*) FILTER (k = 2) AS n_card, count(*) FILTER (k = 3) AS n_phone, count(*) FILTER (k = 4) AS n_iban,
+g AS (SELECT doc_id, count(*) FILTER (k = 0) AS n_email, count(*) FILTER (k = 1) AS n_ip, count(*) FILTER (k = 2) AS n_card, count(*) FILTER (k = 3) AS n_phone, count(*) FILTER (k = 4) AS n_iban, count(*) FILTER (k = 5) AS n_ssn, count(*) FILTER (k = 6) AS n_secret, count(*) AS n_spans,
   string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) FILTER (k < 4) AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) AS spans, string_agg(CAST(score AS VARCHAR), ',' ORDER BY s, k) AS scores FROM spans GROUP BY doc_id)
-SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, coalesce(n_iban, 0) AS n_iban,
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, coalesce(n_iban, 0) AS n_iban, coalesce(n_ssn, 0) AS n_ssn, coalesce(n_secret, 0) AS n_secret, coalesce(n_spans, 0) AS n_spans,
   sha256(coalesce(base, '')) AS base_sha256, coalesce(g.spans, '') AS spans, coalesce(scores, '') AS scores
 FROM t LEFT JOIN g USING (doc_id)
 """
@@ -154,6 +154,22 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("kept")
 
 
+#: Every window as hexadecimal text, its least doc_id, and the bytes outside the union of the covered windows.
+OP1_SQL = r"""
+WITH d AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS h FROM documents),
+w AS (SELECT doc_id, p, md5_number(substr(h, 2 * p + 1, 100)) AS win FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 49)) AS p FROM d WHERE doc_id IS NOT NULL)),
+m AS (SELECT win, min(doc_id) AS least FROM w GROUP BY win HAVING count(*) > 1 AND min(doc_id) < max(doc_id)),
+c AS (SELECT doc_id, p FROM w JOIN m USING (win) WHERE doc_id > least),
+g AS (SELECT *, sum(CASE WHEN p > before + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS span FROM (SELECT *, coalesce(lag(p) OVER (PARTITION BY doc_id ORDER BY p), p) AS before FROM c)),
+s AS (SELECT doc_id, min(p) AS a, max(p) + 50 AS b FROM g GROUP BY doc_id, span),
+k AS (SELECT doc_id, b AS a, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS b FROM s UNION ALL SELECT doc_id, 0, min(a) FROM s GROUP BY doc_id),
+r AS (SELECT doc_id, string_agg(substr(h, 2 * a + 1, 2 * (coalesce(b, length(h) // 2) - a)), '' ORDER BY a) AS kept FROM k JOIN d USING (doc_id) GROUP BY doc_id),
+t AS (SELECT doc_id, CAST(sum(b - a) AS BIGINT) AS removed, count(*) AS spans FROM s GROUP BY doc_id)
+SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, coalesce(removed, 0) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN r USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
+
+
 
 def op2_debruijn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_words(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -171,4 +187,4 @@ SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_re
 """
 
 QUERIES = {"op2_debruijn_dedup": op2_debruijn_dedup, "op1_suffix_dedup": op1_suffix_dedup, "op3_minhash": op3_minhash, "op4_exact_dedup": op4_exact_dedup, "op5_decontamination": op5_decontamination, "op5_proximity": op5_proximity, "op6_language_id": op6_language_id, "op7_pii": op7_pii, "op8_quality": op8_quality, "op9_sharding": op9_sharding, "op10_mixing": op10_mixing}
-SQL = {"op2_debruijn_dedup": OP2_SQL, "op3_minhash": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op5_decontamination": OP5_SQL, "op7_pii": OP7_SQL, "op10_mixing": OP10_SQL}
+SQL = {"op1_suffix_dedup": OP1_SQL, "op2_debruijn_dedup": OP2_SQL, "op3_minhash": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op5_decontamination": OP5_SQL, "op7_pii": OP7_SQL, "op10_mixing": OP10_SQL}
