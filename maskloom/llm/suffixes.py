@@ -5,22 +5,26 @@ byte many times, so buckets are refined where they can still split, and only the
 
 1. Initial buckets. The q-grams of a window are hashed and the least one is the window's bucket, so
    equal windows share a bucket wherever they stand. Consecutive windows of one bucket are one entry:
-   a bucket, a hash of the bytes that the windows cover, and coordinates. Inside a task, an entry whose
-   bytes a smaller doc_id of the same batch has too is settled at once; the rest go to their bucket's
-   partition as packed arrays.
+   a bucket, a digest of the bytes that the windows cover (BLAKE2, 120 bits: equal digests stand for equal bytes), and
+   coordinates. Inside a task, an entry whose bytes a smaller doc_id of the same batch has too is settled at once; the
+   rest go to their bucket's part as packed arrays.
 2. A bucket with one entry is sorted already. Entries of a bucket with equal bytes are settled by the
    smallest doc_id among them. Only buckets with different bytes need refinement.
-3. Refinement. The bytes of those entries (first copies only) are sorted in their partition by bucket
+3. Refinement. The bytes of those entries (first copies only) are sorted in their part by bucket
    pointers: buckets of 8 bytes, then pairs of bucket numbers at offsets 0 and 8, 0 and 16, and
    0 and 18, each pass reusing the numbers of the pass before. Equal numbers at depth 50 are equal
-   windows, whatever the hashes of step 1 did; the smallest doc_id of each keeps it.
+   windows, by their bytes alone; the smallest doc_id of each keeps it. A bucket with thousands of different
+   contents is not one part: its windows are dealt one by one, by their own digests, so that equal ones meet.
+
+The number of parts grows with the bytes of the table, so a part holds about as much whatever the input.
 
 Bytes of every covered window are removed; they are judged on the input. All buckets, all windows and
 all documents take part. A frequent passage reaches a partition once per batch, not once per copy.
 
 Defined cases: null text is empty; texts under 50 bytes keep all; only strictly smaller doc_ids cover, so
 repeats inside a document or among rows of one doc_id stay; rows with a null doc_id neither cover nor
-lose anything; an empty table gives an empty result; other columns are ignored.
+lose anything; texts are read whole, one longer than a piece makes a longer piece; an empty table gives an empty result;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,18 +39,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import BYTE_VALUES, U64, chunks, flat, mix, powers
+from .batches import U64, chunks, flat, mix
 from .common import is_small, sized_join, staged, text_or_empty
 
 WINDOW, Q = 50, 16
 
-#: Parts per shuffle partition, worked on one after the other, and bytes of text that are.
-PARTS, PIECE = 8, 8 << 20
+#: Bytes of text whose entries make a part, about; a task works on its parts one after the other. Bytes of text that are read at once.
+PART, PIECE = 8 << 20, 8 << 20
+
+#: Least number of parts per shuffle partition, and most bytes of text per shuffle partition.
+PARTS, TASK = 8, 256 << 20
+
+#: Contents of a bucket from which on its windows are dealt one by one.
+CROWD = 4096
+
+#: An entry's digest is two numbers, of 8 and 7 bytes.
+DIGEST = 15
 
 #: A stretch of windows in a document: first start and number of starts.
 SPAN = np.dtype([("s", "<u4"), ("n", "<u4")])
 
-ENTRIES = "part int, kind int, keys binary, ids binary, counts binary, bucket binary, content binary, s binary, n binary"
+ENTRIES = "part int, kind int, keys binary, ids binary, counts binary, bucket binary, content binary, rest binary, s binary, n binary"
+ENTRY_NAMES = [f.split()[0] for f in ENTRIES.split(", ")]
+WHERE = np.dtype([("s", "<u4"), ("n", "<u4"), ("b", "<u8"), ("crowd", "<u4")])
 
 
 def planes(x: np.ndarray, width: int) -> bytes:
@@ -77,12 +92,19 @@ def packed(order_key: np.ndarray, records: np.ndarray) -> tuple[np.ndarray, pa.A
     return order_key[begin], pa.Array.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(offsets.tobytes()), data]).cast(pa.binary())
 
 
+def digests(raw: bytes, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """BLAKE2 digests of the bytes of each entry: equal ones are equal bytes."""
+    both = b"".join([hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(s.tolist(), e.tolist(), strict=True)])
+    both = np.frombuffer(both, "<u8").reshape(-1, 2)
+    return both[:, 0].copy(), both[:, 1] & U64((1 << 8 * (DIGEST - 8)) - 1)
+
+
 def entries_of(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
-    """row, start in the row, number of windows, bucket, content hash of each entry of a chunk."""
+    """row, start in the row, number of windows, bucket and both parts of the digest of each entry of a chunk."""
     n = len(buf)
     none = np.zeros(0, np.int64)
     if n < WINDOW:
-        return none, none, none, none.astype(U64), none.astype(U64)
+        return none, none, none, none.astype(U64), none.astype(U64), none.astype(U64)
     raw = buf.tobytes()
     eight = np.ndarray((n - 7,), "<u8", raw, 0, (1,))
     g = eight[: n - Q + 1] * U64(0x9E3779B97F4A7C15)
@@ -103,11 +125,8 @@ def entries_of(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
     e = np.append(s[1:], len(least))
     keep = inside[s]
     s, e = s[keep], e[keep]
-    total = np.zeros(n + 1, U64)
-    np.cumsum(BYTE_VALUES[buf] * powers(n, True), out=total[1:])
-    content = mix((total[e + WINDOW - 1] - total[s]) * powers(n + 1, False)[s] + (e - s).astype(U64))
     row = np.searchsorted(offs, s, "right") - 1
-    return row, s - offs[row], e - s, mix(least[s]), content
+    return row, s - offs[row], e - s, mix(least[s]), *digests(raw, s, e + WINDOW - 1)
 
 
 def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -124,16 +143,16 @@ def _entries(parts: int):
     def run(batches):
         for batch in (x for b in batches for x in pieces(b)):
             key, ids = (batch.column(c).to_numpy() for c in ("key", "doc_id"))
-            found = [(first + r, s, n, b, c) for first, _, buf, offs in chunks(batch.column("text")) for r, s, n, b, c in [entries_of(buf, offs)]]
+            found = [(first + r, *x) for first, _, buf, offs in chunks(batch.column("text")) for r, *x in [entries_of(buf, offs)]]
             if not found:
                 continue
-            row, s, n, bucket, content = (np.concatenate(x) for x in zip(*found, strict=True))
+            row, s, n, bucket, content, rest = (np.concatenate(x) for x in zip(*found, strict=True))
             # Settle here what a smaller doc_id of this batch has too.
-            order = np.lexsort((ids[row], content, bucket))
-            b, c, doc = bucket[order], content[order], ids[row][order]
-            begin = np.ones(len(b), bool)
-            begin[1:] = (b[1:] != b[:-1]) | (c[1:] != c[:-1])
-            least = doc[np.maximum.accumulate(np.where(begin, np.arange(len(b)), 0))]
+            order = np.lexsort((ids[row], rest, content))
+            c, d, doc = content[order], rest[order], ids[row][order]
+            begin = np.ones(len(c), bool)
+            begin[1:] = (c[1:] != c[:-1]) | (d[1:] != d[:-1])
+            least = doc[np.maximum.accumulate(np.where(begin, np.arange(len(c)), 0))]
             settled = np.zeros(len(row), bool)
             settled[order] = doc > least
             part = ((bucket >> U64(40)) % U64(parts)).astype(np.int64)
@@ -147,9 +166,9 @@ def _entries(parts: int):
                     continue
                 rows, counts = np.unique(row[at], return_counts=True)
                 local = p < 0
-                out.append((int(key[0] % parts) if local else p, int(local), key[rows].tobytes(), ids[rows].tobytes(), counts.astype(np.int32).tobytes(), b"" if local else planes(bucket[at], 5), b"" if local else planes(content[at], 7), planes(s[at].astype(np.uint32), 4), planes(n[at].astype(np.uint32), 4)))
+                out.append((int(key[0] % parts) if local else p, int(local), key[rows].tobytes(), ids[rows].tobytes(), counts.astype(np.int32).tobytes(), b"" if local else planes(bucket[at], 5), b"" if local else planes(content[at], 8), b"" if local else planes(rest[at], DIGEST - 8), planes(s[at].astype(np.uint32), 4), planes(n[at].astype(np.uint32), 4)))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), [pa.int32(), pa.int32()] + [pa.binary()] * 7, strict=True)], ["part", "kind", "keys", "ids", "counts", "bucket", "content", "s", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), [pa.int32(), pa.int32()] + [pa.binary()] * 8, strict=True)], ENTRY_NAMES)
 
     return run
 
@@ -173,7 +192,7 @@ def _settle(batches):
 
 
 def _settle_part(rows: list[dict]) -> Iterator[pa.RecordBatch]:
-    part, bucket, content, key, doc, s, n = ([] for _ in range(7))
+    part, bucket, content, rest, key, doc, s, n = ([] for _ in range(8))
     for r in rows:
         counts = np.frombuffer(r["counts"], np.int32)
         keys, begin, length = np.repeat(np.frombuffer(r["keys"], np.int64), counts), unplanes(r["s"], 4, np.uint32), unplanes(r["n"], 4, np.uint32)
@@ -184,14 +203,15 @@ def _settle_part(rows: list[dict]) -> Iterator[pa.RecordBatch]:
             continue
         part.append(np.full(len(keys), r["part"], U64))
         bucket.append(unplanes(r["bucket"], 5, U64))
-        content.append(unplanes(r["content"], 7, U64))
+        content.append(unplanes(r["content"], 8, U64))
+        rest.append(unplanes(r["rest"], DIGEST - 8, U64))
         key.append(keys)
         doc.append(np.repeat(np.frombuffer(r["ids"], np.int64), counts))
         s.append(begin)
         n.append(length)
     if not key:
         return
-    part, bucket, content, key, doc, s, n = (np.concatenate(x) for x in (part, bucket, content, key, doc, s, n))
+    part, bucket, content, rest, key, doc, s, n = (np.concatenate(x) for x in (part, bucket, content, rest, key, doc, s, n))
     bucket |= part << U64(40)
     # Buckets with one entry, or of one document, are sorted already.
     order = np.argsort(bucket, kind="stable")
@@ -201,20 +221,20 @@ def _settle_part(rows: list[dict]) -> Iterator[pa.RecordBatch]:
     d = doc[order]
     several = np.minimum.reduceat(d, begin) < np.maximum.reduceat(d, begin)
     order = order[np.repeat(several, sizes)]
-    bucket, content, key, doc, s, n = (x[order] for x in (bucket, content, key, doc, s, n))
+    bucket, content, rest, key, doc, s, n = (x[order] for x in (bucket, content, rest, key, doc, s, n))
     if not len(key):
         return
-    order = np.lexsort((doc, content, bucket))
-    bucket, content, key, doc, s, n = (x[order] for x in (bucket, content, key, doc, s, n))
+    order = np.lexsort((doc, rest, content, bucket))
+    bucket, content, rest, key, doc, s, n = (x[order] for x in (bucket, content, rest, key, doc, s, n))
     new_bucket = np.concatenate([[True], bucket[1:] != bucket[:-1]])
-    new_content = new_bucket | np.concatenate([[True], content[1:] != content[:-1]])
+    new_content = new_bucket | np.concatenate([[True], (content[1:] != content[:-1]) | (rest[1:] != rest[:-1])])
     first = np.maximum.accumulate(np.where(new_content, np.arange(len(key)), 0))
     covered = doc > doc[first]
     starts = np.flatnonzero(new_bucket)
     variants = np.repeat(np.add.reduceat(new_content.astype(np.int64), starts), np.diff(np.append(starts, len(key))))
     unsettled = ~covered & (variants > 1)
-    where = np.empty(int(unsettled.sum()), np.dtype([("s", "<u4"), ("n", "<u4"), ("b", "<u8")]))
-    where["s"], where["n"], where["b"] = s[unsettled], n[unsettled], bucket[unsettled]
+    where = np.empty(int(unsettled.sum()), WHERE)
+    where["s"], where["n"], where["b"], where["crowd"] = s[unsettled], n[unsettled], bucket[unsettled], variants[unsettled] > CROWD
     spans = _spans(key[covered], s[covered], n[covered])
     for k, records, name in ((key[covered], spans, "covered"), (key[unsettled], where, "unsettled")):
         order = np.argsort(k, kind="stable")
@@ -224,17 +244,22 @@ def _settle_part(rows: list[dict]) -> Iterator[pa.RecordBatch]:
 
 
 def _contents(parts: int):
-    """The bytes of unsettled spans, dealt to the partitions of their buckets."""
+    """The bytes of unsettled spans, dealt to the parts of their buckets; of crowded buckets, window by window to the parts of the windows."""
 
     def run(batches):
         for batch in (x for b in batches for x in pieces(b)):
             buf, offs = flat(batch.column("text"))
             out: dict[int, list] = {}
             for k, (key, doc) in enumerate(zip(batch.column("key").to_pylist(), batch.column("doc_id").to_pylist(), strict=True)):
-                where = np.frombuffer(b"".join(batch.column("unsettled")[k].as_py()), np.dtype([("s", "<u4"), ("n", "<u4"), ("b", "<u8")]))
+                where = np.frombuffer(b"".join(batch.column("unsettled")[k].as_py()), WHERE)
                 text = buf[offs[k] : offs[k + 1]].tobytes()
-                for s, n, b in zip(where["s"].tolist(), where["n"].tolist(), (mix(where["b"].astype(U64)) % U64(parts)).tolist(), strict=True):
-                    out.setdefault(b, []).append((key, doc, s, n, text[s : s + n + WINDOW - 1]))
+                for s, n, b, crowd in zip(where["s"].tolist(), where["n"].tolist(), (mix(where["b"].astype(U64)) % U64(parts)).tolist(), where["crowd"].tolist(), strict=True):
+                    if not crowd:
+                        out.setdefault(b, []).append((key, doc, s, n, text[s : s + n + WINDOW - 1]))
+                        continue
+                    for at in range(s, s + n):
+                        window = text[at : at + WINDOW]
+                        out.setdefault(int.from_bytes(hashlib.blake2b(window, digest_size=8).digest(), "little") % parts, []).append((key, doc, at, 1, window))
             rows = []
             for part, found in out.items():
                 key, doc, s, n, data = zip(*found, strict=True)
@@ -248,6 +273,8 @@ def _contents(parts: int):
 def bucket_pointers(data: np.ndarray) -> np.ndarray:
     """A number per position such that two are equal just if the WINDOW bytes from there on are; the last WINDOW - 1 positions have none."""
     n = len(data)
+    if n >= 1 << 32:  # two numbers share 64 bits
+        raise ValueError(f"a part of {n} bytes")
     raw = data.tobytes()
 
     def renumber(keys):
@@ -316,8 +343,9 @@ def of_keys(rows: DataFrame, keys: DataFrame) -> DataFrame:
 def covered_spans(rows: DataFrame) -> DataFrame:
     """key, covered (array of packed spans) for each document that loses something. rows: doc_id, text, key."""
     spark = rows.sparkSession
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = tasks * PARTS
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // TASK)
+    parts = tasks * max(PARTS, size // (tasks * PART))
     long_enough = rows.filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= WINDOW))
     entries = long_enough.mapInArrow(_entries(parts), ENTRIES)
     settled = staged(entries.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(_settle, "key long, covered binary, unsettled binary"), "settled")
