@@ -1,9 +1,12 @@
 """Registered queries of the numbered operators on the small tables, against SQL or brute force."""
 
+import zlib
+
 import duckdb
 import pytest
 
-from maskloom.llm import queries
+from maskloom.llm import quality, queries, sharding
+from pyspark.sql import functions as F
 
 from . import brute
 
@@ -55,3 +58,51 @@ def test_op9_laws(spark, sf):
     assert all(r["size"] == len((text[r.doc_id] or "").encode()) + 8 for r in out)
     for s in range(24):
         assert sorted(r.slot for r in out if r["shard"] == s) == list(range(counts[s]))
+
+
+def test_op6_against_plain_dicts(spark, sf):
+    """Every prediction and score of the registered query, from the same definition without arrays."""
+    docs = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    training = {}
+    for d, t, lang in docs:
+        if zlib.crc32(str(d).encode()) % 3 != 1 and t and lang is not None:
+            training.setdefault(lang, []).append(t)
+    names, text = sorted(training), {d: t for d, t, _ in docs}
+    got = {r.doc_id: r for r in queries.QUERIES["op6_language_id"](spark, sf).collect()}
+    assert len(got) == len(docs)
+    for d, r in got.items():
+        assert r.held_out == (zlib.crc32(str(d).encode()) % 3 == 1)
+        if not any(c.isalpha() for c in text[d] or ""):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+    for d in sorted(got)[::4]:  # the plain version takes long
+        if got[d].lang_pred != "und":
+            bits = brute.ppm(training, text[d])
+            best = min(names, key=lambda x: bits[x])
+            assert got[d].lang_pred == best
+            assert got[d].score == pytest.approx(1 / sum(2 ** -min(bits[x] - bits[best], 1000) for x in names), rel=1e-3)
+
+
+def test_op8_against_plain_counting(spark, sf):
+    """Weights by counting one n-gram at a time, and the k largest keys by sorting."""
+    docs = documents(spark, sf)
+    labels = spark.read.parquet(f"{sf}/labels.parquet").collect()
+    weights = brute.quality_weights(docs, {r.doc_id for r in labels if r.quality == 1 and not r.toxic}, quality.BINS)
+    got = queries.QUERIES["op8_quality"](spark, sf).collect()
+    assert {r.doc_id: r.log_weight for r in got} == pytest.approx(weights, abs=1e-5)
+    k = -(-len(docs) * sum(r.quality for r in labels) // len(labels))
+    best = sorted(got, key=lambda r: (-r.gumbel_key, r.doc_id))[:k]
+    assert {r.doc_id for r in got if r.kept} == {r.doc_id for r in best}
+
+
+def test_op9_against_single_keys(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    places = {r.doc_id: r.p for r in docs.select("doc_id", F.shiftrightunsigned(F.xxhash64("doc_id"), 1).alias("p")).collect()}
+    got = {r.doc_id: r["shard"] for r in queries.QUERIES["op9_sharding"](spark, sf).collect()}
+    assert got == brute.ring_shards(places, sharding.ring_points(24, 128), 24)
+
+
+def test_op5_proximity_holds_the_exact_matches(spark, sf):
+    """Every item that a document holds exactly, it holds by proximity too."""
+    exact = {r.doc_id: r.n_items for r in queries.QUERIES["op5_decontamination"](spark, sf).collect()}
+    near = queries.QUERIES["op5_proximity"](spark, sf).collect()
+    assert {r.doc_id: r.n_items for r in near} == exact and all(len([x for x in r.near_items if x]) >= r.n_items for r in near)
