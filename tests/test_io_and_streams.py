@@ -1,11 +1,15 @@
 """Sources, sinks, the model hook, Unicode tokens and streams."""
 
+import struct
+
 import pandas as pd
+import pytest
 
 from maskloom import registry
 from maskloom.functions import text
-from maskloom.operators import models
-from maskloom.sources import images
+from maskloom.operators import models, scoring
+from maskloom.sources import images, shared
+from maskloom.streaming import frames
 
 
 def test_scan_images(spark, tmp_path):
@@ -49,6 +53,65 @@ def test_unicode_tokens_and_labels(spark):
     assert [r[0] for r in labels.select(text.sanitize_any_label("t")).collect()] == ["a _ b_c", "x" * 48, "fig tree", "unknown", "unknown"]
 
 
-def test_streams_equal_batch(spark, sf):
-    for name in ("str01_frame_stream", "str02_ordered_emit", "str04_live_metrics"):
-        assert registry.QUERIES[name](spark, sf).count() > 0
+def test_tokens_lose_white_space_of_all_kinds(spark):
+    df = spark.createDataFrame([("Yes\n",), ("\t no. \r\n",), ("yes \x1f!",), ("Ja\u00a0",)], "t string")
+    assert [r[0] for r in df.select(text.nfkc_token("t")).collect()] == ["yes", "no", "yes", "ja"]
+    assert [r[0] for r in df.limit(3).select(scoring.normalize_token("t")).collect()] == ["yes", "no", "yes"]
+    labels = spark.createDataFrame([("ripe tomato + leaf",), ("a\tb",), ("a\u2003 b",), ("  __x__ ",), ("é" * 3,)], "t string")
+    assert [r[0] for r in labels.select(text.sanitize_any_label("t")).collect()] == ["ripe tomato + leaf", "a_b", "a b", "_x_", "_"]
+
+
+def test_image_dims(spark, tmp_path):
+    width, height = 3, 2
+    rows = b"".join(bytes([10, 20, 30] * width) + b"\0" * (-3 * width % 4) for _ in range(height))
+    head = struct.pack("<2sIHHI", b"BM", 54 + len(rows), 0, 0, 54) + struct.pack("<IiiHHIIiiII", 40, width, height, 1, 24, 0, len(rows), 2835, 2835, 0, 0)
+    (tmp_path / "a.bmp").write_bytes(head + rows)
+    (tmp_path / "b.bmp").write_bytes(b"not an image")
+    got = images.image_dims(spark, f"file://{tmp_path}").collect()
+    assert [(r.path.rsplit("/", 1)[-1], r.img_w, r.img_h, r.channels) for r in got] == [("a.bmp", 3, 2, 3)]
+
+
+def test_label_lines_by_split(spark, tmp_path):
+    lines = spark.createDataFrame([("train", "0 1\n1 2"), ("val", "")], "split string, text string")
+    images.write_label_lines(lines, f"file://{tmp_path}/labels")
+    back = spark.read.text(f"file://{tmp_path}/labels")
+    assert sorted((r.split, r.value) for r in back.collect()) == [("train", "0 1"), ("train", "1 2"), ("val", "")]
+
+
+class Counting(frames.TableSink):
+    """A sink of its own: keeps a part of each batch."""
+
+    def commit(self, batch, number):
+        super().commit(batch.filter("id % 2 = 0"), number)
+
+
+def test_sink_hook_and_replayed_batches(spark, tmp_path):
+    source, out = f"file://{tmp_path}/in", f"file://{tmp_path}/out"
+    spark.range(10).repartition(2).write.parquet(source)
+    stream = frames.file_stream(spark, source, spark.range(1).schema, 1)
+    sink = Counting(out)
+    frames.drive(stream, sink, "append", f"file://{tmp_path}/log")
+    assert sorted(r.id for r in sink.rows(spark, stream.schema).collect()) == [0, 2, 4, 6, 8]
+    # A batch that is written again, as after a failure between sink and log, replaces itself.
+    sink.commit(spark.read.parquet(f"{out}/batch=0").select("id"), 0)
+    assert sink.rows(spark, stream.schema).count() == 5
+    frames.drive(frames.file_stream(spark, source, spark.range(1).schema, 1), sink, "append", f"file://{tmp_path}/other-log")
+    assert sink.rows(spark, stream.schema).count() == 5
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master = "spark://somewhere:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        shared.shared_folder(Session())
