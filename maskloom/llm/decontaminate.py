@@ -146,15 +146,20 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, slop:
     clean = clean.select("doc_id", "key", F.col("pos").cast("long").alias("n_words"), *none)
 
     held = rows.join(F.broadcast(keys), "key", "left_semi") if few else rows
-    held = held.join(found.hint("shuffle_hash"), "key").withColumn("words", words())
-    doc = F.col("words")
+    held = held.join(found.hint("shuffle_hash"), "key")
     size = lambda c: F.least(F.size(c["terms"]), F.lit(window))
-    standing_at = lambda c, near: F.transform(c["shifts"], lambda x: F.struct(c["item_id"].alias("item_id"), x.alias("shift"), size(c).alias("n"), standing(doc, c["terms"], x, near).alias("flags")))
-    held = held.withColumn("exact", matches(F.flatten(F.transform("found", lambda c: standing_at(c, 0)))))
-    held = held.withColumn("near", matches(F.flatten(F.transform("found", lambda c: standing_at(c, slop)))) if slop else F.col("exact"))
+
+    def stood(doc: Column, near: int) -> Column:
+        at = lambda c: F.transform(c["shifts"], lambda x: F.struct(c["item_id"].alias("item_id"), x.alias("shift"), size(c).alias("n"), standing(doc, c["terms"], x, near).alias("flags")))
+        return matches(F.flatten(F.transform("found", at)))
+
+    # A text is split once: inside a lambda its words are a variable, not an expression that is worked out for every term.
+    judged = F.transform(F.array(words()), lambda doc: F.struct(F.size(doc).cast("long").alias("n_words"), stood(doc, 0).alias("exact"), *([stood(doc, slop).alias("near")] if slop else [])))
+    held = held.select("doc_id", "key", F.inline(judged))
+    held = held if slop else held.withColumn("near", F.col("exact"))
     hits = F.flatten(F.transform("exact", lambda m: F.flatten(F.transform(m["starts"], lambda s: F.sequence(m["shift"] + s, m["shift"] + s + m["n"] - 1)))))
     ids = lambda c: F.array_distinct(F.transform(c, lambda m: m["item_id"]))
-    dirty = held.select("doc_id", "key", F.size("words").cast("long").alias("n_words"), F.array_distinct(hits).alias("hits"), ids("exact").alias("items"), ids("near").alias("near_items"))
+    dirty = held.select("doc_id", "key", "n_words", F.array_distinct(hits).alias("hits"), ids("exact").alias("items"), ids("near").alias("near_items"))
     return clean.unionByName(dirty)
 
 
