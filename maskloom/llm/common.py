@@ -20,7 +20,7 @@ BROADCAST_BYTES = 32 << 20
 ROW_BYTES = 40
 
 #: Rows of one join key that stay together; a key with more is dealt over several tasks.
-HOT = 4096
+HOT = 512
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,11 +53,14 @@ def spread_join(rows: DataFrame, side: DataFrame, on: str, n: str, by: str | Col
     A key with more than HOT rows is dealt by a hash of `by` over several tasks, and its row of the side, which
     can be a long text, is sent once to each. side should be staged, or counts, which has its keys and n; n is dropped.
     """
-    shares = F.ceil(F.col(n) / HOT).cast("int")
-    hot = (side if counts is None else counts).filter(F.col(n) > HOT).select(on, shares.alias("__shares"))
+    together, keys = HOT, side if counts is None else counts
+    while not is_small(keys.filter(F.col(n) > together).select(on)):  # so many hot keys that each is one among many
+        together *= 8
+    shares = F.ceil(F.col(n) / together).cast("int")
+    hot = keys.filter(F.col(n) > together).select(on, shares.alias("__shares"))
     if hot.isEmpty():
         return rows.join(side.drop(n).hint("merge"), on, how)
-    dealt = sized_join(rows, hot, [on], "left").withColumn("__share", F.pmod(F.xxhash64(by), F.coalesce("__shares", F.lit(1))).cast("int")).drop("__shares")
+    dealt = rows.join(F.broadcast(hot), on, "left").withColumn("__share", F.pmod(F.xxhash64(by), F.coalesce("__shares", F.lit(1))).cast("int")).drop("__shares")
     sent = side.withColumn("__share", F.explode(F.sequence(F.lit(0), F.greatest(shares, F.lit(1)) - 1))).drop(n)
     return dealt.join(sent.hint("merge"), [on, "__share"], how).drop("__share")
 
