@@ -37,8 +37,8 @@ _LOWER[128:256] = 1
 _DIGIT[48:58] = 1
 
 
-def shapes(buf: np.ndarray, s: np.ndarray, e: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """A small code per word: case, digits, punctuation, length, and whether one of the four words before is the same."""
+def shapes(buf: np.ndarray, s: np.ndarray, e: np.ndarray, h: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """A small code per word: case, digits, punctuation, length, and whether one of the four words before it in its text is the same."""
     total = np.zeros(len(buf) + 1, np.int32)
     count = []
     for table in (_UPPER, _LOWER, _DIGIT):
@@ -53,7 +53,7 @@ def shapes(buf: np.ndarray, s: np.ndarray, e: np.ndarray, h: np.ndarray) -> np.n
     code = code * 5 + np.searchsorted([3, 6, 10, 16], n, "right")
     again = np.zeros(len(h), np.int32)
     for back in range(1, min(5, len(h))):
-        again[back:] |= (h[back:] == h[:-back]) << (back > 1)
+        again[back:] |= ((h[back:] == h[:-back]) & (row[back:] == row[:-back])) << (back > 1)
     return (code * 4 + again).astype(U64)
 
 
@@ -61,7 +61,7 @@ def features(buf: np.ndarray, offs: np.ndarray) -> list[tuple[np.ndarray, np.nda
     """For each view: the bin of every n-gram, and the row of the chunk that it is in."""
     s, e, h, first = words(buf, offs)
     row = np.repeat(np.arange(len(offs) - 1), np.diff(first))
-    shape = mix(shapes(buf, s, e, h) + U64(1))
+    shape = mix(shapes(buf, s, e, h, row) + U64(1))
     out = []
     for view, (x, k) in enumerate(((h, 1), (h, 2), (shape, 1), (shape, 2), (shape, 3))):
         g, last = grams(x, k), row[k - 1 :]
