@@ -54,12 +54,12 @@ def spread_join(rows: DataFrame, side: DataFrame, on: str, n: str, by: str | Col
     can be a long text, is sent once to each. side should be staged, or counts, which has its keys and n; n is dropped.
     """
     together, keys = HOT, side if counts is None else counts
+    if (keys.agg(F.max(n)).first()[0] or 0) <= together:
+        return rows.join(side.drop(n).hint("merge"), on, how)
     while not is_small(keys.filter(F.col(n) > together).select(on)):  # so many hot keys that each is one among many
         together *= 8
     shares = F.ceil(F.col(n) / together).cast("int")
     hot = keys.filter(F.col(n) > together).select(on, shares.alias("__shares"))
-    if hot.isEmpty():
-        return rows.join(side.drop(n).hint("merge"), on, how)
     dealt = rows.join(F.broadcast(hot), on, "left").withColumn("__share", F.pmod(F.xxhash64(by), F.coalesce("__shares", F.lit(1))).cast("int")).drop("__shares")
     sent = side.withColumn("__share", F.explode(F.sequence(F.lit(0), F.greatest(shares, F.lit(1)) - 1))).drop(n)
     return dealt.join(sent.hint("merge"), [on, "__share"], how).drop("__share")

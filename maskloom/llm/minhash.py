@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
 from .batches import U64, chunks, grams, mix, words
 from .common import is_small, sized_join, spread_join, staged, text_or_empty
 from .graph import components
@@ -222,15 +223,22 @@ def beside(pairs: DataFrame, held: DataFrame, name: str) -> DataFrame:
     A leader b of many pairs is sent once to each of the tasks that its pairs are dealt to.
     """
     of = lambda c: held.select(F.col("node").alias(c), F.col(name).alias(f"{name}_{c}")).hint("merge")
-    counts = staged(pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n")), "leader-counts")
-    both = spread_join(pairs.join(of("a"), "a"), counts.join(of("b"), "b"), "b", "n", "a", counts=counts)
+    counts = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n"))
+    both = pairs.join(of("a"), "a")
+    if (counts.agg(F.max("n")).first()[0] or 0) <= common.HOT:
+        both = both.join(of("b"), "b")
+    else:
+        counts = staged(counts, "leader-counts")
+        both = spread_join(both, counts.join(of("b"), "b"), "b", "n", "a", counts=counts)
     return both.select("a", "b", f"{name}_a", f"{name}_b")
 
 
 def confirmed_links(pairs: DataFrame, docs: DataFrame, percent: int, k: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough, as links (u, v). pairs should be staged."""
+    """The pairs (a, b) whose full shingle sets are similar enough, as links (u, v), staged. pairs should be staged."""
+    if pairs.isEmpty():
+        return pairs.select(F.col("a").alias("u"), F.col("b").alias("v"))
     texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("node")), docs)
-    return beside(pairs, texts, "text").mapInArrow(_confirm(percent, k), "u long, v long").distinct()
+    return staged(beside(pairs, texts, "text").mapInArrow(_confirm(percent, k), "u long, v long"), "links")
 
 
 def with_components(buckets: DataFrame, stars: DataFrame) -> DataFrame:
@@ -243,7 +251,7 @@ def leader_links(named: DataFrame, classes: DataFrame, docs: DataFrame, percent:
     leaders = named.groupBy("bucket").agg(F.min(F.struct("node", "comp")).alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     pairs = spread_join(named, staged(leaders, "leaders"), "bucket", "n", "node").filter("comp <> leader.comp").select(F.col("node").alias("a"), F.col("leader.node").alias("b"))
     likely = beside(staged(pairs.distinct(), "pairs"), classes, "sig").mapInArrow(_agreeing(percent), "a long, b long")
-    return staged(confirmed_links(staged(likely, "likely-pairs"), docs, percent, k), "links")
+    return confirmed_links(staged(likely, "likely-pairs"), docs, percent, k)
 
 
 def mixed_rows(named: DataFrame) -> DataFrame:
@@ -273,7 +281,12 @@ def links_across(rows: DataFrame, classes: DataFrame, docs: DataFrame, percent:
     held = classes.select("node", "sig").join(hashes.hint("merge"), "node")
     dealt = rows.join(held.hint("merge"), "node").select("bucket", "node", "comp", "sig", "hashes", F.inline(cells))
     found = dealt.groupBy("bucket", "i", "j").applyInArrow(_across(percent, short), "a long, b long").distinct()
-    return staged(confirmed_links(staged(found, "pairs-across"), docs, percent, k), "links-across")
+    return confirmed_links(staged(found, "pairs-across"), docs, percent, k)
+
+
+def joined(stars: DataFrame, more: DataFrame) -> DataFrame:
+    """The components after more links."""
+    return stars if more.isEmpty() else components(stars.unionByName(more))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = SHINGLE) -> DataFrame:
@@ -281,26 +294,23 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = SHINGLE)
     rows = docs.select("doc_id", text_or_empty().alias("text"))
     signed = staged(rows.mapInArrow(_signatures(shingle), "doc_id long, n_shingles long, set_id binary, sig binary"), "signatures")
     linkable = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = staged(linkable.groupBy("set_id").agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig")), "classes")
+    classes = staged(linkable.groupBy("set_id").agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig"), F.count(F.lit(1)).alias("n")), "classes")
     buckets = staged(classes.select("node", "sig").mapInArrow(_bands, "bucket long, node long"), "buckets")
 
     # Nodes of one doc_id with several sets are joined by the id itself; copies of a set by their class.
     links = leader_links(buckets.withColumn("comp", F.col("node")), classes, rows, percent, shingle)
     stars = components(links)
     open_rows = mixed_rows(with_components(buckets, stars))
-    more = links_across(open_rows.filter("rest = 1"), classes, rows, percent, shingle, True)
+    if not open_rows.isEmpty():
+        stars = joined(stars, links_across(open_rows.filter("rest = 1"), classes, rows, percent, shingle, True))
     large = open_rows.filter("rest > 1")
     if not large.isEmpty():
         texts = texts_of(large.select("node"), rows).groupBy("node").agg(F.min("text").alias("text"))
         long_buckets = staged(texts.mapInArrow(_long_bands(shingle), "bucket long, node long"), "long-buckets")
-        stars = components(stars.unionByName(more))
-        more = leader_links(with_components(long_buckets, stars), classes, rows, percent, shingle)
-        stars = components(stars.unionByName(more))
-        more = links_across(mixed_rows(with_components(long_buckets, stars)), classes, rows, percent, shingle, False)
-    if not more.isEmpty():
-        stars = components(stars.unionByName(more))
-
-    member = linkable.select("doc_id", "set_id").join(classes.select("set_id", "node").hint("merge"), "set_id").select("doc_id", "node")
+        stars = joined(stars, leader_links(with_components(long_buckets, stars), classes, rows, percent, shingle))
+        stars = joined(stars, links_across(mixed_rows(with_components(long_buckets, stars)), classes, rows, percent, shingle, False))
+
+    member = spread_join(linkable.select("doc_id", "set_id"), classes.select("set_id", "node", "n"), "set_id", "n", "doc_id").select("doc_id", "node")
     member = member.join(stars.withColumnRenamed("u", "node").hint("merge"), "node", "left").select("doc_id", F.coalesce("v", "node").alias("c"))
     member = member.groupBy("doc_id").agg(F.min("c").alias("component_id"))
     out = signed.select("doc_id", "n_shingles").join(member.hint("merge"), "doc_id", "left")
