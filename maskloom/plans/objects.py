@@ -141,7 +141,7 @@ def geo04(spark, sf_dir):
 
 def measured_of(spark, sf_dir):
     cand = candidates(spark, sf_dir)
-    return cand.join(ops.measure_masks(mask_runs(cand)), ["image_id", "source_index"])
+    return cand.join(ops.measure_masks(mask_runs(cand)).hint("merge"), ["image_id", "source_index"])
 
 
 #: Support, contour, required box and crop of every mask, in floating point as the centre is defined.
