@@ -161,7 +161,7 @@ def match_threshold_rules(vectors: DataFrame, rules: DataFrame) -> DataFrame:
 
 def match_label_rules(vectors: DataFrame, rules: DataFrame, settled: DataFrame) -> DataFrame:
     """Label rules of the winners that no `any` rule has settled."""
-    open_ones = vectors.join(settled.select(*KEY), KEY, "left_anti")
+    open_ones = vectors.join(settled.select(*KEY).hint("merge"), KEY, "left_anti")
     return open_ones.join(F.broadcast(rules.filter("kind = 'label'")), F.col("winner") == F.col("rule_name"))
 
 

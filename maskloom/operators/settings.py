@@ -133,8 +133,8 @@ def unknown_keys(settings: DataFrame, allowed: tuple[str, ...], col: str = "sett
 
 def missing_and_orphan_rules(targets: DataFrame, rules: DataFrame) -> DataFrame:
     """Targets without a rule and rules without a target, per request. Both: request_id, name."""
-    missing = targets.join(rules, ["request_id", "name"], "left_anti").select("request_id", "name", F.lit("missing_rule").alias("problem"))
-    return missing.unionByName(rules.join(targets, ["request_id", "name"], "left_anti").select("request_id", "name", F.lit("orphan_rule").alias("problem")))
+    missing = targets.join(rules.hint("merge"), ["request_id", "name"], "left_anti").select("request_id", "name", F.lit("missing_rule").alias("problem"))
+    return missing.unionByName(rules.join(targets.hint("merge"), ["request_id", "name"], "left_anti").select("request_id", "name", F.lit("orphan_rule").alias("problem")))
 
 
 def label_conflicts(targets: DataFrame, uncertain: DataFrame) -> DataFrame:
