@@ -183,6 +183,7 @@ class ViewConfig:
     max_contour: int = 3
 
 
+#: Fixed value: the reason of a rejected view.
 REJECTED_VIEW = "crop_cannot_contain_support_and_contour"
 
 
