@@ -19,8 +19,8 @@ BROADCAST_BYTES = 32 << 20
 #: Bytes that a row takes in a broadcast table beside its strings and arrays, about.
 ROW_BYTES = 40
 
-#: Rows of one join key that stay together; a key with more is dealt over several tasks.
-HOT = 512
+#: Rows of one join key that stay together, if they or their side carry texts, and if both are ids alone; a key with more is dealt over several tasks.
+HOT, HOT_IDS = 512, 1 << 16
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,13 +47,13 @@ def sized_join(left: DataFrame, right: DataFrame, on: list[str], how: str, small
     return left.join(right.hint("broadcast" if small else "merge"), on, how)
 
 
-def spread_join(rows: DataFrame, side: DataFrame, on: str, n: str, by: str | Column, how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
+def spread_join(rows: DataFrame, side: DataFrame, on: str, n: str, by: str | Column, how: str = "inner", counts: DataFrame | None = None, most: int | None = None) -> DataFrame:
     """Join rows with a side of one row per key whose column n counts the rows of that key.
 
-    A key with more than HOT rows is dealt by a hash of `by` over several tasks, and its row of the side, which
+    A key with more than `most` rows (HOT_IDS by default) is dealt by a hash of `by` over several tasks, and its row of the side, which
     can be a long text, is sent once to each. side should be staged, or counts, which has its keys and n; n is dropped.
     """
-    together, keys = HOT, side if counts is None else counts
+    together, keys = most or HOT_IDS, side if counts is None else counts
     if (keys.agg(F.max(n)).first()[0] or 0) <= together:
         return rows.join(side.drop(n).hint("merge"), on, how)
     while not is_small(keys.filter(F.col(n) > together).select(on)):  # so many hot keys that each is one among many

@@ -11,7 +11,7 @@ from .common import spread_join, staged
 
 def with_least(edges: DataFrame, hub: int) -> DataFrame:
     """edges (u, v) with m, the least v of each u. hub: the most edges of a u; those of a large one are dealt over several tasks."""
-    if hub <= common.HOT:
+    if hub <= common.HOT_IDS:
         return edges.withColumn("m", F.min("v").over(Window.partitionBy("u")))
     least = staged(edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "least")
     return spread_join(edges, least, "u", "n", "v")

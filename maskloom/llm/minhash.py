@@ -9,7 +9,7 @@
    A leader of many members is sent once to each task that its members are dealt to.
 4. Buckets that still hold several components are searched completely, across components only. Where few members
    are outside the largest component, these are compared with all others, block by block, in place.
-5. Members of buckets with many outside it are banded again by a second family of 72 bands of 8 rows, which
+5. Members of buckets with over a thousand outside it are banded again by a second family of 72 bands of 8 rows, which
    misses a pair at 0.8 with probability 1.8 in a million and parts all that is merely alike; steps 3 and 4 follow on the
    new buckets, where blocks of those outside the largest component meet each other as well.
 
@@ -44,8 +44,8 @@ SHINGLE, BANDS, ROWS = 4, 24, 4
 #: A second family of minima for the members of large buckets, with longer keys.
 LONG_BANDS, LONG_ROWS = 72, 8
 
-#: Members of a side of a cell of a bucket, about.
-BLOCK = 256
+#: Members of a side of a cell of a bucket, about, and blocks outside its largest component that are compared as they are.
+BLOCK, DIRECT = 256, 4
 
 _MINIMA = BANDS * ROWS + LONG_BANDS * LONG_ROWS
 _A = mix(np.arange(1, _MINIMA + 1, dtype=U64) * U64(0xD1342543DE82EF95)) | U64(1)
@@ -229,7 +229,7 @@ def beside(pairs: DataFrame, held: DataFrame, name: str) -> DataFrame:
         both = both.join(of("b"), "b")
     else:
         counts = staged(counts, "leader-counts")
-        both = spread_join(both, counts.join(of("b"), "b"), "b", "n", "a", counts=counts)
+        both = spread_join(both, counts.join(of("b"), "b"), "b", "n", "a", counts=counts, most=common.HOT)
     return both.select("a", "b", f"{name}_a", f"{name}_b")
 
 
@@ -302,8 +302,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = SHINGLE)
     stars = components(links)
     open_rows = mixed_rows(with_components(buckets, stars))
     if not open_rows.isEmpty():
-        stars = joined(stars, links_across(open_rows.filter("rest = 1"), classes, rows, percent, shingle, True))
-    large = open_rows.filter("rest > 1")
+        stars = joined(stars, links_across(open_rows.filter(F.col("rest") <= DIRECT), classes, rows, percent, shingle, True))
+    large = open_rows.filter(F.col("rest") > DIRECT)
     if not large.isEmpty():
         texts = texts_of(large.select("node"), rows).groupBy("node").agg(F.min("text").alias("text"))
         long_buckets = staged(texts.mapInArrow(_long_bands(shingle), "bucket long, node long"), "long-buckets")

@@ -36,6 +36,7 @@ def test_merged_joins_and_hot_keys(docs, bench, monkeypatch, name):
     assert rows(OPERATORS[name](docs, bench)) == want
     monkeypatch.setattr(common, "BROADCAST_BYTES", 1 << 20)
     monkeypatch.setattr(common, "HOT", 2)
+    monkeypatch.setattr(common, "HOT_IDS", 2)
     monkeypatch.setattr(sharding, "BLOCK_ROWS", 1)
     assert rows(OPERATORS[name](docs, bench)) == want
 
@@ -45,6 +46,8 @@ def test_small_blocks_of_large_buckets(docs, monkeypatch):
     want = rows(minhash.near_duplicates(docs))
     monkeypatch.setattr(minhash, "BLOCK", 1)
     assert rows(minhash.near_duplicates(docs)) == want
+    monkeypatch.setattr(minhash, "DIRECT", 1)
+    assert rows(minhash.near_duplicates(docs)) == want
 
 
 def test_recall_of_pairs_at_the_threshold(spark):
