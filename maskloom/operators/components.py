@@ -1,8 +1,8 @@
 """Connected parts of masks, their outer boundaries and chords.
 
 A mask's runs fit one image, so Spark deals whole masks to tasks and sorts them there; inside a task numpy works on
-all masks of an Arrow batch at once. Runs are found by one sorted key of mask, column and row, so neighbours
-and pixels are looked up by bisection, and no pixel raster is built.
+all masks of an Arrow batch at once. Neighbouring runs are found by bisection of one sorted key of mask, column and row;
+only chords draw the masks' boxes, a byte a pixel.
 """
 
 from __future__ import annotations
@@ -201,21 +201,35 @@ def ray_ends(px, py, x, y, box) -> tuple[np.ndarray, np.ndarray]:
     return np.where(still, px, end(px, vx, x0, x1)), np.where(still, py, end(py, vy, y0, y1))
 
 
-def pixels_on_rays(group, col, r0, r1, at, px, py, ex, ey) -> np.ndarray:
-    """Pixels of group `at` on the raster line from (px, py) to (ex, ey), half up."""
+def rasters(group, col, r0, r1, box) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pixels of the groups' boxes one after the other, column by column; where each box begins, and its height."""
+    x0, y0, x1, y1 = box
+    height = y1 - y0 + 1
+    begin = np.concatenate([[0], np.cumsum((x1 - x0 + 1) * height)])
+    at = begin[group] + (col - x0[group]) * height[group]
+    edge = np.zeros(int(begin[-1]) + 1, np.int8)
+    # A run can end where the next begins, in the next column: both are counted.
+    np.add.at(edge, at + r0 - y0[group], 1)
+    np.add.at(edge, at + r1 - y0[group], -1)
+    return np.cumsum(edge, dtype=np.int8).astype(bool), begin, height
+
+
+def pixels_on_rays(group, col, r0, r1, box, at, px, py, ex, ey) -> np.ndarray:
+    """Pixels of group `at` on the raster line from (px, py) to (ex, ey), half up; lines stay in the group's box."""
+    pixels, begin, height = rasters(group, col, r0, r1, box)
+    x0, y0 = box[0], box[1]
     dx, dy = ex - px, ey - py
     n = np.maximum(np.abs(dx), np.abs(dy))
-    begin, out = place(group, col, r0), np.zeros(len(px), np.int64)
+    out = np.zeros(len(px), np.int64)
+    origin, tall = begin[at] + (px - x0[at]) * height[at] + py - y0[at], height[at]
     cuts = np.searchsorted(np.cumsum(n + 1), np.arange(RAY_PIXELS, int((n + 1).sum()) + RAY_PIXELS, RAY_PIXELS), "left") + 1
     lo = 0
     for hi in np.unique(np.minimum(cuts, len(px))):
         ray, k = spread(np.zeros(hi - lo, np.int64), n[lo:hi] + 1)
         ray += lo
-        twice = 2 * np.maximum(n[ray], 1)
-        step = lambda d: np.sign(d[ray]) * ((2 * np.abs(d[ray]) * k + twice // 2) // twice)  # noqa: E731, B023
-        c, r = px[ray] + step(dx), py[ray] + step(dy)
-        run = np.searchsorted(begin, place(at[ray], c, r), "right") - 1
-        hit = (run >= 0) & (group[run] == at[ray]) & (col[run] == c) & (r < r1[run])
+        half = np.maximum(n, 1)
+        step = lambda d: np.sign(d)[ray] * ((2 * np.abs(d)[ray] * k + half[ray]) // (2 * half)[ray])  # noqa: E731, B023
+        hit = pixels[origin[ray] + step(dx) * tall[ray] + step(dy)]
         out += np.bincount(ray[hit], minlength=len(px))
         lo = int(hi)
     return out
@@ -243,7 +257,7 @@ def chord_stats(runs: DataFrame, fraction: float = 0.2, low: int = 1, high: int
         x, y = cols / area, rows / (area * 2.0)
         box = [np.minimum.reduceat(col, first), np.minimum.reduceat(r0, first), np.maximum.reduceat(col, first), np.maximum.reduceat(r1, first) - 1]
         ex, ey = ray_ends(px, py, x[at], y[at], [v[at] for v in box])
-        pixels = pixels_on_rays(group, col, r0, r1, at, px, py, ex, ey)
+        pixels = pixels_on_rays(group, col, r0, r1, box, at, px, py, ex, ey)
         distance = np.clip(np.ceil(pixels * fraction).astype(np.int64), low, high)
         order = np.argsort(at, kind="stable")
         starts = np.searchsorted(at[order], np.arange(masks))
