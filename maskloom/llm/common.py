@@ -8,7 +8,7 @@ from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, Struct
 
 from ..sources.shared import staged
 
-__all__ = ["RAW_WORD", "ascii_lower", "fresh_name", "is_small", "n_raw_words", "sized_join", "spread_join", "staged", "table", "text_or_empty"]
+__all__ = ["RAW_WORD", "ascii_lower", "fresh_name", "is_small", "n_raw_words", "set_aside", "sized_join", "spread_join", "staged", "table", "text_or_empty"]
 
 #: A word of the raw contracts: anything between ASCII white space.
 RAW_WORD = r"[^\x20\x09-\x0D]+"
@@ -73,6 +73,19 @@ def fresh_name(df: DataFrame, base: str) -> str:
     return base
 
 
+def set_aside(df: DataFrame, *added: str) -> DataFrame:
+    """The table with `_` behind the names of columns that would clash with added ones, whatever the case of their letters."""
+    taken, names = {x.lower() for x in added}, []
+    rest = {c.lower() for c in df.columns}
+    for c in df.columns:
+        name = c
+        while name.lower() in taken or (name != c and name.lower() in rest):
+            name += "_"
+        taken.add(name.lower())
+        names.append(name)
+    return df.toDF(*names)
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

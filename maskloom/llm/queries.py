@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bpe
 from .common import table
 from .debruijn import remove_repeats as remove_repeated_words
 from .decontaminate import contamination, proximity
+from .divergence import source_divergence
 from .exact import exact_groups
 from .language import identify
 from .minhash import near_duplicates
@@ -186,5 +188,37 @@ x AS (SELECT e.doc_id, count(*) AS n_words, count(g.p) AS n_removed, coalesce(st
 SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN x USING (doc_id)
 """
 
-QUERIES = {"op2_debruijn_dedup": op2_debruijn_dedup, "op1_suffix_dedup": op1_suffix_dedup, "op3_minhash": op3_minhash, "op4_exact_dedup": op4_exact_dedup, "op5_decontamination": op5_decontamination, "op5_proximity": op5_proximity, "op6_language_id": op6_language_id, "op7_pii": op7_pii, "op8_quality": op8_quality, "op9_sharding": op9_sharding, "op10_mixing": op10_mixing}
-SQL = {"op1_suffix_dedup": OP1_SQL, "op2_debruijn_dedup": OP2_SQL, "op3_minhash": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op5_decontamination": OP5_SQL, "op7_pii": OP7_SQL, "op10_mixing": OP10_SQL}
+
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
+OP11_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+e AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+g AS (SELECT DISTINCT lang, source FROM d),
+k AS (SELECT lang, term, CAST(count(*) AS HUGEINT) AS ln FROM e GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+v AS (SELECT lang, count(*) AS v, sum(ln) AS lt FROM k GROUP BY lang),
+c AS (SELECT e.lang, source, term, CAST(count(*) AS HUGEINT) AS n FROM e JOIN k USING (lang, term) GROUP BY ALL),
+t AS (SELECT g.lang, g.source, coalesce(sum(n), 0) AS total FROM g LEFT JOIN c ON g.lang = c.lang AND g.source = c.source GROUP BY ALL),
+p AS (SELECT t.lang, t.source, k.term, coalesce(n, 0) AS n, 1 + (1000000000 * (coalesce(n, 0) + 1)) // (total + v) AS p, 1 + (1000000000 * (ln + 1)) // (lt + v) AS lp
+  FROM t JOIN k ON t.lang = k.lang JOIN v ON v.lang = t.lang LEFT JOIN c ON c.lang = t.lang AND c.source = t.source AND c.term = k.term),
+s AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT x.lang, x.source, 'pair' AS part, y.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source
+  LEFT JOIN s ON s.lang = x.lang AND s.source = x.source AND s.item = y.source),
+own AS (SELECT lang, source, 'term' AS part, term AS item, CAST(((p - lp) * (p - lp)) // lp AS BIGINT) AS value FROM p WHERE n > 0 AND p > lp),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM own))
+SELECT * FROM r WHERE part = 'pair' OR rank <= 200
+"""
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    vocabulary = bpe.Vocabulary(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return bpe.round_trip_digest(table(spark, sf_dir, "documents"), vocabulary)
+
+
+QUERIES = {"op11_source_divergence": op11_source_divergence, "op12_byte_bpe": op12_byte_bpe, "op2_debruijn_dedup": op2_debruijn_dedup, "op1_suffix_dedup": op1_suffix_dedup, "op3_minhash": op3_minhash, "op4_exact_dedup": op4_exact_dedup, "op5_decontamination": op5_decontamination, "op5_proximity": op5_proximity, "op6_language_id": op6_language_id, "op7_pii": op7_pii, "op8_quality": op8_quality, "op9_sharding": op9_sharding, "op10_mixing": op10_mixing}
+SQL = {"op1_suffix_dedup": OP1_SQL, "op2_debruijn_dedup": OP2_SQL, "op3_minhash": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op5_decontamination": OP5_SQL, "op7_pii": OP7_SQL, "op10_mixing": OP10_SQL, "op11_source_divergence": OP11_SQL}
