@@ -18,6 +18,7 @@ from .pii import BASE, PLAIN, SCORES, SURE, context, find_pii, pii_digest
 from .quality import importance_sample
 from .sharding import assign_shards
 from .suffixes import remove_repeats
+from .trie import conversation_trie
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -220,5 +221,30 @@ def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digest(table(spark, sf_dir, "documents"), vocabulary)
 
 
-QUERIES = {"op11_source_divergence": op11_source_divergence, "op12_byte_bpe": op12_byte_bpe, "op2_debruijn_dedup": op2_debruijn_dedup, "op1_suffix_dedup": op1_suffix_dedup, "op3_minhash": op3_minhash, "op4_exact_dedup": op4_exact_dedup, "op5_decontamination": op5_decontamination, "op5_proximity": op5_proximity, "op6_language_id": op6_language_id, "op7_pii": op7_pii, "op8_quality": op8_quality, "op9_sharding": op9_sharding, "op10_mixing": op10_mixing}
-SQL = {"op1_suffix_dedup": OP1_SQL, "op2_debruijn_dedup": OP2_SQL, "op3_minhash": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op5_decontamination": OP5_SQL, "op7_pii": OP7_SQL, "op10_mixing": OP10_SQL, "op11_source_divergence": OP11_SQL}
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+#: A prefix's key is the list of its turns; crc32 goes bit by bit over the decimal digits, the lowest bit first.
+OP13_SQL = r"""
+WITH o AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+b AS (SELECT c, list_reduce(list_concat([CAST(4294967295 AS BIGINT)], flatten(list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: list_transform(range(0, 8), lambda k: CAST((ascii(x) >> CAST(k AS INT)) & 1 AS BIGINT))))),
+    lambda crc, bit: xor(crc >> 1, CASE WHEN (xor(crc, bit) & 1) = 1 THEN 3988292384 ELSE 0 END)) AS rest FROM (SELECT DISTINCT c FROM o)),
+h AS (SELECT c, xor(rest, 4294967295) % 4 AS h FROM b),
+r AS (SELECT h.c, o.pos, 0 AS part, o.role, o.text FROM h JOIN o ON o.c = h.c - h.c % 20 AND o.pos <= h.h UNION ALL SELECT h.c, o.pos, 1, o.role, o.text FROM h JOIN o ON o.c = h.c AND o.pos > h.h),
+t AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY part, pos) AS d, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS w, length(role) || ':' || length(text) || ':' || role || text AS turn FROM r),
+keys AS (SELECT c, d, w, array_to_string(list(turn) OVER (PARTITION BY c ORDER BY d ROWS UNBOUNDED PRECEDING), '') AS key FROM t UNION ALL SELECT c, 0, 0, '' FROM h),
+node AS (SELECT key, any_value(d) AS depth, min(c) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(w) AS cost FROM keys GROUP BY key),
+par AS (SELECT DISTINCT a.key, b.key AS parent FROM keys a JOIN keys b ON a.c = b.c AND b.d = a.d - 1),
+ch AS (SELECT parent AS key, count(*) AS n_children FROM par GROUP BY parent),
+up AS (SELECT DISTINCT b.key AS above, a.key FROM keys a JOIN keys b ON a.c = b.c AND b.d <= a.d),
+tot AS (SELECT above AS key, sum(cost) AS saved, count(*) FILTER (n_children IS NULL) AS leaves FROM up JOIN node USING (key) LEFT JOIN ch USING (key) GROUP BY above),
+ends AS (SELECT key, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) AS e FROM (SELECT *, max(d) OVER (PARTITION BY c) AS last FROM keys) WHERE d = last GROUP BY key)
+SELECT node.conv_id, node.depth, pn.conv_id AS parent_conv_id, node.n_convs, coalesce(n_children, 0) AS n_children, leaves AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(e, '')) AS ends_sha256
+FROM node JOIN tot USING (key) LEFT JOIN ch USING (key) LEFT JOIN ends USING (key) LEFT JOIN par USING (key) LEFT JOIN node pn ON pn.key = par.parent
+"""
+
+
+QUERIES = {"op13_conversation_trie": op13_conversation_trie, "op11_source_divergence": op11_source_divergence, "op12_byte_bpe": op12_byte_bpe, "op2_debruijn_dedup": op2_debruijn_dedup, "op1_suffix_dedup": op1_suffix_dedup, "op3_minhash": op3_minhash, "op4_exact_dedup": op4_exact_dedup, "op5_decontamination": op5_decontamination, "op5_proximity": op5_proximity, "op6_language_id": op6_language_id, "op7_pii": op7_pii, "op8_quality": op8_quality, "op9_sharding": op9_sharding, "op10_mixing": op10_mixing}
+SQL = {"op1_suffix_dedup": OP1_SQL, "op2_debruijn_dedup": OP2_SQL, "op3_minhash": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op5_decontamination": OP5_SQL, "op7_pii": OP7_SQL, "op10_mixing": OP10_SQL, "op11_source_divergence": OP11_SQL, "op13_conversation_trie": OP13_SQL}
