@@ -89,22 +89,34 @@ def split_prompts(col: str, canonical: bool = False) -> Column:
     return F.filter(F.transform(F.split(F.regexp_replace(F.col(col), "\n", ","), ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
+#: Links of Markdown and HTML, and how targets elsewhere begin.
+MARKDOWN_LINK = r"!?(?:\[[^\]]*\])\(([^)]+)\)"
+HTML_LINK = r"(?:href|src)=[\"']([^\"']+)[\"']"
+EXTERNAL = ("http://", "https://", "mailto:", "#", "data:")
+
+
 def links(col: str) -> Column:
-    """Targets of Markdown and HTML links."""
-    return F.concat(F.regexp_extract_all(F.col(col), F.lit(r"\]\(([^)\s]+)\)"), F.lit(1)), F.regexp_extract_all(F.col(col), F.lit(r'(?:href|src)="([^"]*)"'), F.lit(1)))
+    """Targets of Markdown and HTML links, without titles and angle brackets."""
+    found = F.concat(F.regexp_extract_all(F.col(col), F.lit(MARKDOWN_LINK), F.lit(1)), F.regexp_extract_all(F.col(col), F.lit(HTML_LINK), F.lit(1)))
+    return F.transform(found, lambda x: F.btrim(F.regexp_extract(x, r"^\s*(\S*)", 1), F.lit("<>")))
 
 
 def missing_links(documents: DataFrame, known: DataFrame, key: str, col: str) -> DataFrame:
-    """Local link targets, without query and fragment, that are not known. known: target."""
+    """Local link targets, without fragment and query and percent-decoded, that are not known. known: target."""
     found = documents.select(key, F.explode(links(col)).alias("link"))
-    local = found.filter(~F.col("link").rlike(r"^(?:[A-Za-z][A-Za-z0-9+.-]*:|//|#|data:)"))
-    target = local.select(key, F.regexp_replace("link", r"[?#].*$", "").alias("target")).filter("target <> ''")
+    elsewhere = F.lit(False)
+    for e in EXTERNAL:
+        elsewhere = elsewhere | F.col("link").startswith(e)
+    bare = F.regexp_replace("link", r"[?#].*$", "")
+    # A plus sign stands for itself here.
+    decoded = F.coalesce(F.try_url_decode(F.replace(bare, F.lit("+"), F.lit("%2B"))), bare)
+    target = found.filter(~elsewhere).select(key, decoded.alias("target")).filter("target <> ''")
     return target.join(known.select("target").distinct().hint("merge"), "target", "left_anti").groupBy(key, "target").agg(F.count(F.lit(1)).alias("n"))
 
 
 def document_checks(documents: DataFrame, key: str, col: str, heading: str, forbidden: dict[str, str]) -> DataFrame:
     """Top headings outside fenced code, and the named patterns that occur though they must not."""
-    c = F.regexp_replace(F.col(col), r"(?s)```.*?```", "")
+    c = F.regexp_replace(F.col(col), r"(?s)```.*?```|~~~.*?~~~", "")
     found = F.array_compact(F.array(*[F.when(F.col(col).rlike(p), n) for n, p in forbidden.items()]))
     return documents.select(key, F.size(F.regexp_extract_all(c, F.lit(heading), F.lit(0))).alias("headings"), F.array_join(found, ",").alias("found"))
 

@@ -34,10 +34,20 @@ def artifact_identity(name: str = "name") -> dict[str, Column]:
     return {"candidate": number("CANDIDATE-([0-9]+)"), "question": number("QUESTION-([0-9]+)")}
 
 
+#: Stages by what a name in lower case begins with or holds, first match first; else the first stage of all.
+STAGE_PREFIXES = {"visualization/": "visualization"}
+STAGE_PARTS = {"clip-candidate-view-": "clip", "blip3-verification-": "blip3"}
+FIRST_STAGE = "sam2"
+
+
 def artifact_stage(name: str = "name") -> Column:
-    """Stage by the beginning of a name."""
-    c = F.col(name)
-    return F.when(c.startswith("segment-"), "segment").when(c.startswith("label-"), "label").when(c.startswith("verify-"), "verify").when(c.startswith("picture/"), "picture").otherwise("other")
+    """The stage that an artifact's name tells, whatever the case of its letters."""
+    c, stage = F.lower(F.col(name)), F.lit(FIRST_STAGE)
+    for part, of in reversed(STAGE_PARTS.items()):
+        stage = F.when(c.contains(part), of).otherwise(stage)
+    for prefix, of in reversed(STAGE_PREFIXES.items()):
+        stage = F.when(c.startswith(prefix), of).otherwise(stage)
+    return stage
 
 
 def logical_name_ok(name: str = "name") -> Column:

@@ -1,8 +1,9 @@
 """Connected parts of masks, their outer boundaries and chords.
 
 A mask's runs fit one image, so Spark deals whole masks to tasks and sorts them there; inside a task numpy works on
-all masks of an Arrow batch at once. Neighbouring runs are found by bisection of one sorted key of mask, column and row;
-only chords draw the masks' boxes, a byte a pixel.
+all masks of an Arrow batch at once. Neighbouring runs are found by bisection of one sorted key of mask, column and row.
+Chords are counted on runs too: a ray is cut into one stretch per column or row, whichever are fewer, and a stretch meets the
+runs of its line. Memory follows runs and rays, not the area of boxes.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ from .masks import MASK
 #: Columns and rows of a key lie below 2**21 and are moved up a little, as padded boxes begin at -1.
 BITS, PAD = 21, 4
 
-#: Pixels of rays that are looked up at once.
-RAY_PIXELS = 1 << 22
+#: Stretches of rays that are looked up at once, lines of masks' boxes that are listed at once, and runs of a line that are met one by one.
+STRETCHES, LINES, FEW = 1 << 20, 1 << 19, 4
 
 
 def place(group: np.ndarray, col: np.ndarray, row: np.ndarray) -> np.ndarray:
@@ -82,20 +83,26 @@ def numbered(table: pa.Table, keys: list[str]) -> np.ndarray:
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Batches cut between groups: rows of the last group of a batch wait for the next one."""
-    held = None
+    """Batches cut between groups: rows of the last group of a batch wait for the next ones, and are put together once."""
+    held: list[pa.Table] = []
     for batch in batches:
         if not batch.num_rows:
             continue
         table = pa.Table.from_batches([batch])
-        table = table if held is None else pa.concat_tables([held, table])
+        goes_on = bool(held) and all(held[-1].column(k)[-1] == table.column(k)[0] for k in keys)
         group = numbered(table, keys)
         cut = int(np.searchsorted(group, group[-1]))
-        held = table.slice(cut)
-        if cut:
+        if held and (not goes_on or cut):
+            # The rows that wait, with those of the same group at the batch's start.
+            same = int(np.searchsorted(group, 1)) if goes_on else 0
+            yield pa.concat_tables([*held, table.slice(0, same)]).combine_chunks()
+            held, table, cut = [], table.slice(same), cut - same
+        if cut > 0:
             yield table.slice(0, cut).combine_chunks()
-    if held is not None:
-        yield held.combine_chunks()
+            table = table.slice(cut)
+        held.append(table)
+    if held:
+        yield pa.concat_tables(held).combine_chunks()
 
 
 def per_group(df: DataFrame, keys: list[str], order: list[str], work: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
@@ -109,7 +116,12 @@ def per_group(df: DataFrame, keys: list[str], order: list[str], work: Callable[[
 
 
 def _columns(table: pa.Table, *names: str) -> list[np.ndarray]:
-    return [table.column(c).to_numpy() for c in names]
+    """Columns and rows as numbers that fit a key."""
+    out = [table.column(c).to_numpy() for c in names]
+    for c, x in zip(names, out, strict=True):
+        if len(x) and (x.min() < 0 or x.max() >= (1 << BITS) - 2 * PAD):
+            raise ValueError(f"{c} from {x.min()} to {x.max()}: masks have less than {(1 << BITS) - 2 * PAD} columns and rows")
+    return out
 
 
 def _schema(df: DataFrame, keys: list[str]) -> str:
@@ -201,41 +213,143 @@ def ray_ends(px, py, x, y, box) -> tuple[np.ndarray, np.ndarray]:
     return np.where(still, px, end(px, vx, x0, x1)), np.where(still, py, end(py, vy, y0, y1))
 
 
-def rasters(group, col, r0, r1, box) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The pixels of the groups' boxes one after the other, column by column; where each box begins, and its height."""
-    x0, y0, x1, y1 = box
-    height = y1 - y0 + 1
-    begin = np.concatenate([[0], np.cumsum((x1 - x0 + 1) * height)])
-    at = begin[group] + (col - x0[group]) * height[group]
-    edge = np.zeros(int(begin[-1]) + 1, np.int8)
-    # A run can end where the next begins, in the next column: both are counted.
-    np.add.at(edge, at + r0 - y0[group], 1)
-    np.add.at(edge, at + r1 - y0[group], -1)
-    return np.cumsum(edge, dtype=np.int8).astype(bool), begin, height
+def row_runs(group, col, r0, r1) -> tuple[np.ndarray, ...]:
+    """The same pixels as runs along rows: (group, row, c0, c1), sorted. A row's run begins at the pixels of a column that the column before lacks."""
+
+    def starts(to: int) -> np.ndarray:
+        """Pixels whose neighbour in the column `to` steps on is missing, by group, row and column."""
+        keys = np.concatenate([place(group, col, r0), place(group, col, r1), place(group, col - to, r0), place(group, col - to, r1)])
+        change = np.repeat(np.array([1, -1, -2, 2]), len(col))
+        order = np.argsort(keys, kind="stable")
+        state = np.cumsum(change[order])
+        keys = keys[order]
+        k = np.flatnonzero((state[:-1] == 1) & (keys[:-1] < keys[1:]))
+        g, c, a = keys[k] >> (2 * BITS), ((keys[k] >> BITS) & ((1 << BITS) - 1)) - PAD, (keys[k] & ((1 << BITS) - 1)) - PAD
+        i, row = spread(a, a + keys[k + 1] - keys[k])
+        return np.sort(place(g[i], row, c[i]))
+
+    first, last = starts(-1), starts(1)
+    mask = (1 << BITS) - 1
+    return first >> (2 * BITS), ((first >> BITS) & mask) - PAD, (first & mask) - PAD, (last & mask) - PAD + 1
+
+
+def pixels_met(masks: int, low, size, group, line, a, b, at, along, lo, hi) -> np.ndarray:
+    """Pixels of each stretch (mask `at`, line `along`, lo to hi) that lie in runs (sorted group, line, a, b); low, size: the lines of each mask's box."""
+    base = np.concatenate([[0], np.cumsum(size)])
+    of_run = base[group] + line - low[group]
+    n = np.bincount(of_run, minlength=int(base[masks]))
+    first = np.cumsum(n) - n
+    mine = base[at] + along - low[at]
+    k, left = first[mine], n[mine]
+    out = np.zeros(len(at), np.int64)
+    crowded = left > FEW
+    some = np.flatnonzero((left > 0) & ~crowded)
+    k, left, l, h = k[some], left[some], lo[some], hi[some]
+    while len(some):
+        out[some] += np.maximum(np.minimum(h, b[k]) - np.maximum(l, a[k]), 0)
+        more = np.flatnonzero(left > 1)
+        some, k, left, l, h = some[more], k[more] + 1, left[more] - 1, l[more], h[more]
+    if crowded.any():
+        # Pixels before a place, over all lines one after the other.
+        start, before = place(group, line, a), np.cumsum(b - a) - (b - a)
+
+        def upto(place_):
+            j = np.maximum(np.searchsorted(start, place_, "right") - 1, 0)
+            return before[j] + np.clip(place_ - start[j], 0, (b - a)[j])
+
+        many = np.flatnonzero(crowded)
+        out[many] = upto(place(at[many], along[many], hi[many])) - upto(place(at[many], along[many], lo[many]))
+    return out
 
 
 def pixels_on_rays(group, col, r0, r1, box, at, px, py, ex, ey) -> np.ndarray:
-    """Pixels of group `at` on the raster line from (px, py) to (ex, ey), half up; lines stay in the group's box."""
-    pixels, begin, height = rasters(group, col, r0, r1, box)
-    x0, y0 = box[0], box[1]
+    """Pixels of mask `at` on the raster line from (px, py) to (ex, ey), half up; lines stay in the mask's box. Runs and rays are sorted by mask."""
+    x0, y0, x1, y1 = box
     dx, dy = ex - px, ey - py
-    n = np.maximum(np.abs(dx), np.abs(dy))
     out = np.zeros(len(px), np.int64)
-    origin, tall = begin[at] + (px - x0[at]) * height[at] + py - y0[at], height[at]
-    cuts = np.searchsorted(np.cumsum(n + 1), np.arange(RAY_PIXELS, int((n + 1).sum()) + RAY_PIXELS, RAY_PIXELS), "left") + 1
-    lo = 0
-    for hi in np.unique(np.minimum(cuts, len(px))):
-        ray, k = spread(np.zeros(hi - lo, np.int64), n[lo:hi] + 1)
-        ray += lo
-        half = np.maximum(n, 1)
-        step = lambda d: np.sign(d)[ray] * ((2 * np.abs(d)[ray] * k + half[ray]) // (2 * half)[ray])  # noqa: E731, B023
-        hit = pixels[origin[ray] + step(dx) * tall[ray] + step(dy)]
-        out += np.bincount(ray[hit], minlength=len(px))
-        lo = int(hi)
+    flat = np.abs(dx) >= np.abs(dy)
+    wide, high = np.where(flat, np.abs(dx), np.abs(dy)), np.where(flat, np.abs(dy), np.abs(dx))
+    # Masks are taken in slices of a bounded number of box lines, and their rays in slices of a bounded number of stretches.
+    slices = np.cumsum(np.maximum(x1 - x0, y1 - y0) + 1) // LINES
+    for s in np.unique(slices):
+        m0, m1 = np.searchsorted(slices, s), np.searchsorted(slices, s, "right")
+        k0, k1 = np.searchsorted(group, m0), np.searchsorted(group, m1)
+        g, c, a, b = group[k0:k1] - m0, col[k0:k1], r0[k0:k1], r1[k0:k1]
+        here = slice(np.searchsorted(at, m0), np.searchsorted(at, m1))
+        for along_rows in (True, False):
+            rays = np.flatnonzero(flat[here] == along_rows) + here.start
+            if not len(rays):
+                continue
+            runs = row_runs(g, c, a, b) if along_rows else (g, c, a, b)
+            low, size = (y0[m0:m1], y1[m0:m1] - y0[m0:m1] + 1) if along_rows else (x0[m0:m1], x1[m0:m1] - x0[m0:m1] + 1)
+            # Places along the line's short axis (across) and its long axis.
+            across0, long0, sa, sl = (py[rays], px[rays], np.sign(dy[rays]), np.sign(dx[rays])) if along_rows else (px[rays], py[rays], np.sign(dx[rays]), np.sign(dy[rays]))
+            total, steps, mask = wide[rays], high[rays], at[rays] - m0
+            cuts = np.cumsum(steps + 1) // STRETCHES
+            for part in np.unique(cuts):
+                r = slice(np.searchsorted(cuts, part), np.searchsorted(cuts, part, "right"))
+                n, m = total[r], steps[r]
+                ray, j = spread(np.zeros(len(n), np.int64), m + 1)
+                # The first step on the long axis that stands at j of the short one.
+                at_j = np.where(j == 0, 0, (2 * n[ray] * j - n[ray] + 2 * m[ray] - 1) // np.maximum(2 * m[ray], 1))
+                next_j = np.append(at_j[1:], 0)
+                ends = np.cumsum(m + 1) - 1
+                next_j[ends] = n + 1
+                p, q = long0[r][ray] + sl[r][ray] * at_j, long0[r][ray] + sl[r][ray] * (next_j - 1)
+                met = pixels_met(m1 - m0, low, size, *runs, mask[r][ray], across0[r][ray] + sa[r][ray] * j, np.minimum(p, q), np.maximum(p, q) + 1)
+                out[rays[r]] = np.add.reduceat(met, ends - m)
     return out
 
 
-def chord_stats(runs: DataFrame, fraction: float = 0.2, low: int = 1, high: int = 16) -> DataFrame:
+def chord_stats(boundary: DataFrame, runs: DataFrame | None = None, fraction: float = 0.2, low: int = 1, high: int = 16) -> DataFrame:
+    """`mask_chords` from the boundaries of the masks' components: image_id, source_index, col, r0, r1 (other columns are ignored).
+
+    A mask's runs and boundary go to one task. With one table only, it holds the runs, and boundaries are found from them.
+    """
+    if runs is None:
+        return mask_chords(boundary, fraction, low, high)
+    tagged = lambda df, of: df.select(*MASK, "col", "r0", "r1", F.lit(of).alias("of"))
+
+    def work(table: pa.Table) -> pa.Table:
+        group = numbered(table, MASK)
+        col, r0, r1 = (x.astype(np.int64) for x in _columns(table, "col", "r0", "r1"))
+        edge = table.column("of").to_numpy() == 1
+        # Pixels of several components' boundaries count once; a mask without boundary or without runs has no rays.
+        g, c, a, b = merged(group[edge], col[edge], r0[edge], r1[edge])
+        both = np.intersect1d(g, group[~edge])
+        kept, mine = np.isin(group, both) & ~edge, np.isin(g, both)
+        dense = np.searchsorted(both, group[kept])
+        i, py = spread(a[mine], b[mine])
+        stats = chords_of(dense, col[kept], r0[kept], r1[kept], np.searchsorted(both, g[mine])[i], c[mine][i], py, fraction, low, high)
+        first = np.searchsorted(group, both)
+        return pa.table({**{k: table.column(k).take(pa.array(first)) for k in MASK}, **{k: pa.array(v) for k, v in stats.items()}})
+
+    return per_group(tagged(runs, 0).unionByName(tagged(boundary, 1)), MASK, ["of", "col", "r0"], work, f"{_schema(runs, MASK)}, {CHORD_COLUMNS}")
+
+
+CHORD_COLUMNS = "rays long, least int, greatest int, mean double"
+
+
+def chords_of(group, col, r0, r1, at, px, py, fraction: float, low: int, high: int) -> dict[str, np.ndarray]:
+    """Statistics of each mask over its boundary pixels (at, px, py). Every mask has runs, sorted by mask and column, and boundary pixels."""
+    masks = int(group[-1]) + 1 if len(group) else 0
+    if not masks:
+        return {"rays": np.zeros(0, np.int64), "least": np.zeros(0, np.int32), "greatest": np.zeros(0, np.int32), "mean": np.zeros(0)}
+    order = np.argsort(at, kind="stable")
+    at, px, py = at[order], px[order], py[order]
+    first = np.searchsorted(group, np.arange(masks))
+    area, rows, cols = (np.bincount(group, w, masks) for w in (r1 - r0, (r0 + r1 - 1) * (r1 - r0), col * (r1 - r0)))
+    x, y = cols / area, rows / (area * 2.0)
+    box = [np.minimum.reduceat(col, first), np.minimum.reduceat(r0, first), np.maximum.reduceat(col, first), np.maximum.reduceat(r1, first) - 1]
+    ex, ey = ray_ends(px, py, x[at], y[at], [v[at] for v in box])
+    pixels = pixels_on_rays(group, col, r0, r1, box, at, px, py, ex, ey)
+    distance = np.clip(np.ceil(pixels * fraction).astype(np.int64), low, high)
+    starts = np.searchsorted(at, np.arange(masks))
+    rays, total = np.bincount(at, minlength=masks), np.bincount(at, distance, masks)
+    return {"rays": rays.astype(np.int64), "least": np.minimum.reduceat(distance, starts).astype(np.int32), "greatest": np.maximum.reduceat(distance, starts).astype(np.int32), "mean": total / rays}
+
+
+def mask_chords(runs: DataFrame, fraction: float = 0.2, low: int = 1, high: int = 16) -> DataFrame:
     """Least, greatest and mean distance of each mask, over its distinct boundary pixels.
 
     From a boundary pixel of any of the mask's components a ray goes through the mask's centroid to the edge of its box.
@@ -245,7 +359,7 @@ def chord_stats(runs: DataFrame, fraction: float = 0.2, low: int = 1, high: int
     def work(table: pa.Table) -> pa.Table:
         group = numbered(table, MASK)
         col, r0, r1 = (x.astype(np.int64) for x in _columns(table, "col", "r0", "r1"))
-        masks, first = int(group[-1]) + 1, np.searchsorted(group, np.arange(int(group[-1]) + 1))
+        first = np.searchsorted(group, np.arange(int(group[-1]) + 1))
         # Components of all masks as groups of their own, for the boundary; sorted by component, column and row.
         part = labels(len(col), *touching(group, col, r0, r1, True))
         order = np.lexsort((r0, col, part))
@@ -253,16 +367,7 @@ def chord_stats(runs: DataFrame, fraction: float = 0.2, low: int = 1, high: int
         g, c, a, b = boundary_of(dense, col[order], r0[order], r1[order])
         i, py = spread(a, b)
         at, px = group[of[g[i]]], c[i]
-        area, rows, cols = (np.bincount(group, w, masks) for w in (r1 - r0, (r0 + r1 - 1) * (r1 - r0), col * (r1 - r0)))
-        x, y = cols / area, rows / (area * 2.0)
-        box = [np.minimum.reduceat(col, first), np.minimum.reduceat(r0, first), np.maximum.reduceat(col, first), np.maximum.reduceat(r1, first) - 1]
-        ex, ey = ray_ends(px, py, x[at], y[at], [v[at] for v in box])
-        pixels = pixels_on_rays(group, col, r0, r1, box, at, px, py, ex, ey)
-        distance = np.clip(np.ceil(pixels * fraction).astype(np.int64), low, high)
-        order = np.argsort(at, kind="stable")
-        starts = np.searchsorted(at[order], np.arange(masks))
-        rays, total = np.bincount(at, minlength=masks), np.bincount(at, distance, masks)
-        stats = {"rays": rays.astype(np.int64), "least": np.minimum.reduceat(distance[order], starts).astype(np.int32), "greatest": np.maximum.reduceat(distance[order], starts).astype(np.int32), "mean": total / rays}
+        stats = chords_of(group, col, r0, r1, at, px, py, fraction, low, high)
         return pa.table({**{k: table.column(k).take(pa.array(first)) for k in MASK}, **{k: pa.array(v) for k, v in stats.items()}})
 
-    return per_group(runs.select(*MASK, "col", "r0", "r1"), MASK, ["col", "r0"], work, f"{_schema(runs, MASK)}, rays long, least int, greatest int, mean double")
+    return per_group(runs.select(*MASK, "col", "r0", "r1"), MASK, ["col", "r0"], work, f"{_schema(runs, MASK)}, {CHORD_COLUMNS}")

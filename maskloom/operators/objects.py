@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from .masks import MASK, in_cells, pair_cell
 
-#: Reasons of the geometry filter in order of precedence.
-GEOMETRY_REASONS = ("empty_mask", "min_area", "max_area", "min_width", "max_width", "min_height", "max_height", "min_aspect", "max_aspect", "border")
+#: Reasons of the geometry filter in order of precedence.
+GEOMETRY_REASONS = ("empty_mask", "min_area", "max_area", "min_width", "max_width", "min_height", "max_height", "min_aspect_ratio", "max_aspect_ratio", "border_touching")
 
 
 def with_measures(cand: DataFrame, measures: DataFrame) -> DataFrame:
@@ -31,18 +31,25 @@ def filter_area_bbox(measured: DataFrame, maxsize: int, max_w: int, max_h: int,
 
 
 def filter_geometry(measured: DataFrame, limits: dict) -> DataFrame:
-    """Adds width, height, aspect, touches_border and `reason` (null: kept); a limit that is absent is off."""
+    """Adds width, height, aspect, touches_border, `reason` (null: kept), and of a reject limit_field and limit_value, the limit that it broke.
+
+    limits: min_ and max_ of area, width, height and aspect_ratio, and allow_border_touching; one that is absent or null is off.
+    An empty mask breaks no limit; allow_border_touching has the value 0.
+    """
     w, h = F.col("x1_incl") - F.col("x0_incl") + 1, F.col("y1_incl") - F.col("y0_incl") + 1
     m = measured.withColumns({"width": w, "height": h, "aspect": w / h, "touches_border": (F.col("x0_incl") == 0) | (F.col("y0_incl") == 0) | (F.col("x1_incl") == F.col("img_w") - 1) | (F.col("y1_incl") == F.col("img_h") - 1)})
-    reason = F.when(F.col("area") == 0, "empty_mask")
-    for field, name in (("area", "area"), ("width", "width"), ("height", "height"), ("aspect", "aspect")):
-        if limits.get(f"min_{name}") is not None:
-            reason = reason.when(F.col(field) < limits[f"min_{name}"], f"min_{name}")
-        if limits.get(f"max_{name}") is not None:
-            reason = reason.when(F.col(field) > limits[f"max_{name}"], f"max_{name}")
-    if limits.get("border"):
-        reason = reason.when(F.col("touches_border"), "border")
-    return m.withColumn("reason", reason)
+    broken = lambda reason, field, value: F.struct(F.lit(reason).alias("reason"), F.lit(field).alias("field"), F.lit(value).cast("double").alias("value"))
+    verdict = F.when(F.col("area") == 0, broken("empty_mask", None, None))
+    for column, name in (("area", "area"), ("width", "width"), ("height", "height"), ("aspect", "aspect_ratio")):
+        low, high = f"min_{name}", f"max_{name}"
+        if limits.get(low) is not None:
+            verdict = verdict.when(F.col(column) < limits[low], broken(low, low, limits[low]))
+        if limits.get(high) is not None:
+            verdict = verdict.when(F.col(column) > limits[high], broken(high, high, limits[high]))
+    if limits.get("allow_border_touching") is False:
+        verdict = verdict.when(F.col("touches_border"), broken("border_touching", "allow_border_touching", 0))
+    judged = m.withColumn("verdict", verdict)
+    return judged.withColumns({"reason": F.col("verdict.reason"), "limit_field": F.col("verdict.field"), "limit_value": F.col("verdict.value")}).drop("verdict")
 
 
 def filter_diagnostics(judged: DataFrame, reasons=GEOMETRY_REASONS) -> DataFrame:
@@ -52,11 +59,12 @@ def filter_diagnostics(judged: DataFrame, reasons=GEOMETRY_REASONS) -> DataFrame
 
 
 def bounded_records(judged: DataFrame, n: int = 256) -> DataFrame:
-    """The first n rejections per image in source order, with how many more there were."""
+    """The first n rejections per image in source order, with the limit that each broke (where the filter tells) and how many more there were."""
     rejects = judged.filter("reason IS NOT NULL")
     per = Window.partitionBy("image_id")
     rows = rejects.withColumns({"record": F.row_number().over(per.orderBy("source_index")), "truncated": F.greatest(F.count(F.lit(1)).over(per) - n, F.lit(0))})
-    return rows.filter(F.col("record") <= n).select(*MASK, "reason", "record", "truncated")
+    told = [c for c in ("limit_field", "limit_value") if c in judged.columns]
+    return rows.filter(F.col("record") <= n).select(*MASK, "reason", *told, "record", "truncated")
 
 
 def assign_filtered_index(kept: DataFrame) -> DataFrame:

@@ -207,7 +207,7 @@ def stable_order(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def findings_diff(current: DataFrame, baseline: DataFrame, strict: bool = True) -> DataFrame:
-    """Findings added to and removed from a baseline; only added ones fail unless strict."""
-    added = current.exceptAll(baseline).distinct().withColumn("change", F.lit("added"))
-    removed = baseline.exceptAll(current).distinct().withColumn("change", F.lit("removed"))
+    """Findings added to and removed from a baseline, as sets: how often one stands on either side does not matter. Only added ones fail unless strict."""
+    added = current.subtract(baseline).withColumn("change", F.lit("added"))
+    removed = baseline.subtract(current).withColumn("change", F.lit("removed"))
     return added.unionByName(removed).withColumn("fails", (F.col("change") == "added") | F.lit(strict))

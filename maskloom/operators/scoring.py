@@ -184,8 +184,13 @@ def map_answer_substring(label: str, answer: str = "raw_answer") -> tuple[Column
     return F.when(no, "false").when(yes, "true").otherwise("unmatched_answer"), F.when(no, F.coalesce("false_label", F.lit("negative"))).when(yes, F.coalesce("true_label", F.col(label))).otherwise(F.col(label))
 
 
+#: Fixed value: what a question is asked with.
+INSTRUCTION = "The unblurred region inside the yellow boundary is the selected candidate. The blurred surroundings are context only. Answer exactly Yes or No."
+
+
 def verification_query(question: str = "question") -> Column:
-    return F.concat(F.lit("Look only at the marked object. "), F.col(question), F.lit(" Answer with one word."))
+    """The question in its marks, then the fixed instruction."""
+    return F.concat(F.lit("[TARGET QUESTION]\n"), F.col(question), F.lit(f"\n[/TARGET QUESTION]\n{INSTRUCTION}"))
 
 
 def number_questions(matches: DataFrame) -> DataFrame:

@@ -5,38 +5,80 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-FIELDS = ("points_per_side", "crop_n_layers", "crop_n_points_downscale_factor", "multimask_output")
+#: The settings in order, with their defaults; a true or false setting is 1 or 0.
+DEFAULTS = {
+    "points_per_side": 8,
+    "points_per_batch": 8,
+    "pred_iou_thresh": 0.5,
+    "stability_score_thresh": 0.5,
+    "stability_score_offset": 1.0,
+    "mask_threshold": 0.0,
+    "box_nms_thresh": 0.7,
+    "crop_n_layers": 0,
+    "crop_nms_thresh": 0.7,
+    "crop_overlap_ratio": 512 / 1500,
+    "crop_n_points_downscale_factor": 1,
+    "min_mask_region_area": 0,
+    "use_m2m": 0,
+    "multimask_output": 1,
+}
+FIELDS = tuple(DEFAULTS)
 
-#: Defaults and profiles of the settings; multimask_output as 0 or 1.
-DEFAULTS = {"points_per_side": 8, "crop_n_layers": 0, "crop_n_points_downscale_factor": 1, "multimask_output": 1}
+#: What a profile sets.
 PROFILES = {
-    "fast": {"points_per_side": 8, "crop_n_layers": 0},
-    "balanced": {"points_per_side": 16, "crop_n_layers": 0},
-    "quality": {"points_per_side": 32, "crop_n_layers": 1, "crop_n_points_downscale_factor": 2, "multimask_output": 1},
+    "fast": {"points_per_side": 8, "points_per_batch": 8, "pred_iou_thresh": 0.5, "stability_score_thresh": 0.5, "crop_n_layers": 0},
+    "balanced": {"points_per_side": 16, "points_per_batch": 16, "pred_iou_thresh": 0.7, "stability_score_thresh": 0.8, "crop_n_layers": 0},
+    "quality": {
+        "points_per_side": 32, "points_per_batch": 32, "pred_iou_thresh": 0.75, "stability_score_thresh": 0.85, "crop_n_layers": 1,
+        "crop_n_points_downscale_factor": 2, "min_mask_region_area": 50, "multimask_output": 1,
+    },
+}
+
+#: Caps of the work a request may ask for, in the order in which they are checked.
+CAPS = {"points_per_side": 64, "points_per_batch": 64, "crop_n_layers": 2, "min_mask_region_area": 1_000_000, "estimated_prompt_count": 8192, "estimated_mask_prediction_count": 24576}
+FIELD_CAPS = ("points_per_side", "points_per_batch", "crop_n_layers", "min_mask_region_area")
+WORK_CAPS = {"estimated_prompt_count": "prompts", "estimated_mask_prediction_count": "predictions"}
+
+#: What each setting may be at all.
+BOUNDS = {
+    "points_per_side": (1, 1024),
+    "points_per_batch": (1, 1024),
+    "pred_iou_thresh": (0.0, 1.0),
+    "stability_score_thresh": (0.0, 1.0),
+    "stability_score_offset": (0.0, 10.0),
+    "mask_threshold": (-32.0, 32.0),
+    "box_nms_thresh": (0.0, 1.0),
+    "crop_n_layers": (0, 8),
+    "crop_nms_thresh": (0.0, 1.0),
+    "crop_overlap_ratio": (0.0, 1.0),
+    "crop_n_points_downscale_factor": (1, 32),
+    "min_mask_region_area": (0, 64_000_000),
 }
 
-#: Caps of the work a request may ask for.
-CAPS = {"points_per_side": 64, "crop_n_layers": 2, "prompts": 8192, "predictions": 24576}
 
-#: Allowed ranges.
-BOUNDS = {"points_per_side": (1, 128), "crop_n_layers": (0, 4), "crop_n_points_downscale_factor": (1, 8)}
+def resolve_settings(requests: DataFrame) -> DataFrame:
+    """Each field from the request, else its profile, else the default, with where it came from. A field that requests lack as a column is never explicit."""
+    given = {c.lower() for c in requests.columns}
+    explicit = {f: F.col(f).cast("double") if f in given else F.lit(None).cast("double") for f in FIELDS}
 
+    def of(f: str) -> Column:
+        by_profile = F.lit(None).cast("double")
+        for p, fields in PROFILES.items():
+            by_profile = F.when(F.col("profile") == p, F.lit(float(fields[f]))).otherwise(by_profile) if f in fields else by_profile
+        source = F.when(explicit[f].isNotNull(), "explicit").when(by_profile.isNotNull(), "profile").otherwise("default")
+        return F.struct(F.lit(f).alias("field"), F.coalesce(explicit[f], by_profile, F.lit(float(DEFAULTS[f]))).alias("value"), source.alias("source"))
 
-def resolve_settings(requests: DataFrame) -> DataFrame:
-    """Each field from the request, else its profile, else the default, with where it came from."""
-    spark = requests.sparkSession
-    profiles = spark.createDataFrame([(p, f, int(v)) for p, fs in PROFILES.items() for f, v in fs.items()], "profile string, field string, profile_value int")
-    defaults = spark.createDataFrame([(f, int(v)) for f, v in DEFAULTS.items()], "field string, default_value int")
-    long = requests.select("request_id", "profile", *[F.col(f).cast("int").alias(f) for f in FIELDS]).unpivot(["request_id", "profile"], list(FIELDS), "field", "explicit")
-    both = long.join(F.broadcast(profiles), ["profile", "field"], "left").join(F.broadcast(defaults), "field", "left")
-    source = F.when(F.col("explicit").isNotNull(), "explicit").when(F.col("profile_value").isNotNull(), "profile").otherwise("default")
-    return both.select("request_id", "field", F.coalesce("explicit", "profile_value", "default_value").alias("value"), source.alias("source"))
+    return requests.select("request_id", F.inline(F.array(*[of(f) for f in FIELDS])))
+
+
+def typed(f: str, value: Column) -> Column:
+    return value.cast("int") if isinstance(DEFAULTS[f], int) else value
 
 
 def effective(requests: DataFrame) -> DataFrame:
     """The resolved settings of each request in one row."""
     r = resolve_settings(requests)
-    return r.groupBy("request_id").agg(*[F.max(F.when(F.col("field") == f, F.col("value"))).alias(f) for f in FIELDS])
+    return r.groupBy("request_id").agg(*[typed(f, F.max(F.when(F.col("field") == f, F.col("value")))).alias(f) for f in FIELDS])
 
 
 def prompts_of(points: Column, layers: Column, factor: Column) -> Column:
@@ -58,21 +100,30 @@ def estimate_work(settings: DataFrame) -> DataFrame:
 
 
 def admit_work(estimated: DataFrame, caps: dict = CAPS) -> DataFrame:
-    """First violated cap (reaching one is allowed) and warnings from four fifths of the work caps on."""
-    reason = F.when(~F.col("deepest_ok"), "no_points_left")
-    for field in ("points_per_side", "crop_n_layers", "prompts", "predictions"):
+    """`reason`: the first violated cap (reaching one is allowed), of the fields first; `warnings` of admitted requests from four fifths of a work cap on."""
+    reason = F.when(~F.col("deepest_ok"), "crop_n_points_downscale_factor")
+    for field in FIELD_CAPS:
         reason = reason.when(F.col(field) > caps[field], field)
-    near = F.array_compact(F.array(*[F.when((F.col(f) * 100 >= caps[f] * 80) & (F.col(f) <= caps[f]), f) for f in ("prompts", "predictions")]))
-    return estimated.withColumns({"reason": reason, "warnings": F.array_join(near, ",")})
+    for cap, count in WORK_CAPS.items():
+        reason = reason.when(F.col(count) > caps[cap], cap)
+    near = F.array_compact(F.array(*[F.when(F.col(n) * 100 >= caps[c] * 80, f"{c} is at least 80% of its operator cap") for c, n in WORK_CAPS.items()]))
+    judged = estimated.withColumn("reason", reason)
+    return judged.withColumn("warnings", F.when(F.col("reason").isNull(), F.array_join(near, "; ")).otherwise(""))
 
 
 def admissible_alternatives(estimated: DataFrame, caps: dict = CAPS) -> DataFrame:
-    """Up to three other settings that would be admitted: the fast profile, the request clamped to the caps with one mask, the least."""
-    option = lambda p, layers, factor, multi: F.struct(F.lit(p).alias("points_per_side") if isinstance(p, int) else p.alias("points_per_side"), F.lit(layers).alias("crop_n_layers") if isinstance(layers, int) else layers.alias("crop_n_layers"), F.lit(factor).alias("crop_n_points_downscale_factor") if isinstance(factor, int) else factor.alias("crop_n_points_downscale_factor"), F.lit(multi).alias("multimask_output") if isinstance(multi, int) else multi.alias("multimask_output"))
-    clamped = option(F.least("points_per_side", F.lit(caps["points_per_side"])), F.least("crop_n_layers", F.lit(caps["crop_n_layers"])), F.col("crop_n_points_downscale_factor"), 0)
-    fast = option(PROFILES["fast"]["points_per_side"], 0, 1, F.col("multimask_output"))
-    each = estimated.select("request_id", F.posexplode(F.array(fast, clamped, option(1, 0, 1, 0))).alias("pos", "o")).select("request_id", "pos", "o.*")
-    good = admit_work(estimate_work(each), caps).filter("reason IS NULL")
+    """Up to three other settings that would be admitted: defaults with the fast profile, the request clamped to the caps with one mask per point, and of that the least work."""
+    least = {"points_per_side": 1, "points_per_batch": 1, "crop_n_layers": 0, "crop_n_points_downscale_factor": 1, "multimask_output": 0, "min_mask_region_area": 0}
+    plain = lambda f, v: F.lit(v).cast("int" if isinstance(DEFAULTS[f], int) else "double")
+    fast = {f: plain(f, v) for f, v in {**DEFAULTS, **PROFILES["fast"]}.items()}
+    clamped = {f: F.least(F.col(f), F.lit(caps[f])) if f in FIELD_CAPS else F.col(f) for f in FIELDS} | {"multimask_output": F.lit(0)}
+    minimum = clamped | {f: plain(f, v) for f, v in least.items()}
+    option = lambda values: F.struct(*[values[f].alias(f) for f in FIELDS])
+    each = estimated.select("request_id", F.posexplode(F.array(option(fast), option(clamped), option(minimum))).alias("pos", "o")).select("request_id", "pos", "o.*")
+    valid = F.lit(True)
+    for f, (low, high) in BOUNDS.items():
+        valid = valid & F.col(f).between(low, high)
+    good = admit_work(estimate_work(each.filter(valid)), caps).filter("reason IS NULL")
     same = Window.partitionBy("request_id", *FIELDS).orderBy("pos")
     distinct = good.withColumn("n", F.row_number().over(same)).filter("n = 1").drop("n")
     place = F.row_number().over(Window.partitionBy("request_id").orderBy("pos"))
@@ -82,8 +133,8 @@ def admissible_alternatives(estimated: DataFrame, caps: dict = CAPS) -> DataFram
 def range_violations(requests: DataFrame, bounds: dict = BOUNDS) -> DataFrame:
     """The first field, in order, whose explicit value is out of range."""
     spark = requests.sparkSession
-    b = spark.createDataFrame([(f, k, lo, hi) for k, (f, (lo, hi)) in enumerate(bounds.items())], "field string, field_order int, low int, high int")
-    long = requests.select("request_id", *[F.col(f).cast("int").alias(f) for f in bounds]).unpivot("request_id", list(bounds), "field", "value")
+    b = spark.createDataFrame([(f, k, float(lo), float(hi)) for k, (f, (lo, hi)) in enumerate(bounds.items())], "field string, field_order int, low double, high double")
+    long = requests.select("request_id", *[F.col(f).cast("double").alias(f) for f in bounds]).unpivot("request_id", list(bounds), "field", "value")
     bad = long.join(F.broadcast(b), "field").filter("value < low OR value > high")
     return bad.groupBy("request_id").agg(F.min_by(F.struct("field", "value", "low", "high"), "field_order").alias("v")).select("request_id", "v.*")
 
@@ -114,8 +165,8 @@ def setting_violations(requests: DataFrame, fields: dict[str, tuple[str, float,
 
 
 #: Top-level settings by who reads them.
-ALGORITHM_KEYS = ("alpha", "preprocessing", "mask_generator", "candidate_views", "diagnostic_artifacts", "visualization")
-BATCH_KEYS = ("images", "video")
+ALGORITHM_KEYS = ("alpha", "preprocessing", "mask_generator", "postsam2processing", "clip", "clip_routing", "blip3", "candidate_views", "diagnostic_artifacts", "visualization")
+BATCH_KEYS = ("images", "video", "export_yolo_det")
 
 
 def classify_keys(settings: DataFrame, col: str = "settings") -> DataFrame:

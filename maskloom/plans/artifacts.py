@@ -89,10 +89,17 @@ def win08(spark, sf_dir):
     return ops.page_of(offers(spark, sf_dir), 16, ("label", "verify")).select("request_id", "offer_seq", "page")
 
 
-@query("scl10_artifact_identity", duck(OFFERS_SQL) + """
-SELECT request_id, offer_seq, CAST(nullif(regexp_extract(name, 'CANDIDATE-([0-9]+)', 1), '') AS INT) AS candidate, CAST(nullif(regexp_extract(name, 'QUESTION-([0-9]+)', 1), '') AS INT) AS question, stage FROM offers""")
+@query("scl10_artifact_identity", duck(OFFERS_SQL) + """,
+n AS (SELECT request_id, offer_seq, CASE stage WHEN 'picture' THEN CASE WHEN offer_seq % 2 = 0 THEN 'Visualization/' ELSE 'old/visualization/' END WHEN 'label' THEN 'debug/CLIP-Candidate-View-' WHEN 'verify' THEN 'blip3-verification-' ELSE 'raw-' END || name AS name FROM offers)
+SELECT request_id, offer_seq, CAST(nullif(regexp_extract(name, 'CANDIDATE-([0-9]+)', 1), '') AS INT) AS candidate, CAST(nullif(regexp_extract(name, 'QUESTION-([0-9]+)', 1), '') AS INT) AS question,
+  CASE WHEN starts_with(lower(name), 'visualization/') THEN 'visualization' WHEN contains(lower(name), 'clip-candidate-view-') THEN 'clip' WHEN contains(lower(name), 'blip3-verification-') THEN 'blip3' ELSE 'sam2' END AS stage FROM n""")
 def scl10(spark, sf_dir):
-    return offers(spark, sf_dir).select("request_id", "offer_seq", *[c.alias(n) for n, c in ops.artifact_identity().items()], ops.artifact_stage().alias("stage"))
+    """The offers under names of all stages, in letters of both cases."""
+    o, stage = offers(spark, sf_dir), F.col("stage")
+    picture = F.when(F.col("offer_seq") % 2 == 0, "Visualization/").otherwise("old/visualization/")
+    begin = F.when(stage == "picture", picture).when(stage == "label", "debug/CLIP-Candidate-View-").when(stage == "verify", "blip3-verification-").otherwise("raw-")
+    o = o.withColumn("name", F.concat(begin, "name"))
+    return o.select("request_id", "offer_seq", *[c.alias(n) for n, c in ops.artifact_identity().items()], ops.artifact_stage().alias("stage"))
 
 
 @query("scl09_logical_names", duck(OFFERS_SQL) + """,

@@ -124,7 +124,11 @@ requests AS (SELECT p_partkey AS request_id,
   CASE WHEN p_size % 3 = 0 THEN p_size * 2 END AS points_per_side,
   CASE WHEN p_size % 5 = 0 THEN p_size % 4 END AS crop_n_layers,
   CASE WHEN p_size % 7 = 0 THEN 2 END AS crop_n_points_downscale_factor,
-  CASE WHEN p_partkey % 6 = 0 THEN FALSE END AS multimask_output FROM {part})
+  CASE WHEN p_partkey % 6 = 0 THEN FALSE END AS multimask_output,
+  CASE WHEN p_size % 4 = 0 THEN p_size * 2 END AS points_per_batch, CASE WHEN p_size % 10 = 0 THEN p_size * 30000 END AS min_mask_region_area, CASE WHEN p_partkey % 10 = 0 THEN TRUE END AS use_m2m,
+  CASE WHEN p_partkey % 8 = 0 THEN p_size / 32.0e0 END AS pred_iou_thresh, CASE WHEN p_partkey % 9 = 0 THEN p_size / 64.0e0 END AS stability_score_thresh, CASE WHEN p_partkey % 11 = 0 THEN p_size / 8.0e0 END AS stability_score_offset,
+  CASE WHEN p_partkey % 12 = 0 THEN p_size - 25.0e0 END AS mask_threshold, CASE WHEN p_partkey % 13 = 0 THEN p_size / 64.0e0 END AS box_nms_thresh, CASE WHEN p_partkey % 14 = 0 THEN p_size / 64.0e0 END AS crop_nms_thresh,
+  CASE WHEN p_partkey % 15 = 0 THEN p_size / 128.0e0 END AS crop_overlap_ratio FROM {part})
 """
 
 

@@ -106,13 +106,13 @@ judged AS (SELECT f1.*, coalesce(area, 0) AS area, x0_incl, y0_incl, x1_incl, y1
   x1_incl - x0_incl + 1 AS width, y1_incl - y0_incl + 1 AS height, CAST(x1_incl - x0_incl + 1 AS DOUBLE) / (y1_incl - y0_incl + 1) AS aspect,
   x0_incl = 0 OR y0_incl = 0 OR x1_incl = img_w - 1 OR y1_incl = img_h - 1 AS touches_border FROM f1 LEFT JOIN meas USING (image_id, source_index)),
 reasoned AS (SELECT *, CASE WHEN area = 0 THEN 'empty_mask' WHEN area < 12 THEN 'min_area' WHEN area > 260 THEN 'max_area' WHEN width < 2 THEN 'min_width' WHEN width > 20 THEN 'max_width'
-  WHEN height < 2 THEN 'min_height' WHEN height > 17 THEN 'max_height' WHEN aspect < 0.2 THEN 'min_aspect' WHEN aspect > 6.0 THEN 'max_aspect' WHEN touches_border THEN 'border' END AS reason FROM judged),
+  WHEN height < 2 THEN 'min_height' WHEN height > 17 THEN 'max_height' WHEN aspect < 0.2 THEN 'min_aspect_ratio' WHEN aspect > 6.0 THEN 'max_aspect_ratio' WHEN touches_border THEN 'border_touching' END AS reason FROM judged),
 kept AS (SELECT *, CAST(row_number() OVER (PARTITION BY image_id ORDER BY source_index) - 1 AS INT) AS filtered_index FROM reasoned WHERE reason IS NULL),
 objs AS (SELECT *, CAST(row_number() OVER (PARTITION BY image_id ORDER BY area DESC, centroid_row, centroid_col, filtered_index) AS INT) AS instance_id FROM kept)
 """
 
 #: Limits of the registered pipeline.
-LIMITS = {"min_area": 12, "max_area": 260, "min_width": 2, "max_width": 20, "min_height": 2, "max_height": 17, "min_aspect": 0.2, "max_aspect": 6.0, "border": True}
+LIMITS = {"min_area": 12, "max_area": 260, "min_width": 2, "max_width": 20, "min_height": 2, "max_height": 17, "min_aspect_ratio": 0.2, "max_aspect_ratio": 6.0, "allow_border_touching": False}
 
 
 def judged_of(spark, sf_dir) -> DataFrame:

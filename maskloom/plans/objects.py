@@ -44,9 +44,13 @@ def flt01(spark, sf_dir):
     return out.select("image_id", "source_index", "reason", "bbox_w", "bbox_h")
 
 
-@query("flt02_geometry", duck(*BASE, ORDERED_SQL) + " SELECT image_id, source_index, area, width, height, aspect, touches_border, reason FROM reasoned")
+_BROKEN_SQL = """CASE reason WHEN 'empty_mask' THEN NULL WHEN 'border_touching' THEN 'allow_border_touching' ELSE reason END AS limit_field,
+  CAST(CASE reason WHEN 'min_area' THEN 12 WHEN 'max_area' THEN 260 WHEN 'min_width' THEN 2 WHEN 'max_width' THEN 20 WHEN 'min_height' THEN 2 WHEN 'max_height' THEN 17 WHEN 'min_aspect_ratio' THEN 0.2 WHEN 'max_aspect_ratio' THEN 6 WHEN 'border_touching' THEN 0 END AS DOUBLE) AS limit_value"""
+
+
+@query("flt02_geometry", duck(*BASE, ORDERED_SQL) + """ SELECT image_id, source_index, area, width, height, aspect, touches_border, reason, """ + _BROKEN_SQL + " FROM reasoned")
 def flt02(spark, sf_dir):
-    return judged_of(spark, sf_dir).select("image_id", "source_index", "area", "width", "height", "aspect", "touches_border", "reason")
+    return judged_of(spark, sf_dir).select("image_id", "source_index", "area", "width", "height", "aspect", "touches_border", "reason", "limit_field", "limit_value")
 
 
 @query("flt03_keep_labels", duck(*OBJECTS) + " SELECT image_id, instance_id, label FROM typed WHERE label IN ('A', 'N')")
@@ -65,7 +69,8 @@ def flt07(spark, sf_dir):
     return obj.enforce_object_limit(typed_of(spark, sf_dir), 4)
 
 
-_REASONS_SQL = ", ".join(f"count(*) FILTER (reason = '{r}') AS removed_by_{r}" for r in obj.GEOMETRY_REASONS)
+_REASONS = ("empty_mask", "min_area", "max_area", "min_width", "max_width", "min_height", "max_height", "min_aspect_ratio", "max_aspect_ratio", "border_touching")
+_REASONS_SQL = ", ".join(f"count(*) FILTER (reason = '{r}') AS removed_by_{r}" for r in _REASONS)
 
 
 @query("agg02_filter_diagnostics", duck(*BASE, ORDERED_SQL) + f" SELECT image_id, count(*) AS evaluated, count(*) FILTER (area > 0) AS non_empty, count(*) FILTER (reason IS NULL) AS retained, count(reason) AS rejected, {_REASONS_SQL} FROM reasoned GROUP BY image_id")
@@ -73,8 +78,8 @@ def agg02(spark, sf_dir):
     return obj.filter_diagnostics(judged_of(spark, sf_dir))
 
 
-@query("win12_bounded_records", duck(*BASE, ORDERED_SQL) + """,
-n AS (SELECT image_id, source_index, reason, CAST(row_number() OVER (PARTITION BY image_id ORDER BY source_index) AS INT) AS record, greatest(count(*) OVER (PARTITION BY image_id) - 3, 0) AS truncated FROM reasoned WHERE reason IS NOT NULL)
+@query("win12_bounded_records", duck(*BASE, ORDERED_SQL) + f""",
+n AS (SELECT image_id, source_index, reason, {_BROKEN_SQL}, CAST(row_number() OVER (PARTITION BY image_id ORDER BY source_index) AS INT) AS record, greatest(count(*) OVER (PARTITION BY image_id) - 3, 0) AS truncated FROM reasoned WHERE reason IS NOT NULL)
 SELECT * FROM n WHERE record <= 3""")
 def win12(spark, sf_dir):
     return obj.bounded_records(judged_of(spark, sf_dir), 3)

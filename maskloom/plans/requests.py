@@ -10,12 +10,28 @@ from ..operators import settings as ops
 from .base import query
 from .fixtures import REQUESTS_SQL, duck, requests, table
 
-RESOLVED_SQL = """
-eff AS (SELECT request_id, CAST(coalesce(points_per_side, CASE profile WHEN 'fast' THEN 8 WHEN 'balanced' THEN 16 WHEN 'quality' THEN 32 END, 8) AS INT) AS points_per_side,
-  CAST(coalesce(crop_n_layers, CASE profile WHEN 'fast' THEN 0 WHEN 'balanced' THEN 0 WHEN 'quality' THEN 1 END, 0) AS INT) AS crop_n_layers,
-  CAST(coalesce(crop_n_points_downscale_factor, CASE profile WHEN 'quality' THEN 2 END, 1) AS INT) AS crop_n_points_downscale_factor,
-  CAST(coalesce(CAST(multimask_output AS INT), CASE profile WHEN 'quality' THEN 1 END, 1) AS INT) AS multimask_output FROM requests)
-"""
+#: Settings in order: default, then what the profiles fast, balanced and quality set.
+_TABLE = {
+    "points_per_side": (8, 8, 16, 32), "points_per_batch": (8, 8, 16, 32), "pred_iou_thresh": (0.5, 0.5, 0.7, 0.75), "stability_score_thresh": (0.5, 0.5, 0.8, 0.85), "stability_score_offset": (1.0, None, None, None),
+    "mask_threshold": (0.0, None, None, None), "box_nms_thresh": (0.7, None, None, None), "crop_n_layers": (0, 0, 0, 1), "crop_nms_thresh": (0.7, None, None, None), "crop_overlap_ratio": (512 / 1500, None, None, None),
+    "crop_n_points_downscale_factor": (1, None, None, 2), "min_mask_region_area": (0, None, None, 50), "use_m2m": (0, None, None, None), "multimask_output": (1, None, None, 1),
+}
+_RANGES = {
+    "points_per_side": (1, 1024), "points_per_batch": (1, 1024), "pred_iou_thresh": (0, 1), "stability_score_thresh": (0, 1), "stability_score_offset": (0, 10), "mask_threshold": (-32, 32), "box_nms_thresh": (0, 1),
+    "crop_n_layers": (0, 8), "crop_nms_thresh": (0, 1), "crop_overlap_ratio": (0, 1), "crop_n_points_downscale_factor": (1, 32), "min_mask_region_area": (0, 64000000),
+}
+
+
+def _kind(f):
+    return "INT" if isinstance(_TABLE[f][0], int) else "DOUBLE"
+
+
+def _profile_sql(f):
+    cases = "".join(f" WHEN '{p}' THEN CAST({v!r} AS DOUBLE)" for p, v in zip(("fast", "balanced", "quality"), _TABLE[f][1:], strict=True) if v is not None)
+    return f"CASE profile{cases} END" if cases else "NULL"
+
+
+RESOLVED_SQL = "eff AS (SELECT request_id, " + ", ".join(f"CAST(coalesce(CAST({f} AS DOUBLE), {_profile_sql(f)}, CAST({_TABLE[f][0]!r} AS DOUBLE)) AS {_kind(f)}) AS {f}" for f in _TABLE) + " FROM requests)"
 
 
 def _work_sql(source: str, out: str) -> str:
@@ -23,16 +39,18 @@ def _work_sql(source: str, out: str) -> str:
 {out}_e AS (SELECT *, CAST(list_sum(list_transform(range(0, crop_n_layers + 1), lambda l: CAST(pow(4, l) * pow(floor(points_per_side / pow(crop_n_points_downscale_factor, l)), 2) AS BIGINT))) AS BIGINT) AS prompts,
   floor(points_per_side / pow(crop_n_points_downscale_factor, crop_n_layers)) >= 1 AS deepest_ok FROM {source}),
 {out} AS (SELECT *, prompts * CASE WHEN multimask_output = 1 THEN 3 ELSE 1 END AS predictions FROM {out}_e),
-{out}_a AS (SELECT *, CASE WHEN NOT deepest_ok THEN 'no_points_left' WHEN points_per_side > 64 THEN 'points_per_side' WHEN crop_n_layers > 2 THEN 'crop_n_layers' WHEN prompts > 8192 THEN 'prompts' WHEN predictions > 24576 THEN 'predictions' END AS reason,
-  array_to_string(list_filter([CASE WHEN prompts * 100 >= 8192 * 80 AND prompts <= 8192 THEN 'prompts' END, CASE WHEN predictions * 100 >= 24576 * 80 AND predictions <= 24576 THEN 'predictions' END], lambda x: x IS NOT NULL), ',') AS warnings FROM {out})
+{out}_r AS (SELECT *, CASE WHEN NOT deepest_ok THEN 'crop_n_points_downscale_factor' WHEN points_per_side > 64 THEN 'points_per_side' WHEN points_per_batch > 64 THEN 'points_per_batch' WHEN crop_n_layers > 2 THEN 'crop_n_layers'
+  WHEN min_mask_region_area > 1000000 THEN 'min_mask_region_area' WHEN prompts > 8192 THEN 'estimated_prompt_count' WHEN predictions > 24576 THEN 'estimated_mask_prediction_count' END AS reason FROM {out}),
+{out}_a AS (SELECT *, CASE WHEN reason IS NOT NULL THEN '' ELSE concat_ws('; ', CASE WHEN prompts >= 6553.6e0 THEN 'estimated_prompt_count is at least 80% of its operator cap' END, CASE WHEN predictions >= 19660.8e0 THEN 'estimated_mask_prediction_count is at least 80% of its operator cap' END) END AS warnings FROM {out}_r)
 """
 
 
-@query("prj04_resolved_settings", duck(REQUESTS_SQL, RESOLVED_SQL) + """
-SELECT request_id, unnest(['points_per_side', 'crop_n_layers', 'crop_n_points_downscale_factor', 'multimask_output']) AS field, unnest([e.points_per_side, e.crop_n_layers, e.crop_n_points_downscale_factor, e.multimask_output]) AS value,
-  unnest([CASE WHEN r.points_per_side IS NOT NULL THEN 'explicit' WHEN profile IS NOT NULL THEN 'profile' ELSE 'default' END, CASE WHEN r.crop_n_layers IS NOT NULL THEN 'explicit' WHEN profile IS NOT NULL THEN 'profile' ELSE 'default' END,
-    CASE WHEN r.crop_n_points_downscale_factor IS NOT NULL THEN 'explicit' WHEN profile = 'quality' THEN 'profile' ELSE 'default' END, CASE WHEN r.multimask_output IS NOT NULL THEN 'explicit' WHEN profile = 'quality' THEN 'profile' ELSE 'default' END]) AS source
-FROM eff e JOIN requests r USING (request_id)""")
+_SOURCES_SQL = ", ".join(f"CASE WHEN r.{f} IS NOT NULL THEN 'explicit' WHEN {_profile_sql(f)} IS NOT NULL THEN 'profile' ELSE 'default' END" for f in _TABLE)
+_NAMES_SQL = ", ".join(f"'{f}'" for f in _TABLE)
+
+
+@query("prj04_resolved_settings", duck(REQUESTS_SQL, RESOLVED_SQL) + f"""
+SELECT request_id, unnest([{_NAMES_SQL}]) AS field, unnest([{", ".join(f"CAST(e.{f} AS DOUBLE)" for f in _TABLE)}]) AS value, unnest([{_SOURCES_SQL}]) AS source FROM eff e JOIN requests r USING (request_id)""")
 def prj04(spark, sf_dir):
     return ops.resolve_settings(requests(spark, sf_dir))
 
@@ -51,20 +69,29 @@ def prj06(spark, sf_dir):
     return ops.admit_work(work_of(spark, sf_dir)).select("request_id", "reason", "warnings")
 
 
-@query("prj07_alternatives", duck(REQUESTS_SQL, RESOLVED_SQL) + """,
-alt AS (SELECT request_id, 0 AS pos, 8 AS points_per_side, 0 AS crop_n_layers, 1 AS crop_n_points_downscale_factor, multimask_output FROM eff
-  UNION ALL SELECT request_id, 1, least(points_per_side, 64), least(crop_n_layers, 2), crop_n_points_downscale_factor, 0 FROM eff UNION ALL SELECT request_id, 2, 1, 0, 1, 0 FROM eff),""" + _work_sql("alt", "w") + """,
-d AS (SELECT * FROM w_a WHERE reason IS NULL QUALIFY row_number() OVER (PARTITION BY request_id, points_per_side, crop_n_layers, crop_n_points_downscale_factor, multimask_output ORDER BY pos) = 1)
-SELECT request_id, CAST(row_number() OVER (PARTITION BY request_id ORDER BY pos) AS INT) AS place, points_per_side, crop_n_layers, crop_n_points_downscale_factor, multimask_output, prompts, predictions FROM d""")
+_CAPPED = {"points_per_side": 64, "points_per_batch": 64, "crop_n_layers": 2, "min_mask_region_area": 1000000}
+_FAST_SQL = ", ".join(f"CAST({_TABLE[f][0] if _TABLE[f][1] is None else _TABLE[f][1]!r} AS {_kind(f)}) AS {f}" for f in _TABLE)
+_CLAMPED = {f: f"least({f}, {_CAPPED[f]})" if f in _CAPPED else "0" if f == "multimask_output" else f for f in _TABLE}
+_LEAST = _CLAMPED | {"points_per_side": "1", "points_per_batch": "1", "crop_n_layers": "0", "crop_n_points_downscale_factor": "1", "min_mask_region_area": "0"}
+_AS_SQL = lambda values: ", ".join(f"CAST({v} AS {_kind(f)}) AS {f}" for f, v in values.items())
+_VALID_SQL = " AND ".join(f"{f} BETWEEN {a} AND {b}" for f, (a, b) in _RANGES.items())
+
+
+@query("prj07_alternatives", duck(REQUESTS_SQL, RESOLVED_SQL) + f""",
+alt AS (SELECT * FROM (SELECT request_id, 0 AS pos, {_FAST_SQL} FROM eff UNION ALL SELECT request_id, 1, {_AS_SQL(_CLAMPED)} FROM eff UNION ALL SELECT request_id, 2, {_AS_SQL(_LEAST)} FROM eff) WHERE {_VALID_SQL}),""" + _work_sql("alt", "w") + f""",
+d AS (SELECT * FROM w_a WHERE reason IS NULL QUALIFY row_number() OVER (PARTITION BY request_id, {", ".join(_TABLE)} ORDER BY pos) = 1)
+SELECT request_id, CAST(row_number() OVER (PARTITION BY request_id ORDER BY pos) AS INT) AS place, {", ".join(_TABLE)}, prompts, predictions FROM d""")
 def prj07(spark, sf_dir):
     return ops.admissible_alternatives(work_of(spark, sf_dir))
 
 
-@query("flt08_range_violations", duck(REQUESTS_SQL) + """,
-v AS (SELECT request_id, 0 AS o, 'points_per_side' AS field, points_per_side AS value, 4 AS low, 70 AS high FROM requests UNION ALL SELECT request_id, 1, 'crop_n_layers', crop_n_layers, 0, 2 FROM requests)
+_RANGE_ROWS_SQL = " UNION ALL ".join(f"SELECT request_id, {k} AS o, '{f}' AS field, CAST({f} AS DOUBLE) AS value, {a}.0e0 AS low, {b}.0e0 AS high FROM requests" for k, (f, (a, b)) in enumerate({**_RANGES, "points_per_side": (4, 70), "stability_score_offset": (0, 4)}.items()))
+
+
+@query("flt08_range_violations", duck(REQUESTS_SQL) + f""", v AS ({_RANGE_ROWS_SQL})
 SELECT request_id, field, value, low, high FROM v WHERE value < low OR value > high QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY o) = 1""")
 def flt08(spark, sf_dir):
-    return ops.range_violations(requests(spark, sf_dir), {"points_per_side": (4, 70), "crop_n_layers": (0, 2)})
+    return ops.range_violations(requests(spark, sf_dir), {**ops.BOUNDS, "points_per_side": (4, 70), "stability_score_offset": (0, 4)})
 
 
 _TEXT_SETTINGS_SQL = """
@@ -92,7 +119,7 @@ def flt08_settings(spark, sf_dir):
     return ops.setting_violations(text_settings(spark, sf_dir), TEXT_FIELDS, (("min_area", "max_area"),), {"maxsize": "max_area"})
 
 
-_KEYS = "'alpha', 'images', 'video', 'mask_generator', 'palette', 'visualization'"
+_KEYS = "'alpha', 'images', 'video', 'mask_generator', 'palette', 'visualization', 'clip', 'clip_routing', 'preprocessing', 'Alpha', 'postsam2processing', 'blip3', 'candidate_views', 'diagnostic_artifacts', 'export_yolo_det', 'debug'"
 _SETTINGS_SQL = f"sets AS (SELECT p_partkey AS request_id, list_filter([{_KEYS}], lambda x, i: (p_partkey // i) % 2 = 0) AS keys FROM {{part}})"
 
 
@@ -103,8 +130,8 @@ def settings_of(spark, sf_dir):
 
 
 @query("prj08_key_classes", duck(_SETTINGS_SQL) + """
-SELECT request_id, array_to_string(list_sort(list_filter(keys, lambda x: x IN ('alpha', 'mask_generator', 'visualization'))), ',') AS algorithm, array_to_string(list_sort(list_filter(keys, lambda x: x IN ('images', 'video'))), ',') AS batch_only,
-  array_to_string(list_filter(keys, lambda x: x = 'palette'), ',') AS unrecognized FROM sets""")
+SELECT request_id, array_to_string(list_sort(list_filter(keys, lambda x: x IN ('alpha', 'preprocessing', 'mask_generator', 'postsam2processing', 'clip', 'clip_routing', 'blip3', 'candidate_views', 'diagnostic_artifacts', 'visualization'))), ',') AS algorithm, array_to_string(list_sort(list_filter(keys, lambda x: x IN ('images', 'video', 'export_yolo_det'))), ',') AS batch_only,
+  array_to_string(list_sort(list_filter(keys, lambda x: x IN ('palette', 'Alpha', 'debug'))), ',') AS unrecognized FROM sets""")
 def prj08(spark, sf_dir):
     return ops.classify_keys(settings_of(spark, sf_dir))
 
@@ -205,20 +232,34 @@ def src05(spark, sf_dir):
     return fn.normalize_video_meta(v).select("stream_id", "fps", "frames")
 
 
+_LINKED = """ [more](notes/{n}.md#top) [home](</>) ![x]( https://example.org/a ) [same](#here) [index](index.html "The index") [mail](mailto:a@b.c) <a href='my%20file.md?x=1'> [tel](tel:12+3)"""
+
+
 @query("jon09_missing_links", r"""
-WITH l AS (SELECT page_id, regexp_replace(unnest(regexp_extract_all(html, '(?:href|src)="([^"]*)"', 1)), '[?#].*$', '') AS target FROM pages),
+WITH h AS (SELECT page_id, html || replace('""" + _LINKED.replace("'", "''") + r"""', '{n}', CAST(page_id % 9 AS VARCHAR)) AS html FROM pages),
+raw AS (SELECT page_id, unnest(list_concat(regexp_extract_all(html, '!?(?:\[[^\]]*\])\(([^)]+)\)', 1), regexp_extract_all(html, '(?:href|src)=["'']([^"'']+)["'']', 1))) AS link FROM h),
+w AS (SELECT page_id, trim(regexp_extract(link, '^\s*(\S*)', 1), '<>') AS link FROM raw),
+l AS (SELECT page_id, url_decode(regexp_replace(link, '[?#].*$', '')) AS target FROM w WHERE NOT (starts_with(link, 'http://') OR starts_with(link, 'https://') OR starts_with(link, 'mailto:') OR starts_with(link, '#') OR starts_with(link, 'data:'))),
 k AS (SELECT DISTINCT '/' || string_split(regexp_replace(url, '[?#].*$', ''), '/')[-1] AS target FROM pages)
-SELECT page_id, target, count(*) AS n FROM l WHERE target <> '' AND NOT regexp_matches(target, '^(?:[A-Za-z][A-Za-z0-9+.-]*:|//|#|data:)') AND target NOT IN (SELECT target FROM k) GROUP BY ALL""")
+SELECT page_id, target, count(*) AS n FROM l WHERE target <> '' AND target NOT IN (SELECT target FROM k) GROUP BY ALL""")
 def jon09(spark, sf_dir):
+    """Pages with some Markdown behind their HTML: titles, brackets, images, escapes and targets elsewhere."""
     p = table(spark, sf_dir, "pages")
     known = p.select(F.concat(F.lit("/"), F.element_at(F.split(F.regexp_replace("url", r"[?#].*$", ""), "/"), -1)).alias("target"))
-    return fn.missing_links(p.select("page_id", F.regexp_replace("html", r"\]\(", "] (").alias("html")), known, "page_id", "html")
+    return fn.missing_links(p.select("page_id", F.concat("html", F.replace(F.lit(_LINKED), F.lit("{n}"), (F.col("page_id") % 9).cast("string"))).alias("html")), known, "page_id", "html")
+
 
+_FENCED = "\n```\n<h1>\n```\n~~~\n<h1> example.org\n~~~"
 
-@query("agg21_document_checks", r"""
-SELECT page_id, CAST(len(regexp_extract_all(html, '<h1>')) AS INT) AS headings, array_to_string(list_filter([CASE WHEN contains(html, '<script') THEN 'script' END, CASE WHEN contains(html, 'example.org') THEN 'host' END], lambda x: x IS NOT NULL), ',') AS found FROM pages""")
+
+@query("agg21_document_checks", rf"""
+WITH fenced AS (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN html || '{_FENCED}' || html ELSE html END AS html FROM pages)
+SELECT page_id, CAST(len(regexp_extract_all(html, '<h1>')) - CASE WHEN page_id % 3 = 0 THEN 2 ELSE 0 END AS INT) AS headings, array_to_string(list_filter([CASE WHEN contains(html, '<script') THEN 'script' END, CASE WHEN contains(html, 'example.org') THEN 'host' END], lambda x: x IS NOT NULL), ',') AS found FROM fenced""")
 def agg21(spark, sf_dir):
-    return fn.document_checks(table(spark, sf_dir, "pages"), "page_id", "html", "<h1>", {"script": "<script", "host": r"example\.org"})
+    """Every third page twice, with fenced code in between whose headings do not count."""
+    p = table(spark, sf_dir, "pages")
+    fenced = F.when(F.col("page_id") % 3 == 0, F.concat("html", F.lit(_FENCED), "html")).otherwise(F.col("html"))
+    return fn.document_checks(p.select("page_id", fenced.alias("html")), "page_id", "html", "<h1>", {"script": "<script", "host": r"example\.org"})
 
 
 _PROMPT_ROWS_SQL = """

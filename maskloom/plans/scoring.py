@@ -156,7 +156,8 @@ def scl03(spark, sf_dir):
     return verified_of(spark, sf_dir).select("image_id", "source_index", status.alias("status"), label.alias("new_label"))
 
 
-@query("scl16_verification_query", duck(*ROUTING, _VERIFIED_SQL) + " SELECT image_id, source_index, 'Look only at the marked object. Is it a ' || target || '? Answer with one word.' AS text FROM vq")
+@query("scl16_verification_query", duck(*ROUTING, _VERIFIED_SQL) + """ SELECT image_id, source_index, '[TARGET QUESTION]' || chr(10) || 'Is it a ' || target || '?' || chr(10) || '[/TARGET QUESTION]' || chr(10)
+  || 'The unblurred region inside the yellow boundary is the selected candidate. The blurred surroundings are context only. Answer exactly Yes or No.' AS text FROM vq""")
 def scl16(spark, sf_dir):
     return verified_of(spark, sf_dir).select("image_id", "source_index", ops.verification_query().alias("text"))
 
