@@ -8,7 +8,7 @@ from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, Struct
 
 from ..sources.shared import staged
 
-__all__ = ["RAW_WORD", "ascii_lower", "fresh_name", "is_small", "n_raw_words", "set_aside", "sized_join", "spread_join", "staged", "table", "text_or_empty"]
+__all__ = ["RAW_WORD", "ascii_lower", "fresh_name", "is_small", "n_raw_words", "set_aside", "sized_join", "spread_join", "staged", "table", "text_or_empty", "without_rows"]
 
 #: A word of the raw contracts: anything between ASCII white space.
 RAW_WORD = r"[^\x20\x09-\x0D]+"
@@ -86,6 +86,15 @@ def set_aside(df: DataFrame, *added: str) -> DataFrame:
     return df.toDF(*names)
 
 
+def without_rows(docs: DataFrame, gone: DataFrame, name: str) -> DataFrame:
+    """docs but for the rows of `gone`: doc_id and key, a hash of doc_id and text. Ids and hashes together tell rows apart where 64 bits alone would not."""
+    key, (a, b) = fresh_name(docs, "__key"), ("__gone_id", "__gone_key")
+    gone = staged(gone.select(F.col("doc_id").alias(a), F.col("key").alias(b)).distinct(), name)
+    rows = docs.withColumn(key, F.xxhash64("doc_id", "text"))
+    same = (F.col(key) == F.col(b)) & rows["doc_id"].eqNullSafe(F.col(a))
+    return rows.join(gone.hint("broadcast" if is_small(gone) else "merge"), same, "left_anti").drop(key)
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, fresh_name, is_small, sized_join, staged, text_or_empty
+from .common import ascii_lower, is_small, sized_join, staged, text_or_empty, without_rows
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -180,7 +180,5 @@ def proximity(docs: DataFrame, benchmark: DataFrame, window: int = 10, slop: int
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """The documents without any benchmark window, with all their columns."""
-    name = fresh_name(docs, "__key")
     judged = find_matches(docs, benchmark, window, slop=0).filter(F.size("hits") > 0)
-    dirty = staged(judged.select(F.col("key").alias(name)).distinct(), "contaminated")
-    return sized_join(docs.withColumn(name, F.xxhash64("doc_id", "text")), dirty, [name], "left_anti").drop(name)
+    return without_rows(docs, judged.select("doc_id", "key"), "contaminated")

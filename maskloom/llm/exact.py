@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import spread_join, staged, text_or_empty
+from .common import fresh_name, spread_join, staged, text_or_empty
 
 
 def normalised(name: str = "text") -> Column:
@@ -47,6 +47,8 @@ def exact_groups(docs: DataFrame, salts: int = 64, digest=lambda text: F.sha2(te
 
 
 def drop_exact_copies(docs: DataFrame, salts: int = 64) -> DataFrame:
-    """The rows that stay, with all their columns. doc_id must tell rows apart."""
-    kept = exact_groups(docs, salts).filter("kept").select("doc_id")
-    return docs.join(kept.hint("merge"), "doc_id", "left_semi")
+    """The rows that `exact_groups` keeps, with all their columns. Rows equal in doc_id (null or not) and normalised text share the verdict."""
+    mine, kept = fresh_name(docs, "__digest"), exact_groups(docs, salts).filter("kept")
+    kept = staged(kept.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct(), "exact-kept")
+    rows = docs.withColumn(mine, F.sha2(normalised(), 256))
+    return rows.join(kept.hint("merge"), (F.col(mine) == F.col("__sha")) & rows["doc_id"].eqNullSafe(F.col("__id")), "left_semi").drop(mine)

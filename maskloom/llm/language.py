@@ -9,8 +9,9 @@ shortest code wins; its score is its posterior under equal priors.
 
 Training reads a bounded sample per language (`per_language` documents of at most `sample_bytes` bytes
 together, by hash of the doc_id) of the documents that are not held out and have a doc_id and a text. A text
-gives its first bytes only, a sixteenth of `sample_bytes` at most and what is left of it, so every language with
-such a text has a sample, however long one text is. Counting runs in Spark and the model's size is bounded by the sample. Scoring reads every whole text.
+longer than a sixteenth of `sample_bytes` gives that much, in pieces that a hash picks from the whole text, so every language with
+such a text has a sample, however long one text is. All languages together have `total_bytes`: with many of them each gets less.
+Counting runs in Spark, and the model, which goes to the driver and to each task, has an entry per sampled byte at most. Scoring reads every whole text.
 
 Defined cases: null texts and texts without a letter give `und` with score 0; if nothing can be learned, so does every text;
 ties go to the language whose name sorts first; every text is scored whole, however long; null doc_ids are not held out; repeated rows are each
@@ -37,6 +38,9 @@ SLOTS_BITS = 21
 #: Texts that the sample of a language can hold at least, as far as its bytes go.
 STRETCHES = 16
 
+#: Pieces of the bytes that one text gives at most, if it is longer.
+PIECES = 16
+
 #: Slices of a language in which its sample is sought first.
 SLICES = 64
 
@@ -71,7 +75,8 @@ def _count(batches):
 def training_counts(docs: DataFrame, per_language: int, sample_bytes: int) -> DataFrame:
     """lang, key (three bytes of context and their successor), n over the sample."""
     known = docs.filter(~held_out() & (F.octet_length("text") > 0) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull())
-    keys = known.select("doc_id", "lang", F.least(F.octet_length("text"), F.lit(max(sample_bytes // STRETCHES, 1))).alias("bytes"), F.xxhash64("doc_id").alias("place"))
+    quota = max(sample_bytes // STRETCHES, 1)
+    keys = known.select("doc_id", "lang", F.least(F.octet_length("text"), F.lit(quota)).alias("bytes"), F.xxhash64("doc_id").alias("place"))
     # First within slices of a language, so that no task ranks a whole language: the second window sees at most
     # SLICES * per_language rows (id and length) of one.
     part = Window.partitionBy("lang", F.pmod("place", F.lit(SLICES))).orderBy("place", "doc_id")
@@ -83,8 +88,25 @@ def training_counts(docs: DataFrame, per_language: int, sample_bytes: int) -> Da
     ids = staged(ids.groupBy("doc_id", "lang").agg(F.max("take").alias("take")), "sample")
     # One language in a batch: counted text by text within a sorted partition.
     sample = sized_join(known.select("doc_id", "lang", F.col("text").cast("binary").alias("text")), ids, ["doc_id", "lang"], "inner")
-    stretch = F.concat(F.lit(PAD).cast("binary"), F.substring("text", F.lit(1), F.col("take")))
-    sample = sample.select("doc_id", "lang", stretch.alias("text"))
+    return counted_stretches(sample, quota)
+
+
+def counted_stretches(sample: DataFrame, quota: int) -> DataFrame:
+    """lang, key, n over `take` bytes of each text (binary): whole texts, and of longer ones pieces that a hash picks from the whole text.
+
+    A piece is counted with the bytes before it as its first contexts, so a text's pieces say what the whole text would.
+    """
+    size = max(quota // PIECES, 1)
+    n = F.greatest(F.ceil(F.octet_length("text") / size).cast("int"), F.lit(1))
+    order = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.xxhash64("doc_id", i).alias("place"), i.alias("i")))
+    partly = sample.filter(F.col("take") < F.octet_length("text"))
+    picked = partly.select("doc_id", "lang", "text", "take", F.posexplode(F.slice(F.sort_array(order), F.lit(1), F.ceil(F.col("take") / size).cast("int"))).alias("k", "piece"))
+    start = F.col("piece.i") * size
+    much = F.least(F.lit(size), F.col("take") - F.col("k") * size)
+    before = F.when(start >= ORDER, F.substring("text", start - ORDER + 1, F.lit(ORDER))).otherwise(F.concat(F.substring(F.lit(PAD).cast("binary"), start + 1, F.lit(ORDER)), F.substring("text", F.lit(1), start)))
+    pieces = picked.select("doc_id", "lang", F.concat(before, F.substring("text", start + 1, much)).alias("text"))
+    whole = sample.filter(F.col("take") >= F.octet_length("text")).select("doc_id", "lang", F.concat(F.lit(PAD).cast("binary"), F.col("text")).alias("text"))
+    sample = whole.unionByName(pieces)
     return sample.groupBy("lang", F.pmod(F.xxhash64("doc_id"), F.lit(16)).alias("part")).applyInArrow(_count_group, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
 
 
@@ -166,11 +188,12 @@ def _score(model, languages):
     return run
 
 
-def identify(docs: DataFrame, per_language: int = 2000, sample_bytes: int = 16 << 20) -> DataFrame:
+def identify(docs: DataFrame, per_language: int = 2000, sample_bytes: int = 16 << 20, total_bytes: int = 256 << 20) -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score."""
     rows = docs.select("doc_id", "lang", "text")
+    n_languages = rows.filter("lang IS NOT NULL").select("lang").distinct().count()
     # Bounded by the sample: at most one row per byte of it.
-    counts = training_counts(rows, per_language, sample_bytes).toPandas()
+    counts = training_counts(rows, per_language, min(sample_bytes, max(total_bytes // max(n_languages, 1), 1))).toPandas()
     languages = sorted(counts["lang"].unique())
     flags = [held_out().alias("held_out"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters")]
     if not languages:

@@ -87,7 +87,7 @@ def _signed(batch: pa.RecordBatch, k: int) -> pa.RecordBatch:
     n, sets, sigs = [], [], []
     for s in shingle_sets(batch.column("text"), k):
         n.append(len(s))
-        sets.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+        sets.append(set_name(s))
         sigs.append(signature(s).tobytes() if len(s) else b"")
     return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(sets, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "n_shingles", "set_id", "sig"])
 
@@ -201,11 +201,17 @@ def _across(percent: int, short: bool = True):
     return run
 
 
+def set_name(shingles: np.ndarray) -> bytes:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+
+
 def _hashes(k: int):
+    """The sets of texts, with what names them: a doc_id can have several texts."""
+
     def run(batches):
         for batch in batches:
-            hashes = [s.tobytes() for s in shingle_sets(batch.column("text"), k)]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(hashes, pa.binary())], ["node", "hashes"])
+            sets = list(shingle_sets(batch.column("text"), k))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(map(set_name, sets), pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "set_id", "hashes"])
 
     return run
 
@@ -277,9 +283,10 @@ def links_across(rows: DataFrame, classes: DataFrame, docs: DataFrame, percent:
     as_first = F.transform(F.sequence(block, F.when(one, 0).otherwise(F.col("rest") + F.col("top") - 1)), lambda j: cell(block, j, block))
     as_second = F.when(block > 0, F.transform(F.sequence(F.lit(0), block - 1), lambda i: cell(i, block, block))).otherwise(F.array().cast("array<struct<i:int,j:int,block:int>>"))
     cells = F.when(F.col("largest"), of_top).otherwise(F.concat(as_first, as_second))
-    hashes = texts_of(rows.select("node"), docs).groupBy("node").agg(F.min("text").alias("text")).mapInArrow(_hashes(k), "node long, hashes binary")
-    held = classes.select("node", "sig").join(hashes.hint("merge"), "node")
-    dealt = rows.join(held.hint("merge"), "node").select("bucket", "node", "comp", "sig", "hashes", F.inline(cells))
+    # Of the texts of a doc_id each meets the signature of its own set.
+    hashes = texts_of(rows.select("node"), docs).mapInArrow(_hashes(k), "node long, set_id binary, hashes binary").groupBy("node", "set_id").agg(F.first("hashes").alias("hashes"))
+    held = classes.select("node", "set_id", "sig").join(hashes.hint("merge"), ["node", "set_id"])
+    dealt = rows.distinct().join(held.hint("merge"), "node").select("bucket", "node", "comp", "sig", "hashes", F.inline(cells))
     found = dealt.groupBy("bucket", "i", "j").applyInArrow(_across(percent, short), "a long, b long").distinct()
     return confirmed_links(staged(found, "pairs-across"), docs, percent, k)
 
@@ -289,8 +296,22 @@ def joined(stars: DataFrame, more: DataFrame) -> DataFrame:
     return stars if more.isEmpty() else components(stars.unionByName(more))
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = SHINGLE) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, kept."""
+def with_long_bands(large: DataFrame, stars: DataFrame, classes: DataFrame, docs: DataFrame, percent: int, k: int) -> DataFrame:
+    """The components after the members of large mixed buckets have met again, in buckets of long bands. large: node."""
+    texts = texts_of(large.select("node"), docs)
+    long_buckets = staged(texts.mapInArrow(_long_bands(k), "bucket long, node long").distinct(), "long-buckets")
+    stars = joined(stars, leader_links(with_components(long_buckets, stars), classes, docs, percent, k))
+    return joined(stars, links_across(mixed_rows(with_components(long_buckets, stars)), classes, docs, percent, k, False))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = SHINGLE, direct: float | None = None) -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id, kept.
+
+    direct: blocks of rows outside a mixed bucket's largest component up to which all its pairs are compared (DIRECT by default);
+    beyond it they meet in long bands. With math.inf every bucket is searched completely, at a cost that grows with
+    the square of those rows.
+    """
+    direct = DIRECT if direct is None else direct
     rows = docs.select("doc_id", text_or_empty().alias("text"))
     signed = staged(rows.mapInArrow(_signatures(shingle), "doc_id long, n_shingles long, set_id binary, sig binary"), "signatures")
     linkable = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
@@ -302,13 +323,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = SHINGLE)
     stars = components(links)
     open_rows = mixed_rows(with_components(buckets, stars))
     if not open_rows.isEmpty():
-        stars = joined(stars, links_across(open_rows.filter(F.col("rest") <= DIRECT), classes, rows, percent, shingle, True))
-    large = open_rows.filter(F.col("rest") > DIRECT)
+        stars = joined(stars, links_across(open_rows.filter(F.col("rest") <= direct), classes, rows, percent, shingle, True))
+    large = open_rows.filter(F.col("rest") > direct)
     if not large.isEmpty():
-        texts = texts_of(large.select("node"), rows).groupBy("node").agg(F.min("text").alias("text"))
-        long_buckets = staged(texts.mapInArrow(_long_bands(shingle), "bucket long, node long"), "long-buckets")
-        stars = joined(stars, leader_links(with_components(long_buckets, stars), classes, rows, percent, shingle))
-        stars = joined(stars, links_across(mixed_rows(with_components(long_buckets, stars)), classes, rows, percent, shingle, False))
+        stars = with_long_bands(large, stars, classes, rows, percent, shingle)
 
     member = spread_join(linkable.select("doc_id", "set_id"), classes.select("set_id", "node", "n"), "set_id", "n", "doc_id").select("doc_id", "node")
     member = member.join(stars.withColumnRenamed("u", "node").hint("merge"), "node", "left").select("doc_id", F.coalesce("v", "node").alias("c"))

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .batches import U64, chunks, grams, mix, words
-from .common import fresh_name, sized_join, staged, text_or_empty
+from .common import sized_join, staged, text_or_empty, without_rows
 
 BINS = 1 << 15
 VIEWS = 5
@@ -173,6 +173,4 @@ def importance_sample(docs: DataFrame, labels: DataFrame, k: int | None = None,
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The documents that the sample keeps, with all columns. Rows equal in doc_id and text share the verdict."""
-    key = fresh_name(docs, "__key")
-    rejected = staged(importance_sample(docs, labels, **options).filter("NOT selected").select(F.col("key").alias(key)).distinct(), "rejected")
-    return sized_join(docs.withColumn(key, F.xxhash64("doc_id", "text")), rejected, [key], "left_anti").drop(key)
+    return without_rows(docs, importance_sample(docs, labels, **options).filter("NOT selected").select("doc_id", "key"), "rejected")

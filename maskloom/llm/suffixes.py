@@ -84,12 +84,14 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(out[:n], out[w - k : w - k + n]) if k < w else out[:n]
 
 
-def packed(order_key: np.ndarray, records: np.ndarray) -> tuple[np.ndarray, pa.Array]:
-    """Distinct keys in order, and the records of each as one binary value. Both inputs are sorted by key."""
-    begin = np.flatnonzero(np.concatenate([[True], order_key[1:] != order_key[:-1]])) if len(order_key) else np.zeros(0, np.int64)
-    offsets = np.append(begin, len(order_key)).astype(np.int64) * records.dtype.itemsize
+def packed(key: np.ndarray, doc: np.ndarray, records: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Distinct pairs of key and doc_id in order, and the records of each as one binary value. The hash of a row alone is too short for as many documents as there can be."""
+    order = np.lexsort((doc, key))
+    key, doc, records = key[order], doc[order], records[order]
+    begin = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])])) if len(key) else np.zeros(0, np.int64)
+    offsets = np.append(begin, len(key)).astype(np.int64) * records.dtype.itemsize
     data = pa.py_buffer(np.ascontiguousarray(records).tobytes())
-    return order_key[begin], pa.Array.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(offsets.tobytes()), data]).cast(pa.binary())
+    return key[begin], doc[begin], pa.Array.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(offsets.tobytes()), data]).cast(pa.binary())
 
 
 def digests(raw: bytes, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -197,9 +199,8 @@ def _settle_part(rows: list[dict]) -> Iterator[pa.RecordBatch]:
         counts = np.frombuffer(r["counts"], np.int32)
         keys, begin, length = np.repeat(np.frombuffer(r["keys"], np.int64), counts), unplanes(r["s"], 4, np.uint32), unplanes(r["n"], 4, np.uint32)
         if r["kind"]:
-            order = np.argsort(keys, kind="stable")
-            k, spans = packed(keys[order], _spans(keys, begin, length)[order])
-            yield pa.RecordBatch.from_arrays([pa.array(k), spans, pa.nulls(len(k), pa.binary())], ["key", "covered", "unsettled"])
+            k, ids, spans = packed(keys, np.repeat(np.frombuffer(r["ids"], np.int64), counts), _spans(keys, begin, length))
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(ids), spans, pa.nulls(len(k), pa.binary())], ["key", "doc_id", "covered", "unsettled"])
             continue
         part.append(np.full(len(keys), r["part"], U64))
         bucket.append(unplanes(r["bucket"], 5, U64))
@@ -236,11 +237,10 @@ def _settle_part(rows: list[dict]) -> Iterator[pa.RecordBatch]:
     where = np.empty(int(unsettled.sum()), WHERE)
     where["s"], where["n"], where["b"], where["crowd"] = s[unsettled], n[unsettled], bucket[unsettled], variants[unsettled] > CROWD
     spans = _spans(key[covered], s[covered], n[covered])
-    for k, records, name in ((key[covered], spans, "covered"), (key[unsettled], where, "unsettled")):
-        order = np.argsort(k, kind="stable")
-        k, records = packed(k[order], records[order])
+    for of, records, name in ((covered, spans, "covered"), (unsettled, where, "unsettled")):
+        k, ids, records = packed(key[of], doc[of], records)
         other = pa.nulls(len(k), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(k), *((records, other) if name == "covered" else (other, records))], ["key", "covered", "unsettled"])
+        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(ids), *((records, other) if name == "covered" else (other, records))], ["key", "doc_id", "covered", "unsettled"])
 
 
 def _contents(parts: int):
@@ -309,10 +309,8 @@ def _refine_part(rows: list[dict]) -> Iterator[pa.RecordBatch]:
     new = np.concatenate([[True], (which[1:] != which[:-1]) | (start[1:] != start[:-1] + 1)])
     at = np.flatnonzero(new)
     spans = _spans(at, start[at], np.diff(np.append(at, len(new))))
-    k = key[which[at]]
-    order = np.argsort(k, kind="stable")
-    k, spans = packed(k[order], spans[order])
-    yield pa.RecordBatch.from_arrays([pa.array(k), spans], ["key", "covered"])
+    k, ids, spans = packed(key[which[at]], doc[which[at]], spans)
+    yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(ids), spans], ["key", "doc_id", "covered"])
 
 
 def _cut(batches):
@@ -331,38 +329,42 @@ def _cut(batches):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(x, t) for x, t in zip(zip(*out, strict=True), [pa.int64()] * 3 + [pa.string(), pa.binary()], strict=True)]], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
+#: What names a document: a hash of doc_id and text, and the doc_id.
+NAMED = ["key", "doc_id"]
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", text_or_empty().alias("text"), F.xxhash64("doc_id", "text").alias("key"))
 
 
 def of_keys(rows: DataFrame, keys: DataFrame) -> DataFrame:
-    """The rows with these keys, where the keys are few enough to be sent round; all rows otherwise, for a join that comes anyway."""
-    return rows.join(F.broadcast(keys), "key", "left_semi") if is_small(keys) else rows
+    """The rows with these keys, where they are few enough to be sent round; all rows otherwise, for a join that comes anyway."""
+    return rows.join(F.broadcast(keys), keys.columns, "left_semi") if is_small(keys) else rows
 
 
 def covered_spans(rows: DataFrame) -> DataFrame:
-    """key, covered (array of packed spans) for each document that loses something. rows: doc_id, text, key."""
+    """key, doc_id, covered (array of packed spans) for each document that loses something. rows: doc_id, text, key."""
     spark = rows.sparkSession
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // TASK)
     parts = tasks * max(PARTS, size // (tasks * PART))
     long_enough = rows.filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= WINDOW))
     entries = long_enough.mapInArrow(_entries(parts), ENTRIES)
-    settled = staged(entries.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(_settle, "key long, covered binary, unsettled binary"), "settled")
-    todo = staged(settled.filter("unsettled IS NOT NULL").groupBy("key").agg(F.collect_list("unsettled").alias("unsettled")), "unsettled")
-    held = of_keys(rows, todo.select("key"))
-    contents = held.join(todo.hint("shuffle_hash"), "key").mapInArrow(_contents(parts), "part int, keys binary, ids binary, s binary, n binary, data binary")
-    refined = contents.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(_refine, "key long, covered binary")
-    both = settled.filter("covered IS NOT NULL").select("key", "covered").unionByName(refined)
-    return staged(both.groupBy("key").agg(F.collect_list("covered").alias("covered")), "covered")
+    settled = staged(entries.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(_settle, "key long, doc_id long, covered binary, unsettled binary"), "settled")
+    todo = staged(settled.filter("unsettled IS NOT NULL").groupBy(*NAMED).agg(F.collect_list("unsettled").alias("unsettled")), "unsettled")
+    held = of_keys(rows, todo.select(*NAMED))
+    contents = held.join(todo.hint("shuffle_hash"), NAMED).mapInArrow(_contents(parts), "part int, keys binary, ids binary, s binary, n binary, data binary")
+    refined = contents.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(_refine, "key long, doc_id long, covered binary")
+    both = settled.filter("covered IS NOT NULL").select(*NAMED, "covered").unionByName(refined)
+    return staged(both.groupBy(*NAMED).agg(F.collect_list("covered").alias("covered")), "covered")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes)."""
     rows = keyed(docs)
     covered = covered_spans(rows)
-    keys = covered.select("key")
+    keys = covered.select(*NAMED)
     whole = F.col("text").cast("binary")
-    clean = sized_join(rows, keys, ["key"], "left_anti").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(whole, 256).alias("kept_sha256"), whole.alias("kept"))
-    cut = of_keys(rows, keys).join(covered.hint("shuffle_hash"), "key").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    clean = sized_join(rows, keys, NAMED, "left_anti").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(whole, 256).alias("kept_sha256"), whole.alias("kept"))
+    cut = of_keys(rows, keys).join(covered.hint("shuffle_hash"), NAMED).mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return clean.unionByName(cut)
