@@ -196,7 +196,7 @@ def pair_rows(terms: DataFrame, groups: DataFrame) -> DataFrame:
     rows = sized_join(terms.select("lang", "source", "term", "n"), facts, ["lang", "source"], "inner").withColumn("block", F.pmod(F.xxhash64("term"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("id", F.dense_rank().over(Window.partitionBy("lang", "block").orderBy("term")))
     blocks = rows.groupBy("lang", "block").agg(F.max("id").cast("long").alias("terms"))
-    arrays = rows.groupBy("lang", "source", "block").agg(F.array_sort(F.collect_list(F.struct("id", "n"))).alias("x"))
+    arrays = rows.groupBy("lang", "source", "block").agg(F.sort_array(F.collect_list(F.struct("id", "n"))).alias("x"))
     # A group without terms in a block has empty arrays there: its unseen terms are priced too.
     everywhere = groups.select("lang", "source", "total", "tile", "tiles", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     full = everywhere.join(arrays.hint("merge"), ["lang", "source", "block"], "left").join(blocks.hint("merge"), ["lang", "block"], "left").na.fill(0, ["terms"])
