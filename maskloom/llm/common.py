@@ -88,7 +88,7 @@ def set_aside(df: DataFrame, *added: str) -> DataFrame:
 
 def without_rows(docs: DataFrame, gone: DataFrame, name: str) -> DataFrame:
     """docs but for the rows of `gone`: doc_id and key, a hash of doc_id and text. Ids and hashes together tell rows apart where 64 bits alone would not."""
-    key, (a, b) = fresh_name(docs, "__key"), ("__gone_id", "__gone_key")
+    key, a, b = (fresh_name(docs, c) for c in ("__key", "__gone_id", "__gone_key"))
     gone = staged(gone.select(F.col("doc_id").alias(a), F.col("key").alias(b)).distinct(), name)
     rows = docs.withColumn(key, F.xxhash64("doc_id", "text"))
     same = (F.col(key) == F.col(b)) & rows["doc_id"].eqNullSafe(F.col(a))

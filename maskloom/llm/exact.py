@@ -48,7 +48,8 @@ def exact_groups(docs: DataFrame, salts: int = 64, digest=lambda text: F.sha2(te
 
 def drop_exact_copies(docs: DataFrame, salts: int = 64) -> DataFrame:
     """The rows that `exact_groups` keeps, with all their columns. Rows equal in doc_id (null or not) and normalised text share the verdict."""
-    mine, kept = fresh_name(docs, "__digest"), exact_groups(docs, salts).filter("kept")
-    kept = staged(kept.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct(), "exact-kept")
+    mine, its, named = (fresh_name(docs, c) for c in ("__digest", "__kept_digest", "__kept_id"))
+    kept = exact_groups(docs, salts).filter("kept").select(F.col("doc_id").alias(named), F.col("text_sha256").alias(its))
     rows = docs.withColumn(mine, F.sha2(normalised(), 256))
-    return rows.join(kept.hint("merge"), (F.col(mine) == F.col("__sha")) & rows["doc_id"].eqNullSafe(F.col("__id")), "left_semi").drop(mine)
+    same = (F.col(mine) == F.col(its)) & rows["doc_id"].eqNullSafe(F.col(named))
+    return rows.join(staged(kept.distinct(), "exact-kept").hint("merge"), same, "left_semi").drop(mine)

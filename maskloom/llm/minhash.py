@@ -127,10 +127,10 @@ def _confirm(percent: int, k: int):
                 continue
             keep, last = [], (None, None)
             left, right = shingle_sets(batch.column("text_a"), k), batch.column("text_b")
-            ids = batch.column("b").to_pylist()
             for row, x in enumerate(left):
-                if last[0] != ids[row]:  # runs of the same leader are common
-                    last = (ids[row], next(shingle_sets(right.slice(row, 1), k)))
+                text = right[row].as_buffer()
+                if last[0] is None or not last[0].equals(text):  # runs of the same leader are common
+                    last = (text, next(shingle_sets(right.slice(row, 1), k)))
                 y = last[1]
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(len(x) > 0 and 100 * both >= percent * (len(x) + len(y) - both))

@@ -95,3 +95,59 @@ def test_columns_that_clash(spark):
     assert decontaminate.drop_contaminated(df, spark.createDataFrame([(1, "zz")], "item_id long, text string")).first()["__key"] == "keep"
     out = sharding.assign_shards(df, 2, 4).first()
     assert (out["size__"], out["size_"], out["size"]) == (7, 8, 9)
+
+
+def test_exact_copies_without_ids_stay(spark):
+    """Rows that the groups keep stay: one text under no id alone, and rows that share id and text."""
+    data = [(None, "only  null"), (1, "a"), (2, "a"), (None, "a"), (3, "b"), (3, "b"), (4, None), (None, ""), (3, "c"), (5, "c")]
+    df = spark.createDataFrame([(d, t, "x", 1) for d, t in data], "doc_id long, text string, digest string, __sha int").repartition(3)
+    kept = sorted(((r.doc_id, r.text) for r in exact.drop_exact_copies(df).collect()), key=repr)
+    assert kept == sorted([(None, "only  null"), (1, "a"), (3, "b"), (3, "b"), (4, None), (3, "c")], key=repr)
+    groups = sorted(((r.doc_id, r.text_sha256) for r in exact.exact_groups(df).filter("kept").collect()), key=repr)
+    assert len(groups) == len(kept) and exact.drop_exact_copies(df).columns == df.columns
+
+
+def test_texts_of_one_id_meet_with_their_own_signatures(spark):
+    """doc_id 5 has two texts; 9 is near the one that sorts last, and no leader joins them."""
+    other, near = sentences(31, 120), sentences(32, 120)
+    docs = spark.createDataFrame([(5, "Aa " + other), (5, "zz " + near), (9, "zz " + near + " end"), (1, sentences(33, 120))], "doc_id long, text string")
+    texts = docs.selectExpr("doc_id", "text")
+    signed = texts.mapInArrow(minhash._signatures(4), "doc_id long, n_shingles long, set_id binary, sig binary")
+    named = {"min(doc_id)": "node", "first(sig)": "sig"}
+    classes = signed.groupBy("set_id").agg({"doc_id": "min", "sig": "first"}).withColumnsRenamed(named)
+    buckets = classes.select("node", "sig").mapInArrow(minhash._bands, "bucket long, node long").distinct()
+    rows_ = buckets.withColumns({"comp": buckets["node"]})
+    links = minhash.links_across(minhash.mixed_rows(rows_), classes, texts, 80, 4, True)
+    assert {(r.u, r.v) for r in links.collect()} == {(9, 5)}
+
+
+def crowded(n_pairs, singles):
+    """Pairs from 0.80 to 0.84, and texts that are near nothing."""
+    r, texts = random.Random(12), []
+    for k in range(n_pairs):
+        words = [f"w{k}x{i}" for i in range(r.randint(90, 130))]
+        while True:
+            changed = list(words)
+            for at in r.sample(range(len(words)), r.randint(1, 4)):
+                changed[at] = f"c{k}y{at}"
+            a, b = ({tuple(x[i : i + 4]) for i in range(len(x) - 3)} for x in (words, changed))
+            if 0.80 <= len(a & b) / len(a | b) <= 0.84:
+                break
+        texts += [" ".join(words), " ".join(changed)]
+    return texts + [" ".join(f"s{k}z{i}" for i in range(60)) for k in range(singles)]
+
+
+def test_recall_in_a_large_mixed_bucket(spark):
+    """300 pairs that meet in one bucket of 1,400 rows alone, all outside its largest component: long bands find all; so do whole comparisons."""
+    texts = crowded(300, 800)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    signed = docs.mapInArrow(minhash._signatures(4), "doc_id long, n_shingles long, set_id binary, sig binary")
+    classes = signed.withColumnRenamed("doc_id", "node").select("node", "set_id", "sig")
+    bucket = docs.selectExpr("1L AS bucket", "doc_id AS node", "doc_id AS comp")
+    want = {(2 * k + 1, 2 * k) for k in range(300)}
+    none = spark.createDataFrame([], "u long, v long")
+    open_ = minhash.mixed_rows(bucket)
+    assert open_.filter(f"rest > {minhash.DIRECT}").count() == len(texts)
+    stars = minhash.with_long_bands(open_, none, classes, docs, 80, 4)
+    assert {(r.u, r.v) for r in stars.collect()} == want
+    assert {(r.u, r.v) for r in minhash.links_across(open_, classes, docs, 80, 4, False).collect()} == want
