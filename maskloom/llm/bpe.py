@@ -30,8 +30,11 @@ from pyspark.sql import functions as F
 
 from .common import set_aside
 
-#: Distinct pieces whose tokens a Python worker remembers, and the longest piece that it does.
-REMEMBERED, REMEMBERED_LENGTH = 200_000, 64
+#: Distinct pieces whose tokens a Python worker remembers, the longest piece that it does, and pairs of tokens whose border it has judged.
+REMEMBERED, REMEMBERED_LENGTH, JUDGED = 200_000, 64, 1_000_000
+
+#: Bytes of a piece from which on its whole table is made, prefix by prefix; of a shorter one only the entries that its tokens lead to.
+WHOLE_TABLE = 256
 
 #: Characters of a text from which on its pieces are taken in stretches, and pieces of a stretch.
 LONG_TEXT, STRETCH = 1 << 20, 1 << 15
@@ -54,16 +57,17 @@ def read_ranks(path: str) -> list[bytes]:
 
 
 class Remembered(dict):
-    """Tokens of pieces, computed when they are first asked for."""
+    """Tokens of pieces, computed when they are first asked for. When there are too many, those not asked for since the last time go."""
 
     def __init__(self, compute):
         super().__init__()
-        self.compute = compute
+        self.compute, self.older = compute, {}
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
-        found = self.compute(piece)
+        found = self.older.get(piece) or self.compute(piece)
         if len(piece) <= REMEMBERED_LENGTH:
             if len(self) >= REMEMBERED:
+                self.older = dict(self)
                 self.clear()
             self[piece] = found
         return found
@@ -75,12 +79,18 @@ class Codec:
     def __init__(self, tokens: list[bytes], pattern: str):
         self.tokens, self.ids = tokens, {t: i for i, t in enumerate(tokens) if t}
         self.cut = regex.compile(pattern)
-        self.longest = max(map(len, tokens))
-        #: The longest token that ends in these two bytes.
-        self.reach: dict[bytes, int] = {}
-        for t in self.ids:
-            if len(t) > 1:
-                self.reach[t[-2:]] = max(self.reach.get(t[-2:], 0), len(t))
+        self.longest, self.sizes = max(map(len, tokens)), list(map(len, tokens))
+        #: Tokens by their bytes from the last one on: steps from node to node, and the token that a node stands for (-1: none).
+        self.steps: dict[int, int] = {}
+        self.token_at = [-1]
+        for t, i in self.ids.items():
+            node = 0
+            for b in reversed(t):
+                node = self.steps.setdefault(node << 8 | b, len(self.token_at))
+                if node == len(self.token_at):
+                    self.token_at.append(-1)
+            self.token_at[node] = i
+        self.judged: dict[int, bool] = {}
         n = len(tokens)
         #: When a token is formed (bytes are there from the start), and the two tokens that its last merge joins.
         self.formed, self.left, self.right, self.merged = [-1 if len(t) == 1 else n for t in tokens], [0] * n, [0] * n, {}
@@ -117,6 +127,58 @@ class Codec:
             else:
                 return True
 
+    def fits(self, a: int, b: int) -> bool:
+        """`may_follow`, remembered."""
+        pair = a << 32 | b
+        known = self.judged.get(pair)
+        if known is None:
+            if len(self.judged) >= JUDGED:
+                self.judged.clear()
+            known = self.judged[pair] = self.may_follow(a, b)
+        return known
+
+    def ending(self, piece: bytes, end: int) -> list[int]:
+        """The tokens that end a prefix, the shortest first."""
+        found, node, at, steps, token_at = [], 0, end, self.steps, self.token_at
+        while at:
+            at -= 1
+            node = steps.get(node << 8 | piece[at])
+            if node is None:
+                break
+            if token_at[node] >= 0:
+                found.append(token_at[node])
+        return found
+
+    def last_token(self, piece: bytes, end: int, entries: dict[int, int]) -> int:
+        """The last token of one prefix; entries: those of other prefixes, which are added to as far as they are needed.
+
+        The longest token is tried first. `ending` and `fits` are written out here, as this is what new pieces cost.
+        """
+        token = entries.get(end)
+        if token is not None:
+            return token
+        found, node, at, step, token_at, sizes, judged = [], 0, end, self.steps.get, self.token_at, self.sizes, self.judged
+        while at:
+            at -= 1
+            node = step(node << 8 | piece[at])
+            if node is None:
+                break
+            token = token_at[node]
+            if token >= 0:
+                found.append(token)
+        for token in reversed(found):
+            size = sizes[token]
+            if size == end:
+                break
+            before = entries.get(end - size)
+            if before is None:
+                before = self.last_token(piece, end - size, entries)
+            fits = judged.get(before << 32 | token)
+            if self.fits(before, token) if fits is None else fits:
+                break
+        entries[end] = token
+        return token
+
     def last_tokens(self, piece: bytes, last: list[int] | None = None, old: tuple[list[int], int, int] | None = None) -> tuple[list[int], int]:
         """The last token of each prefix of a piece, and how many of them were computed.
 
@@ -124,13 +186,12 @@ class Codec:
         much longer this piece is, and from which prefix on the bytes are the same.
         """
         last = last or []
-        ids, reach, may_follow, at, n = self.ids, self.reach, self.may_follow, len(last), len(piece)
-        computed, agree = 0, 0
-        while at < n:
+        at, computed, agree = len(last), 0, 0
+        while at < len(piece):
             end = at + 1
-            for size in range(min(end, reach.get(piece[at - 1 : end], 1) if at else 1), 0, -1):
-                token = ids.get(piece[end - size : end])
-                if token is not None and (size == end or may_follow(last[end - size - 1], token)):
+            for token in reversed(self.ending(piece, end)):
+                size = self.sizes[token]
+                if size == end or self.fits(last[end - size - 1], token):
                     break
             last.append(token)
             computed += 1
@@ -155,8 +216,13 @@ class Codec:
 
     def piece_ids(self, piece: str) -> tuple[int, ...]:
         data = piece.encode()
-        whole = self.ids.get(data)
-        return (whole,) if whole is not None else tuple(self.walk(self.last_tokens(data)[0]))
+        if len(data) > WHOLE_TABLE:
+            return tuple(self.walk(self.last_tokens(data)[0]))
+        entries, out, at = {}, [], len(data)
+        while at:
+            out.append(self.last_token(data, at, entries))
+            at -= self.sizes[out[-1]]
+        return tuple(reversed(out))
 
     def encode(self, text: str) -> array:
         """Ids of a text. Pieces that are single tokens, or known, are looked up."""
