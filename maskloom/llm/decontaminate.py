@@ -49,6 +49,10 @@ def folded(terms: Column) -> Column:
     return F.transform(terms, lambda t: F.lower(t))
 
 
+#: Tasks that a word's rows are dealt to where the vocabulary is too large to be sent round.
+SALTS = 32
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """doc_id, text and a key per document; equal keys of unequal documents would only add candidates."""
     return docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
@@ -70,7 +74,12 @@ def postings_of(rows: DataFrame, items: DataFrame) -> DataFrame:
     words = F.regexp_extract_all(F.lower(text_or_empty()), F.lit(ANY_CASE), F.lit(0))
     tokens = rows.select("doc_id", "key", F.posexplode(F.concat(words, F.array(F.lit("")))).alias("pos", "term"))
     vocabulary = staged(items.select(F.explode(folded(F.col("terms"))).alias("term")).union(rows.sparkSession.createDataFrame([("",)], "term string")).distinct(), "vocabulary")
-    return staged(sized_join(tokens, vocabulary, ["term"], "inner"), "postings")
+    if is_small(vocabulary):
+        return staged(tokens.join(F.broadcast(vocabulary), "term"), "postings")
+    # Frequent words, and the row of every document, are dealt over several tasks; the vocabulary is sent to each.
+    dealt = tokens.withColumn("salt", F.pmod(F.col("key"), F.lit(SALTS)).cast("int"))
+    sent = vocabulary.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return staged(dealt.join(sent.hint("merge"), ["term", "salt"]).drop("salt"), "postings")
 
 
 def candidates(postings: DataFrame, items: DataFrame, window: int, slop: int) -> DataFrame:

@@ -13,7 +13,7 @@ and inverting that turns the document's place on the demand line into a training
 Range-sorting by position gives the curriculum.
 
 Defined cases: null text has no words; a document without words takes nothing; null is a source of its
-own; rows that repeat a doc_id are ordered by size and each is placed; words are counted in whole texts, however
+own; rows that repeat a doc_id are ordered by size and each is placed; rows without doc_id are placed by a hash of their text; words are counted in whole texts, however
 long; an empty table gives an empty result; other columns pass through `curriculum`. One row per source is ranked in
 one task: a million sources take some hundred megabytes there.
 """
@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import n_raw_words
+from .common import n_raw_words, staged
 
 #: Rows of a bucket of a source, at most about.
 BUCKET_ROWS = 20_000
@@ -86,7 +86,7 @@ def mix(docs: DataFrame, budget=(3, 2), max_epochs: int = 2, weights=WEIGHTS, sc
         while rows > BUCKET_ROWS << (4 * prefix):
             prefix += 1
     row = [F.struct(*[F.col(c) for c in docs.columns]).alias("row")] if carry else []
-    rows = docs.select("doc_id", "source", *row, n_raw_words().alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("place"))
+    rows = docs.select("doc_id", "source", *row, n_raw_words().alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("\0"), "text"), F.lit("")).cast("binary")).alias("place"))
     # A key without null, so that the sort by bucket and the join below share one partitioning.
     rows = rows.withColumns({"key": F.coalesce(F.concat(F.lit("s"), "source"), F.lit("null")), "bucket": F.substring("place", 1, prefix)})
     totals = rows.groupBy("key", "bucket").agg(F.min("source").alias("source"), F.sum("size").alias("bucket_size"))
@@ -109,7 +109,8 @@ def mix(docs: DataFrame, budget=(3, 2), max_epochs: int = 2, weights=WEIGHTS, sc
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """One row per document, as mix gives them, range-sorted by first training position; documents that take no part stand last."""
     first = F.get("positions", F.lit(0))
-    return mix(docs, **options).withColumn("position", first).orderBy(F.col("position").asc_nulls_last(), "doc_id")
+    # The sort looks at its input twice; it is written once.
+    return staged(mix(docs, **options).withColumn("position", first), "mix").orderBy(F.col("position").asc_nulls_last(), "doc_id")
 
 
 def curriculum(docs: DataFrame, **options) -> DataFrame:

@@ -112,6 +112,10 @@ def confirmed(kind: str, found: Column) -> Column:
     return F.lit(True)
 
 
+#: Matches of a kind that are put together before they are added to a text's others.
+FOLD = 64
+
+
 def spans_of(kind: str, rank: int, text: Column) -> Column:
     """Array of (start, kind, end, score) of the confirmed spans of one kind."""
     pattern, (score, more, words) = F.lit(PATTERNS[kind]), SCORES[kind]
@@ -130,7 +134,15 @@ def spans_of(kind: str, rank: int, text: Column) -> Column:
 
     pairs = F.zip_with(found, between, lambda f, b: F.struct(f.alias("found"), b.alias("between")))
     pairs = F.filter(pairs, lambda x: x["found"].isNotNull())
-    folded = F.aggregate(pairs, F.struct(F.lit(0).cast("long").alias("at"), empty.alias("spans")), step, lambda acc: acc["spans"])
+    # A span found is added to those of its block of FOLD matches, and a whole block to the blocks before it: a text full of matches is not copied again and again.
+    blocks = F.transform(F.sequence(F.lit(0), F.call_function("div", F.greatest(F.size(pairs) - 1, F.lit(0)), F.lit(FOLD)).cast("int")), lambda b: F.slice(pairs, b * FOLD + 1, F.lit(FOLD)))
+
+    def add_block(acc, block):
+        inner = F.aggregate(block, F.struct(acc["at"].alias("at"), empty.alias("spans")), step)
+        return F.get(F.transform(F.array(inner), lambda x: F.struct(x["at"].alias("at"), F.concat(acc["spans"], F.array(x["spans"])).alias("spans"))), F.lit(0))
+
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<array<struct<start:bigint,kind:int,end:bigint,score:int>>>").alias("spans"))
+    folded = F.aggregate(blocks, start, add_block, lambda acc: F.flatten(acc["spans"]))
     return F.when(text.rlike(PATTERNS[kind]), folded).otherwise(empty)
 
 

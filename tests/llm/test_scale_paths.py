@@ -3,8 +3,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from maskloom.llm import common, debruijn, decontaminate, exact, minhash, mixing, quality, sharding, suffixes
+from maskloom.llm import common, debruijn, decontaminate, exact, minhash, mixing, pii, quality, sharding, suffixes
 
 from .test_operators import SCHEMA, rows, sentences
 
@@ -151,3 +152,36 @@ def test_recall_in_a_large_mixed_bucket(spark):
     stars = minhash.with_long_bands(open_, none, classes, docs, 80, 4)
     assert {(r.u, r.v) for r in stars.collect()} == want
     assert {(r.u, r.v) for r in minhash.links_across(open_, classes, docs, 80, 4, False).collect()} == want
+
+
+def test_a_text_full_of_matches(spark):
+    """More matches than a block of the fold: positions go on from block to block."""
+    text = "".join(f"mail a{k}@b.org now, " for k in range(300))
+    df = spark.createDataFrame([(1, text), (2, "a@b.org"), (3, None)], "doc_id long, text string")
+    got = {r.doc_id: [(s.start, s.end) for s in r.spans] for r in pii.find_pii(df).collect()}
+    assert [text[a:b] for a, b in got[1]] == [f"a{k}@b.org" for k in range(300)] and got[2] == [(0, 7)] and got[3] == []
+
+
+def tasks_used(df, *keys):
+    """Rows by task after a join or shuffle."""
+    return [r["count"] for r in df.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+
+
+def test_hot_words_and_rows_without_ids_are_dealt(spark, monkeypatch):
+    """A word of every document, and one source's rows without id, reach at least half of the tasks."""
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        docs = spark.createDataFrame([(k, "the cat") for k in range(400)], "doc_id long, text string").repartition(4)
+        items = spark.createDataFrame([(1, ["the", "dog"])], "item long, terms array<string>")
+        posted = decontaminate.postings_of(decontaminate.keyed(docs), items)
+        assert posted.filter("term = 'the'").count() == 400 and posted.filter("term = ''").count() == 400
+        files = posted.filter("term = 'the'").groupBy(F.input_file_name()).count().collect()
+        assert len(files) >= 2 and max(r["count"] for r in files) < 300
+        lost = spark.createDataFrame([(None, "s", f"text number {k}") for k in range(800)], "doc_id long, source string, text string").repartition(4)
+        assert mixing.mix(lost, prefix=2).groupBy("source").count().first()["count"] == 800
+        places = lost.select(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("\0"), "text"), F.lit("")).cast("binary")).substr(1, 2).alias("b"))
+        used = tasks_used(places.withColumn("key", F.lit("ss")).repartition(4, "key", "b"))
+        assert len(used) == 4 and max(used) < 400
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
