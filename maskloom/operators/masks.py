@@ -5,6 +5,11 @@ All sweeps are keyed by (image_id, ..., col), so they spread over columns of an
 
 from __future__ import annotations
 
+import heapq
+import math
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,22 +86,54 @@ def dilate(runs: DataFrame, dims: DataFrame, radius: str = "radius") -> DataFram
     return merge_runs(moved.filter("col >= 0 AND col < img_w AND r0 < r1"))
 
 
+def owned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sweep of columns whose runs come sorted by r0: what covers a row waits in a heap, and leaves it when its end is passed."""
+    key, at, heap = None, 0, []
+
+    def advance(to: float, out: list) -> None:
+        nonlocal at
+        while heap and at < to:
+            _, owner, end = heap[0]
+            if end <= at:
+                heapq.heappop(heap)
+                continue
+            stop = min(end, to)
+            if out and out[-1][0] == key and out[-1][1] == owner and out[-1][3] == at:
+                out[-1][3] = stop
+            else:
+                out.append([key, owner, at, stop])
+            at = stop
+
+    def batch_of(out: list) -> pa.RecordBatch:
+        columns = ([r[0][0] for r in out], [r[1] for r in out], [r[0][1] for r in out], [r[2] for r in out], [r[3] for r in out])
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["image_id", "instance_id", "col", "r0", "r1"])
+
+    out: list = []
+    for batch in batches:
+        for image, col, r0, r1, area, owner in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (image, col) != key:
+                advance(math.inf, out)
+                key, at, heap = (image, col), r0, []
+            advance(r0, out)
+            at = max(at, r0) if heap else r0
+            heapq.heappush(heap, (-area, owner, r1))
+        # The last piece may go on in the next batch.
+        yield batch_of(out[:-1])
+        out = out[-1:]
+    advance(math.inf, out)
+    yield batch_of(out)
+
+
 def identity_map(objects: DataFrame, runs: DataFrame) -> DataFrame:
     """Who owns each pixel: the larger object, the smaller instance_id on ties. objects: image_id, source_index, instance_id, area.
 
-    A column's runs, one per object and gap at most, become one row; the intervals between their ends are judged and
-    joined in place, so only runs are moved.
+    Spark deals the runs by column and sorts them; a column is swept once, in n log n of its runs and in the memory of those that overlap.
     """
-    own = runs.join(objects.select(*MASK, "instance_id", "area").hint("shuffle_hash"), MASK)
-    per = own.groupBy("image_id", "col").agg(F.collect_list(F.struct("r0", "r1", "area", F.col("instance_id").alias("id"))).alias("rs"))
-    per = per.withColumn("cuts", F.array_sort(F.array_distinct(F.flatten(F.transform("rs", lambda r: F.array(r["r0"], r["r1"]))))))
-    best = lambda at: F.array_max(F.transform(F.filter("rs", lambda r: (r["r0"] <= at) & (at < r["r1"])), lambda r: F.struct(r["area"].alias("area"), (-r["id"]).alias("minus"))))
-    per = per.withColumn("owner", F.transform("cuts", lambda at: -best(at)["minus"]))
-    # Places where the owner changes; nobody owns what follows the last end.
-    changes = F.filter(F.sequence(F.lit(0), F.size("cuts") - 1), lambda i: (i == 0) | ~F.get("owner", i).eqNullSafe(F.get("owner", i - 1)))
-    per = per.withColumn("at", changes)
-    pieces = F.transform("at", lambda i, k: F.struct(F.get("owner", i).alias("instance_id"), F.get("cuts", i).alias("r0"), F.get("cuts", F.get("at", k + 1)).alias("r1")))
-    return per.select("image_id", "col", F.inline(F.filter(pieces, lambda x: x["instance_id"].isNotNull()))).select("image_id", "instance_id", "col", "r0", "r1")
+    own = runs.join(objects.select(*MASK, "instance_id", "area").hint("merge"), MASK)
+    rows = own.select(F.col("image_id").cast("long").alias("image_id"), "col", "r0", "r1", F.col("area").cast("long").alias("area"), F.col("instance_id").cast("int").alias("instance_id"))
+    swept = rows.filter("r0 < r1").repartition("image_id", "col").sortWithinPartitions("image_id", "col", "r0")
+    return swept.mapInArrow(owned, "image_id long, instance_id int, col int, r0 int, r1 int")
 
 
 def visible_pixels(identity: DataFrame, objects: DataFrame) -> DataFrame:
@@ -164,27 +201,55 @@ def uncontained_runs(runs: DataFrame, crops: DataFrame) -> DataFrame:
     return both.groupBy(*MASK).agg(F.sum(outside.cast("long")).alias("outside")).filter("outside > 0")
 
 
-def in_cells(boxes: DataFrame, box: tuple[Column, Column, Column, Column], size: int) -> DataFrame:
-    """Boxes (inclusive edges) repeated for each grid cell that they reach, with the cell as cell_x and cell_y."""
-    cell = lambda v: F.floor(v / size).cast("int")
+#: Cell sizes of the grids for pairs, by level; a box belongs to the first level whose cells are as long as its longer side.
+GRID, STEP = 16, 4
+
+
+def level_of(box: tuple[Column, Column, Column, Column], grid: int) -> Column:
+    """Level of a box (inclusive edges): at its level it reaches four cells at most."""
     x0, y0, x1, y1 = box
-    return boxes.withColumn("cell_x", F.explode(F.sequence(cell(x0), cell(x1)))).withColumn("cell_y", F.explode(F.sequence(cell(y0), cell(y1))))
+    long = F.greatest(x1 - x0, y1 - y0) + 1
+    # In whole numbers: an estimate by logarithm is corrected.
+    guess = F.greatest(F.ceil(F.log(long / F.lit(grid)) / F.log(F.lit(float(STEP)))), F.lit(0)).cast("int")
+    size = lambda k: F.lit(grid) * F.pow(F.lit(float(STEP)), k)
+    return F.when((guess > 0) & (size(guess - 1) >= long), guess - 1).when(size(guess) < long, guess + 1).otherwise(guess)
 
 
-def pair_cell(a: tuple[Column, Column], b: tuple[Column, Column], size: int) -> Column:
-    """Whether this is the one cell in which a pair of overlapping boxes counts: that of the later left and upper edges."""
-    return (F.col("cell_x") == F.floor(F.greatest(a[0], b[0]) / size)) & (F.col("cell_y") == F.floor(F.greatest(a[1], b[1]) / size))
+def _cells(level: Column, box: tuple[Column, Column, Column, Column], grid: int) -> Column:
+    size = F.lit(grid) * F.pow(F.lit(float(STEP)), level)
+    x0, y0, x1, y1 = box
+    cell = lambda v: F.floor(v / size).cast("long")
+    columns = F.transform(F.sequence(cell(x0), cell(x1)), lambda x: F.transform(F.sequence(cell(y0), cell(y1)), lambda y: F.struct(level.alias("level"), x.alias("cell_x"), y.alias("cell_y"))))
+    return F.flatten(columns)
 
 
-def box_overlap(boxes: DataFrame, cell: int = 128) -> DataFrame:
-    """Area that each half-open box shares with the boxes before it in its image. boxes: image_id, ord, bx0, by0, bx1, by1.
+def box_pairs(boxes: DataFrame, box: tuple[str, str, str, str], key: str, grid: int = GRID) -> DataFrame:
+    """Each pair of boxes (inclusive edges, columns of `box`) of an image that meet, once: all columns, and those of the other with `o_` before their names.
 
-    Only boxes of a common grid cell are paired.
+    key tells boxes of an image apart. Boxes live in the grid of their own level, at most four rows each, and visit the
+    cells of the coarser levels that occur, at most four rows a level: a large box is not cut into small cells. A pair meets at
+    the level of the larger box, and counts in the one cell that holds the later of its left and of its upper edges.
     """
-    dealt = in_cells(boxes.select("image_id", "ord", "bx0", "by0", "bx1", "by1").filter("bx0 < bx1 AND by0 < by1"), (F.col("bx0"), F.col("by0"), F.col("bx1") - 1, F.col("by1") - 1), cell)
-    prior = dealt.select("image_id", "cell_x", "cell_y", *[F.col(c).alias(f"p_{c}") for c in ("ord", "bx0", "by0", "bx1", "by1")])
-    both = dealt.join(prior.hint("merge"), ["image_id", "cell_x", "cell_y"]).filter("p_ord < ord").filter(pair_cell((F.col("bx0"), F.col("by0")), (F.col("p_bx0"), F.col("p_by0")), cell))
-    w = F.greatest(F.least("bx1", "p_bx1") - F.greatest("bx0", "p_bx0"), F.lit(0))
-    h = F.greatest(F.least("by1", "p_by1") - F.greatest("by0", "p_by0"), F.lit(0))
-    shared = both.groupBy("image_id", "ord").agg(F.sum((w * h).cast("long")).alias("overlap"))
+    edges = tuple(F.col(c) for c in box)
+    at = boxes.withColumn("own", level_of(edges, grid))
+    home = at.withColumns({"cell": F.explode(_cells(F.col("own"), edges, grid))}).select("*", "cell.*").drop("cell")
+    levels = [r[0] for r in at.select("own").distinct().collect()]  # a level is a power of STEP: some dozen at most
+    visited = F.filter(F.array(*[F.lit(k) for k in sorted(levels)]), lambda k: k >= F.col("own"))
+    guests = at.withColumn("cell", F.explode(F.flatten(F.transform(visited, lambda k: _cells(k, edges, grid))))).select("*", "cell.*").drop("cell")
+    other = guests.select("image_id", "level", "cell_x", "cell_y", *[F.col(c).alias(f"o_{c}") for c in at.columns if c != "image_id"])
+    met = home.join(other.hint("merge"), ["image_id", "level", "cell_x", "cell_y"])
+    size = F.lit(grid) * F.pow(F.lit(float(STEP)), "level")
+    a, b = box[0], box[1]
+    once = (F.col("cell_x") == F.floor(F.greatest(a, f"o_{a}") / size)) & (F.col("cell_y") == F.floor(F.greatest(b, f"o_{b}") / size))
+    ahead = (F.col("own") > F.col("o_own")) | ((F.col("own") == F.col("o_own")) & (F.col(key) < F.col(f"o_{key}")))
+    return met.filter(ahead & once).drop("level", "cell_x", "cell_y", "own", "o_own")
+
+
+def box_overlap(boxes: DataFrame, cell: int = GRID) -> DataFrame:
+    """Area that each half-open box shares with the boxes before it in its image. boxes: image_id, ord, bx0, by0, bx1, by1. cell: the size of the finest grid."""
+    some = boxes.select("image_id", "ord", "bx0", "by0", "bx1", "by1").filter("bx0 < bx1 AND by0 < by1").withColumns({"bx2": F.col("bx1") - 1, "by2": F.col("by1") - 1})
+    both = box_pairs(some, ("bx0", "by0", "bx2", "by2"), "ord", cell)
+    w = F.greatest(F.least("bx1", "o_bx1") - F.greatest("bx0", "o_bx0"), F.lit(0))
+    h = F.greatest(F.least("by1", "o_by1") - F.greatest("by0", "o_by0"), F.lit(0))
+    shared = both.groupBy("image_id", F.greatest("ord", "o_ord").alias("ord")).agg(F.sum((w * h).cast("long")).alias("overlap"))
     return boxes.select("image_id", "ord").join(shared.hint("merge"), ["image_id", "ord"], "left").na.fill(0, ["overlap"])

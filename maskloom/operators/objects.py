@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .masks import MASK, in_cells, pair_cell
+from .masks import GRID, MASK, box_pairs
 
 #: Reasons of the geometry filter in order of precedence.
 GEOMETRY_REASONS = ("empty_mask", "min_area", "max_area", "min_width", "max_width", "min_height", "max_height", "min_aspect_ratio", "max_aspect_ratio", "border_touching")
@@ -271,16 +271,19 @@ def contact_pages(cand: DataFrame, per_page: int = 12, across: int = 4, most: in
     return rows.select(*MASK, F.expr(f"at div {per_page} + 1").cast("int").alias("page"), F.expr(f"(at % {per_page}) div {across}").cast("int").alias("tile_row"), F.expr(f"(at % {per_page}) % {across}").cast("int").alias("tile_col"), "truncated")
 
 
-def segment_intersections(segments: DataFrame, cell: int = 128) -> DataFrame:
+def segment_intersections(segments: DataFrame, cell: int = GRID) -> DataFrame:
     """Where pairs of segments of an image cross, inside both and inside the image. segments: image_id, seg, sx1, sy1, sx2, sy2, img_w, img_h.
 
-    Only segments whose boxes share a grid cell are paired.
+    Only segments whose boxes meet in a grid of the larger one's size are paired. cell: the size of the finest grid.
     """
     line = lambda p: {"a": F.col(f"{p}sy1") - F.col(f"{p}sy2"), "b": F.col(f"{p}sx2") - F.col(f"{p}sx1")}
-    low = lambda p: (F.least(f"{p}sx1", f"{p}sx2"), F.least(f"{p}sy1", f"{p}sy2"))
-    dealt = in_cells(segments, (*low(""), F.greatest("sx1", "sx2"), F.greatest("sy1", "sy2")), cell)
-    other = dealt.select("image_id", "cell_x", "cell_y", *[F.col(c).alias(f"o_{c}") for c in ("seg", "sx1", "sy1", "sx2", "sy2")])
-    pairs = dealt.join(other.hint("merge"), ["image_id", "cell_x", "cell_y"]).filter("seg < o_seg").filter(pair_cell(low(""), low("o_"), cell))
+    ends = ("image_id", "seg", "sx1", "sy1", "sx2", "sy2", "img_w", "img_h")
+    boxed = segments.select(*ends, F.least("sx1", "sx2").alias("left"), F.least("sy1", "sy2").alias("top"), F.greatest("sx1", "sx2").alias("right"), F.greatest("sy1", "sy2").alias("bottom"))
+    pairs = box_pairs(boxed, ("left", "top", "right", "bottom"), "seg", cell)
+    # The segment with the smaller number stands first.
+    swap = F.col("seg") > F.col("o_seg")
+    order = {c: F.when(swap, F.col(f"o_{c}")).otherwise(F.col(c)) for c in ends[1:6]} | {f"o_{c}": F.when(swap, F.col(c)).otherwise(F.col(f"o_{c}")) for c in ends[1:6]}
+    pairs = pairs.select("image_id", "img_w", "img_h", *[v.alias(k) for k, v in order.items()])
     p, q = line(""), line("o_")
     c1, c2 = p["a"] * F.col("sx1") + p["b"] * F.col("sy1"), q["a"] * F.col("o_sx1") + q["b"] * F.col("o_sy1")
     det = (p["a"] * q["b"] - q["a"] * p["b"]).cast("double")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+
+from ..sources.shared import staged
 from pyspark.sql.types import ArrayType
 
 from .objects import record_struct
@@ -20,22 +22,52 @@ def sequence_names(frames: DataFrame, present: Column) -> DataFrame:
     return frames.filter(present).withColumn("n", n).withColumns({"name": F.format_string("%07d.jpg", "n"), "stream_name": F.format_string("stream-%04d", "n")}).drop("n")
 
 
+def ranked_values(timings: DataFrame, key: str, value: str) -> DataFrame:
+    """Each distinct value of a key (null first) with `count`, and `before`, the rows of the key that stand before it in order.
+
+    Keys and values are range-partitioned, so a key's values spread over tasks whatever share of all rows it has; counts of a
+    task's part of a key are added up first, and a row's place in its part then.
+    """
+    counts = timings.groupBy(key, value).agg(F.count(F.lit(1)).alias("count"))
+    dealt = counts.repartitionByRange(F.col(key), F.col(value).asc_nulls_first()).withColumn("part", F.spark_partition_id())
+    dealt = staged(dealt, "ranked")
+    parts = dealt.groupBy(key, "part").agg(F.sum("count").alias("rows"))
+    earlier = Window.partitionBy(key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.select(F.col(key).alias("start_key"), F.col("part").alias("start_part"), F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("start"))
+    inside = Window.partitionBy(key, "part").orderBy(F.col(value).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    placed = dealt.withColumn("inside", F.coalesce(F.sum("count").over(inside), F.lit(0)))
+    both = placed.join(starts.hint("merge"), F.col(key).eqNullSafe(F.col("start_key")) & (F.col("part") == F.col("start_part")))
+    return both.select(key, value, "count", (F.col("start") + F.col("inside")).alias("before"))
+
+
+def value_at(value: str, rank: Column) -> Column:
+    """The value of ranked_values that holds a rank, counted from 1; one per key."""
+    return F.max(F.when((F.col("before") < rank) & (rank <= F.col("before") + F.col("count")), F.col(value)))
+
+
 def latency_summary(timings: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
-    """First, least, greatest, upper and true median of each key; the upper median comes from ranks, not from a sorted list."""
-    w = Window.partitionBy(key)
-    rows = timings.withColumns({"rank": F.row_number().over(w.orderBy(value)), "n": F.count(F.lit(1)).over(w)})
-    upper = F.max(F.when(F.col("rank") == F.expr("n div 2 + 1"), F.col(value)))
-    return rows.groupBy(key).agg(F.min_by(value, F.struct(*order)).alias("first"), F.min(value).alias("least"), F.max(value).alias("greatest"), upper.alias("upper_median"), F.percentile(value, 0.5).alias("median"))
+    """First, least, greatest, upper and true median of each key. Nulls stand first among the ranks, but have no part in the true median."""
+    sums = timings.groupBy(key).agg(
+        F.min_by(value, F.struct(*order)).alias("first"), F.min(value).alias("least"), F.max(value).alias("greatest"), F.count(F.lit(1)).alias("n"), F.count(value).alias("known")
+    )
+    ranked = ranked_values(timings, key, value).withColumnRenamed(key, "ranked_key")
+    both = ranked.join(sums.hint("merge"), F.col("ranked_key").eqNullSafe(F.col(key)))
+    unknown = F.col("n") - F.col("known")
+    half = lambda k: value_at(value, unknown + F.expr(f"(known + {k}) div 2"))
+    return both.groupBy(key).agg(
+        *[F.first(c).alias(c) for c in ("first", "least", "greatest")], value_at(value, F.expr("n div 2 + 1")).alias("upper_median"), (half(1) * 0.5 + half(2) * 0.5).alias("median")
+    )
 
 
 def nearest_rank(timings: DataFrame, key: str, value: str, share: float = 0.95) -> DataFrame:
     """The value at rank max(1, int(share * n + 0.999999)) of each key."""
-    w = Window.partitionBy(key)
-    rows = timings.select(key, value, F.row_number().over(w.orderBy(value)).alias("rank"), F.count(F.lit(1)).over(w).alias("n"))
-    return rows.filter(F.col("rank") == F.greatest(F.lit(1), F.floor(F.col("n") * share + 0.999999).cast("int"))).select(key, F.col(value).alias("value"))
+    sums = timings.groupBy(F.col(key).alias("sum_key")).agg(F.count(F.lit(1)).alias("n"))
+    both = ranked_values(timings, key, value).join(sums.hint("merge"), F.col(key).eqNullSafe(F.col("sum_key")))
+    rank = F.greatest(F.lit(1), F.floor(F.col("n") * share + 0.999999).cast("long"))
+    return both.groupBy(key).agg(value_at(value, rank).alias("value"))
 
 
-#: Outcomes by the group that reports add up.
+#: Outcomes by the group that reports add up.
 OUTCOME_GROUPS = {"busy": ("service_busy",), "not_ready": ("not_ready",), "timeout": ("timeout",), "cancelled": ("cancelled",), "limit": ("response_too_large", "insufficient_memory", "insufficient_shm")}
 
 
