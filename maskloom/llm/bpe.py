@@ -31,7 +31,10 @@ from pyspark.sql import functions as F
 from .common import set_aside
 
 #: Distinct pieces whose tokens a Python worker remembers, the longest piece that it does, and pairs of tokens whose border it has judged.
-REMEMBERED, REMEMBERED_LENGTH, JUDGED = 200_000, 64, 1_000_000
+REMEMBERED, REMEMBERED_LENGTH, JUDGED = 500_000, 64, 1_000_000
+
+#: Prefixes of pieces whose last token a worker stores.
+PREFIXES = 500_000
 
 #: Bytes of a piece from which on its whole table is made, prefix by prefix; of a shorter one only the entries that its tokens lead to.
 WHOLE_TABLE = 256
@@ -80,17 +83,15 @@ class Codec:
         self.tokens, self.ids = tokens, {t: i for i, t in enumerate(tokens) if t}
         self.cut = regex.compile(pattern)
         self.longest, self.sizes = max(map(len, tokens)), list(map(len, tokens))
-        #: Tokens by their bytes from the last one on: steps from node to node, and the token that a node stands for (-1: none).
-        self.steps: dict[int, int] = {}
-        self.token_at = [-1]
+        #: Tokens by their bytes from the last one on: the next node of each byte, and at -1 the token that a node stands for.
+        self.root: dict = {}
         for t, i in self.ids.items():
-            node = 0
+            node = self.root
             for b in reversed(t):
-                node = self.steps.setdefault(node << 8 | b, len(self.token_at))
-                if node == len(self.token_at):
-                    self.token_at.append(-1)
-            self.token_at[node] = i
+                node = node.setdefault(b, {})
+            node[-1] = i
         self.judged: dict[int, bool] = {}
+        self.last: dict[bytes, int] = {}
         n = len(tokens)
         #: When a token is formed (bytes are there from the start), and the two tokens that its last merge joins.
         self.formed, self.left, self.right, self.merged = [-1 if len(t) == 1 else n for t in tokens], [0] * n, [0] * n, {}
@@ -139,44 +140,43 @@ class Codec:
 
     def ending(self, piece: bytes, end: int) -> list[int]:
         """The tokens that end a prefix, the shortest first."""
-        found, node, at, steps, token_at = [], 0, end, self.steps, self.token_at
+        found, node, at = [], self.root, end
         while at:
             at -= 1
-            node = steps.get(node << 8 | piece[at])
+            node = node.get(piece[at])
             if node is None:
                 break
-            if token_at[node] >= 0:
-                found.append(token_at[node])
+            if -1 in node:
+                found.append(node[-1])
         return found
 
-    def last_token(self, piece: bytes, end: int, entries: dict[int, int]) -> int:
-        """The last token of one prefix; entries: those of other prefixes, which are added to as far as they are needed.
+    def last_token(self, piece: bytes, end: int) -> int:
+        """The last token of one prefix, and of the shorter ones that it leads to. They are stored by their bytes, for all pieces that begin with them.
 
         The longest token is tried first. `ending` and `fits` are written out here, as this is what new pieces cost.
         """
-        token = entries.get(end)
+        prefix = piece[:end]
+        token = self.last.get(prefix)
         if token is not None:
             return token
-        found, node, at, step, token_at, sizes, judged = [], 0, end, self.steps.get, self.token_at, self.sizes, self.judged
-        while at:
-            at -= 1
-            node = step(node << 8 | piece[at])
+        found, node, sizes, judged = [], self.root, self.sizes, self.judged
+        for byte in prefix[::-1]:
+            node = node.get(byte)
             if node is None:
                 break
-            token = token_at[node]
-            if token >= 0:
-                found.append(token)
+            if -1 in node:
+                found.append(node[-1])
         for token in reversed(found):
             size = sizes[token]
             if size == end:
                 break
-            before = entries.get(end - size)
-            if before is None:
-                before = self.last_token(piece, end - size, entries)
+            before = self.last_token(piece, end - size)
             fits = judged.get(before << 32 | token)
             if self.fits(before, token) if fits is None else fits:
                 break
-        entries[end] = token
+        if len(self.last) >= PREFIXES:
+            self.last.clear()
+        self.last[prefix] = token
         return token
 
     def last_tokens(self, piece: bytes, last: list[int] | None = None, old: tuple[list[int], int, int] | None = None) -> tuple[list[int], int]:
@@ -218,9 +218,9 @@ class Codec:
         data = piece.encode()
         if len(data) > WHOLE_TABLE:
             return tuple(self.walk(self.last_tokens(data)[0]))
-        entries, out, at = {}, [], len(data)
+        out, at = [], len(data)
         while at:
-            out.append(self.last_token(data, at, entries))
+            out.append(self.last_token(data, at))
             at -= self.sizes[out[-1]]
         return tuple(reversed(out))
 
