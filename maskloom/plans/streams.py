@@ -9,7 +9,8 @@ from ..operators import reports
 from ..sources.shared import fresh_path
 from ..streaming import frames as ops
 from .base import query
-from .fixtures import F1_SQL, FRAMES_SQL, MEASURE_SQL, RUNS_SQL, candidates, duck, frames, mask_runs
+from .fixtures import BASE, F1_SQL, FRAMES_SQL, MEASURE_SQL, RUNS_SQL, candidates, duck, frames, mask_runs, table
+from .masks import LIMITS, ORDERED_SQL
 from .reports import COUNTERS_SQL
 
 _COLUMNS = ["stream_id", "frame_idx", "event_id", "ts", "ms", "outcome"]
@@ -28,11 +29,25 @@ def str01(spark, sf_dir):
     return ops.run_available(ops.frame_records(arriving(spark, sf_dir)))
 
 
-@query("str02_ordered_emit", duck(FRAMES_SQL) + " SELECT stream_id, frame_idx, printf('stream%d-%07d', stream_id, frame_idx) AS frame_id FROM frames")
+@query("str02_ordered_emit", duck(FRAMES_SQL) + " SELECT stream_id, frame_idx, printf('stream%d-%07d', stream_id, frame_idx) AS frame_id, 'in_order' AS fate FROM frames")
 def str02(spark, sf_dir):
     return ops.run_available(ops.ordered_emit(reports.frame_ids(arriving(spark, sf_dir)).select("stream_id", F.col("frame_idx").cast("long").alias("frame_idx"), "frame_id")))
 
 
+@query("str01_frame_objects", duck(*BASE, ORDERED_SQL) + """
+SELECT CAST(image_id % 8 AS BIGINT) AS stream_id, CAST(image_id AS BIGINT) AS frame_idx, printf('stream%d-%07d', image_id % 8, image_id) AS frame_id, image_id, source_index, instance_id, label, area FROM objs""")
+def str01_objects(spark, sf_dir):
+    """Every order is a frame of one of eight streams; frames arrive in files, and their objects are stored batch by batch."""
+    path, out = fresh_path(spark, "images"), fresh_path(spark, "objects")
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("image_id"), (F.col("o_orderkey") % 8).alias("stream_id"), F.col("o_orderkey").alias("frame_idx"))
+    o.repartition(4, "image_id").write.parquet(path)
+    cand = candidates(spark, sf_dir)
+    stream = ops.file_stream(spark, path, o.schema, 2).withColumn("frame_id", F.format_string("stream%d-%07d", "stream_id", "frame_idx"))
+    sink = ops.ObjectSink(out, cand, mask_runs(cand), LIMITS)
+    ops.drive(stream, sink, "append", fresh_path(spark, "objects-log"))
+    return sink.rows(spark, ops.frame_objects(stream, cand, mask_runs(cand), LIMITS).schema)
+
+
 @query("str04_live_metrics", duck(FRAMES_SQL) + f"""
 SELECT stream_id, {COUNTERS_SQL}, count(*) FILTER (ms <= 1) AS le_1, count(*) FILTER (ms <= 2.5e0) AS le_2_5, count(*) FILTER (ms <= 10) AS le_10, count(*) FILTER (ms <= 50) AS le_50, count(ms) AS le_inf, CAST(sum(CAST(ms AS DECIMAL(20, 4))) AS DOUBLE) AS total,
   arg_max(ms, frame_idx) AS latest, max(ms) AS peak FROM frames GROUP BY stream_id""")
@@ -50,6 +65,20 @@ def str03(spark, sf_dir):
     return ops.run_available(ops.idempotent_offers(ops.file_stream(spark, path, e.schema, 1000))).drop("ts")
 
 
+@query("str03_contradictory_offers", "SELECT event_id AS request_id, props AS name, event_type AS stage, CAST(floor(value) AS BIGINT) + 1 AS raw_bytes, event_type AS first_stage, CAST(floor(value) AS BIGINT) AS first_bytes FROM events WHERE event_id % 7 = 0")
+def str03_contradictions(spark, sf_dir):
+    """Every offer is made twice, and of every seventh name a third time with another size, in later files and up to five minutes later."""
+    path = fresh_path(spark, "offers")
+    events = table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").cast("double").alias("at"), F.col("event_id").alias("request_id"), F.col("event_type").alias("stage"), F.col("props").alias("name"), F.floor("value").cast("long").alias("raw_bytes"))
+    timed = lambda df, later: df.select((F.col("at") + later).cast("timestamp").alias("ts"), "request_id", "stage", "name", "raw_bytes")
+    timed(events, F.lit(0)).repartition(2, "request_id").write.parquet(path)
+    repeats = timed(events, F.col("request_id") % 300)
+    other = timed(events.filter("request_id % 7 = 0").withColumn("raw_bytes", F.col("raw_bytes") + 1), F.col("request_id") % 300)
+    repeats.unionByName(other).repartition(2, "request_id").write.mode("append").parquet(path)
+    read = lambda: ops.file_stream(spark, path, repeats.schema, 1)
+    return ops.run_available(ops.contradictory_offers(read(), read()))
+
+
 @query("geo07_component_counts", duck(F1_SQL, RUNS_SQL) + " SELECT image_id, source_index, CAST(CASE WHEN has_gap AND y1 - y0 >= 2 THEN CASE WHEN m = y0 THEN 1 ELSE 2 END ELSE 1 END AS BIGINT) AS components FROM (SELECT DISTINCT image_id, source_index, has_gap, y0, y1, m FROM cols)")
 def geo07(spark, sf_dir):
     c = components.mask_components(mask_runs(candidates(spark, sf_dir)))
