@@ -7,6 +7,8 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+
+from ..sources.shared import staged
 from pyspark.sql.types import StringType
 
 
@@ -68,13 +70,39 @@ def text_hazards(col: str) -> Column:
     return F.when(c.rlike(r"[\x00-\x1F\x7F]"), "control_character").when(c.contains("://"), "url").when(c.contains("/"), "slash").when(c.contains("\\"), "backslash").when(c.startswith("~"), "home").when(c.rlike("^[A-Za-z]:"), "drive")
 
 
-def json_keys(col: str) -> Column:
-    """All keys of a JSON text at any depth, in lower case, found by pattern."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(F.col(col), F.lit(r'"([^"\\]+)"\s*:'), F.lit(1)), lambda k: F.lower(k)))
-
-
-def forbidden_keys(col: str, keys: list[str]) -> Column:
-    return F.array_sort(F.array_intersect(json_keys(col), F.array(*[F.lit(k.lower()) for k in keys])))
+def json_keys(documents: DataFrame, key: str, col: str, depth: int = 32) -> DataFrame:
+    """key, name, level: the keys of JSON texts at any level of objects and arrays, as the parser reads them (escapes resolved).
+
+    Level by level: what an object or array holds becomes rows of the next one, so a document's width is spread over tasks. A text
+    that is no JSON has the level -1, one that goes deeper than `depth` the level `depth`, both without a name. A null text has no rows.
+    """
+    spark, parsed = documents.sparkSession, documents.filter(F.col(col).isNotNull()).select(key, F.try_parse_json(col).alias("v"))
+    none = F.lit(None).cast("string").alias("name")
+    found = [parsed.filter("v IS NULL").select(key, none, F.lit(-1).alias("level"))]
+    here = parsed.filter("v IS NOT NULL")
+    for level in range(depth):
+        inner = here.lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).select(F.col(key), F.col("key").alias("name"), F.col("value").alias("v"))
+        inner = staged(inner, "json-level")
+        found.append(inner.filter("name IS NOT NULL").select(key, "name", F.lit(level).alias("level")))
+        here = inner.filter(~F.schema_of_variant("v").rlike("^(?!OBJECT|ARRAY)")).select(key, "v")
+        if here.isEmpty():
+            break
+    else:
+        found.append(here.select(key, none, F.lit(depth).alias("level")).distinct())
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+def forbidden_keys(documents: DataFrame, key: str, col: str, keys: list[str], depth: int = 32) -> DataFrame:
+    """One row per document: key, found (the forbidden keys in it, in lower case and order), and problem: `invalid_json`, `too_deep` or null. key tells documents apart."""
+    names = json_keys(documents, key, col, depth)
+    told = names.groupBy(key).agg(
+        F.array_sort(F.collect_set(F.when(F.lower("name").isin(*[k.lower() for k in keys]), F.lower("name")))).alias("found"),
+        F.max(F.when(F.col("name").isNull(), F.when(F.col("level") < 0, "invalid_json").otherwise("too_deep"))).alias("problem"),
+    )
+    return documents.select(key).join(told.hint("merge"), key, "left").select(key, F.coalesce("found", F.array().cast("array<string>")).alias("found"), "problem")
 
 
 def normalize_label_list(col: str) -> Column:

@@ -146,6 +146,49 @@ def trim_to_fit(ledger: DataFrame, base_bytes: int, max_bytes: int) -> DataFrame
     return rows.withColumns({"final_status": F.when(F.col("gone"), "omitted_response_limit").otherwise(F.col("status")), "request_failed": failed}).drop("kept", "gone")
 
 
+#: The parts of a response beside its records.
+_FRAME = '{"delivered":[],"omitted":[],"delivered_count":,"omitted_count":,"truncated":}'
+
+
+def trim_to_encoded_size(ledger: DataFrame, max_bytes: int) -> DataFrame:
+    """Drop delivered optional artifacts from the end, one by one, until the response as it is written out fits.
+
+    The response is {"delivered": [{name, stage, raw_bytes, data}], "omitted": [{name, stage, raw_bytes, reason}], "delivered_count",
+    "omitted_count", "truncated"}, compact JSON in UTF-8. Dropping an artifact removes its record with the data and adds one of
+    its omission, which can be the longer one; counts change in length too. The length after each cut comes from running sums of
+    both kinds of records, and the cut that keeps most among those that fit is taken, as dropping one by one would. Adds final_status,
+    response_bytes and request_failed (even the essential artifacts are too much; all optional ones are dropped then).
+    """
+    facts = ["name", "stage", "raw_bytes"]
+    delivered = F.col("status") == "delivered"
+    optional = delivered & ~F.col("stage").isin(*ESSENTIAL_STAGES)
+    told = lambda reason: F.octet_length(F.to_json(F.struct(*facts, reason.alias("reason")))).cast("long")
+    carried = F.octet_length(F.to_json(F.struct(*facts))).cast("long") + len(',"data":""') + base64_bytes()
+    rows = ledger.withColumns({"carried": carried, "told": F.when(delivered, told(F.lit("omitted_response_limit"))).otherwise(told(F.col("status"))), "optional": optional, "fixed": delivered & ~optional, "left_out": ~delivered})
+    per = Window.partitionBy("request_id")
+    upto = per.orderBy("offer_seq").rowsBetween(Window.unboundedPreceding, 0)
+    total = lambda what, of, w: F.sum(F.when(F.col(of), what).otherwise(0)).over(w)
+    one = F.lit(1)
+    rows = rows.withColumns({
+        "kept_n": total(one, "optional", upto), "kept_bytes": total(F.col("carried"), "optional", upto), "cut_bytes": total(F.col("told"), "optional", upto), "all_n": total(one, "optional", per), "all_told": total(F.col("told"), "optional", per),
+        "fixed_n": total(one, "fixed", per), "fixed_bytes": total(F.col("carried"), "fixed", per), "out_n": total(one, "left_out", per), "out_bytes": total(F.col("told"), "left_out", per),
+    })
+
+    def size(n, kept, cut):
+        """Bytes of the response with n optional artifacts of `kept` bytes, the others told in `cut` bytes."""
+        d, o = F.col("fixed_n") + n, F.col("out_n") + F.col("all_n") - n
+        digits = F.length(d.cast("string")) + F.length(o.cast("string")) + F.when(o > 0, 4).otherwise(5)
+        return F.lit(len(_FRAME)) + digits + F.col("fixed_bytes") + kept + F.col("out_bytes") + cut + F.greatest(d - 1, F.lit(0)) + F.greatest(o - 1, F.lit(0))
+
+    with_this = size(F.col("kept_n"), F.col("kept_bytes"), F.col("all_told") - F.col("cut_bytes"))
+    bare = size(F.lit(0), F.lit(0), F.col("all_told"))
+    # Most kept first; the length that goes with it.
+    best = F.max(F.when(F.col("optional") & (with_this <= max_bytes), F.struct(F.col("kept_n").alias("n"), with_this.alias("bytes")))).over(per)
+    rows = rows.withColumns({"bare": bare, "best": best})
+    gone = F.col("optional") & (F.col("kept_n") > F.coalesce("best.n", F.lit(0)))
+    return rows.select(*ledger.columns, F.when(gone, "omitted_response_limit").otherwise(F.col("status")).alias("final_status"), F.coalesce("best.bytes", "bare").alias("response_bytes"), (F.col("best").isNull() & (F.col("bare") > max_bytes)).alias("request_failed"))
+
+
 def ledger_summary(ledger: DataFrame) -> DataFrame:
     """Counts and byte estimates per request."""
     done = F.col("status") == "delivered"

@@ -84,6 +84,20 @@ def win10(spark, sf_dir):
     return ops.trim_to_fit(ledger_of(spark, sf_dir), 2000, 60_000).select("request_id", "offer_seq", "final_status", "request_failed")
 
 
+@query("win10_trim_to_encoded_size", _duck(OFFERS_SQL, FIRST_SQL, ADMIT_SQL) + """,
+r AS (SELECT *, status = 'delivered' AND stage <> 'picture' AS opt, '{"name":"' || name || '","stage":"' || stage || '","raw_bytes":' || raw_bytes AS head FROM ledger),
+l AS (SELECT *, strlen(head) + strlen(',"data":""}') + 4 * ((raw_bytes + 2) // 3) AS carried, strlen(head || ',"reason":"' || CASE WHEN status = 'delivered' THEN 'omitted_response_limit' ELSE status END || '"}') AS told FROM r),
+k AS (SELECT request_id, unnest(range(0, count(*) FILTER (opt) + 1)) AS n FROM l GROUP BY request_id),
+o AS (SELECT *, count(*) FILTER (opt) OVER (PARTITION BY request_id ORDER BY offer_seq) AS place FROM l),
+s AS (SELECT k.request_id, k.n, count(*) FILTER (status = 'delivered' AND (NOT opt OR place <= n)) AS d, count(*) FILTER (status <> 'delivered' OR (opt AND place > n)) AS m,
+  sum(CASE WHEN status = 'delivered' AND (NOT opt OR place <= n) THEN carried ELSE told END) AS body FROM k JOIN o USING (request_id) GROUP BY ALL),
+z AS (SELECT *, 78 + length(CAST(d AS VARCHAR)) + length(CAST(m AS VARCHAR)) + CASE WHEN m > 0 THEN 4 ELSE 5 END + body + greatest(d - 1, 0) + greatest(m - 1, 0) AS bytes FROM s),
+b AS (SELECT request_id, coalesce(max(n) FILTER (bytes <= 60000), 0) AS n FROM z GROUP BY request_id)
+SELECT request_id, offer_seq, CASE WHEN opt AND place > b.n THEN 'omitted_response_limit' ELSE status END AS final_status, CAST(bytes AS BIGINT) AS response_bytes, bytes > 60000 AS request_failed FROM o JOIN b USING (request_id) JOIN z USING (request_id, n)""")
+def win10_encoded(spark, sf_dir):
+    return ops.trim_to_encoded_size(ledger_of(spark, sf_dir), 60_000).select("request_id", "offer_seq", "final_status", "response_bytes", "request_failed")
+
+
 @query("win08_pages", duck(OFFERS_SQL) + " SELECT request_id, offer_seq, CAST((row_number() OVER (PARTITION BY request_id ORDER BY offer_seq) - 1) // 16 + 1 AS INT) AS page FROM offers WHERE stage IN ('label', 'verify')")
 def win08(spark, sf_dir):
     return ops.page_of(offers(spark, sf_dir), 16, ("label", "verify")).select("request_id", "offer_seq", "page")

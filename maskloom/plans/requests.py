@@ -201,11 +201,18 @@ def scl07(spark, sf_dir):
 
 
 @query("scl08_forbidden_keys", r"""
-SELECT event_id, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(lower(j), '"([^"\\]+)"\s*:', 1), lambda x: x IN ('k', 'device')))), ',') AS found
-FROM (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '{"Device": {"x": ' || props || '}}' ELSE replace(props, 'k', 'm') END AS j FROM events)""")
+WITH e AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN '{"Device": {"x": ' || props || '}}' WHEN 1 THEN '{"list": [[' || props || '], {"de\\u0076ice": 1}]}' WHEN 2 THEN '{"note": "\\"device\\": 1", "m": []}'
+  WHEN 3 THEN '{"device": ' WHEN 4 THEN '[1, [2, [3, [4, {"K": null}]]]]' ELSE replace(props, 'k', 'm') END AS j FROM events),
+t AS (SELECT e.event_id, lower(t.key) AS k FROM e, LATERAL (SELECT * FROM json_tree(CASE WHEN json_valid(e.j) THEN e.j ELSE '0' END)) t WHERE lower(t.key) IN ('k', 'device')),
+f AS (SELECT event_id, string_agg(DISTINCT k, ',' ORDER BY k) AS found FROM t GROUP BY event_id)
+SELECT event_id, coalesce(found, '') AS found, CASE WHEN NOT json_valid(j) THEN 'invalid_json' END AS problem FROM e LEFT JOIN f USING (event_id)""".replace("\\\\", "\\"))
 def scl08(spark, sf_dir):
-    j = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('{"Device": {"x": '), "props", F.lit("}}"))).otherwise(F.replace("props", F.lit("k"), F.lit("m")))
-    return table(spark, sf_dir, "events").withColumn("j", j).select("event_id", F.array_join(fn.forbidden_keys("j", ["K", "device"]), ",").alias("found"))
+    """Forbidden keys at several levels, in arrays, escaped, in a text that only looks like one, and in a text that is cut off."""
+    k, one = F.col("event_id") % 6, lambda *parts: F.concat(*[F.lit(p) if p != "props" else F.col(p) for p in parts])
+    j = F.when(k == 0, one('{"Device": {"x": ', "props", "}}")).when(k == 1, one('{"list": [[', "props", '], {"de\\u0076ice": 1}]}')).when(k == 2, F.lit('{"note": "\\"device\\": 1", "m": []}'))
+    j = j.when(k == 3, F.lit('{"device": ')).when(k == 4, F.lit('[1, [2, [3, [4, {"K": null}]]]]')).otherwise(F.replace("props", F.lit("k"), F.lit("m")))
+    found = fn.forbidden_keys(table(spark, sf_dir, "events").select("event_id", j.alias("j")), "event_id", "j", ["K", "device"])
+    return found.withColumn("found", F.array_join("found", ","))
 
 
 @query("scl17_metric_lines", """
