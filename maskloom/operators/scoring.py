@@ -14,6 +14,9 @@ KEY = ["image_id", "source_index"]
 #: Prompts that are sent round at once; more are dealt in blocks.
 PROMPT_BLOCK = 4096
 
+#: Most bytes of prompts' vectors in a block.
+PROMPT_BYTES = 32 << 20
+
 
 @dataclass(frozen=True)
 class RoutePolicy:
@@ -70,13 +73,16 @@ def score_prompts(cands: DataFrame, prompts: DataFrame) -> DataFrame:
     norm = lambda v: F.sqrt(dot(F.col(v), F.col(v)))
     p = prompts.select("class_order", "class_id", "prompt_index", doubles("embedding").alias("p")).withColumn("p_norm", norm("p"))
     c = cands.select(*KEY, doubles("embedding").alias("c")).withColumn("c_norm", norm("c"))
-    n, tasks = prompts.count(), int(cands.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n, size = p.agg(F.count(F.lit(1)), F.sum(F.size("p") * 8 + F.octet_length("class_id") + 64)).first()
+    tasks = int(cands.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     c = c.repartition(tasks, *KEY)
-    # Blocks of prompts that may be sent round; every candidate meets every block.
-    blocks = -(-n // PROMPT_BLOCK)
+    # Blocks of prompts that may be sent round, by number and bytes; every candidate meets every block.
+    blocks = max(-(-n // PROMPT_BLOCK), -(-(size or 0) // PROMPT_BYTES))
     if blocks > 1:
-        p = p.withColumn("block", F.pmod(F.xxhash64("class_order", "prompt_index"), F.lit(blocks)).cast("int"))
-        both = c.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(p.hint("shuffle_hash"), "block")
+        # A block is met in many places: candidates of a block are dealt by their own hash, and the block goes to each share.
+        p = p.withColumns({"block": F.pmod(F.xxhash64("class_order", "prompt_index"), F.lit(blocks)).cast("int"), "share": F.explode(F.sequence(F.lit(0), F.lit(tasks - 1)))})
+        dealt = c.withColumns({"share": F.pmod(F.xxhash64(*KEY), F.lit(tasks)).cast("int"), "block": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))})
+        both = dealt.join(p.hint("merge"), ["block", "share"])
     else:
         both = c.crossJoin(F.broadcast(p))
     size = F.col("c_norm") * F.col("p_norm")
