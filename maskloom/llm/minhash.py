@@ -47,6 +47,9 @@ LONG_BANDS, LONG_ROWS = 72, 8
 #: Members of a side of a cell of a bucket, about, and blocks outside its largest component that are compared as they are.
 BLOCK, DIRECT = 256, 4
 
+#: Bytes of text whose words are held as arrays at once, and rows whose sets are.
+PIECE, SETS = 1 << 18, 1024
+
 _MINIMA = BANDS * ROWS + LONG_BANDS * LONG_ROWS
 _A = mix(np.arange(1, _MINIMA + 1, dtype=U64) * U64(0xD1342543DE82EF95)) | U64(1)
 _B = mix(np.arange(1, _MINIMA + 1, dtype=U64) * U64(0xA24BAED4963EE407))
@@ -54,7 +57,7 @@ _B = mix(np.arange(1, _MINIMA + 1, dtype=U64) * U64(0xA24BAED4963EE407))
 
 def shingle_sets(column: pa.Array, k: int = SHINGLE) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each row."""
-    for first, end, buf, offs in chunks(column):
+    for first, end, buf, offs in chunks(column, PIECE):
         _, _, h, start = words(buf, offs, folded=True)
         g = grams(h, k)
         for row in range(end - first):
@@ -209,7 +212,7 @@ def _hashes(k: int):
     """The sets of texts, with what names them: a doc_id can have several texts."""
 
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(lo, SETS) for b in batches for lo in range(0, b.num_rows, SETS)):
             sets = list(shingle_sets(batch.column("text"), k))
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(map(set_name, sets), pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "set_id", "hashes"])
 
