@@ -1,7 +1,8 @@
 """Connected parts of masks, their outer boundaries and chords.
 
-A mask's runs fit one image, so Spark deals whole masks to tasks and sorts them there; inside a task numpy works on
-all masks of an Arrow batch at once. Neighbouring runs are found by bisection of one sorted key of mask, column and row.
+Masks are cut into strips of columns, whose parts are found inside tasks; parts of neighbouring strips that touch are united by
+rounds of joins, so a mask of any size is worked on in many places. Boundaries and chords take whole parts and masks, which
+fit one image: Spark deals them to tasks and sorts them there. Inside a task numpy works on all groups of an Arrow batch at once. Neighbouring runs are found by bisection of one sorted key of mask, column and row.
 Chords are counted on runs too: a ray is cut into one stretch per column or row, whichever are fewer, and a stretch meets the
 runs of its line. Memory follows runs and rays, not the area of boxes.
 """
@@ -12,9 +13,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import staged
 from .masks import MASK
 
 #: Columns and rows of a key lie below 2**21 and are moved up a little, as padded boxes begin at -1.
@@ -23,6 +25,9 @@ BITS, PAD = 21, 4
 #: Stretches of rays that are looked up at once, lines of masks' boxes that are listed at once, and runs of a line that are met one by one.
 STRETCHES, LINES, FEW = 1 << 20, 1 << 19, 4
 
+#: Columns of a strip of a mask, and most bytes of names that are sent round.
+STRIP, BROADCAST_BYTES = 256, 32 << 20
+
 
 def place(group: np.ndarray, col: np.ndarray, row: np.ndarray) -> np.ndarray:
     """One number that sorts by group, column and row."""
@@ -48,22 +53,21 @@ def overlapping(group, col, r0, r1, at_group, at_col, a0, a1) -> tuple[np.ndarra
 
 
 def labels(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """The least index of each node's component."""
+    """The least index of each node's component. u, v: edges.
+
+    Between rounds every label is the root of its tree. Of all roots that a root's edges lead to it takes the least; edges to the others
+    still lead apart then, and are taken in the next round.
+    """
     label = np.arange(n)
-    while len(u):
-        low = np.minimum(label[u], label[v])
-        before = label.copy()
-        # A node's old label is told the lower one too, and chains are cut short.
-        for x in (u, v, before[u], before[v]):
-            np.minimum.at(label, x, low)
-        label = label[label]
-        apart = label[u] != label[v]
-        if not apart.any() and np.array_equal(label, before):
-            break
-        u, v = (u[apart], v[apart]) if apart.any() else (u, v)
-    while not np.array_equal(label, label[label]):
-        label = label[label]
-    return label
+    while True:
+        a, b = label[u], label[v]
+        apart = a != b
+        if not apart.any():
+            return label
+        u, v, a, b = u[apart], v[apart], a[apart], b[apart]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while not np.array_equal(label, label[label]):
+            label = label[label]
 
 
 def touching(group, col, r0, r1, corners: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -128,16 +132,64 @@ def _schema(df: DataFrame, keys: list[str]) -> str:
     return ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
 
 
-def mask_components(runs: DataFrame, keys: list[str] = MASK, corners: bool = True) -> DataFrame:
-    """Each run with its component, named by its least node. Runs of a mask and column are disjoint."""
+def united(links: DataFrame, keys: list[str], most_rounds: int = 40) -> DataFrame:
+    """keys, u, root: the least node of the component of each node that is not the least itself. links: keys, u, v (long).
+
+    Rounds of two steps: larger neighbours are linked to the least of a node and its neighbours, then smaller ones and the node are. Each round is
+    written out. It ends when each node has one edge at most, to a node without any.
+    """
+    edges = staged(links.filter("u <> v").select(*keys, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
+    least = lambda e: e.withColumn("m", F.min("v").over(Window.partitionBy(*keys, "u")))
+    for _ in range(most_rounds):
+        ends = edges.select(*keys, F.inline(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("v").alias("x"), F.lit(0).alias("o"), F.lit(1).alias("i")))))
+        out, through = ends.groupBy(*keys, "x").agg(F.sum("o").alias("o"), F.sum("i").alias("i")).agg(F.max("o"), F.max(F.least("o", "i"))).first()
+        if (out or 0) <= 1 and not through:
+            return edges.withColumnRenamed("v", "root")
+        both = edges.unionByName(edges.select(*keys, F.col("v").alias("u"), F.col("u").alias("v")))
+        large = least(both).filter("v > u").select(*keys, F.col("v").alias("u"), F.least("u", "m").alias("v"))
+        small = least(large).select(*keys, F.inline(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))))
+        edges = staged(small.filter("u <> v").distinct(), "stars")
+    raise RuntimeError(f"no stars after {most_rounds} rounds")
+
+
+def border_links(local: DataFrame, keys: list[str], corners: bool, strip: int) -> DataFrame:
+    """keys, u, v: parts of two strips that touch across their border. local: keys, col, r0, r1, component."""
+    side = lambda at, to, of: local.filter(F.col("col") % strip == at).select(*keys, F.call_function("div", F.col("col") + to, F.lit(strip)).cast("int").alias("border"), F.lit(of).alias("side"), "r0", "r1", "component")
+    by = 1 if corners else 0
 
     def work(table: pa.Table) -> pa.Table:
-        group = numbered(table, keys)
+        group = numbered(table, [*keys, "border"])
+        right, (r0, r1) = table.column("side").to_numpy() == 1, _columns(table, "r0", "r1")
+        part, flat = table.column("component").to_numpy(), np.zeros(len(group), np.int64)
+        l, r = np.flatnonzero(~right), np.flatnonzero(right)
+        q, k = overlapping(group[r], flat[r], r0[r], r1[r], group[l], flat[l], r0[l] - by, r1[l] + by)
+        pair = np.unique(np.stack([l[q], part[l[q]], part[r[k]]]), axis=1) if len(q) else np.zeros((3, 0), np.int64)
+        return pa.table({**{c: table.column(c).take(pa.array(pair[0])) for c in keys}, "u": pa.array(pair[1]), "v": pa.array(pair[2])})
+
+    return per_group(side(strip - 1, 1, 0).unionByName(side(0, 0, 1)), [*keys, "border"], ["side", "r0"], work, f"{_schema(local, keys)}, u long, v long")
+
+
+def mask_components(runs: DataFrame, keys: list[str] = MASK, corners: bool = True, strip: int = STRIP) -> DataFrame:
+    """Each run with its component, named by its least node. Runs of a mask and column are disjoint.
+
+    A task has a strip of a mask at most. strip: columns of one.
+    """
+    whole = [*keys, "strip"]
+
+    def work(table: pa.Table) -> pa.Table:
+        group = numbered(table, whole)
         col, r0, r1 = _columns(table, "col", "r0", "r1")
         label = labels(len(col), *touching(group, col, r0, r1, corners))
         return table.select([*keys, "col", "r0", "r1"]).append_column("component", pa.array(node_of(col, r0)[label]))
 
-    return per_group(runs.select(*keys, "col", "r0", "r1"), keys, ["col", "r0"], work, f"{_schema(runs, keys)}, col int, r0 int, r1 int, component long")
+    cut = runs.select(*keys, "col", "r0", "r1", F.call_function("div", F.col("col"), F.lit(strip)).cast("int").alias("strip"))
+    local = staged(per_group(cut, whole, ["col", "r0"], work, f"{_schema(runs, keys)}, col int, r0 int, r1 int, component long"), "parts")
+    roots = united(border_links(local, keys, corners, strip), keys)
+    n = roots.count()
+    if not n:
+        return local
+    named = roots.withColumnRenamed("u", "component").hint("broadcast" if n * 64 <= BROADCAST_BYTES else "merge")
+    return local.join(named, [*keys, "component"], "left").select(*keys, "col", "r0", "r1", F.coalesce("root", "component").alias("component"))
 
 
 def background(group, col, r0, r1) -> tuple[np.ndarray, ...]:

@@ -56,6 +56,46 @@ def test_columns_beyond_the_key_are_refused():
         components._columns(table, "col", "r0")
 
 
+def test_a_mask_over_many_strips(spark):
+    """Strips of two columns give the parts of whole masks: spirals, combs, diagonals and noise."""
+    r, rows = np.random.default_rng(8), []
+    spiral = np.zeros((41, 41), bool)
+    for k in range(0, 20, 4):
+        spiral[k, k : 41 - k] = spiral[k : 41 - k, 40 - k] = spiral[40 - k, k : 41 - k] = True
+        spiral[k + 4 : 41 - k, k] = True
+    comb = np.zeros((30, 40), bool)
+    comb[:, ::2] = True
+    comb[0, 1::4] = comb[29, 3::4] = True
+    shapes = [spiral, comb, np.eye(37, dtype=bool), *(r.random((25, 30)) < d for d in (0.3, 0.42, 0.55))]
+    for k, a in enumerate(shapes):
+        for c in range(a.shape[1]):
+            edge = np.flatnonzero(np.diff(np.concatenate([[0], a[:, c].astype(np.int8), [0]])))
+            rows += [(1, k, c, int(s), int(e)) for s, e in zip(edge[::2], edge[1::2], strict=True)]
+    df = spark.createDataFrame(rows, RUNS)
+    for corners in (True, False):
+        want = sorted(map(tuple, components.mask_components(df, corners=corners).collect()))
+        for strip in (1, 2, 7):
+            assert sorted(map(tuple, components.mask_components(df, corners=corners, strip=strip).select("image_id", "source_index", "col", "r0", "r1", "component").collect())) == want
+
+
+def test_labels_against_union_find():
+    """Graphs in which a root has edges to several lower roots at once."""
+    r = np.random.default_rng(9)
+    for n, m in [(2, 0), (5, 4), (60, 40), (60, 70), (400, 390), (400, 900)] * 5:
+        u, v = r.integers(0, n, m), r.integers(0, n, m)
+        root = list(range(n))
+
+        def find(x, root=root):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in zip(u, v, strict=True):
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
+        assert components.labels(n, u, v).tolist() == [find(x) for x in range(n)]
+
+
 def test_groups_over_many_batches():
     """Rows of a group that spans batches are put together once, and groups are never cut."""
     keys = np.sort(np.random.default_rng(2).integers(0, 9, 500))
