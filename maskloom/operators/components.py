@@ -123,7 +123,7 @@ def _columns(table: pa.Table, *names: str) -> list[np.ndarray]:
     """Columns and rows as numbers that fit a key."""
     out = [table.column(c).to_numpy() for c in names]
     for c, x in zip(names, out, strict=True):
-        if len(x) and (x.min() < 0 or x.max() >= (1 << BITS) - 2 * PAD):
+        if len(x) and (x.min() <= -PAD or x.max() >= (1 << BITS) - 2 * PAD):
             raise ValueError(f"{c} from {x.min()} to {x.max()}: masks have less than {(1 << BITS) - 2 * PAD} columns and rows")
     return out
 
@@ -192,15 +192,21 @@ def mask_components(runs: DataFrame, keys: list[str] = MASK, corners: bool = Tru
     return local.join(named, [*keys, "component"], "left").select(*keys, "col", "r0", "r1", F.coalesce("root", "component").alias("component"))
 
 
-def background(group, col, r0, r1) -> tuple[np.ndarray, ...]:
-    """Gaps (group, col, r0, r1) between the runs of each column of each group's box, padded by one on all sides."""
+def background(group, col, r0, r1, frame: tuple[np.ndarray, ...] | None = None) -> tuple[np.ndarray, ...]:
+    """Gaps (group, col, r0, r1) between the runs of each column of each group's box, padded by one on all sides.
+
+    frame: first and last column and row of each group, where they are not those of the padded box.
+    """
     n = int(group[-1]) + 1
-    low, high = np.full((2, n), np.iinfo(np.int64).max), np.full((2, n), np.iinfo(np.int64).min)
-    for k, (a, b) in enumerate(((col, col), (r0, r1))):
-        np.minimum.at(low[k], group, a)
-        np.maximum.at(high[k], group, b)
-    g, c = spread(low[0] - 1, high[0] + 2)
-    lo, hi = low[1][g] - 1, high[1][g] + 1
+    if frame is None:
+        low, high = np.full((2, n), np.iinfo(np.int64).max), np.full((2, n), np.iinfo(np.int64).min)
+        for k, (a, b) in enumerate(((col, col), (r0, r1))):
+            np.minimum.at(low[k], group, a)
+            np.maximum.at(high[k], group, b)
+        frame = low[0] - 1, high[0] + 1, low[1] - 1, high[1]
+    left, right, top, bottom = frame
+    g, c = spread(left, right + 1)
+    lo, hi = top[g], bottom[g] + 1
     starts = np.sort(np.concatenate([place(g, c, lo), place(group, col, r1)]))
     stops = np.sort(np.concatenate([place(g, c, hi), place(group, col, r0)]))
     row = (1 << BITS) - 1
@@ -222,6 +228,17 @@ def merged(group, col, r0, r1) -> tuple[np.ndarray, ...]:
     return s >> (2 * BITS), ((s >> BITS) & row) - PAD, (s & row) - PAD, (e & row) - PAD
 
 
+def beside(runs: tuple[np.ndarray, ...], gaps: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+    """Runs of the pixels that have a gap's pixel beside them, by corners too."""
+    group, col, r0, r1 = runs
+    g, c, a, b = gaps
+    found = []
+    for step in (-1, 0, 1):
+        q, k = overlapping(group, col, r0, r1, g, c + step, a - 1, b + 1)
+        found.append((group[k], col[k], np.maximum(r0[k], a[q] - 1), np.minimum(r1[k], b[q] + 1)))
+    return merged(*(np.concatenate(x) for x in zip(*found, strict=True)))
+
+
 def boundary_of(group, col, r0, r1) -> tuple[np.ndarray, ...]:
     """Runs of the pixels of each group that are 8-adjacent to background which reaches the border of its padded box by sides."""
     g, c, a, b = background(group, col, r0, r1)
@@ -229,26 +246,76 @@ def boundary_of(group, col, r0, r1) -> tuple[np.ndarray, ...]:
     # The padded ring is one region, and a group's first gap is in it.
     first = np.searchsorted(g, np.arange(int(g[-1]) + 1))
     outer = label == label[first[g]]
-    g, c, a, b = (x[outer] for x in (g, c, a, b))
-    found = []
-    for step in (-1, 0, 1):
-        q, k = overlapping(group, col, r0, r1, g, c + step, a - 1, b + 1)
-        found.append((group[k], col[k], np.maximum(r0[k], a[q] - 1), np.minimum(r1[k], b[q] + 1)))
-    return merged(*(np.concatenate(x) for x in zip(*found, strict=True)))
+    return beside((group, col, r0, r1), tuple(x[outer] for x in (g, c, a, b)))
+
 
+def _with_keys(table: pa.Table, keys: list[str], at: np.ndarray, **made) -> pa.Table:
+    """Rows with the keys of the table's rows `at`."""
+    of = pa.array(at)
+    return pa.table({**{k: table.column(k).take(of) for k in keys}, **{k: pa.array(x) for k, x in made.items()}})
 
-def external_boundary(parts: DataFrame) -> DataFrame:
-    """Runs of each component's outer boundary. parts: the mask keys, component, col, r0, r1 (what mask_components returns)."""
+
+def external_boundary(parts: DataFrame, strip: int = STRIP) -> DataFrame:
+    """Runs of each component's outer boundary. parts: the mask keys, component, col, r0, r1 (what mask_components returns).
+
+    A component within one strip of columns is one task's work. Of a wider one, each strip is: the background in it is labelled there,
+    labels that touch across strips are united, and what reaches the padded ring is the outside that the strips' pixels are held against.
+    """
     keys = [*MASK, "component"]
+    kinds = f"{_schema(parts, MASK)}, component long"
+    rows = parts.select(*keys, "col", "r0", "r1")
 
-    def work(table: pa.Table) -> pa.Table:
+    def whole(table: pa.Table) -> pa.Table:
         group = numbered(table, keys)
         g, c, a, b = boundary_of(group, *_columns(table, "col", "r0", "r1"))
-        of = pa.array(np.searchsorted(group, g))
-        made = {"col": c, "r0": a, "r1": b}
-        return pa.table({**{k: table.column(k).take(of) for k in keys}, **{k: pa.array(x.astype(np.int32)) for k, x in made.items()}})
+        return _with_keys(table, keys, np.searchsorted(group, g), col=c.astype(np.int32), r0=a.astype(np.int32), r1=b.astype(np.int32))
+
+    strip_of = lambda c: F.floor(c / F.lit(strip)).cast("int")
+    boxes = rows.groupBy(*keys).agg(F.min("col").alias("x0"), F.max("col").alias("x1"), F.min("r0").alias("y0"), F.max("r1").alias("y1"))
+    wide = staged(boxes.filter(strip_of(F.col("x0")) != strip_of(F.col("x1"))), "wide-parts")
+    if wide.isEmpty():
+        return per_group(rows, keys, ["col", "r0"], whole, f"{kinds}, col int, r0 int, r1 int")
+    narrow = per_group(rows.join(wide.select(*keys).hint("merge"), keys, "left_anti"), keys, ["col", "r0"], whole, f"{kinds}, col int, r0 int, r1 int")
+    cut = rows.join(wide.hint("merge"), keys).withColumn("strip", strip_of(F.col("col")))
+    return narrow.unionByName(_wide_boundary(cut, keys, kinds, strip))
+
 
-    return per_group(parts.select(*keys, "col", "r0", "r1"), keys, ["col", "r0"], work, f"{_schema(parts, MASK)}, component long, col int, r0 int, r1 int")
+def _wide_boundary(cut: DataFrame, keys: list[str], kinds: str, strip: int) -> DataFrame:
+    """external_boundary of components over several strips. cut: keys, col, r0, r1, strip, and the box of the component: x0, x1, y0, y1 (end exclusive)."""
+    tile, ring = [*keys, "strip"], 0
+
+    def gaps(table: pa.Table) -> pa.Table:
+        group = numbered(table, tile)
+        col, r0, r1 = (x.astype(np.int64) for x in _columns(table, "col", "r0", "r1"))
+        first = np.searchsorted(group, np.arange(int(group[-1]) + 1))
+        at, x0, x1, y0, y1 = (table.column(c).to_numpy()[first].astype(np.int64) for c in ("strip", "x0", "x1", "y0", "y1"))
+        # The padded columns belong to the strips of the box's edges.
+        frame = np.where(x0 // strip == at, x0 - 1, at * strip), np.where(x1 // strip == at, x1 + 1, (at + 1) * strip - 1), y0 - 1, y1
+        g, c, a, b = background(group, col, r0, r1, frame)
+        label = labels(len(g), *touching(g, c, a, b, False))
+        outside = (c < x0[g]) | (c > x1[g]) | (a < y0[g]) | (b > y1[g])
+        return _with_keys(table, keys, first[g], col=c.astype(np.int32), r0=a.astype(np.int32), r1=b.astype(np.int32), label=node_of(c, a)[label], ring=outside)
+
+    local = staged(per_group(cut, tile, ["col", "r0"], gaps, f"{kinds}, col int, r0 int, r1 int, label long, ring boolean"), "gaps")
+    # For the links a gap's label is the part, and the component one of the keys.
+    named = [*MASK, "of"]
+    renamed = local.select(*MASK, F.col("component").alias("of"), "col", "r0", "r1", F.col("label").alias("component"), "ring")
+    outer = renamed.filter("ring").select(*named, F.col("component").alias("u"), F.lit(ring).cast("long").alias("v")).distinct()
+    roots = united(border_links(renamed, named, False, strip).unionByName(outer), named)
+    outside = renamed.join(roots.filter(F.col("root") == ring).select(*named, F.col("u").alias("component")).hint("merge"), [*named, "component"], "left_semi")
+    # Outside gaps go to the strips of the columns beside theirs, too.
+    near = F.array_distinct(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.floor((F.col("col") + d) / F.lit(strip)).cast("int")))
+    sent = outside.select(*MASK, F.col("of").alias("component"), F.explode(near).alias("strip"), F.lit(1).alias("gap"), "col", "r0", "r1")
+    both = cut.select(*tile, F.lit(0).alias("gap"), "col", "r0", "r1").unionByName(sent)
+
+    def edge(table: pa.Table) -> pa.Table:
+        group = numbered(table, tile)
+        gap = table.column("gap").to_numpy() == 1
+        col, r0, r1 = (table.column(c).to_numpy().astype(np.int64) for c in ("col", "r0", "r1"))
+        g, c, a, b = beside(tuple(x[~gap] for x in (group, col, r0, r1)), tuple(x[gap] for x in (group, col, r0, r1)))
+        return _with_keys(table, keys, np.searchsorted(group, g), col=c.astype(np.int32), r0=a.astype(np.int32), r1=b.astype(np.int32))
+
+    return per_group(both, tile, ["gap", "col", "r0"], edge, f"{kinds}, col int, r0 int, r1 int")
 
 
 def ray_ends(px, py, x, y, box) -> tuple[np.ndarray, np.ndarray]:

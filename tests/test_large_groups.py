@@ -72,6 +72,10 @@ def test_a_mask_over_many_strips(spark):
             edge = np.flatnonzero(np.diff(np.concatenate([[0], a[:, c].astype(np.int8), [0]])))
             rows += [(1, k, c, int(s), int(e)) for s, e in zip(edge[::2], edge[1::2], strict=True)]
     df = spark.createDataFrame(rows, RUNS)
+    named = components.mask_components(df).cache()
+    edges = lambda **how: sorted((x.image_id, x.source_index, x.component, x.col, x.r0, x.r1) for x in components.external_boundary(named, **how).collect())
+    for strip in (1, 2, 7):
+        assert edges(strip=strip) == edges()
     for corners in (True, False):
         want = sorted(map(tuple, components.mask_components(df, corners=corners).collect()))
         for strip in (1, 2, 7):
