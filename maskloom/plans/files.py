@@ -29,18 +29,18 @@ def src01(spark, sf_dir):
     return by.join(names.hint("merge"), "folder").select(F.col("name").alias("folder"), "bytes")
 
 
-@query("src02_image_dims", "SELECT CAST(s_suppkey AS BIGINT) AS image_id, CAST(1 + s_suppkey % 90 AS INT) AS img_w, CAST(1 + s_suppkey % 70 AS INT) AS img_h, 3 AS channels FROM supplier WHERE s_suppkey % 5 <> 0")
+@query("src02_image_dims", "SELECT DISTINCT CAST(user_id AS BIGINT) AS image_id, CAST(1 + user_id % 90 AS INT) AS img_w, CAST(1 + user_id % 70 AS INT) AS img_h, 3 AS channels FROM events WHERE user_id % 5 <> 0")
 def src02(spark, sf_dir):
-    """An uncompressed picture per supplier, grey of one tone; every fifth is cut off in its header and is not read."""
+    """An uncompressed picture per user, grey of one tone; every fifth is cut off in its header and is not read."""
     path = fresh_path(spark, "pictures")
-    w, h = 1 + F.col("s_suppkey") % 90, 1 + F.col("s_suppkey") % 70
+    w, h = 1 + F.col("user_id") % 90, 1 + F.col("user_id") % 70
     # Every byte of the file is below 128, so that it can be written as text; the size in the header only has to be large enough.
     byte = lambda c: F.char(c.cast("long"))
     four = lambda c: F.concat(byte(c), F.lit("\0\0\0"))
     head = F.concat(F.lit("BM\x7f\x7f\x7f\0\0\0\0\0"), four(F.lit(54)), four(F.lit(40)), four(w), four(h), F.lit("\1\0"), F.lit("\x18\0"), F.lit("\0" * 24))
     pixels = F.repeat(F.lit("@"), ((w * 3 + 3 - (w * 3 + 3) % 4) * h).cast("int"))
-    rows = table(spark, sf_dir, "supplier").select("s_suppkey", F.when(F.col("s_suppkey") % 5 == 0, F.substring(head, 1, 10)).otherwise(F.concat(head, pixels)).alias("value"))
-    rows.withColumn("image_id", F.col("s_suppkey")).select("value", "image_id").write.partitionBy("image_id").text(path)
+    rows = table(spark, sf_dir, "events").select("user_id").distinct().select("user_id", F.when(F.col("user_id") % 5 == 0, F.substring(head, 1, 10)).otherwise(F.concat(head, pixels)).alias("value"))
+    rows.withColumn("image_id", F.col("user_id")).select("value", "image_id").write.partitionBy("image_id").text(path)
     dims = src.image_dims(spark, path)
     return dims.select(F.regexp_extract("path", "image_id=([0-9]+)", 1).cast("long").alias("image_id"), "img_w", "img_h", "channels")
 
