@@ -168,12 +168,18 @@ def records(objects: DataFrame, images: DataFrame) -> DataFrame:
     return images.select("image_id").join(per.hint("merge"), "image_id", "left").select("image_id", F.concat(F.lit("["), F.coalesce(F.array_join(F.transform("l", lambda x: x["r"]), ","), F.lit("")), F.lit("]")).alias("records"))
 
 
-def result_documents(objects: DataFrame, images: DataFrame, level: int, artifacts: DataFrame | None = None, rle: DataFrame | None = None, counts: DataFrame | None = None) -> DataFrame:
+def result_documents(objects: DataFrame, images: DataFrame, level: int, artifacts: DataFrame | None = None, rle: DataFrame | None = None, counts: DataFrame | None = None,
+                     settings: DataFrame | None = None, statuses: DataFrame | None = None, diagnostics: DataFrame | None = None, timings: DataFrame | None = None) -> DataFrame:
     """Documents by tier. A tier is a choice of columns: what it leaves out is never computed.
 
-    0: labels; 1: and descriptors of the artifacts (image_id, name, raw_bytes, sha256); 2: and object records; 3: and the objects'
-    run lengths (rle: the mask keys, counts), the funnel (counts: image_id, stage, n) and warnings.
+    0: labels and the effective settings (settings: image_id, field, value as text, source); 1: and descriptors of the artifacts (image_id, name, raw_bytes, sha256); 2: and object records; 3: and the objects'
+    run lengths (rle: the mask keys, counts), the funnel (counts: image_id, stage, n), warnings, the statuses of the stages (statuses:
+    image_id, stage, status), the filter's counters (diagnostics: image_id, counter, n) and the time that stages took (timings: image_id, stage, ms).
     """
+    told = {
+        "settings": (0, settings, lambda: F.concat("field", F.lit("="), "value", F.lit(":"), "source")), "stage_statuses": (3, statuses, lambda: F.concat("stage", F.lit("="), "status")),
+        "post_filter_diagnostics": (3, diagnostics, lambda: F.concat("counter", F.lit("="), F.col("n").cast("string"))), "timings_ms": (3, timings, lambda: F.concat("stage", F.lit("="), F.col("ms").cast("string"))),
+    }
     lines = F.array_sort(F.collect_list(F.struct("instance_id", F.col("label").alias("label"))))
     warnings = F.array_sort(F.collect_list(F.when(F.col("warning").isNotNull(), F.struct("instance_id", F.concat(F.lit("object "), F.col("instance_id").cast("string"), F.lit(": "), "warning").alias("w")))))
     per = objects.groupBy("image_id").agg(lines.alias("l"), F.count(F.lit(1)).alias("n"), *([warnings.alias("w")] if level >= 3 else []))
@@ -194,6 +200,10 @@ def result_documents(objects: DataFrame, images: DataFrame, level: int, artifact
     if level >= 3 and counts is not None:
         per = counts.groupBy("image_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat("stage", F.lit("="), F.col("n").cast("string")))), ",").alias("candidate_counts"))
         base = base.join(per.hint("merge"), "image_id", "left").na.fill("", ["candidate_counts"])
+    for name, (least, rows, text) in told.items():
+        if level >= least and rows is not None:
+            per = rows.groupBy("image_id").agg(F.array_join(F.array_sort(F.collect_list(text())), ",").alias(name))
+            base = base.join(per.hint("merge"), "image_id", "left").na.fill("", [name])
     return base
 
 
@@ -218,6 +228,13 @@ def dataset_manifest(labels: list[str]) -> dict:
     return {"train": "images/train", "val": "images/val", "nc": len(labels), "names": list(labels)}
 
 
+def dataset_row(labels: DataFrame) -> DataFrame:
+    """The description of a data set as one row: train, val, nc, names. labels: position, label; the class list, which is short, in order."""
+    names = F.transform(F.array_sort(F.collect_list(F.struct("position", "label"))), lambda x: x["label"])
+    fixed = dataset_manifest([])
+    return labels.agg(F.lit(fixed["train"]).alias("train"), F.lit(fixed["val"]).alias("val"), F.count(F.lit(1)).alias("nc"), names.alias("names"))
+
+
 def label_manifest(objects: DataFrame) -> DataFrame:
     """Class ids in use with their labels and counts, in order."""
     return objects.groupBy("class_id", "label").agg(F.count(F.lit(1)).alias("objects"), F.countDistinct("image_id").alias("images"))

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import artifacts, masks, objects
 from ..operators import reports as ops
+from ..operators.settings import resolve_settings
 from .artifacts import ADMIT_SQL, FIRST_SQL, HASHED_SQL, hashed_of, ledger_of
 from .base import query
-from .fixtures import BASE, F1_SQL, FRAMES_SQL, OFFERS_SQL, candidates, duck, frames, mask_runs, table
+from .fixtures import BASE, F1_SQL, FRAMES_SQL, OFFERS_SQL, REQUESTS_SQL, candidates, duck, frames, mask_runs, requests, table
 from .masks import DEPTH_SQL, ORDERED_SQL, RLE_SQL, judged_of, rle_of
 from .objects import OBJECTS, RECORDS_SQL, VIEWS_SQL, typed_of, views_of
+from .requests import RESOLVED_SQL
 from .scoring import ROUTING, routes_of
 
 
@@ -221,6 +224,40 @@ def snk03(spark, sf_dir):
     return ops.label_manifest(typed_of(spark, sf_dir))
 
 
+@query("snk03_dataset_manifest", duck(F1_SQL) + " SELECT 'images/train' AS train, 'images/val' AS val, count(*) AS nc, string_agg(label, ',' ORDER BY label DESC) AS names FROM (SELECT DISTINCT label FROM f1)")
+def snk03_dataset(spark, sf_dir):
+    """The labels in use, last one first."""
+    used = candidates(spark, sf_dir).select("label").distinct()
+    rows = used.withColumn("position", F.row_number().over(Window.orderBy(F.desc("label"))))
+    return ops.dataset_row(rows).withColumn("names", F.array_join("names", ","))
+
+
+_TOLD_SQL = """
+st AS (SELECT request_id AS image_id, string_agg(field || '=' || CAST(value AS BIGINT) || ':' || source, ',' ORDER BY field || '=' || CAST(value AS BIGINT) || ':' || source) AS settings FROM (
+  SELECT e.request_id, unnest(['points_per_side', 'crop_n_layers']) AS field, unnest([e.points_per_side, e.crop_n_layers]) AS value,
+    unnest([CASE WHEN r.points_per_side IS NOT NULL THEN 'explicit' WHEN profile IS NOT NULL THEN 'profile' ELSE 'default' END, CASE WHEN r.crop_n_layers IS NOT NULL THEN 'explicit' WHEN profile IS NOT NULL THEN 'profile' ELSE 'default' END]) AS source
+  FROM eff e JOIN requests r USING (request_id)) GROUP BY request_id),
+ev AS (SELECT event_id AS image_id, 'stage_statuses' AS k, 'label=' || event_type AS stage_statuses, 'label=' || CAST(floor(value) AS BIGINT) || ',segment=' || CAST(floor(value) AS BIGINT) * 3 AS timings_ms FROM events),
+dg AS (SELECT image_id, 'rejected=' || count(reason) || ',retained=' || count(*) FILTER (reason IS NULL) AS post_filter_diagnostics FROM reasoned GROUP BY image_id)
+"""
+
+
+@query("snk07_documents_with_settings_and_audit", duck(*OBJECTS, _RECORD_SQL, REQUESTS_SQL, RESOLVED_SQL, _TOLD_SQL, """
+dw AS (SELECT image_id, string_agg('object ' || instance_id || ': ' || warning, ',' ORDER BY instance_id) AS warnings FROM typed WHERE warning IS NOT NULL GROUP BY image_id)""") + f"""
+SELECT i.image_id, coalesce(n, 0) AS objects, coalesce(labels, '') AS labels, coalesce(warnings, '') AS warnings, coalesce(records, '[]') AS records, coalesce(settings, '') AS settings, coalesce(stage_statuses, '') AS stage_statuses, coalesce(post_filter_diagnostics, '') AS post_filter_diagnostics, coalesce(timings_ms, '') AS timings_ms
+FROM {_ALL_IMAGES_SQL} LEFT JOIN rec USING (image_id) LEFT JOIN dw USING (image_id) LEFT JOIN st USING (image_id) LEFT JOIN ev USING (image_id) LEFT JOIN dg USING (image_id)""")
+def snk07_audit(spark, sf_dir):
+    """The full tier: an image has the settings of the request and the log line of its own number, where there are such."""
+    resolved = resolve_settings(requests(spark, sf_dir)).filter("field IN ('points_per_side', 'crop_n_layers')")
+    settings = resolved.select(F.col("request_id").alias("image_id"), "field", F.col("value").cast("long").cast("string").alias("value"), "source")
+    log = table(spark, sf_dir, "events").select(F.col("event_id").alias("image_id"), "event_type", F.floor("value").cast("long").alias("ms"))
+    statuses = log.select("image_id", F.lit("label").alias("stage"), F.col("event_type").alias("status"))
+    timings = log.select("image_id", F.inline(F.array(F.struct(F.lit("label").alias("stage"), F.col("ms").alias("ms")), F.struct(F.lit("segment").alias("stage"), (F.col("ms") * 3).alias("ms")))))
+    d = objects.filter_diagnostics(judged_of(spark, sf_dir))
+    diagnostics = d.select("image_id", F.inline(F.array(*[F.struct(F.lit(c).alias("counter"), F.col(c).alias("n")) for c in ("retained", "rejected")])))
+    return ops.result_documents(typed_of(spark, sf_dir), images_of(spark, sf_dir), 3, settings=settings, statuses=statuses, diagnostics=diagnostics, timings=timings)
+
+
 @query("snk04_split", duck(F1_SQL) + " SELECT image_id, CASE WHEN (image_id * 7919 + 17) % 10000 < 8000 THEN 'train' ELSE 'val' END AS split FROM (SELECT DISTINCT image_id FROM f1)")
 def snk04(spark, sf_dir):
     return ops.split_train_val(images_of(spark, sf_dir), 80, 17)
