@@ -352,33 +352,39 @@ def row_runs(group, col, r0, r1) -> tuple[np.ndarray, ...]:
     return first >> (2 * BITS), ((first >> BITS) & mask) - PAD, (first & mask) - PAD, (last & mask) - PAD + 1
 
 
-def pixels_met(masks: int, low, size, group, line, a, b, at, along, lo, hi) -> np.ndarray:
-    """Pixels of each stretch (mask `at`, line `along`, lo to hi) that lie in runs (sorted group, line, a, b); low, size: the lines of each mask's box."""
-    base = np.concatenate([[0], np.cumsum(size)])
-    of_run = base[group] + line - low[group]
-    n = np.bincount(of_run, minlength=int(base[masks]))
-    first = np.cumsum(n) - n
-    mine = base[at] + along - low[at]
-    k, left = first[mine], n[mine]
-    out = np.zeros(len(at), np.int64)
-    crowded = left > FEW
-    some = np.flatnonzero((left > 0) & ~crowded)
-    k, left, l, h = k[some], left[some], lo[some], hi[some]
-    while len(some):
-        out[some] += np.maximum(np.minimum(h, b[k]) - np.maximum(l, a[k]), 0)
-        more = np.flatnonzero(left > 1)
-        some, k, left, l, h = some[more], k[more] + 1, left[more] - 1, l[more], h[more]
-    if crowded.any():
-        # Pixels before a place, over all lines one after the other.
-        start, before = place(group, line, a), np.cumsum(b - a) - (b - a)
-
-        def upto(place_):
-            j = np.maximum(np.searchsorted(start, place_, "right") - 1, 0)
-            return before[j] + np.clip(place_ - start[j], 0, (b - a)[j])
-
-        many = np.flatnonzero(crowded)
-        out[many] = upto(place(at[many], along[many], hi[many])) - upto(place(at[many], along[many], lo[many]))
-    return out
+class Lines:
+    """Runs (sorted by group, line, start) by the lines of the groups' boxes. low, size: the lines of each box."""
+
+    def __init__(self, low, size, group, line, a, b):
+        base = np.concatenate([[0], np.cumsum(size)])
+        self.first_line, self.a, self.b = base[:-1] - low, a, b
+        of_run = self.first_line[group] + line
+        self.count = np.bincount(of_run, minlength=int(base[-1]))
+        self.first = np.cumsum(self.count) - self.count
+        self.crowded = bool((self.count > FEW).any())
+        if self.crowded:
+            # Pixels before a place, over all lines one after the other.
+            self.start, self.before = (of_run << BITS) + a + PAD, np.cumsum(b - a) - (b - a)
+
+    def upto(self, place_):
+        j = np.maximum(np.searchsorted(self.start, place_, "right") - 1, 0)
+        return self.before[j] + np.clip(place_ - self.start[j], 0, (self.b - self.a)[j])
+
+    def met(self, line, lo, hi) -> np.ndarray:
+        """Pixels of each stretch (numbered line, lo to hi) that lie in runs."""
+        left = self.count[line]
+        out = np.zeros(len(line), np.int64)
+        some = np.flatnonzero((left > 0) & (left <= FEW) if self.crowded else left)
+        k, left, l, h = self.first[line[some]], left[some], lo[some], hi[some]
+        while len(some):
+            out[some] += np.maximum(np.minimum(h, self.b[k]) - np.maximum(l, self.a[k]), 0)
+            more = np.flatnonzero(left > 1)
+            some, k, left, l, h = some[more], k[more] + 1, left[more] - 1, l[more], h[more]
+        if self.crowded:
+            many = np.flatnonzero(self.count[line] > FEW)
+            at = (line[many] << BITS) + PAD
+            out[many] = self.upto(at + hi[many]) - self.upto(at + lo[many])
+        return out
 
 
 def pixels_on_rays(group, col, r0, r1, box, at, px, py, ex, ey) -> np.ndarray:
@@ -401,22 +407,28 @@ def pixels_on_rays(group, col, r0, r1, box, at, px, py, ex, ey) -> np.ndarray:
                 continue
             runs = row_runs(g, c, a, b) if along_rows else (g, c, a, b)
             low, size = (y0[m0:m1], y1[m0:m1] - y0[m0:m1] + 1) if along_rows else (x0[m0:m1], x1[m0:m1] - x0[m0:m1] + 1)
-            # Places along the line's short axis (across) and its long axis.
-            across0, long0, sa, sl = (py[rays], px[rays], np.sign(dy[rays]), np.sign(dx[rays])) if along_rows else (px[rays], py[rays], np.sign(dx[rays]), np.sign(dy[rays]))
-            total, steps, mask = wide[rays], high[rays], at[rays] - m0
+            lines = Lines(low, size, *runs)
+            # Places along the line's short axis (across, as numbered lines) and its long axis.
+            across, long0, sa, sl = (py[rays], px[rays], np.sign(dy[rays]), np.sign(dx[rays])) if along_rows else (px[rays], py[rays], np.sign(dx[rays]), np.sign(dy[rays]))
+            across = across + lines.first_line[at[rays] - m0]
+            total, steps = wide[rays], high[rays]
             cuts = np.cumsum(steps + 1) // STRETCHES
             for part in np.unique(cuts):
                 r = slice(np.searchsorted(cuts, part), np.searchsorted(cuts, part, "right"))
                 n, m = total[r], steps[r]
-                ray, j = spread(np.zeros(len(n), np.int64), m + 1)
-                # The first step on the long axis that stands at j of the short one.
-                at_j = np.where(j == 0, 0, (2 * n[ray] * j - n[ray] + 2 * m[ray] - 1) // np.maximum(2 * m[ray], 1))
+                times, ends = m + 1, np.cumsum(m + 1)
+                each = lambda x: np.repeat(x, times)  # noqa: B023, E731
+                j = np.arange(ends[-1]) - each(ends - times)
+                # The first step on the long axis that stands at j of the short one, ceil((2nj - n) / 2m). Numbers are far below 2**53, so the quotient of
+                # doubles is cut off at the same whole number.
+                at_j = ((each(2 * n) * j + each(2 * m - n - 1)) / each(np.maximum(2 * m, 1))).astype(np.int64)
+                at_j[ends - times] = 0
                 next_j = np.append(at_j[1:], 0)
-                ends = np.cumsum(m + 1) - 1
-                next_j[ends] = n + 1
-                p, q = long0[r][ray] + sl[r][ray] * at_j, long0[r][ray] + sl[r][ray] * (next_j - 1)
-                met = pixels_met(m1 - m0, low, size, *runs, mask[r][ray], across0[r][ray] + sa[r][ray] * j, np.minimum(p, q), np.maximum(p, q) + 1)
-                out[rays[r]] = np.add.reduceat(met, ends - m)
+                next_j[ends - 1] = n + 1
+                way, begin = each(sl[r]), each(long0[r])
+                p, q = begin + way * at_j, begin + way * (next_j - 1)
+                met = lines.met(each(across[r]) + each(sa[r]) * j, np.minimum(p, q), np.maximum(p, q) + 1)
+                out[rays[r]] = np.add.reduceat(met, ends - times)
     return out
 
 
