@@ -152,15 +152,33 @@ def rules_table(spark, rules: list[VerifyRule]) -> DataFrame:
     return spark.createDataFrame(rows, "rule_order int, rule_name string, kind string, threshold double, question string, true_token string, false_token string, true_label string, false_label string")
 
 
+def measured(rules: DataFrame) -> int:
+    """Bytes of a table of rules, about."""
+    texts = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in rules.schema.fields if f.dataType.simpleString() == "string"]
+    return rules.agg(F.sum(sum(texts, F.lit(64)))).first()[0] or 0
+
+
+def by_size(rules: DataFrame) -> DataFrame:
+    """Rules that are sent round if they are few, and meet by a merge join otherwise."""
+    return rules.hint("broadcast" if measured(rules) <= PROMPT_BYTES else "merge")
+
+
 def match_routed_rule(routes: DataFrame, rules: DataFrame) -> DataFrame:
-    """The rule of the chosen target, for candidates that are verified. rules has a handful of rows."""
-    return routes.filter("verify").join(F.broadcast(rules.filter("kind = 'label'")), F.col("target") == F.col("rule_name"))
+    """The rule of the chosen target, for candidates that are verified."""
+    return routes.filter("verify").join(by_size(rules.filter("kind = 'label'")), F.col("target") == F.col("rule_name"))
 
 
 def match_threshold_rules(vectors: DataFrame, rules: DataFrame) -> DataFrame:
-    """The first `any` rule, in order, whose threshold the winner's score does not exceed."""
+    """The first `any` rule, in order, whose threshold the winner's score does not exceed.
+
+    Only rules with a higher threshold than all before them can be a first one; these are sent round, and must fit.
+    """
+    earlier = F.max("threshold").over(Window.orderBy("rule_order").rowsBetween(Window.unboundedPreceding, -1))
+    steps = rules.filter("kind = 'any' AND threshold IS NOT NULL").withColumn("earlier", earlier).filter("earlier IS NULL OR threshold > earlier").drop("earlier")
+    if measured(steps) > PROMPT_BYTES:
+        raise ValueError("too many threshold rules to be sent round")
     top = F.get(F.filter("scores", lambda s: s["rank"] == 1), F.lit(0))["score"]
-    hit = vectors.withColumn("winner_score", top).join(F.broadcast(rules.filter("kind = 'any' AND threshold IS NOT NULL")), F.col("winner_score") <= F.col("threshold"))
+    hit = vectors.withColumn("winner_score", top).join(F.broadcast(steps), F.col("winner_score") <= F.col("threshold"))
     first = F.row_number().over(Window.partitionBy(*KEY).orderBy("rule_order"))
     return hit.withColumn("n", first).filter("n = 1").drop("n")
 
@@ -168,7 +186,7 @@ def match_threshold_rules(vectors: DataFrame, rules: DataFrame) -> DataFrame:
 def match_label_rules(vectors: DataFrame, rules: DataFrame, settled: DataFrame) -> DataFrame:
     """Label rules of the winners that no `any` rule has settled."""
     open_ones = vectors.join(settled.select(*KEY).hint("merge"), KEY, "left_anti")
-    return open_ones.join(F.broadcast(rules.filter("kind = 'label'")), F.col("winner") == F.col("rule_name"))
+    return open_ones.join(by_size(rules.filter("kind = 'label'")), F.col("winner") == F.col("rule_name"))
 
 
 def normalize_token(col: str) -> Column:
