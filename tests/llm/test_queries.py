@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import brute
 
-TABLES = ("documents", "benchmark", "labels")
+TABLES = ("documents", "benchmark", "labels", "conversations")
 
 
 def plain(v):
