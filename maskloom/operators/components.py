@@ -9,7 +9,7 @@ runs of its line. Memory follows runs and rays, not the area of boxes.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import staged
 from .masks import MASK
+from .sweeps import mask_batches, numbered, spread, whole_groups
 
 #: Columns and rows of a key lie below 2**21 and are moved up a little, as padded boxes begin at -1.
 BITS, PAD = 21, 4
@@ -38,13 +39,6 @@ def node_of(col: np.ndarray, r0: np.ndarray) -> np.ndarray:
     return ((col.astype(np.int64) + PAD) << BITS) | (r0.astype(np.int64) + PAD)
 
 
-def spread(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs (i, k) with lo[i] <= k < hi[i]."""
-    n = np.maximum(hi - lo, 0)
-    i = np.repeat(np.arange(len(n)), n)
-    return i, np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-
-
 def overlapping(group, col, r0, r1, at_group, at_col, a0, a1) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (query, run) where a run of the query's group and column meets the rows a0 to a1; runs are sorted and disjoint in a column."""
     first = np.searchsorted(place(group, col, r1 - 1), place(at_group, at_col, a0), "left")
@@ -76,39 +70,6 @@ def touching(group, col, r0, r1, corners: bool) -> tuple[np.ndarray, np.ndarray]
     return overlapping(group, col, r0, r1, group, col + 1, r0 - by, r1 + by)
 
 
-def numbered(table: pa.Table, keys: list[str]) -> np.ndarray:
-    """Number of the group of each row; equal keys stand together."""
-    new = np.zeros(table.num_rows, bool)
-    new[:1] = True
-    for k in keys:
-        x = table.column(k).to_numpy()
-        new[1:] |= x[1:] != x[:-1]
-    return np.cumsum(new) - 1
-
-
-def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Batches cut between groups: rows of the last group of a batch wait for the next ones, and are put together once."""
-    held: list[pa.Table] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        table = pa.Table.from_batches([batch])
-        goes_on = bool(held) and all(held[-1].column(k)[-1] == table.column(k)[0] for k in keys)
-        group = numbered(table, keys)
-        cut = int(np.searchsorted(group, group[-1]))
-        if held and (not goes_on or cut):
-            # The rows that wait, with those of the same group at the batch's start.
-            same = int(np.searchsorted(group, 1)) if goes_on else 0
-            yield pa.concat_tables([*held, table.slice(0, same)]).combine_chunks()
-            held, table, cut = [], table.slice(same), cut - same
-        if cut > 0:
-            yield table.slice(0, cut).combine_chunks()
-            table = table.slice(cut)
-        held.append(table)
-    if held:
-        yield pa.concat_tables(held).combine_chunks()
-
-
 def per_group(df: DataFrame, keys: list[str], order: list[str], work: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
     """Apply work to tables of whole groups, sorted by keys and order."""
 
@@ -318,6 +279,32 @@ def _wide_boundary(cut: DataFrame, keys: list[str], kinds: str, strip: int) -> D
     return per_group(both, tile, ["gap", "col", "r0"], edge, f"{kinds}, col int, r0 int, r1 int")
 
 
+def part_of(group, col, r0, r1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Components (by corners too) of many masks at once: the order of their runs by component, column and row, the dense component of each then, and the group of each component."""
+    part = labels(len(col), *touching(group, col, r0, r1, True))
+    order = np.lexsort((r0, col, part))
+    of, dense = np.unique(part[order], return_inverse=True)
+    return order, dense, group[of]
+
+
+def boundary_pixels(masks: DataFrame) -> DataFrame:
+    """Pixels of the outer boundaries of all components of each mask: the mask keys, boundary (long). masks: packed, runs sorted; the masks without runs are left out.
+
+    A mask is one row and is worked on where it is; the runs of wide masks go through mask_components and external_boundary.
+    """
+
+    def run(batches):
+        for batch, group, col, r0, r1 in mask_batches(batches):
+            if len(col):
+                order, dense, owner = part_of(group, col, r0, r1)
+                g, _, a, b = boundary_of(dense, col[order], r0[order], r1[order])
+                n = np.bincount(owner[g], b - a, batch.num_rows).astype(np.int64)
+                at = np.unique(group)
+                yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(k)).take(pa.array(at)) for k in MASK], pa.array(n[at])], names=[*MASK, "boundary"])
+
+    return masks.select(*MASK, "runs").mapInArrow(run, f"{_schema(masks, MASK)}, boundary long")
+
+
 def ray_ends(px, py, x, y, box) -> tuple[np.ndarray, np.ndarray]:
     """Pixel at which the ray from each boundary pixel through the centroid leaves the box; the pixel itself, if it is the centroid."""
     x0, y0, x1, y1 = box
@@ -484,21 +471,30 @@ def mask_chords(runs: DataFrame, fraction: float = 0.2, low: int = 1, high: int
     """Least, greatest and mean distance of each mask, over its distinct boundary pixels.
 
     From a boundary pixel of any of the mask's components a ray goes through the mask's centroid to the edge of its box.
-    The mask's pixels on its raster line, times fraction, rounded up and clamped, are the distance.
+    The mask's pixels on its raster line, times fraction, rounded up and clamped, are the distance. Packed masks (runs sorted) stay where they are.
     """
 
+    def stats_of(group, col, r0, r1):
+        # Components of all masks as groups of their own, for the boundary.
+        order, dense, owner = part_of(group, col, r0, r1)
+        g, c, a, b = boundary_of(dense, col[order], r0[order], r1[order])
+        i, py = spread(a, b)
+        return chords_of(group, col, r0, r1, owner[g[i]], c[i], py, fraction, low, high)
+
     def work(table: pa.Table) -> pa.Table:
         group = numbered(table, MASK)
-        col, r0, r1 = (x.astype(np.int64) for x in _columns(table, "col", "r0", "r1"))
         first = np.searchsorted(group, np.arange(int(group[-1]) + 1))
-        # Components of all masks as groups of their own, for the boundary; sorted by component, column and row.
-        part = labels(len(col), *touching(group, col, r0, r1, True))
-        order = np.lexsort((r0, col, part))
-        of, dense = np.unique(part[order], return_inverse=True)
-        g, c, a, b = boundary_of(dense, col[order], r0[order], r1[order])
-        i, py = spread(a, b)
-        at, px = group[of[g[i]]], c[i]
-        stats = chords_of(group, col, r0, r1, at, px, py, fraction, low, high)
+        stats = stats_of(group, *(x.astype(np.int64) for x in _columns(table, "col", "r0", "r1")))
         return pa.table({**{k: table.column(k).take(pa.array(first)) for k in MASK}, **{k: pa.array(v) for k, v in stats.items()}})
 
-    return per_group(runs.select(*MASK, "col", "r0", "r1"), MASK, ["col", "r0"], work, f"{_schema(runs, MASK)}, {CHORD_COLUMNS}")
+    def packed_work(batches):
+        for batch, group, col, r0, r1 in mask_batches(batches):
+            if len(col):
+                at, dense = np.unique(group, return_inverse=True)
+                stats = stats_of(dense, col, r0, r1)
+                yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(k)).take(pa.array(at)) for k in MASK], *[pa.array(v) for v in stats.values()]], names=[*MASK, *stats])
+
+    kinds = f"{_schema(runs, MASK)}, {CHORD_COLUMNS}"
+    if "runs" in runs.columns:
+        return runs.select(*MASK, "runs").mapInArrow(packed_work, kinds)
+    return per_group(runs.select(*MASK, "col", "r0", "r1"), MASK, ["col", "r0"], work, kinds)
