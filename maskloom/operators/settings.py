@@ -184,8 +184,14 @@ def unknown_keys(settings: DataFrame, allowed: tuple[str, ...], col: str = "sett
 
 def missing_and_orphan_rules(targets: DataFrame, rules: DataFrame) -> DataFrame:
     """Targets without a rule and rules without a target, per request. Both: request_id, name."""
-    missing = targets.join(rules.hint("merge"), ["request_id", "name"], "left_anti").select("request_id", "name", F.lit("missing_rule").alias("problem"))
-    return missing.unionByName(rules.join(targets.hint("merge"), ["request_id", "name"], "left_anti").select("request_id", "name", F.lit("orphan_rule").alias("problem")))
+    sides = targets.select("request_id", "name", F.lit(True).alias("wanted"), F.lit(False).alias("ruled")).unionByName(rules.select("request_id", "name", F.lit(False).alias("wanted"), F.lit(True).alias("ruled")))
+    return rule_problems(sides)
+
+
+def rule_problems(sides: DataFrame) -> DataFrame:
+    """missing_and_orphan_rules of one table: request_id, name, and whether the row is of a target (wanted) or of a rule (ruled)."""
+    per = sides.groupBy("request_id", "name").agg(F.max("wanted").alias("wanted"), F.max("ruled").alias("ruled")).filter("wanted <> ruled")
+    return per.select("request_id", "name", F.when(F.col("wanted"), "missing_rule").otherwise("orphan_rule").alias("problem"))
 
 
 def label_conflicts(targets: DataFrame, uncertain: DataFrame) -> DataFrame:
