@@ -54,3 +54,14 @@ def test_the_ledger_reads_offers_once(spark, sf):
     assert passes(ledger)[1] == 1 and "Join" not in plan_of(ledger)
     rows = ledger.collect()
     assert len(rows) == artifacts.first_offers(offers).count() and all(r.more == 2 * r.offer_seq for r in rows)
+
+
+def test_documents_tell_objects_in_one_pass(spark):
+    objs = spark.createDataFrame([(1, 2, 0, "a", 0, 5, 1, 1, 2, 2, None, [1, 2]), (1, 1, 1, "b", 0, 9, 1, 1, 2, 2, "odd", [0, 3])], "image_id long, instance_id int, source_index int, label string, class_id int, area long, x0_incl int, y0_incl int, x1_incl int, y1_incl int, warning string, counts array<bigint>")
+    docs = reports.result_documents(objs, spark.createDataFrame([(1,), (2,)], "image_id long"), 3)
+    assert plan_of(docs).count("ObjectHashAggregate") + plan_of(docs).count("SortAggregate") <= 2
+    a, b = sorted(docs.collect(), key=lambda r: r.image_id)
+    assert (a.objects, a.labels, a.warnings, a.mask_rle) == (2, "b,a", "object 1: odd", "1=0 3,2=1 2") and a.records.startswith('[{"instance_id":1,') and a.records.count("{") == 2
+    assert (b.objects, b.labels, b.warnings, b.mask_rle, b.records) == (0, "", "", "", "[]")
+    apart = reports.result_documents(objs.drop("counts"), docs.select("image_id"), 3, rle=objs.select("image_id", "source_index", "counts"))
+    assert sorted(map(tuple, apart.select(*docs.columns).collect())) == sorted(map(tuple, docs.collect()))
