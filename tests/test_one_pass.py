@@ -67,6 +67,25 @@ def test_documents_tell_objects_in_one_pass(spark):
     assert sorted(map(tuple, apart.select(*docs.columns).collect())) == sorted(map(tuple, docs.collect()))
 
 
+def test_pairs_of_small_and_large_images(spark):
+    """Images of few boxes are paired in their rows, without a join; larger ones in grids; both give all pairs that meet."""
+    r = random.Random(7)
+    boxes = [(i, k, x, y, x + r.randint(0, 20), y + r.randint(0, 20)) for i, n in ((1, 1), (2, 12), (3, 40)) for k in range(n) for x, y in [(r.randint(0, 60), r.randint(0, 60))]]
+    df = spark.createDataFrame(boxes, "image_id long, k int, a int, b int, c int, d int")
+    meet = {(p[0], p[1], q[1]) for p in boxes for q in boxes if p[0] == q[0] and p[1] < q[1] and p[2] <= q[4] and q[2] <= p[4] and p[3] <= q[5] and q[3] <= p[5]}
+    few = masks.box_pairs(df, ("a", "b", "c", "d"), "k")
+    assert "Join" not in plan_of(few)
+    for pairs in (few, masks.box_pairs(df, ("a", "b", "c", "d"), "k", few=12), masks.box_pairs(df, ("a", "b", "c", "d"), "k", few=0)):
+        met = pairs.filter("a <= o_c AND o_a <= c AND b <= o_d AND o_b <= d").collect()
+        assert sorted((p.image_id, min(p.k, p.o_k), max(p.k, p.o_k)) for p in met) == sorted(meet)
+
+
+def test_parallel_segments_do_not_divide(spark):
+    rows = [(1, 0, 0, 0, 9, 0), (1, 1, 0, 0, 9, 0), (1, 2, 4, 0, 4, 5)]
+    s = spark.createDataFrame([(*r, 20, 20) for r in rows], "image_id long, seg int, sx1 long, sy1 long, sx2 long, sy2 long, img_w int, img_h int")
+    assert sorted((r.seg, r.other, r.x, r.y) for r in objects.segment_intersections(s).collect()) == [(0, 2, 4.0, 0.0), (1, 2, 4.0, 0.0)]
+
+
 def test_frames_meet_candidates_that_are_measured_in_place(spark, sf):
     cand = fixtures.candidates(spark, sf)
     named = cand.select("image_id", F.lit(1).cast("long").alias("stream_id"), F.col("image_id").alias("frame_idx"), F.lit("f").alias("frame_id")).distinct()
