@@ -40,7 +40,7 @@ def src02(spark, sf_dir):
     head = F.concat(F.lit("BM\x7f\x7f\x7f\0\0\0\0\0"), four(F.lit(54)), four(F.lit(40)), four(w), four(h), F.lit("\1\0"), F.lit("\x18\0"), F.lit("\0" * 24))
     pixels = F.repeat(F.lit("@"), ((w * 3 + 3 - (w * 3 + 3) % 4) * h).cast("int"))
     rows = table(spark, sf_dir, "events").select("user_id").distinct().select("user_id", F.when(F.col("user_id") % 5 == 0, F.substring(head, 1, 10)).otherwise(F.concat(head, pixels)).alias("value"))
-    rows.withColumn("image_id", F.col("user_id")).select("value", "image_id").write.partitionBy("image_id").text(path)
+    src.write_pictures(rows.withColumnRenamed("user_id", "image_id"), path)
     dims = src.image_dims(spark, path)
     return dims.select(F.regexp_extract("path", "image_id=([0-9]+)", 1).cast("long").alias("image_id"), "img_w", "img_h", "channels")
 

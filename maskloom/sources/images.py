@@ -24,6 +24,20 @@ def image_dims(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("image.origin").alias("path"), F.col("image.width").alias("img_w"), F.col("image.height").alias("img_h"), F.col("image.nChannels").alias("channels"))
 
 
+#: Pictures that one task writes.
+PICTURES_OF_TASK = 500
+
+
+def write_pictures(pictures: DataFrame, path: str) -> None:
+    """One file of text per image, in a folder of its number. pictures: image_id, value, one row per image.
+
+    Tasks grow in number with the pictures, however few bytes tell them, and each puts its own files in their place: the driver moves none.
+    """
+    tasks = max(1, -(-pictures.count() // PICTURES_OF_TASK))
+    dealt = pictures.select("value", "image_id").repartition(tasks, "image_id")
+    dealt.write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("image_id").text(path)
+
+
 def read_result_documents(spark: SparkSession, path: str) -> DataFrame:
     """Object rows of JSON lines {image_id, records}, records being a JSON list."""
     docs = spark.read.schema("image_id long, records string").json(path)

@@ -93,3 +93,15 @@ def test_frames_meet_candidates_that_are_measured_in_place(spark, sf):
     want = frames.frame_objects(named, cand, fixtures.mask_runs(cand), LIMITS)
     assert "Generate" not in plan_of(got)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_pictures_are_written_by_many_tasks(spark, tmp_path):
+    """Few bytes, many pictures: tasks follow the pictures, and one file is one image."""
+    n = images.PICTURES_OF_TASK
+    images.PICTURES_OF_TASK = 10
+    try:
+        images.write_pictures(spark.range(60).select(F.col("id").alias("image_id"), F.lit("x").alias("value")).coalesce(1), f"file://{tmp_path}/p")
+    finally:
+        images.PICTURES_OF_TASK = n
+    files = list((tmp_path / "p").glob("image_id=*/part-*"))
+    assert len(files) == 60 and len({f.name.split("-")[1] for f in files}) > 3
