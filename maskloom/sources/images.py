@@ -25,7 +25,7 @@ def image_dims(spark: SparkSession, path: str) -> DataFrame:
 
 
 #: Pictures that one task writes.
-PICTURES_OF_TASK = 500
+PICTURES_OF_TASK = 100
 
 
 def write_pictures(pictures: DataFrame, path: str) -> None:
